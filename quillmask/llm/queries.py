@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ngram_join import ngram_jaccard_groups
 from .scratch import Scratch
+from .substring import remove_repeated_spans
 
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
 
@@ -17,12 +18,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op5"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+    return {"op5_substring_dedup": op5_substring_dedup, "op6_ngram_jaccard_join": op6_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
