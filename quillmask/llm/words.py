@@ -74,12 +74,12 @@ def offsets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about PIECE bytes."""
+def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many bytes."""
     _, off = offsets_of(column)
     a, n = 0, len(column)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + PIECE, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
 
