@@ -4,14 +4,13 @@ A document of a source is due target / source_size copies. Its whole copies are
 pivotal method. Two documents pass mass (size times fraction) to each other, in a random direction that keeps each one's
 expectation, until the fraction of one is 0 or 1. Documents meet in groups of bounded size, large ones first, and each
 group hands on its unfinished document together with a few small ones of every size class; groups of groups repeat this
-up to one group per source, where the small documents take up what the larger ones left over. A group never holds more
+up to one group per source, where the partner of each document is all smaller ones together, so that these take up what
+the larger ones left over. A group never holds more
 than a bounded number of rows, whatever share of all rows a source has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,12 +33,12 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...], share: float, ca
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     full = F.col("source_size") * float(cap)
     per = per.withColumn("w", w).withColumn("full", full).withColumn("ratio", F.col("full") / F.col("w"))
-    # sources that reach their cap first come first; before each, what is left and the weights that share it
+    # by the level at which they reach their cap; at the first that does not, what is left is shared by the weights left
     before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     left = F.sum("source_size").over(every) * float(share) - F.coalesce(F.sum("full").over(before), F.lit(0.0))
     open_w = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / open_w).withColumn("level", F.min(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(every))
+    per = per.withColumn("level", left / open_w).withColumn("level", F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(every))
     target = F.when(F.col("level").isNull(), F.col("full")).otherwise(F.least(F.col("full"), F.col("level") * F.col("w")))
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
@@ -69,6 +68,31 @@ def _round(size: np.ndarray, p: np.ndarray, draw: np.ndarray, keep: np.ndarray)
     return p
 
 
+def _round_last(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The same over documents in falling size, with all smaller ones together as the partner of each, as long as they can
+    take up its fraction. So what is left over at the end is a fraction of one of the smallest."""
+    p, due = p.copy(), float((p * size).sum())
+    for i in range(len(p) - 1):
+        if not 0 < p[i] < 1:
+            continue
+        room = np.minimum(p[i + 1 :], 1 - p[i + 1 :])
+        total = float((room * size[i + 1 :]).sum())
+        if max(p[i], 1 - p[i]) * size[i] > total:
+            continue
+        up = draw[i] < p[i]
+        p[i + 1 :] = np.clip(p[i + 1 :] - room * (((1 - p[i]) if up else -p[i]) * size[i] / total), 0, 1)
+        p[i] = float(up)
+    p = np.where(p < 1e-12, 0.0, np.where(p > 1 - 1e-12, 1.0, p))
+    p = _round(size, p, 1 - draw, np.zeros(len(p), bool))
+    p = np.where((p > 0) & (p < 1), np.round(p), p)
+    over = float((p * size).sum()) - due
+    for i in range(len(p)):  # what that rounding makes too many or too few: documents that fit in it change sides, large ones first
+        if 0 < size[i] <= abs(over) and (p[i] > 0) == (over > 0):
+            over -= size[i] if p[i] > 0 else -size[i]
+            p[i] = 1 - p[i]
+    return p
+
+
 def _group(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
     rows = rows.sort_values(["size", "draw", "rid"], ascending=[False, True, True], kind="stable")
     size, p, draw = (rows[c].to_numpy() for c in ("size", "p", "draw"))
@@ -80,10 +104,7 @@ def _group(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
             if 0 < p[i] < 1 and seen.get(c, 0) < SPARE:
                 seen[c] = seen.get(c, 0) + 1
                 keep[i] = True
-    p = _round(size.astype(float), p, draw, keep)
-    if last:  # one fraction may be left: the nearer whole number
-        p = np.where((p > 0) & (p < 1), np.round(p), p)
-    return rows.assign(p=p)
+    return rows.assign(p=_round_last(size.astype(float), p, draw) if last else _round(size.astype(float), p, draw, keep))
 
 
 def _group_step(rows: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +126,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("draw64"))
     rows = scratch.save(rows, "sizes")
     targets = scratch.save(source_targets(rows, weights, share, cap), "targets")
-    rows = rows.join(F.broadcast(targets), rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(due + 1e-12)
     rows = rows.withColumn("base", F.when(F.col("size") > 0, whole).otherwise(0).cast("long")).withColumn("p", F.when(F.col("size") > 0, F.greatest(due - whole, F.lit(0.0))).otherwise(0.0))

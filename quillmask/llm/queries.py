@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
+from .bpe import bpe_digests
+from .chat import chat_digests, format_chats
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
 from .scratch import Scratch
 from .substring import remove_repeated_spans
 
+BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
 
 
@@ -18,6 +24,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, Scratch(spark, "op1"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_digests(format_chats(turns.unionByName(more)))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op5"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -28,7 +56,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_substring_dedup": op5_substring_dedup, "op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+    every = [op1_mix_sources, op2_byte_bpe, op3_chat_format, op4_nearest, op5_substring_dedup, op6_ngram_jaccard_join]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
