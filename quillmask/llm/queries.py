@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .bpe import bpe_digests
 from .chat import chat_digests, format_chats
+from .fertility import fertility_rules
+from .langid import predict_language, train_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
+from .quality import score_quality, train_quality
 from .scratch import Scratch
 from .substring import remove_repeated_spans
 
@@ -55,8 +58,27 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(f"not ({HELD_OUT})")
+    scored = score_quality(docs, train_quality(docs, labels))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_language(docs.where(f"not ({HELD_OUT})"))
+    found = predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fertility_rules(docs, [(public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_mix_sources, op2_byte_bpe, op3_chat_format, op4_nearest, op5_substring_dedup, op6_ngram_jaccard_join]
+    every = [op1_mix_sources, op2_byte_bpe, op3_chat_format, op4_nearest, op5_substring_dedup, op6_ngram_jaccard_join, op8_quality_gam, op9_language_id, op10_fertility]
     return {f.__name__: f for f in every}
 
 
