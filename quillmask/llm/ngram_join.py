@@ -29,6 +29,8 @@ BLOCK = 4096
 #: Frequent n-grams that are ordered last; a bound on what is broadcast (8 bytes each). Any set gives the same result.
 MOST_FREQUENT = 200_000
 _BITS = 512
+#: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each); more are joined by a shuffle.
+FEW = 100_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -78,19 +80,26 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *parts]).view(np.int64))], ["h"])
 
 
+def _parity(s: np.ndarray, bits: int) -> bytes:
+    """Which of so many (a power of two) low-bit classes of hashes have an odd number of members, a bit each. Two sets
+    differ in at least as many members as their bits differ in."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], frequent, k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     frequent = frequent.value
     for batch in batches:
-        n, s1, s2, parts, bits = [], [], [], [], []
+        n, s1, s2, parts, bits, wide = [], [], [], [], [], []
         for s in shingle_sets(as_strings(batch.column(1)), k):
             n.append(len(s))
             s1.append(mix(s + np.uint64(1)).sum(dtype=np.uint64))
             s2.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
             parts.append(_prefix(s, frequent, num, den))
-            bits.append(np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=_BITS) & 1).tobytes())
+            bits.append(_parity(s, _BITS))
+            wide.append(_parity(s, max(_BITS, 4 << len(s).bit_length())))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), _lists(parts), pa.array(bits, pa.binary())],
-            ["id", "n", "s1", "s2", "prefix", "bits"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), _lists(parts), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
+            ["id", "n", "s1", "s2", "prefix", "bits", "wide"],
         )
 
 
@@ -100,6 +109,18 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "s"])
 
 
+def _refute(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Whether the wide bitmaps leave a pair possible; the wider one is folded onto the other."""
+    for batch in batches:
+        ok = []
+        for a, b, n in zip(batch.column(2), batch.column(3), (batch.column(4).to_numpy() + batch.column(5).to_numpy()).tolist(), strict=True):
+            a, b = sorted((np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b)), key=len)
+            if len(a) < len(b):
+                b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+            ok.append(int(np.bitwise_count(a ^ b).sum()) <= n - 2 * -(-num * n // (num + den)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["x", "y", "maybe"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -133,7 +154,7 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int)
         others: list[int] = []
         a = 0
         while a < len(h):
-            b = min(max(a + 1, int(np.searchsorted(ends, ends[a] + 1_000_000, "right")) - 1), len(h))
+            b = min(max(a + 1, int(np.searchsorted(ends, ends[a] + 500_000, "right")) - 1), len(h))
             i = np.repeat(np.arange(a, b), count[a:b])
             j = np.arange(len(i)) - np.repeat(ends[a:b] - ends[a], count[a:b]) + i + 1
             need = -(-num * (n[i] + n[j]) // (num + den))
@@ -168,6 +189,18 @@ def _frequent(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are few; they are read from a written table, so counting them is cheap."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def _both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (x, y) with columns of both ids."""
+    for side in ("x", "y"):
+        pairs = pairs.join(of.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
 def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs: the size of its set of distinct k-word shingles (A-Z
     lower-cased; fewer than k words: the whole sequence) and the smallest id reachable over links, where
@@ -179,7 +212,7 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k, num, den))
-    sketch = docs.mapInArrow(partial(_sketch, frequent=frequent, k=k, num=num, den=den), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    sketch = docs.mapInArrow(partial(_sketch, frequent=frequent, k=k, num=num, den=den), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary, wide binary")
     sketch = scratch.save(sketch, "sketch")
     classes = scratch.save(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(classes.where("rep is not null").select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
@@ -201,23 +234,31 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
     turn, layers = 0, 1
     while True:
         edges = forest(state, layers, f"edges-{turn}")
-        pairs = edges.select("x", "y").distinct()
-        if sets is None:
-            named = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-            sets = scratch.save(docs.join(named, "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, s binary"), "sets")
-        found = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-        found = scratch.save(found.select("x", "y", "sx", "sy").mapInArrow(partial(_verify, num=num, den=den), "x long, y long, ok boolean"), f"found-{turn}")
-        links = found.where("ok").select("x", "y") if links is None else links.unionByName(found.where("ok").select("x", "y"))
-        wrong = found.where("not ok").select("x", "y")
+        pairs = scratch.save(edges.select("x", "y").distinct(), f"pairs-{turn}")
+        named = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), f"named-{turn}")
+        bits = sketch.select("id", "n", "wide").join(_few(named), "id", "left_semi")
+        maybe = _both(pairs, bits, ["wide", "n"]).select("x", "y", "wide_x", "wide_y", "n_x", "n_y")
+        maybe = scratch.save(maybe.mapInArrow(partial(_refute, num=num, den=den), "x long, y long, maybe boolean"), f"maybe-{turn}")
+        named = maybe.where("maybe").select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        named = scratch.save(named if sets is None else named.join(sets, "id", "left_anti"), f"texts-{turn}")
+        more = scratch.save(docs.join(_few(named), "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, s binary"), f"sets-{turn}")
+        sets = more if sets is None else sets.unionByName(more)
+        found = _both(maybe.where("maybe").select("x", "y"), sets, ["s"]).select("x", "y", "s_x", "s_y")
+        found = scratch.save(found.mapInArrow(partial(_verify, num=num, den=den), "x long, y long, ok boolean"), f"found-{turn}")
+        good = found.where("ok").select("x", "y").distinct()
+        links = good if links is None else links.unionByName(good)
+        wrong = pairs.join(good, ["x", "y"], "left_anti")
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
         if wrong.isEmpty():
             break
         labels = scratch.save(connected_components(links, scratch, f"cc{turn}").select(F.col("node").alias("id"), "label"), f"labels-{turn}")
-        active = edges.join(wrong, ["x", "y"], "left_semi").select("h", "bi", "bj").distinct()
+        active = scratch.save(edges.join(wrong, ["x", "y"], "left_semi").select("h", "bi", "bj").distinct(), f"active-{turn}")
         bad = refuted.unionByName(refuted.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("id")).agg(F.collect_set("y").alias("bad"))
-        state = entries.join(active, ["h", "bi", "bj"], "left_semi").join(labels, "id", "left").join(bad, "id", "left").withColumn("comp", F.coalesce("label", "id"))
+        # only blocks with a refuted pair can hold an unproven one
+        entries = scratch.save(entries.join(_few(active), ["h", "bi", "bj"], "left_semi"), f"entries-{turn}")
+        state = entries.join(labels, "id", "left").join(bad, "id", "left").withColumn("comp", F.coalesce("label", "id"))
         turn, layers = turn + 1, min(2 * layers, 64)
-    scratch.drop("entries", "sets", "reps")
+    scratch.drop("entries", "reps", *(f"{x}-{i}" for i in range(turn + 1) for x in ("entries", "sets", "edges", "maybe")))
     labels = connected_components(links, scratch, "cc")
     classes = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("c"))
     out = sketch.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
