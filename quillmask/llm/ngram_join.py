@@ -154,7 +154,7 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int)
         others: list[int] = []
         a = 0
         while a < len(h):
-            b = min(max(a + 1, int(np.searchsorted(ends, ends[a] + 500_000, "right")) - 1), len(h))
+            b = min(max(a + 1, int(np.searchsorted(ends, ends[a] + 250_000, "right")) - 1), len(h))
             i = np.repeat(np.arange(a, b), count[a:b])
             j = np.arange(len(i)) - np.repeat(ends[a:b] - ends[a], count[a:b]) + i + 1
             need = -(-num * (n[i] + n[j]) // (num + den))
@@ -189,7 +189,7 @@ def _frequent(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def _few(keys: DataFrame) -> DataFrame:
+def few(keys: DataFrame) -> DataFrame:
     """keys, to be broadcast if they are few; they are read from a written table, so counting them is cheap."""
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
@@ -236,12 +236,12 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
         edges = forest(state, layers, f"edges-{turn}")
         pairs = scratch.save(edges.select("x", "y").distinct(), f"pairs-{turn}")
         named = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), f"named-{turn}")
-        bits = sketch.select("id", "n", "wide").join(_few(named), "id", "left_semi")
+        bits = sketch.select("id", "n", "wide").join(few(named), "id", "left_semi")
         maybe = _both(pairs, bits, ["wide", "n"]).select("x", "y", "wide_x", "wide_y", "n_x", "n_y")
         maybe = scratch.save(maybe.mapInArrow(partial(_refute, num=num, den=den), "x long, y long, maybe boolean"), f"maybe-{turn}")
         named = maybe.where("maybe").select(F.explode(F.array("x", "y")).alias("id")).distinct()
         named = scratch.save(named if sets is None else named.join(sets, "id", "left_anti"), f"texts-{turn}")
-        more = scratch.save(docs.join(_few(named), "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, s binary"), f"sets-{turn}")
+        more = scratch.save(docs.join(few(named), "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, s binary"), f"sets-{turn}")
         sets = more if sets is None else sets.unionByName(more)
         found = _both(maybe.where("maybe").select("x", "y"), sets, ["s"]).select("x", "y", "s_x", "s_y")
         found = scratch.save(found.mapInArrow(partial(_verify, num=num, den=den), "x long, y long, ok boolean"), f"found-{turn}")
@@ -255,7 +255,7 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
         active = scratch.save(edges.join(wrong, ["x", "y"], "left_semi").select("h", "bi", "bj").distinct(), f"active-{turn}")
         bad = refuted.unionByName(refuted.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("id")).agg(F.collect_set("y").alias("bad"))
         # only blocks with a refuted pair can hold an unproven one
-        entries = scratch.save(entries.join(_few(active), ["h", "bi", "bj"], "left_semi"), f"entries-{turn}")
+        entries = scratch.save(entries.join(few(active), ["h", "bi", "bj"], "left_semi"), f"entries-{turn}")
         state = entries.join(labels, "id", "left").join(bad, "id", "left").withColumn("comp", F.coalesce("label", "id"))
         turn, layers = turn + 1, min(2 * layers, 64)
     scratch.drop("entries", "reps", *(f"{x}-{i}" for i in range(turn + 1) for x in ("entries", "sets", "edges", "maybe")))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
     """Tables of about so many rows that never cut a group; the input is sorted by keys within its partition."""
     held: list[pa.Table] = []
     n = 0
