@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     """(node, label): the smallest node that each node of edges (x, y) can reach.
 
     Large-star and small-star steps alternate until no edge changes. Each is a minimum per node (combined before its
-    shuffle) and an equi-join, so a node with very many neighbours is split by adaptive execution and its neighbours are
-    never gathered. Steps are written out; only two are kept at a time. Nulls and loops are dropped; no edges give no rows."""
+    shuffle, and written out) and an equi-join of written tables, so a node with very many neighbours is split by adaptive
+    execution and its neighbours are never gathered. Steps are written out; only two are kept at a time. Nulls and loops are dropped; no edges give no rows."""
     e = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x < y").distinct()
     e = scratch.save(e, f"{name}-0")
     print_of = [F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")]
@@ -21,13 +21,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     while seen[0]:
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        low = scratch.save(low, f"{name}-low-{step}")
         large = both.join(low, "x").where("y > x").select(F.col("m").alias("x"), "y").where("x < y").distinct()
         large = scratch.save(large, f"{name}-large-{step}")
         least = large.groupBy("y").agg(F.min("x").alias("m"))
+        least = scratch.save(least, f"{name}-least-{step}")
         small = large.join(least, "y").select(F.least("x", "m").alias("a"), F.explode(F.array("x", "y")).alias("b"), "m")
         small = small.select(F.col("m").alias("x"), F.col("b").alias("y")).where("x < y").distinct()
         e = scratch.save(small, f"{name}-{step + 1}")
-        scratch.drop(f"{name}-{step}", f"{name}-large-{step}")
+        scratch.drop(*(f"{name}{x}-{step}" for x in ("", "-low", "-large", "-least")))
         now, step = tuple(e.agg(*print_of).first()), step + 1
         if now == seen:
             break

@@ -220,6 +220,8 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
 
     entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
     counts = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # written out, so that the join deals both sides anew and a column with very many rows can be split
+    counts = scratch.save(counts, "counts")
     entries = entries.join(counts, "h").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
     entries = entries.withColumn("blk", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     entries = entries.select("h", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "n", "pos")

@@ -141,11 +141,14 @@ def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
     windows = windows.mapInArrow(partial(_unroll, k=k), "m long, c long, idx int, h1 long, h2 long, n long").dropDuplicates(["m", "c", "idx"])
     windows = scratch.save(windows, "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    # written out, so that the joins below deal both sides anew and a key with very many rows can be split
+    twice = scratch.save(twice, "twice")
     masks = windows.join(twice, ["h1", "h2"]).groupBy("m", "c").agg(F.bit_or(F.expr("shiftleft(1L, idx)")).alias("mask"))
+    masks = scratch.save(masks, "masks")
     whole = F.expr("shiftleft(1L, count) - 1")
     marked = met.where("mixed").join(masks, ["m", "c"]).select("id0", "tk", "start", "mask").unionByName(met.where("not mixed").select("id0", "tk", "start", whole.alias("mask")))
     marked = scratch.save(marked.distinct(), "marked")
-    scratch.drop("sketch", "anchors", "met", "distinct", "windows")
+    scratch.drop("sketch", "anchors", "met", "distinct", "windows", "twice", "masks")
 
     marks = marked.groupBy("id0", "tk").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     named = {"_id0": id0, "_tk": tk}
