@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexicons import SHOWN_CATEGORIES
 from .patterns import PATHS
@@ -14,7 +15,7 @@ from .patterns import PATHS
 SPAN = "struct<start:int,end:int,text:string>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -14,7 +14,7 @@ from ..functions.text import quoted
 from .people import label_for, should_replace
 
 #: Stands between the cells of a table row while text is rewritten and checked; matches may span it.
-CELL = " "
+CELL = "\u2028"
 
 
 def parts(text: Column) -> Column:
