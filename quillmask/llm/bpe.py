@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from .words import as_strings, offsets_of, pieces, prefix_hash
 
-#: Bytes of text whose distinct pieces are encoded together, and how many pieces one string given to the library holds.
-GROUP = 16 << 20
+#: Bytes of text whose distinct pieces are encoded together, how many pieces one string given to the library holds, and how
+#: many strings it gets at once.
+GROUP = 8 << 20
 STRING = 256
+BATCH = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -124,7 +126,10 @@ class ByteBpe:
         edges = at[np.concatenate([[0], ends, [len(first)]]).astype(np.int64)].tolist()
         raw = joined.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-        flat = np.concatenate([np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        flat = []
+        for i in range(0, len(texts), BATCH):  # the library's results are many times the size of their ids
+            flat += [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
+        flat = np.concatenate(flat)
         token_start = np.cumsum(self._bytes[2][flat]) - self._bytes[2][flat]
         first_id = np.append(np.searchsorted(token_start, at[:-1]), len(flat))
         return _gather(flat, first_id[:-1], np.diff(first_id), place[back])
