@@ -1,19 +1,337 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries and their SQL oracles.
+
+Queries over documents run on the whole table. Where the driver's tables hold no case for an operator, it runs on literal rows,
+and the oracle states the rows that must come out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..functions import text as X
+from ..operators import people as who
+from ..operators import review as R
+from ..operators import rewrite as W
+from ..operators import scans as S
+from ..operators.detect import REGISTRY, detect_lines
+from ..operators.layout import layout_pages
+from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogniser, page_entities, person_sweep
+from ..operators.roles import suggest_roles
+from ..sources.documents import choose_text, pages_of_table
+from ..sources.sinks import finished_text, safe_name, unique_names
+from .flows import deidentify, detect
+from .oracles import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+CASE = "case_id string, student_name string, parent_names array<string>, family_names array<string>, organisation_names array<string>"
+PAGE = "case_id string, doc_id string, page_num int, text string"
+REPORT = """Student: Billy Bob
+His classroom teacher, Sarah Williams, reports steady progress.
+Speech pathologist Ada Kowalski completed the assessment.
+His NDIS support worker, John Citizen, attends fortnightly.
+Billy's mother, Mary Bob, attended the meeting."""
+
+
+def _pages(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pages_of_table(docs.where(where) if where else docs, "doc_id")
+
+
+def _phones_and_emails(pages: DataFrame) -> DataFrame:
+    return detect_lines(pages, registry=[d for d in REGISTRY if d.category in ("Phone number", "Email address")])
+
+
+def _rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
+    return spark.createDataFrame(list(rows), schema)
+
+
+def _report(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    cases = _rows(spark, CASE, ("c", "Billy Bob", ["Mary Bob"], [], ["Oak Hill Primary School"]))
+    return _rows(spark, PAGE, ("c", "d1", 1, REPORT), ("c", "d2", 1, "S. Williams met Billy - Bob at Oak Hill. Call 0412 345 678.")), cases
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Distinct phone numbers and emails of the English documents by category and confidence label."""
+    found = R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir, "lang = 'en'")))
+    return found.groupBy("category", X.confidence_label(F.col("confidence")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def p02_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = X.to_lines(_pages(spark, sf_dir).select("doc_id", "text"))
+    return lines.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.max("line_num").alias("last_line"))
+
+
+def d03_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detect_lines(_pages(spark, sf_dir), registry=[d for d in REGISTRY if d.category == "Phone number"])
+    return R.dedup_matches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text", "confidence")
+
+
+def d04_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detect_lines(_pages(spark, sf_dir), registry=[d for d in REGISTRY if d.category == "Email address"])
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text", "confidence")
+
+
+def d10_dob_same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detect_lines(_pages(spark, sf_dir), registry=[d for d in REGISTRY if d.category == "Date of birth"]).where("confidence = 0.95")
+    return R.dedup_matches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text")
+
+
+def d01_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, per source, in which the forms of a student's name occur; each source is a case."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null")
+    cases = docs.select(F.col("source").alias("case_id")).distinct().select("case_id", F.lit("Eriner Retion").alias("student_name"), *[F.array().cast("array<string>").alias(c) for c in ("parent_names", "family_names", "organisation_names")])
+    pages = docs.select(F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), "text")
+    found = detect_lines(pages, cases, registry=[]).where("category = 'Student name'")
+    return found.groupBy(F.col("case_id").alias("source"), F.lower("text").alias("form")).agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+def w01_match_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "match_idx", "line_num", "text", "category")
+
+
+def w01_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _rows(spark, "doc_id string, page_num int, line_num int, text string, category string, confidence double, context string, source string, ord array<int>",
+                 ("d", 1, 1, "Jane Smith", "Student name", 0.95, "", "regex", [0]), ("d", 1, 1, "JANE SMITH", "Person name (NER)", 0.85, "", "recogniser", [1]),
+                 ("d", 1, 2, "Jane Smith", "Student name", 0.95, "", "regex", [2]), ("d", 1, 1, "Jane", "A", 0.65, "", "regex", [3]), ("d", 1, 1, "jane", "B", 0.65, "", "regex", [4]))
+    return R.rank_matches(R.dedup_matches(made)).select("match_idx", "line_num", "text", "category", "confidence")
+
+
+def a02_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.category_counts(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+
+
+def a03_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.log_summary(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+
+
+def a05_doc_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.document_summary(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "category", "n", "uncertain")
+
+
+def j04_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the matches of documents, the first of each, which a selection table names."""
+    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    picks = ranked.select("doc_id", "match_idx", (F.col("match_idx") == 0).alias("selected"))
+    return R.selected(ranked, picks).select(F.col("doc_id").cast("long").alias("doc_id"), "match_idx", "text")
+
+
+def u03_deselected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    rest = R.deselected_texts(ranked, ranked.where("match_idx = 0"))
+    return rest.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def v03_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    a, b = F.lower("n_name"), F.lower("r_name")
+    pairs = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return pairs.select("n_name", "r_name", F.levenshtein(a, b).alias("distance"), W.close_words(a, b).alias("close"))
+
+
+def d17_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "name string", ("Jane Smith",), ("Jo Nguyen",), ("Jo",), ("Mary Jane Watson",))
+    return rows.select("name", F.explode(N.variations(F.col("name"))).alias("form"))
+
+
+def d17_nicknames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "name string", ("Christopher Brown",), ("Arthur Jones",), ("Beth Lee",))
+    return rows.select("name", F.explode(N.nicknames(F.col("name"))).alias("form"))
+
+
+def d_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detector on literal lines."""
+    texts = [("Call me on 0412 345 678 please", "x"), ("Ph: 02.6056.1234", "x"), ("Version 2.04.1234.5678 build", "x"), ("Address: 12 Bakers Lane, Wodonga VIC 3690", "x"), ("Sarah lives at 12 Bakers Lane with her mother.", "x"),
+             ("Working at 2 Year Level Place Value", "x"), ("Date of Birth:\n15/03/2015", "Jane Smith"), ("Medicare Number:\n2345 67890 1", "Jane Smith"), ("Mother:\nSarah Williams", "Jane Smith"), ("his father (Nick) reported the behaviour", "Joe Bloggs"),
+             ("his sister, Summer, was also present", "Joe Bloggs"), ("Carer: Dad", "Jane Smith"), ("Chris was late", "Christopher Brown"), ("NDIS number: 123456789", "x"), ("ABN: 51 824 753 556", "x"), ("passport no A1234567", "x"),
+             ("SMI1234 and ABC999", "Jane Smith"), ("CRN 123 456 789A", "x"), ("Student O’Brien was present", "O'Brien"), ("Student Griﬃn was present", "Griffin"), ("Jane Bloggs bought some bloggsel", "Jane Bloggs"), ("", "Jane Smith")]
+    pages = _rows(spark, PAGE, *[(str(i), str(i), 1, t) for i, (t, _) in enumerate(texts)])
+    cases = _rows(spark, CASE, *[(str(i), n, [], [], []) for i, (_, n) in enumerate(texts)])
+    found = R.dedup_matches(detect_lines(pages, cases))
+    return found.select(F.col("doc_id").cast("int").alias("row"), "line_num", "text", "category", "confidence")
+
+
+def n08_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _rows(spark, PAGE, ("c", "d", 1, "Seen by Sarah Williams.\nWilliams said so. Born 1/2/2010, CRN 123456789A"))
+    find = lexicon_recogniser(["Sarah Williams"])
+    varied, hits = entity_matches(pages, F.concat(page_entities(F.col("text")), find(F.col("text")), no_recogniser(F.col("text"))))
+    return varied.unionByName(hits).select("text", "category", "confidence", "line_num").distinct()
+
+
+def o05_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "doc_id string, text string", ("d", "Ada met Bo Li, ADA and Ada; Cy Bell too"))
+    left = _rows(spark, "doc_id string, text string", ("d", "cy bell"))
+    return person_sweep(rows, lexicon_recogniser(["Ada", "ADA", "Bo Li", "Cy Bell"])(F.col("text")), left)
+
+
+def e01_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, cases = _report(spark)
+    run = deidentify(pages, cases, detect(pages, cases, lexicon_recogniser(["Sarah Williams", "Ada Kowalski", "John Citizen"])))
+    return run["owners"].select("seq", "full_name", "role", "label")
+
+
+def w04_shared_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, cases = _report(spark)
+    run = deidentify(pages, cases, detect(pages, cases))
+    return run["forms"].where(F.col("form").isin("billy", "bob", "mary", "billy bob", "oak hill primary school", "hill")).select("form", "label")
+
+
+def r02_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, cases = _report(spark)
+    run = deidentify(pages, cases, detect(pages, cases, lexicon_recogniser(["Sarah Williams", "Ada Kowalski", "John Citizen"])))
+    return run["results"].select("doc_id", "body", "n_replaced", "status")
+
+
+def r02_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone numbers and emails of all documents replaced by their labels: how many emails, in how many documents. (A phone number
+    within a longer run of digits is no whole word and stays.)"""
+    pages = _pages(spark, sf_dir).withColumn("case_id", F.lit("all"))
+    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(pages)))
+    known = _rows(spark, "case_id string, known array<struct<at:int,form:string,label:string>>", ("all", []))
+    clean = W.deidentify_pages(pages, W.replacements(ranked, known))
+    emails = F.size(F.split("clean", r"\[email\]", -1)) - 1
+    return clean.groupBy(F.lit("all").alias("scope")).agg(F.count_if(emails > 0).alias("docs_changed"), F.sum(emails).alias("emails"))
+
+
+def a14_role_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = [("Mary Bob", "Billy's mother, Mary Bob, attended the meeting."), ("Ada K", "His foster carer, Ada Kowalski, reported improvement."), ("Sarah W", "His classroom teacher, Sarah Williams, noted progress."),
+            ("Ann", "Speech pathologist Ada Kowalski completed the assessment."), ("John", "His NDIS support worker, John Citizen, attends fortnightly."), ("Guy", "guardian"), ("Dr Who", "was there")]
+    return suggest_roles(_rows(spark, "name string, at int, snippet string", *[(n, i, s) for i, (n, s) in enumerate(said)]), ("name",)).select("name", "role", "confidence", "evidence")
+
+
+def v01_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "pii string, body string", ("Ann", "Annual report"), ("Ann", "Ann's report"), ("Smith Jones", "by smith - jones"), ("Smith Jones", "smithjones"), ("Ann", "[Ann 1] here"))
+    bare = W.strip_labels(F.col("body"), F.array(F.lit("[Ann 1]")))
+    return rows.select("pii", "body", W.visible(F.col("pii"), bare).alias("visible"))
+
+
+def v02_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "pii string, body string", ("Sarah", "Sarnh attended today."), ("Ann", "And then he left."), ("0412 345 678", "Call 0412 345 679."), ("Sarah Williams", "Willianis was present."))
+    return rows.select("pii", (F.size(W.fuzzy_leftovers(F.col("body"), F.array("pii"), F.array().cast("array<string>"))) > 0).alias("left_over"))
+
+
+def r09_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = ["Joe Bloggs DIP Vineland Report 2025", "Vineland Report - Joe Bloggs", "Behavior Management Plan - Joe Bloggs (T1 2024)", "Bloggs_Joe_Adaptive_Behaviour_Assessment_Summary", "Joe's Assessment Report", "Joe Bloggs"]
+    names = F.array(*map(F.lit, ["Joe Bloggs", "Joe", "Bloggs", "J. Bloggs", "J.F.", "JF"]))
+    return _rows(spark, "stem string", *[(s,) for s in stems]).select("stem", W.strip_filename(F.col("stem"), names).alias("safe"))
+
+
+def f14_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cats = ["Student name", "Person name (NER)", "Person name (NER variation)", "Location (NER)", "ORGANIZATION (NER)", "Date/Time (NER)", "Phone number"]
+    rows = _rows(spark, "category string", *[(c,) for c in cats]).withColumn("mode", F.explode(F.array(F.lit("redact"), F.lit("deidentify"))))
+    return rows.select("category", "mode", R.preselected(F.col("category"), F.col("mode")).alias("chosen"), X.friendly_category(F.col("category")).alias("shown"))
+
+
+def f07_clean_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["Ms  Williams", "Dr. Ada Kowalski", "Mr", "Billy Bob Date of Birth", "O'Brien-Smith", "Phone", "A1 B", "Prof Dr Jo"]
+    return _rows(spark, "name string", *[(n,) for n in names]).select("name", N.clean_person(F.col("name")).alias("person"), N.is_form_label(F.col("name")).alias("form_label"))
+
+
+def p08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [r"open C:\Users\jo\a.pdf failed", r'at "C:\My Files\x y.pdf" now', r"\\srv\share\a.txt", "see /Users/jo/b.pdf or /etc/x", "nothing"]
+    return _rows(spark, "text string", *[(t,) for t in texts]).select("text", X.scrub_paths(F.col("text")).alias("scrubbed"))
+
+
+def p06_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "context string", ("...by **Ann** and **Bo**...",), ("plain",), ("",), ("odd ** mark",))
+    return rows.select("context", F.posexplode(X.split_context(F.col("context"))).alias("at", "s")).select("context", "at", "s.text", "s.matched")
+
+
+def k07_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "folder string, stem string, doc_id string", ("o", "Report", "a"), ("o", "Report", "b"), ("o", "Plan", "c"), ("p", "Report", "d"))
+    return unique_names(rows, "_deidentified.txt").select("doc_id", "name")
+
+
+def k08_safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "name string", ("../a/b.docx",), (r"c:\x\y.txt",), ("..",), ("plain",))
+    return rows.select("name", safe_name(F.col("name"), ".txt").alias("as_txt"), safe_name(F.col("name"), ".pdf").alias("as_pdf"))
+
+
+def k03_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "body string, n int", ("x", 0), ("y", 2))
+    return rows.select("body", F.startswith(finished_text(F.col("body"), F.col("n")), F.lit("WARNING")).alias("warns"), F.endswith(finished_text(F.col("body"), F.col("n")), F.col("body")).alias("whole"))
+
+
+def s05_choose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = "x" * 51
+    rows = _rows(spark, "doc_id string, page_num int, native_text string, widget_values string, ocr_text string, ocr_confidence double", ("d", 1, long, "v", "scan", 0.5), ("d", 2, "short", "v", "scan", 0.75))
+    both = [choose_text(rows, ocr).withColumn("ocr", F.lit(ocr)) for ocr in (True, False)]
+    return both[0].unionByName(both[1]).select("page_num", "ocr", "text", "method", "confidence")
+
+
+def s07_ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "doc_id string, page_num int, pos int, word string, block int, line int, conf int", ("d", 1, 0, "Joe", 1, 1, 90), ("d", 1, 1, "ran", 1, 1, 70), ("d", 1, 2, " ", 1, 1, 50), ("d", 1, 3, "home", 1, 2, 0), ("d", 1, 4, "bad", 1, 2, -1))
+    return S.lines_of_words(rows)
+
+
+def _words(spark: SparkSession, *words: str) -> DataFrame:
+    return _rows(spark, "doc_id string, page_num int, pos int, word string, x0 int, y0 int, x1 int, y1 int", *[("d", 1, i, w, 100 * i, 50, 100 * i + 80, 80) for i, w in enumerate(words)])
+
+
+def j10_ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, "Joe's", "Bloggs,", "met", "Sarnh", "Wi1liams", "a@b.com;", "Jo")
+    items = _rows(spark, "doc_id string, text string", ("d", "Joe"), ("d", "met Sarah"), ("d", "Sarah"), ("d", "a@b.com"), ("d", "Jo"))
+    return S.find_items(words, items).select("item", "pos", "x0", "y0", "x1", "y1")
+
+
+def f13_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "xref int, px_w int, px_h int, rect_w double, ink_ratio double", (1, 302, 56, 114.0, 0.09), (2, 500, 50, 200.0, 0.05), (3, 302, 160, 114.0, 0.09), (4, 302, 56, 251.0, 0.09), (5, 302, 56, 114.0, 0.31), (6, 400, 200, 250.0, 0.30))
+    return S.signatures(rows).select("xref")
+
+
+def b03_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _rows(spark, "doc_id string, page_num int, word string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Annual", 0.0, 0.0, 60.0, 10.0), ("d", 1, "Ann,", 100.0, 0.0, 140.0, 10.0))
+    found = _rows(spark, "doc_id string, page_num int, text string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Ann", 0.0, 0.0, 30.0, 10.0), ("d", 1, "Ann", 100.0, 0.0, 130.0, 10.0), ("d", 1, "Annabella", 5.0, 5.0, 9.0, 9.0), ("d", 1, "An", 5.0, 5.0, 9.0, 9.0))
+    return S.whole_word_boxes(found, words).select("text", "x0", "y0", "x1", "y1")
+
+
+def b08_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _rows(spark, "doc_id string, kind string, page_num int, value string", ("d", "widget", 1, "Annual"), ("d", "widget", 1, "Ann Lee"), ("d", "link", 1, "http://x/annual"), ("d", "annotation", 2, "none"), ("d", "bookmark", 0, "Ann's plan"))
+    return S.redaction_plan(marks, _rows(spark, "doc_id string, text string", ("d", "Ann"))).select("kind", "value", "action")
+
+
+def r04_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id string, page_num int, x0 double, y0 double, x1 double, y1 double, text string, height double"
+    row = lambda p, x, y, t, w=60.0: ("d", p, x, y, x + w, y + 12.0, t, 842.0)
+    lines = _rows(spark, schema, row(1, 55.0, 400.0, "Working Memory"), row(1, 230.0, 400.0, "79"), row(1, 300.0, 401.0, "8"), row(1, 380.0, 400.0, "Below  average"), row(2, 50.0, 30.0, "Comments"), row(2, 50.0, 400.0, "Comments"),
+                  row(2, 50.0, 420.0, "Behaviour improved."), row(2, 50.0, 822.0, "Page 1 of 2"), row(3, 50.0, 400.0, "A long line that wraps", 400.0), row(3, 50.0, 413.0, "onto the next.", 100.0))
+    return layout_pages(lines, drop_zones=True).select("page_num", F.replace("text", F.lit(W.CELL), F.lit(" | ")).alias("text"))
+
+
+def k06_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "document_name string, output_name string, page_num int, line_num int, match_idx int, text string, category string, confidence double", ("a", "a", 2, 1, 0, "[phone]", "Phone number", 0.95), ("a", "a", 1, 3, 1, "[Student]", "Student name", 0.75))
+    return R.audit_lines(rows).select("document_name", F.size(F.split("section", "\n")).alias("n_lines"), F.element_at(F.split("section", "\n"), 3).alias("first_entry"))
+
+
+def manual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _rows(spark, "doc_id string, text string, category string, confidence double, page_num int, line_num int, context string, source string, match_idx int", ("d", "Ann", "Student name", 0.95, 1, 1, "", "regex", 0))
+    more = _rows(spark, "doc_id string, text string, category string, page_num int", ("d", " Bob ", None, 1), ("d", "Bo", None, 1), ("d", "Late", None, 3))
+    return R.add_manual(ranked, more, _rows(spark, "doc_id string, total_pages int", ("d", 2))).select("match_idx", "text", "category", "confidence", "line_num", "source")
+
+
+def e06_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles that people gave, one of them unusable because it shows a name."""
+    cases = _rows(spark, CASE, ("c", "Billy Bob", [], [], []))
+    chosen = _rows(spark, "case_id string, doc_order string, match_idx int, text string, category string", *[("c", "d", i, t, "Person name (NER)") for i, t in enumerate(["S. Williams", "Sarah Williams", "John Citizen", "Billy Chen", "Ms Lee"])])
+    answers = _rows(spark, "case_id string, place int, name string, role string, custom string", ("c", 0, "Ms Williams", "teacher", None), ("c", 1, "John Citizen", "other", "Billy's mum"), ("c", 2, "Ms Lee", "health", "speech pathologist"), ("c", 3, "Billy Bob", "teacher", None))
+    return who.owner_labels(who.build_rosters(cases, chosen, answers)).select("seq", "full_name", "role", "label")
+
+
+_NAMED: list[Query] = [
+    flagship, p02_lines, d01_names, d03_phone, d04_email, d10_dob_same_line, w01_match_dedup, w01_ties, a02_by_category, a03_summary, a05_doc_category, j04_selected, u03_deselected, v03_levenshtein, d17_variations, d17_nicknames,
+    d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
+    k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
+]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _NAMED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
