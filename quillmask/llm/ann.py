@@ -2,7 +2,7 @@
 
 Every vector (scaled to length one) has one value on each of many random directions; each direction keeps its values
 sorted. A query opens a window around its own value on every direction. Windows widen step by step (virtual rehashing: the
-same arrays serve every radius, and a step counts only what it adds) until enough vectors lie within the windows of a
+same arrays serve every radius) until enough vectors lie within the windows of a
 given share of the directions. All of those are verified with exact cosines, none is left out for being too many.
 
 Rows are dealt into blocks of bounded size by their id, queries likewise; each pair of a row block and a query block is one
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows and queries of a block.
+#: Rows and queries of a block; rows are numbered with 16 bits.
 ROWS, QUERIES = 16384, 1024
 
 
@@ -46,32 +46,32 @@ def _search(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int, m: in
     n, dim = unit.shape
     a = directions(dim, m, seed)
     value, value_q = unit @ a, unit_q @ a
-    order = np.argsort(value, axis=0, kind="stable").T.astype(np.int32)
-    line = np.sort(value, axis=0).T
+    line = np.sort(value, axis=0)
+    # a vector's place on each direction; places fit 16 bits, so that a window is tested with one wrapping subtraction
+    place = np.empty((m, n), np.uint16)
+    for j in range(m):
+        place[j, np.argsort(value[:, j], kind="stable")] = np.arange(n)
     need = min(n, int(np.ceil(verify * n)) + k + 1)
     least = max(1, int(share * m))
     norm, norm_q = np.sqrt((raw * raw).sum(axis=1)), np.sqrt((raw_q * raw_q).sum(axis=1))
+    found: dict[int, np.ndarray] = {}
+    radius = 0.8 / np.sqrt(dim)
+    while len(found) < len(queries):
+        low, high = (np.stack([np.searchsorted(line[:, j], value_q[:, j] + r, side) for j in range(m)]) for r, side in ((-radius, "left"), (radius, "right")))
+        for q in range(len(queries)):
+            if q not in found:
+                inside = (place - low[:, q, None].astype(np.uint16)) < (high[:, q, None] - low[:, q, None])
+                hit = np.flatnonzero(inside.sum(axis=0, dtype=np.uint16) >= least)
+                if len(hit) >= need:
+                    found[q] = hit
+        radius *= 1.08
     out = []
-    columns = np.arange(m)
     for q, query in enumerate(queries["vec_id"].to_numpy()):
-        count = np.zeros(n, np.int64)
-        at = np.array([np.searchsorted(line[j], value_q[q, j]) for j in columns])
-        low = high = at
-        radius, found = 0.6 / np.sqrt(dim), None
-        while found is None or len(found) < need:
-            new_low = np.array([np.searchsorted(line[j], value_q[q, j] - radius, "left") for j in columns])
-            new_high = np.array([np.searchsorted(line[j], value_q[q, j] + radius, "right") for j in columns])
-            added = [order[j, x:y] for j in columns for x, y in ((new_low[j], low[j]), (high[j], new_high[j])) if x < y]
-            if added:
-                count += np.bincount(np.concatenate(added), minlength=n)
-            low, high = np.minimum(low, new_low), np.maximum(high, new_high)
-            found = np.flatnonzero(count >= least)
-            radius *= 1.12
-        found = found[ids[found] != query]
+        hit = found[q][ids[found[q]] != query]
         # one product a row in a fixed order, so that equal vectors score equal in any block
-        score = np.einsum("ij,j->i", raw[found], raw_q[q]) / (norm[found] * norm_q[q])
-        best = np.lexsort((ids[found], -score))[:k]
-        out.append((np.full(len(best), query), ids[found][best], score[best]))
+        score = np.einsum("ij,j->i", raw[hit], raw_q[q]) / (norm[hit] * norm_q[q])
+        best = np.lexsort((ids[hit], -score))[:k]
+        out.append((np.full(len(best), query), ids[hit][best], score[best]))
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
@@ -82,7 +82,7 @@ def usable(vectors: DataFrame, vec_col: str) -> DataFrame:
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-                       m: int = 128, share: float = 0.5, verify: float = 0.2, seed: int = 11) -> DataFrame:
+                       m: int = 96, share: float = 0.5, verify: float = 0.2, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors found nearest by cosine, itself (the
     same id) left out, nearest first and ties to the smaller id; all of them if there are fewer.
 
