@@ -94,4 +94,4 @@ def scrub_paths(text: Column) -> Column:
 
 def name_list(text: Column) -> Column:
     """Names of a list separated by commas, trimmed, without empty ones; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")

@@ -114,7 +114,7 @@ def _listed(names: Column, category: str, confidence: float, rank: int, line: Co
 def with_name_forms(cases: DataFrame) -> DataFrame:
     """cases (case_id, student_name, parent_names, family_names, organisation_names) with the forms that detectors look for."""
     empty = F.array().cast("array<string>")
-    trimmed = lambda c: F.filter(F.transform(F.coalesce(F.col(c), empty), F.btrim), lambda x: x != "")
+    trimmed = lambda c: F.filter(F.transform(F.coalesce(F.col(c), empty), lambda x: F.btrim(x)), lambda x: x != "")
     student = F.btrim(F.coalesce(F.col("student_name"), F.lit("")))
     surname = F.coalesce(F.try_element_at(tokens(student), F.lit(-1)), F.lit(""))
     return cases.select("case_id", student.alias("student"), variations(student).alias("student_forms"), nicknames(student).alias("nick_forms"),

@@ -105,7 +105,7 @@ def fuzzy_leftovers(body: Column, texts: Column, labels: Column) -> Column:
     """Those of texts with a word that text read from a scan still nearly shows."""
     words = F.array_distinct(F.transform(F.split(strip_labels(body, labels), r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\w'’]", ""))))
     words = F.filter(words, lambda w: w != "")
-    return F.transform(F.filter(texts, lambda t: F.exists(parts(F.btrim(t)), lambda k: F.exists(words, lambda w: close_words(w, k)))), F.btrim)
+    return F.transform(F.filter(texts, lambda t: F.exists(parts(F.btrim(t)), lambda k: F.exists(words, lambda w: close_words(w, k)))), lambda x: F.btrim(x))
 
 
 def verify(bodies: DataFrame, items: DataFrame, labels: DataFrame, scanned: DataFrame | None = None) -> DataFrame:

@@ -80,4 +80,27 @@ ORACLES = {
     "k06_audit": _values("document_name, n_lines, first_entry", "'a', 4, 'Page 1, Line 3: \"[Student]\" [Student name] [medium confidence]'"),
     "manual_matches": _values("match_idx, text, category, confidence, line_num, source", "0, 'Ann', 'Student name', 0.95::DOUBLE, 1, 'regex'", "1, 'Bob', 'Manual', 1.0, 0, 'manual'"),
     "e06_answers": _values("seq, full_name, role, label", "0, 'Billy Bob', 'student', '[Student]'", "1, 'Sarah Williams', 'teacher', '[Teacher]'", "2, 'John Citizen', 'other', '[Other person 1]'", "3, 'Billy Chen', 'other', '[Other person 2]'", "4, 'Lee', 'health', '[Speech pathologist]'"),
+    "s08_blocks": _values("doc_id, page_num, text", "'d', 1, 'text'", "'d', 1, 'more'"),
+    "s09_spans": _values("doc_id, page_num, text, x0, y0, x1, y1", "'d', 1, 'Joe', 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE"),
+    "p01_normalise": _values("n, text", "0, 'Griffin'", "1, 'O''Brien \"said\"'", "2, 'plain ''x'''", "3, NULL"),
+    "p03_context": "SELECT '...Call **Ann** now...' AS context UNION ALL SELECT '...' || repeat('x', 50) || '**Ann**' || repeat('y', 50) || '...'",
+    "p05_label": "SELECT CASE WHEN l_discount::DOUBLE * 10 >= 0.8 THEN 'high' WHEN l_discount::DOUBLE * 10 >= 0.5 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM lineitem GROUP BY 1",
+    "p09_name_list": _values("typed, names", "' Ann Lee, ,Bo Li,', 'Ann Lee|Bo Li'", "'', ''", "NULL, ''"),
+    "f01_gate_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines FROM lines WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id",
+    "f02_page_gate": _values("scope, n", "'page', 3", "'line', 2"),
+    "f12_image_only": _values("page_num", "1"),
+    "b01_zones": _values("doc_id, page_num, x0, y0, x1, y1", "'d', 1, 0.0::DOUBLE, 0.0::DOUBLE, 600.0::DOUBLE, 120.0::DOUBLE", "'d', 1, 0.0, 920.0, 600.0, 1000.0"),
+    "j05_missing": f"WITH {_FOUND} SELECT count(*) AS n, 'Run detection first' AS error FROM documents d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id)",
+    "j14_effective_role": _values("full_name, role", "'Ann', 'teacher'", "'Bo', 'carer'"),
+    "a01_counts": f"WITH {_DEDUP} SELECT doc_id, count(*) AS n FROM deduped GROUP BY ROLLUP (doc_id)",
+    "a06_ocr_items": _values("doc_id, n", "'d', 2", "'e', 0"),
+    "a11_run_totals": _values("documents, successful, items, failures, ocr_warnings", "2, 1, 5, 2, 1"),
+    "a15_ambiguity": _values("form, note", "'bob', '\"bob\" is shared by \"Billy Bob\" [Student], \"Mary Bob\" [Parent] — on its own it was labelled [Family name].'"),
+    "a16_corpus": f"WITH {_FOUND}, seen AS (SELECT DISTINCT doc_id, category, lower(text) AS text FROM found) SELECT category, count(*) AS n, count(DISTINCT text) AS n_texts FROM seen GROUP BY category",
+    "a17_folder_counts": _values("total, processable, flagged", "5, 3, 2"),
+    "e09_describe": _values("full_name, occurrences, suggested_role, confidence, evidence", "'Mary Bob', 1, 'parent', 'entered', ''", "'Sarah Williams', 2, 'teacher', 'likely', 'classroom teacher'", "'Dr Lee', 0, 'health', 'possible', 'Dr'"),
+    "k05_key": _values("section, line", "1, '[Student]  ->  Billy Bob'", "1, '[Parent]  ->  Mary Bob'", "2, '- shared'", "3, 'Billy.pdf  ->  Student document_deidentified.txt'", "3, 'Other.pdf  ->  (not produced)'"),
+    "r10_filename_names": _values("name", "'Joe Bloggs'", "'Joe'", "'Bloggs'", "'Al Bloggs'", "'Oak Hill'", "'Oak'", "'Hill'"),
+    "w07_runs": "WITH r AS (SELECT source, CASE WHEN coalesce(lag(lang) OVER (PARTITION BY source ORDER BY doc_id) <> lang, true) THEN 1 ELSE 0 END AS new FROM documents) SELECT source, sum(new)::BIGINT AS n_runs, count(*) AS n FROM r GROUP BY source",
+    "u04_native_pages": _values("native, scanned", "'1,3', '2'"),
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -20,9 +20,9 @@ from ..operators import scans as S
 from ..operators.detect import REGISTRY, detect_lines
 from ..operators.layout import layout_pages
 from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogniser, page_entities, person_sweep
-from ..operators.roles import suggest_roles
-from ..sources.documents import choose_text, pages_of_table
-from ..sources.sinks import finished_text, safe_name, unique_names
+from ..operators.roles import describe_people, effective_roles, suggest_roles
+from ..sources.documents import blocks_of_page, choose_text, pages_of_table, spans_of_page
+from ..sources.sinks import finished_text, key_lines, safe_name, unique_names
 from .flows import deidentify, detect
 from .oracles import ORACLES
 
@@ -322,10 +322,140 @@ def e06_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return who.owner_labels(who.build_rosters(cases, chosen, answers)).select("seq", "full_name", "role", "label")
 
 
+def s08_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "doc_id string, page_num int, blocks array<struct<kind:int,text:string>>", ("d", 1, [(0, "text"), (1, "image"), (0, "more")]))
+    return blocks_of_page(rows)
+
+
+def s09_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
+    rows = _rows(spark, f"doc_id string, page_num int, blocks array<struct<lines:array<struct<spans:array<{span}>>>>>", ("d", 1, [([([("Joe", 1.0, 2.0, 3.0, 4.0), ("", 1.0, 2.0, 3.0, 4.0), ("lost", None, None, None, None)],)],)]))
+    return spans_of_page(rows)
+
+
+def p01_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "n int, text string", (0, "Griﬃn"), (1, "O’Brien “said”"), (2, "plain 'x'"), (3, None))
+    return X.normalise(rows)
+
+
+def p03_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "line string, s int, e int", ("Call Ann now", 5, 8), ("x" * 60 + "Ann" + "y" * 60, 60, 63))
+    return rows.select(X.context(F.col("line"), F.col("s"), F.col("e")).alias("context"))
+
+
+def p05_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by discount as if it were a confidence: the label's bounds on a large table."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.groupBy(X.confidence_label(F.col("l_discount").cast("double") * 10).alias("label")).agg(F.count("*").alias("n"))
+
+
+def p09_name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "typed string", (" Ann Lee, ,Bo Li,",), ("",), (None,))
+    return rows.select("typed", F.array_join(X.name_list(F.col("typed")), "|").alias("names"))
+
+
+def f01_gate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that a date of birth's label lets through."""
+    gate = next(d.gate for d in REGISTRY if d.category == "Date of birth")
+    lines = X.to_lines(_pages(spark, sf_dir).select("doc_id", "text")).where(F.col("line").rlike(gate))
+    return lines.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_lines"))
+
+
+def f02_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label anywhere on a page flags all its dates; a label on a line those of that line or, without any, of the next."""
+    text = "Born in spring.\nSeen 1/2/2020 and 3-4-2021.\nLeft 5/6/2022."
+    pages = _rows(spark, PAGE, ("c", "d", 1, text))
+    by_page = pages.select(F.lit("page").alias("scope"), F.inline(page_entities(F.col("text")))).where("type = 'AU_DOB'").groupBy("scope").agg(F.count("*").alias("n"))
+    by_line = detect_lines(pages).where("category = 'Date of birth'").groupBy(F.lit("line").alias("scope")).agg(F.count("*").alias("n"))
+    return by_page.unionByName(by_line)
+
+
+def f12_image_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.image_only_pages(_rows(spark, "page_num int, n_words int, n_images int", (1, 0, 2), (2, 5, 1), (3, 0, 0))).select("page_num")
+
+
+def b01_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.zones(_rows(spark, "doc_id string, page_num int, width double, height double", ("d", 1, 600.0, 1000.0)))
+
+
+def j05_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"))
+    rest = R.missing_documents(docs, _phones_and_emails(_pages(spark, sf_dir)))
+    return rest.agg(F.count("*").alias("n"), F.max("error").alias("error"))
+
+
+def j14_effective_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _rows(spark, "case_id string, full_name string, suggested_role string", ("c", "Ann", "teacher"), ("c", "Bo", "health"), ("c", "Cy", "other"))
+    answers, ignored = _rows(spark, "case_id string, full_name string, role string", ("c", "Bo", "carer")), _rows(spark, "case_id string, full_name string", ("c", "Cy"))
+    return effective_roles(people, answers, ignored).select("full_name", "role")
+
+
+def a01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.match_counts(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n")
+
+
+def a06_ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = _rows(spark, "doc_id string, page_num int", ("d", 1), ("d", 2), ("d", 2), ("e", 1))
+    return R.ocr_item_counts(matches, _rows(spark, "doc_id string, ocr_pages array<int>", ("d", [2]), ("e", [])))
+
+
+def a11_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.run_totals(_rows(spark, "success boolean, items int, failures array<string>, ocr_warnings array<string>", (True, 3, [], ["w"]), (False, 2, ["x", "y"], [])))
+
+
+def a15_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, cases = _report(spark)
+    return who.ambiguity_notes(deidentify(pages, cases, detect(pages, cases))["forms"]).select("form", "note")
+
+
+def a16_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (document, category, text), counted by category: the regression report over a corpus."""
+    rows = _phones_and_emails(_pages(spark, sf_dir)).select("doc_id", "category", F.lower("text").alias("text")).distinct()
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"))
+
+
+def a17_folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.folder_counts(_rows(spark, "status string", ("pdf",), ("converted",), ("failed",), ("protected",), ("pdf",)))
+
+
+def e09_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _rows(spark, "case_id string, seq int, full_name string, label string, role string, custom string, source string", ("c", 1, "Mary Bob", "[Parent]", "parent", None, "entered"), ("c", 2, "Sarah Williams", "[Other person 1]", "other", None, "detected"), ("c", 3, "Dr Lee", "[Other person 2]", "other", None, "detected"))
+    mentions = _rows(spark, "case_id string, full_name string, at int, context string", ("c", "Sarah Williams", 1, "His classroom teacher, Sarah Williams"), ("c", "Sarah Williams", 2, "Sarah Williams said"), ("c", "Mary Bob", 3, "his mother Mary Bob"))
+    return describe_people(people, mentions).select("full_name", "occurrences", "suggested_role", "confidence", "evidence")
+
+
+def k05_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owners = _rows(spark, "case_id string, seq int, full_name string, label string", ("c", 0, "Billy Bob", "[Student]"), ("c", 1, "Mary Bob", "[Parent]"))
+    notes = _rows(spark, "case_id string, form string, note string", ("c", "bob", "shared"))
+    names = _rows(spark, "case_id string, original string, produced string", ("c", "Billy.pdf", "Student document_deidentified.txt"), ("c", "Other.pdf", None))
+    return key_lines(owners, notes, names).where("section > 0").select("section", "line")
+
+
+def r10_filename_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.filename_names(_rows(spark, CASE, ("c", "Joe Bloggs", ["Al Bloggs"], None, ["Oak Hill"])))
+    return rows.select(F.explode("names").alias("name"))
+
+
+def w07_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents in order, as runs of one language: gaps and islands on a table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    order = Window.partitionBy("source").orderBy("doc_id")
+    new = F.coalesce(F.lag("lang").over(order) != F.col("lang"), F.lit(True)).cast("int")
+    return docs.select("source", new.alias("new")).groupBy("source").agg(F.sum("new").alias("n_runs"), F.count("*").alias("n"))
+
+
+def u04_native_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "pages array<int>, ocr array<int>", ([1, 2, 3], [2, 9]))
+    return rows.select(F.array_join(F.array_except("pages", "ocr").cast("array<string>"), ",").alias("native"), F.array_join(F.array_intersect("ocr", "pages").cast("array<string>"), ",").alias("scanned"))
+
+
 _NAMED: list[Query] = [
     flagship, p02_lines, d01_names, d03_phone, d04_email, d10_dob_same_line, w01_match_dedup, w01_ties, a02_by_category, a03_summary, a05_doc_category, j04_selected, u03_deselected, v03_levenshtein, d17_variations, d17_nicknames,
     d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
+    s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
+    a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
 ]
 
 

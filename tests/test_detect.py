@@ -135,3 +135,8 @@ def test_form_words_stay(spark):
     known = F.array().cast("array<struct<at:int,form:string,label:string>>")
     rows = spark.createDataFrame([("Phone:", "Parent/Guardian"), ("Ann", "Parent/Guardian"), ("Phone", "Phone number")], "t string, c string")
     assert [r[0] for r in rows.select(who.should_replace(F.col("t"), F.col("c"), known)).collect()] == [False, True, True]
+
+
+def test_listed_names_are_trimmed_and_keep_their_digits(spark):
+    got = found(spark, "0 Kim 0 and Lou 1", parents=[" Kim "], family=["Lou 1"], orgs=[])
+    assert {x[0] for x in got} >= {"Kim", "Lou 1"}
