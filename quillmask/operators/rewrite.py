@@ -121,6 +121,14 @@ def verify(bodies: DataFrame, items: DataFrame, labels: DataFrame, scanned: Data
     return out.select(*bodies.columns, "leftovers", F.when(F.size("leftovers") > 0, "quarantined").otherwise("written").alias("status"))
 
 
+def verify_redaction(outputs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text) of chosen texts with three characters or more that the text of a redacted document (doc_id, page_num, text:
+    pages, form values, or pages read again by a scanner) still shows as whole words."""
+    items = chosen.select("doc_id", F.btrim("text").alias("item")).where(F.length("item") >= 3).groupBy("doc_id").agg(F.collect_set("item").alias("items"))
+    found = outputs.join(items, "doc_id").select("doc_id", F.explode(F.filter("items", lambda i: visible(i, F.col("text")))).alias("text"))
+    return found.distinct()
+
+
 def strip_filename(stem: Column, names: Column) -> Column:
     """A file's stem without the given names, longest first, and without what their removal leaves behind."""
     long = F.transform(F.array_sort(F.transform(F.filter(names, lambda n: F.length(n) >= 3), lambda n, i: F.struct((-F.length(n)).alias("l"), i.alias("i"), n.alias("n")))), lambda r: r["n"])

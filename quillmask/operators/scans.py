@@ -63,6 +63,11 @@ def image_only_pages(pages: DataFrame) -> DataFrame:
     return pages.where((F.col("n_words") == 0) & (F.col("n_images") > 0))
 
 
+def image_counts(pages: DataFrame) -> DataFrame:
+    """Images per document on pages (n_images, method) that were not scanned: what a text output can't show."""
+    return pages.where("method <> 'ocr'").groupBy("doc_id").agg(F.sum("n_images").alias("n_images")).where("n_images > 0")
+
+
 def zones(pages: DataFrame) -> DataFrame:
     """Header and footer boxes of pages (width, height)."""
     box = lambda y0, y1: F.struct(F.lit(0.0).alias("x0"), y0.alias("y0"), F.col("width").cast("double").alias("x1"), y1.alias("y1"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,25 @@ def write_texts(results: DataFrame, folder: str) -> None:
     rows.withColumnRenamed("name", "file").write.mode("append").partitionBy("status", "file").text(folder)
 
 
+def redact_files(files: DataFrame, plan: DataFrame, redact: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
+    """(path, content, error) of files (path, content) rewritten by an adapter that gets a file and the rows of plan (doc_id, kind,
+    page_num, value, action) that name it. A file that fails has no content, so nothing half done is written."""
+    row = F.struct("kind", "page_num", "value", "action")
+    by = plan.groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(row).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for path, content, rows in zip(batch["path"], batch["content"], batch["rows"], strict=True):
+                try:
+                    made.append((path, redact(content, [dict(r) for r in rows] if rows is not None else []), None))
+                except Exception as e:  # noqa: BLE001  the reason belongs in the table, and other files go on
+                    made.append((path, None, str(e)))
+            yield pd.DataFrame(made, columns=["path", "content", "error"])
+
+    return files.select("path", "content").join(by, "path", "left").mapInPandas(run, "path string, content binary, error string")
+
+
 def key_lines(owners: DataFrame, notes: DataFrame, names: DataFrame, beside_outputs: bool = False) -> DataFrame:
     """Lines (case_id, section, place, line) of the private key: labels and real names, remarks on shared names, which file came
     from which (names: case_id, original, produced)."""

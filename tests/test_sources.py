@@ -84,3 +84,41 @@ def test_stream_of_pages_gives_the_matches_of_the_table(spark, tmp_path):
 def test_windowed_counts(spark):
     pages = spark.createDataFrame([("d", 1, "a@b.org", "2026-01-01 00:01:00"), ("e", 1, "c@d.org", "2026-01-01 00:12:00")], "doc_id string, page_num int, text string, at string").withColumn("at", F.to_timestamp("at"))
     assert {(r.category, r.n) for r in counts_by_window(pages, "at").collect()} == {("Email address", 1)}
+
+
+def test_word_files_are_converted_or_say_why_not(spark, tmp_path):
+    for name, content in (("a.docx", b"fine"), ("b.docx", b"bad"), ("c.pdf", b"pdf")):
+        (tmp_path / name).write_bytes(content)
+
+    def convert(content):
+        if content == b"bad":
+            raise ValueError("cannot be read")
+        return b"pdf of " + content
+
+    got = {r.name: (r.status, r.reason, bytes(r.content)) for r in D.convert_word(D.scan_files(spark, str(tmp_path), content=True), convert).collect()}
+    assert got == {"a.docx": ("converted", None, b"pdf of fine"), "b.docx": ("failed", "cannot be read", b"bad"), "c.pdf": ("pdf", None, b"pdf")}
+
+
+def test_redaction_goes_through_an_adapter(spark):
+    files = spark.createDataFrame([("a", bytearray(b"Ann met Bo")), ("b", bytearray(b"x"))], "path string, content binary")
+    plan = spark.createDataFrame([("a", "text", 1, "Ann", "delete")], "doc_id string, kind string, page_num int, value string, action string")
+
+    def redact(content, rows):
+        if content == b"x":
+            raise ValueError("broken")
+        for r in rows:
+            content = content.replace(r["value"].encode(), b"###")
+        return content
+
+    assert {r.path: (r.content and bytes(r.content), r.error) for r in K.redact_files(files, plan, redact).collect()} == {"a": (b"### met Bo", None), "b": (None, "broken")}
+
+
+def test_what_a_redacted_document_still_shows(spark):
+    from quillmask.operators.rewrite import verify_redaction
+    from quillmask.operators.scans import image_counts
+
+    out = spark.createDataFrame([("d", 1, "Annual plan"), ("d", 2, "by smith-jones")], "doc_id string, page_num int, text string")
+    chosen = spark.createDataFrame([("d", "Ann"), ("d", "Smith Jones"), ("d", "by")], "doc_id string, text string")
+    assert [(r.doc_id, r.text) for r in verify_redaction(out, chosen).collect()] == [("d", "Smith Jones")]
+    pages = spark.createDataFrame([("d", 2, "native"), ("d", 1, "native"), ("e", 3, "ocr"), ("f", 0, "native")], "doc_id string, n_images int, method string")
+    assert [(r.doc_id, r.n_images) for r in image_counts(pages).collect()] == [("d", 3)]
