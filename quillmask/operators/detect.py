@@ -128,16 +128,21 @@ def detect_lines(pages: DataFrame, cases: DataFrame | None = None, registry: lis
     are given, doc_id, page_num, text). Text is normalised first. Null and empty pages have no matches."""
     registry = REGISTRY if registry is None else registry
     keys = [c for c in KEYS if c in pages.columns]
+    rows = normalise(pages.select(*keys, "text"))
+    forms: list[str] = []
+    if cases is not None:  # joined to pages, before they become many lines
+        named = with_name_forms(cases)
+        forms = [c for c in named.columns if c != "case_id"]
+        rows = rows.join(named, "case_id")
     # the next line comes from the same array of lines, so looking at it needs no shuffle
-    split = normalise(pages.select(*keys, "text")).select(*keys, F.split("text", "\n").alias("_lines"))
-    lines = split.select(*keys, "_lines", F.posexplode("_lines").alias("_at", "line"))
-    lines = lines.select(*keys, (F.col("_at") + 1).alias("line_num"), "line", F.get("_lines", F.col("_at") + 1).alias("below"))
+    split = rows.select(*keys, *forms, F.split("text", "\n").alias("_lines"))
+    lines = split.select(*keys, *forms, "_lines", F.posexplode("_lines").alias("_at", "line"))
+    lines = lines.select(*keys, *forms, (F.col("_at") + 1).alias("line_num"), "line", F.get("_lines", F.col("_at") + 1).alias("below"))
     line, after, n = F.col("line"), F.col("below"), F.col("line_num")
     parts = [_by_patterns(d, line, after, n) for d in registry]
     if registry is REGISTRY:
         parts += [_street_only(line, n), _family(line, after, n)]
     if cases is not None:
-        lines = lines.join(with_name_forms(cases), "case_id")
         identity = F.transform(spans(line, "(?U)" + P.STUDENT_ID), lambda s: _match(s, "Student ID", F.when(F.substring(s["text"], 1, 3) == F.col("id_prefix"), 0.95).otherwise(0.65), line, n, n, 9, 0))
         parts += [_listed(F.col("student_forms"), "Student name", 0.95, 1, line, n), _listed(F.col("nick_forms"), "Student name (nickname)", 0.75, 2, line, n), identity,
                   _listed(F.col("parents"), "Parent/Guardian (user-provided)", 0.95, 15, line, n), _listed(F.col("family"), "Family member (user-provided)", 0.95, 15, line, n),
