@@ -58,6 +58,7 @@ def safe_name(name: Column, suffix: str) -> Column:
 
 def finished_text(body: Column, n_replaced: Column) -> Column:
     """A text with its head, which says so if nothing was replaced."""
+    # The heads of finished texts.
     done = "De-identified copy — names and personal details have been replaced with labels such as [Student] and [Teacher 1].\n"
     none = "WARNING — NOTHING WAS REPLACED IN THIS FILE.\nNo personal information was detected, so this is the document's text exactly as it was.\nRead it before sharing it or pasting it anywhere.\n"
     return F.concat(F.when(n_replaced > 0, F.lit(done)).otherwise(F.lit(none)), F.lit(f"{RULE}\n\n"), body)
