@@ -17,6 +17,7 @@ from .html import extract_main_text
 from .langid import predict_language, train_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
+from .oracles import ORACLES
 from .quality import score_quality, train_quality
 from .scratch import Scratch
 from .substring import remove_repeated_spans
@@ -89,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
