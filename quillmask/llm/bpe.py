@@ -12,13 +12,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .stream import tidy
 from .words import as_strings, offsets_of, pieces, prefix_hash
 
 #: Bytes of text whose distinct pieces are encoded together, how many pieces one string given to the library holds, and how
@@ -210,17 +211,17 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     """docs with ids (array of int, no special tokens) and n_tokens. Null and empty texts have no ids; rows are independent,
     so ties, repeats and empty tables need no care. A column that has the name of a result is refused with a ValueError."""
     schema = _with(docs, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()))
-    return docs.mapInArrow(partial(_encode_rows, path=path, pattern=pattern, text_at=docs.columns.index(text_col), names=schema.names), schema)
+    return docs.mapInArrow(tidy(_encode_rows, path=path, pattern=pattern, text_at=docs.columns.index(text_col), names=schema.names), schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """rows with decoded, the bytes that the ids stand for (null ids: null). Cast it to string to read it as UTF-8."""
     schema = _with(rows, T.StructField("decoded", T.BinaryType()))
-    return rows.mapInArrow(partial(_decode_rows, path=path, pattern=pattern, ids_at=rows.columns.index(ids_col), names=schema.names), schema)
+    return rows.mapInArrow(tidy(_decode_rows, path=path, pattern=pattern, ids_at=rows.columns.index(ids_col), names=schema.names), schema)
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs, the text left out, with n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (the bytes
     decoded from those ids): encoding and decoding in one pass, so that no ids leave the Python worker."""
     schema = _with(docs, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), without=text_col)
-    return docs.mapInArrow(partial(_round_trip, path=path, pattern=pattern, text_at=docs.columns.index(text_col), names=schema.names), schema)
+    return docs.mapInArrow(tidy(_round_trip, path=path, pattern=pattern, text_at=docs.columns.index(text_col), names=schema.names), schema)

@@ -12,13 +12,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stream import tidy
+
 START, END = "<|im_start|>", "<|im_end|>"
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 _OPEN = re.compile(r"<(\\*)\|")
@@ -114,7 +115,7 @@ def format_chats(turns: DataFrame, role_col: str = "role", content_col: str = "t
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     schema = T.StructType([*turns.schema.fields, *(T.StructField(n, t) for n, t in _ADDED)])
     at = turns.columns.index
-    return turns.mapInArrow(partial(_format, role_at=at(role_col), content_at=at(content_col), learn=frozenset(learn), names=schema.names), schema)
+    return turns.mapInArrow(tidy(_format, role_at=at(role_col), content_at=at(content_col), learn=frozenset(learn), names=schema.names), schema)
 
 
 def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
@@ -172,4 +173,4 @@ def chat_digests(pieces: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     Turns that share a number are ordered by their piece; null turns come first; a null conversation is one of its own."""
     rows = pieces.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), "formatted", "loss_start", "loss_chars")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").drop("turn")
-    return rows.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

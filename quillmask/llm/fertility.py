@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import bpe
+from .stream import small_batches, tidy
 from .textstats import TextStats
 from .words import as_strings, offsets_of, pieces
 
@@ -93,10 +93,11 @@ def fertility_rules(docs: DataFrame, vocabularies: list[tuple[str, str]], bands:
 
     Null and empty texts have no words and fail the base rules. Texts are judged one by one, so ties and repeats are judged
     alike and an empty table gives an empty one. A column that has the name of a result is refused with a ValueError."""
+    small_batches(docs.sparkSession)
     long, double, flag = T.LongType(), T.DoubleType(), T.BooleanType()
     added = [(n, long) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", flag), ("kept", flag)] + [(n, double) for n in ("chars_per_token", "fallback_share", "token_entropy")]
     clash = {n for n, _ in added} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     schema = T.StructType([f for f in docs.schema.fields if f.name != text_col] + [T.StructField(n, t) for n, t in added])
-    return docs.mapInArrow(partial(_rules, vocabularies=vocabularies, bands=bands or BANDS, text_at=docs.columns.index(text_col), names=schema.names), schema)
+    return docs.mapInArrow(tidy(_rules, vocabularies=vocabularies, bands=bands or BANDS, text_at=docs.columns.index(text_col), names=schema.names), schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .stream import tidy
 from .words import Words, as_strings
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title|textarea|select|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
@@ -398,4 +399,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", model: Labeller
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     schema = T.StructType([f for f in pages.schema.fields if f.name != html_col] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     model = pages.sparkSession.sparkContext.broadcast(model or trained())
-    return pages.mapInArrow(partial(_extract, model=model, html_at=pages.columns.index(html_col), names=schema.names), schema)
+    return pages.mapInArrow(tidy(_extract, model=model, html_at=pages.columns.index(html_col), names=schema.names), schema)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stream import small_batches, tidy
 from .words import as_strings, mix, offsets_of, pieces
 
 PLACES = 8192
@@ -108,12 +108,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model, text_at: int, letters_at:
 def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> KernelClassifier:
     """A classifier fitted on at most per_language texts of each non-null language of docs. Rows without id, language or
     text are left out; without any row the classifier knows no language and predicts UNKNOWN."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang").distinct()
     # a few hundred ids a language: Spark broadcasts them if they are small, and shuffles otherwise
-    got = rows.join(chosen, ["id", "lang"], "left_semi").select("text", "id", "lang").mapInArrow(_presence, "id long, lang string, x binary").toPandas()
+    got = rows.join(chosen, ["id", "lang"], "left_semi").select("text", "id", "lang").mapInArrow(tidy(_presence), "id long, lang string, x binary").toPandas()
     got = got.sort_values(["lang", "id", "x"], kind="stable")
     x = np.unpackbits(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), PLACES // 8), axis=1).astype(np.float32)
     return KernelClassifier.fit(x, got["lang"].tolist())
@@ -123,10 +124,11 @@ def predict_language(docs: DataFrame, model: KernelClassifier, text_col: str = "
     """docs with lang_pred (a language that the model learned; UNKNOWN if the text is null or has no letter) and
     lang_score from 0 to 1, which depend on the text alone. Repeated texts are judged alike; an empty table gives an empty
     one. A column that has the name of a result is refused with a ValueError."""
+    small_batches(docs.sparkSession)
     clash = {"lang_pred", "lang_score", "_letters"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("_letters", F.col(text_col).rlike(r"\p{L}"))
-    return rows.mapInArrow(partial(_predict, model=model, text_at=docs.columns.index(text_col), letters_at=len(docs.columns), names=schema.names), schema)
+    return rows.mapInArrow(tidy(_predict, model=model, text_at=docs.columns.index(text_col), letters_at=len(docs.columns), names=schema.names), schema)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stream import small_batches, tidy
 from .textstats import FEATURES, TextStats
 from .words import as_strings, pieces
 
@@ -137,11 +137,12 @@ def _score(batches: Iterator[pa.RecordBatch], model, text_at: int, names: list[s
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> AdditiveModel:
     """A model fitted on at most max_train rows of docs that labels (id_col, label_col: 0 or 1) marks; null ids and other
     labels are left out. Without labels, or with labels of one kind, it scores every text alike."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "label").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("text", "label")  # at most max_train rows of two numbers
-    got = rows.mapInArrow(_features, "label double, x array<double>").toPandas()
+    got = rows.mapInArrow(tidy(_features), "label double, x array<double>").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     y = got["label"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y))  # the same sums however the rows came in
@@ -151,8 +152,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
     """docs with score, from 0 to 1, that depends on the text alone. Null and empty texts score as a text without words;
     repeated texts score alike; an empty table gives an empty one. A column named score is refused with a ValueError."""
+    small_batches(docs.sparkSession)
     if "score" in docs.columns:
         raise ValueError("column score would be overwritten")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_score, model=model, text_at=docs.columns.index(text_col), names=schema.names), schema)
+    return docs.mapInArrow(tidy(_score, model=model, text_at=docs.columns.index(text_col), names=schema.names), schema)

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .stream import small_batches
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new temporary one where the setting is absent (local tests)."""
+    """The folder named in spark.checkpoint.dir; where the setting is absent, a new temporary one of a local session. On a
+    cluster executors would not share such a folder, so there the setting is needed."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillmask-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,18 +32,27 @@ class Scratch:
     What is left is deleted when the driver ends, because a result may still be read lazily until then."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.names = spark, set()
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/quillmask-{name}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Saves a result that stands on its own and drops all other tables of this run."""
+        df = self.save(df, name)
+        self.drop(*(self.names - {name}))
+        return df
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of an Arrow batch. Spark's own 10,000 rows of long texts or sets take hundreds of MB in an executor and its workers.
+BATCH_ROWS = 1000
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
+    if int(spark.conf.get(_SETTING)) > BATCH_ROWS or int(spark.conf.get(_SETTING)) <= 0:
+        spark.conf.set(_SETTING, BATCH_ROWS)
+
+
+def tidy(run: Callable, **arguments) -> Callable:
+    """run with arguments, for mapInArrow; at the end of a task the worker gives freed memory back to the system, which the C
+    library would keep for it while the worker waits for the next task."""
+    return partial(_tidy, run, arguments)
+
+
+def _tidy(run: Callable, arguments: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from run(batches, **arguments)
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:

@@ -11,7 +11,6 @@ exactly. Each distinct path ends with a bit mask of its repeated windows, joined
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
+from .stream import tidy
 from .words import Words, as_strings, pieces, prefix_hash
 
 
@@ -126,7 +126,7 @@ def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     id0, tk = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id0"), F.xxhash64(text_col).alias("tk")
     sketch = docs.select(id0, tk, F.col(text_col).alias("text"))
-    sketch = sketch.mapInArrow(partial(_sketch, k=k, anchor=anchor), "id0 long, tk long, start array<int>, count array<int>, m array<long>, c array<long>")
+    sketch = sketch.mapInArrow(tidy(_sketch, k=k, anchor=anchor), "id0 long, tk long, start array<int>, count array<int>, m array<long>, c array<long>")
     sketch = scratch.save(sketch, "sketch")
     paths = sketch.select("id0", "tk", F.inline(F.arrays_zip("start", "count", "m", "c")))
 
@@ -138,7 +138,7 @@ def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
     todo = distinct.groupBy("id0", "tk").agg(F.collect_list(F.struct("start", "count", "m", "c", "n")).alias("todo"))
     windows = docs.select(id0, tk, F.col(text_col).alias("text")).join(todo, ["id0", "tk"]).select("text", "todo")
     # rows that share id and text would unroll a path twice
-    windows = windows.mapInArrow(partial(_unroll, k=k), "m long, c long, idx int, h1 long, h2 long, n long").dropDuplicates(["m", "c", "idx"])
+    windows = windows.mapInArrow(tidy(_unroll, k=k), "m long, c long, idx int, h1 long, h2 long, n long").dropDuplicates(["m", "c", "idx"])
     windows = scratch.save(windows, "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     # written out, so that the joins below deal both sides anew and a key with very many rows can be split
@@ -154,4 +154,4 @@ def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
     named = {"_id0": id0, "_tk": tk}
     rows = docs.withColumns(named).join(marks.withColumnsRenamed({"id0": "_id0", "tk": "_tk"}), ["_id0", "_tk"], "left").select(*docs.columns, "marks")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return rows.mapInArrow(partial(_cut, k=k, names=schema.names, text_at=docs.columns.index(text_col)), schema)
+    return rows.mapInArrow(tidy(_cut, k=k, names=schema.names, text_at=docs.columns.index(text_col)), schema)
