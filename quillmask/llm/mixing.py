@@ -156,6 +156,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     on = (F.col("rid") == F.col("_rid")) & (F.col("draw64") == F.col("_draw64")) & (F.col("nth") == F.col("_nth")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = rows.join(ended, on, "left")
     copies = (F.col("base") + F.when(F.coalesce("extra", "p") >= 0.5, 1).otherwise(0)).cast("long")
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = rows.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return scratch.last(rows, "mix")
 
 

@@ -6,13 +6,13 @@ allows two similar rows to differ in, are multiplied. Every column becomes one o
 numpy forms the products and drops the pairs that sizes, positions and a parity bitmap prove to lie below the bound. Of
 the remaining pairs only a spanning forest leaves the block: one row fewer than the block has, however many copies it
 holds. Their overlaps are then counted on the whole sets. A block with a refuted pair is taken up again, with what is
-known by then and twice as many forests, until no block holds an unproven pair; so no link between groups is lost.
+known by then and more forests, until no block holds an unproven pair; so no link between groups is lost.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .scratch import Scratch
-from .stream import whole_groups
+from .stream import tidy, whole_groups
 from .words import Words, as_strings, mix, pieces
 
 #: Rows of one column that are multiplied with each other in one task; a longer column is cut into blocks of this size.
 BLOCK = 4096
 #: Frequent n-grams that are ordered last; a bound on what is broadcast (8 bytes each). Any set gives the same result.
 MOST_FREQUENT = 200_000
+#: Most spanning forests that a block sends out at once; what is unproven after them waits for the next turn.
+FORESTS = 32
 _BITS = 512
 #: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each); more are joined by a shuffle.
 FEW = 100_000
@@ -131,6 +133,12 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["x", "y", "ok"])
 
 
+def _root(parent: array, u: int) -> int:
+    while (p := parent[u]) != u:
+        parent[u] = u = parent[p]
+    return u
+
+
 def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int) -> Iterator[pa.RecordBatch]:
     """Per block, up to `layers` edge-disjoint spanning forests of the pairs not proven unlinked."""
     for t in whole_groups(batches, ["h", "bi", "bj"]):
@@ -145,7 +153,8 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int)
         h, bi, bj, blk, ids, n, pos, gid, bits, comp = (x[order] for x in (h, bi, bj, blk, ids, n, pos, gid, bits, comp))
         _, node = np.unique(np.stack([gid, comp]), axis=1, return_inverse=True)
         node = node.ravel()
-        parents = [list(range(int(node.max()) + 1 if len(node) else 0)) for _ in range(layers)]
+        nodes = int(node.max()) + 1 if len(node) else 0
+        parents: list[array] = []  # of each forest that was begun
         key = (gid << np.int64(32)) + np.minimum(n, 2**31 - 1)
         far = np.searchsorted(key, (gid << np.int64(32)) + np.minimum(n * den // num, 2**31 - 1), "right")
         count = np.maximum(far - np.arange(len(h)) - 1, 0)
@@ -164,14 +173,12 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int)
             for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
                 if known and (int(ids[x]), int(ids[y])) in known:
                     continue
-                for parent in parents:
-                    u, v = int(node[x]), int(node[y])
-                    while parent[u] != u:
-                        parent[u] = u = parent[parent[u]]
-                    while parent[v] != v:
-                        parent[v] = v = parent[parent[v]]
+                for layer in range(layers):
+                    if layer == len(parents):
+                        parents.append(array("i", range(nodes)))
+                    u, v = _root(parents[layer], int(node[x])), _root(parents[layer], int(node[y]))
                     if u != v:
-                        parent[u] = v
+                        parents[layer][u] = v
                         out.append(x)
                         others.append(y)
                         break
@@ -182,7 +189,7 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int)
 
 def _frequent(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
     """Leading n-grams of unusually many documents, at most MOST_FREQUENT."""
-    rows = docs.select("text").mapInArrow(partial(_prefixes, k=k, num=num, den=den), "h long").groupBy("h").count()
+    rows = docs.select("text").mapInArrow(tidy(_prefixes, k=k, num=num, den=den), "h long").groupBy("h").count()
     # two passes over the text, but only one number per leading n-gram is shuffled
     top = rows.where("count >= 32").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT)
     got = top.select("h").toPandas()["h"].to_numpy(np.int64)
@@ -212,7 +219,7 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k, num, den))
-    sketch = docs.mapInArrow(partial(_sketch, frequent=frequent, k=k, num=num, den=den), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary, wide binary")
+    sketch = docs.mapInArrow(tidy(_sketch, frequent=frequent, k=k, num=num, den=den), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary, wide binary")
     sketch = scratch.save(sketch, "sketch")
     classes = scratch.save(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(classes.where("rep is not null").select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
@@ -229,7 +236,7 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
 
     def forest(rows: DataFrame, layers: int, name: str) -> DataFrame:
         rows = rows.select("h", "bi", "bj", "blk", "id", "n", "pos", "bits", "comp", "bad").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
-        return scratch.save(rows.mapInArrow(partial(_forest, num=num, den=den, layers=layers), "h long, bi int, bj int, x long, y long"), name)
+        return scratch.save(rows.mapInArrow(tidy(_forest, num=num, den=den, layers=layers), "h long, bi int, bj int, x long, y long"), name)
 
     state = entries.withColumn("comp", F.col("id")).withColumn("bad", F.lit(None).cast("array<long>"))
     links = refuted = sets = None
@@ -240,13 +247,13 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
         named = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), f"named-{turn}")
         bits = sketch.select("id", "n", "wide").join(few(named), "id", "left_semi")
         maybe = _both(pairs, bits, ["wide", "n"]).select("x", "y", "wide_x", "wide_y", "n_x", "n_y")
-        maybe = scratch.save(maybe.mapInArrow(partial(_refute, num=num, den=den), "x long, y long, maybe boolean"), f"maybe-{turn}")
+        maybe = scratch.save(maybe.mapInArrow(tidy(_refute, num=num, den=den), "x long, y long, maybe boolean"), f"maybe-{turn}")
         named = maybe.where("maybe").select(F.explode(F.array("x", "y")).alias("id")).distinct()
         named = scratch.save(named if sets is None else named.join(sets, "id", "left_anti"), f"texts-{turn}")
-        more = scratch.save(docs.join(few(named), "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, s binary"), f"sets-{turn}")
+        more = scratch.save(docs.join(few(named), "id", "left_semi").mapInArrow(tidy(_sets, k=k), "id long, s binary"), f"sets-{turn}")
         sets = more if sets is None else sets.unionByName(more)
         found = _both(maybe.where("maybe").select("x", "y"), sets, ["s"]).select("x", "y", "s_x", "s_y")
-        found = scratch.save(found.mapInArrow(partial(_verify, num=num, den=den), "x long, y long, ok boolean"), f"found-{turn}")
+        found = scratch.save(found.mapInArrow(tidy(_verify, num=num, den=den), "x long, y long, ok boolean"), f"found-{turn}")
         good = found.where("ok").select("x", "y").distinct()
         links = good if links is None else links.unionByName(good)
         wrong = pairs.join(good, ["x", "y"], "left_anti")
@@ -259,9 +266,10 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
         # only blocks with a refuted pair can hold an unproven one
         entries = scratch.save(entries.join(few(active), ["h", "bi", "bj"], "left_semi"), f"entries-{turn}")
         state = entries.join(labels, "id", "left").join(bad, "id", "left").withColumn("comp", F.coalesce("label", "id"))
-        turn, layers = turn + 1, min(2 * layers, 64)
+        turn, layers = turn + 1, min(4 * layers, FORESTS)
     scratch.drop("entries", "reps", *(f"{x}-{i}" for i in range(turn + 1) for x in ("entries", "sets", "edges", "maybe")))
     labels = connected_components(links, scratch, "cc")
     classes = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("c"))
     out = sketch.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"))
+    return scratch.last(out, "groups")

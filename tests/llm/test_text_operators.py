@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmask.llm import bpe, fertility, langid, mixing, ngram_join, quality, substring
+from quillmask.llm import bpe, fertility, graph, langid, mixing, ngram_join, quality, substring
 from quillmask.llm.graph import connected_components
 from quillmask.llm.scratch import Scratch
 from quillmask.llm.textstats import TextStats
@@ -166,7 +166,9 @@ def test_groups_on_odd_rows(spark):
     assert ngram_join.ngram_jaccard_groups(cases.empty(spark), Scratch(spark, "t")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "x long, y long"), Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
