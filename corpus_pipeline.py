@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quillmask.llm.bpe import bpe_digests
 from quillmask.llm.langid import UNKNOWN, predict_language, train_language
 from quillmask.llm.mixing import mix_sources
-from quillmask.llm.ngram_join import few, ngram_jaccard_groups
+from quillmask.llm.ngram_join import ngram_jaccard_groups
 from quillmask.llm.scratch import Scratch
+from quillmask.llm.stream import few
 from quillmask.llm.substring import remove_repeated_spans
 
 

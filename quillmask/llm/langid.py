@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stream import small_batches, tidy
+from .stream import few, small_batches, tidy
 from .words import as_strings, mix, offsets_of, pieces
 
 PLACES = 8192
@@ -113,8 +113,8 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang").distinct()
-    # a few hundred ids a language: Spark broadcasts them if they are small, and shuffles otherwise
-    got = rows.join(chosen, ["id", "lang"], "left_semi").select("text", "id", "lang").mapInArrow(tidy(_presence), "id long, lang string, x binary").toPandas()
+    # a few hundred ids a language; only ids and languages are shuffled to find them
+    got = rows.join(few(chosen), ["id", "lang"], "left_semi").select("text", "id", "lang").mapInArrow(tidy(_presence), "id long, lang string, x binary").toPandas()
     got = got.sort_values(["lang", "id", "x"], kind="stable")
     x = np.unpackbits(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), PLACES // 8), axis=1).astype(np.float32)
     return KernelClassifier.fit(x, got["lang"].tolist())

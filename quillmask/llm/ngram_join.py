@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .scratch import Scratch
-from .stream import tidy, whole_groups
+from .stream import few, tidy, whole_groups
 from .words import Words, as_strings, mix, pieces
 
 #: Rows of one column that are multiplied with each other in one task; a longer column is cut into blocks of this size.
@@ -31,8 +31,6 @@ MOST_FREQUENT = 200_000
 #: Most spanning forests that a block sends out at once; what is unproven after them waits for the next turn.
 FORESTS = 32
 _BITS = 512
-#: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each); more are joined by a shuffle.
-FEW = 100_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -196,11 +194,6 @@ def _frequent(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def few(keys: DataFrame) -> DataFrame:
-    """keys, to be broadcast if they are few; they are read from a written table, so counting them is cheap."""
-    return F.broadcast(keys) if keys.count() <= FEW else keys
-
-
 def _both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (x, y) with columns of both ids."""
     for side in ("x", "y"):

@@ -8,10 +8,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Spark's own 10,000 rows of long texts or sets take hundreds of MB in an executor and its workers.
 BATCH_ROWS = 1000
+#: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each); more are joined by a shuffle.
+FEW = 100_000
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -21,6 +24,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_SETTING, BATCH_ROWS)
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are few; meant for keys that are cheap to count."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def tidy(run: Callable, **arguments) -> Callable:
     """run with arguments, for mapInArrow; at the end of a task the worker gives freed memory back to the system, which the C
     library would keep for it while the worker waits for the next task."""
