@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ _ENTROPY_BITS = 9.0
 
 def fertility(coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, characters per token, byte-fallback share and relative entropy of each text of a column."""
-    partial_token = np.array([len(t) == 1 or _cut(t) for t in coder.tokens])
+    partial_token = _partial_tokens(coder)
     n, chars, share, entropy = [], [], [], []
     for a, b, ids, at in coder.encode_column(column):
         data, off = offsets_of(column.slice(a, b - a))
@@ -60,6 +61,12 @@ def fertility(coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in (n, chars, share, entropy))
 
 
+@cache
+def _partial_tokens(coder) -> np.ndarray:
+    """Which tokens are a single byte or hold part of a character only."""
+    return np.array([len(t) == 1 or _cut(t) for t in coder.tokens])
+
+
 def _cut(token: bytes) -> bool:
     try:
         token.decode()
@@ -72,15 +79,15 @@ def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]
     coders = [bpe(*v) for v in vocabularies]
     for batch in batches:
         text = as_strings(batch.column(text_at))
+        measured = [fertility(coder, text) for coder in coders]  # over the whole batch: the more text, the more pieces repeat
         for a, b in pieces(text):
-            part = text.slice(a, b - a)
-            s = TextStats(part)
+            s = TextStats(text.slice(a, b - a))
             failed = (s.n_words < LEAST_WORDS) | (100 * s.n_repeat_words > 30 * s.n_words)
             latin = (s.upper + s.lower) * 2 >= s.points - s.digits - s.stops - s.n_symbols - (np.diff(s.words.off) - s.points)
             limit = lambda name: np.where(latin, *(getattr(bands[k], name) for k in ("latin", "other")))  # noqa: B023, E731
             kept = ~failed
-            for coder in coders:
-                n, chars, share, entropy = fertility(coder, part)
+            for values in measured:
+                chars, share, entropy = (v[a:b] for v in values[1:])
                 kept &= (chars >= limit("low")) & (chars <= limit("high")) & (share <= limit("fallback")) & (entropy >= limit("entropy"))
             made = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, failed, kept, chars, share, entropy]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != text_at), *map(pa.array, made)], names)
