@@ -7,6 +7,7 @@ single byte (byte fallback) and the entropy of its tokens in bits, over the most
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,6 +36,26 @@ class Band:
 #: Bands by main script. Latin and the like split into short pieces at worst; scripts that a vocabulary hardly knows fall
 #: back to bytes, so only their entropy and a wide range are judged.
 BANDS = {"latin": Band(1.2, 8.0, 0.43, 0.62), "other": Band(0.2, 8.0, 1.0, 0.4)}
+#: Code points by script. Letters and their marks count where they stand in these ranges, all other ones as "other".
+SCRIPTS = {
+    "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F),),
+    "armenian": ((0x530, 0x58F),),
+    "hebrew": ((0x590, 0x5FF),),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "tamil": ((0xB80, 0xBFF),),
+    "thai": ((0xE00, 0xE7F),),
+    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+    "east_asian": ((0x3005, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF)),
+    "unspaced": ((0xE80, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF)),
+    "other": (),
+}
+_NAMES = list(SCRIPTS)
+#: Scripts written without spaces between words (Han and kana, Thai; Lao, Burmese and Khmer): so many letters count as a word.
+_UNSPACED = [_NAMES.index(k) for k in ("east_asian", "thai", "unspaced")]
+LETTERS_A_WORD = 3
 #: Words that a text needs to be measured.
 LEAST_WORDS = 20
 _ENTROPY_BITS = 9.0
@@ -75,6 +96,33 @@ def _cut(token: bytes) -> bool:
     return False
 
 
+@cache
+def _script_table() -> np.ndarray:
+    """The place in SCRIPTS of each code point, or -1 for one that is no letter and no mark."""
+    out = np.array([len(_NAMES) - 1 if unicodedata.category(chr(i))[0] in "LM" else -1 for i in range(0x110000)], np.int8)
+    for at, ranges in enumerate(SCRIPTS.values()):
+        for a, b in ranges:
+            out[a : b + 1][out[a : b + 1] >= 0] = at
+    return out
+
+
+def letters_by_script(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Letters of each script (columns as in SCRIPTS) in each text of UTF-8 bytes and offsets."""
+    n, k, table = len(off) - 1, len(_NAMES), _script_table()
+    ascii_letters = np.append(0, np.cumsum((table[:128] >= 0)[data & 0x7F] & (data < 0x80), dtype=np.int64))
+    head = np.flatnonzero(data >= 0xC0)
+    b = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    first, second, third, fourth = (b[head + i] for i in range(4))
+    two = (first & 0x1F) << 6 | second & 0x3F
+    three = (first & 0x0F) << 12 | (second & 0x3F) << 6 | third & 0x3F
+    four = (first & 0x07) << 18 | (second & 0x3F) << 12 | (third & 0x3F) << 6 | fourth & 0x3F
+    script = table[np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))]
+    doc = np.searchsorted(off, head, "right") - 1
+    found = np.bincount((doc * k + script)[script >= 0], minlength=n * k).reshape(n, k)
+    found[:, 0] += np.diff(ascii_letters[off])
+    return found
+
+
 def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]], bands: dict[str, Band], text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     coders = [bpe(*v) for v in vocabularies]
     for batch in batches:
@@ -82,8 +130,10 @@ def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]
         measured = [fertility(coder, text) for coder in coders]  # over the whole batch: the more text, the more pieces repeat
         for a, b in pieces(text):
             s = TextStats(text.slice(a, b - a))
-            failed = (s.n_words < LEAST_WORDS) | (100 * s.n_repeat_words > 30 * s.n_words)
-            latin = (s.upper + s.lower) * 2 >= s.points - s.digits - s.stops - s.n_symbols - (np.diff(s.words.off) - s.points)
+            letters = letters_by_script(s.words.data, s.words.off)
+            size = np.maximum(s.n_words, letters[:, _UNSPACED].sum(axis=1) // LETTERS_A_WORD)
+            failed = (size < LEAST_WORDS) | (100 * s.n_repeat_words > 30 * s.n_words)
+            latin = (letters.argmax(axis=1) == 0) & (letters[:, 0] > 0)
             limit = lambda name: np.where(latin, *(getattr(bands[k], name) for k in ("latin", "other")))  # noqa: B023, E731
             kept = ~failed
             for values in measured:
@@ -98,6 +148,10 @@ def fertility_rules(docs: DataFrame, vocabularies: list[tuple[str, str]], bands:
     measures chars_per_token, fallback_share and token_entropy of the last vocabulary. vocabularies are (rank file, split
     pattern); kept is false if the base rules fail or any vocabulary's measures leave the bands of the text's script.
 
+    The script of a text is the one that most of its letters belong to, by code point; a text without letters counts as
+    "other". Where words are not set apart by spaces, LETTERS_A_WORD letters count as a word when the base rules ask for
+    LEAST_WORDS; n_words itself counts what spaces set apart.
+
     Null and empty texts have no words and fail the base rules. Texts are judged one by one, so ties and repeats are judged
     alike and an empty table gives an empty one. A column that has the name of a result is refused with a ValueError."""
     small_batches(docs.sparkSession)

@@ -204,6 +204,35 @@ def test_fertility_rules(spark):
     assert fertility.fertility_rules(cases.empty(spark), [(RANKS, public_tokenizers.PATTERN)]).count() == 0
 
 
+#: Clean texts of scripts of two and three bytes a letter, with and without spaces between words.
+SCRIPT_TEXTS = {
+    "cyrillic": "Утром мы вышли из дома и пошли к реке, где старый мельник уже ждал нас у воды. Он рассказал, что зимой лёд был очень толстым, а весной вода поднялась выше моста и долго не уходила с полей.",
+    "greek": "Το πρωί βγήκαμε από το σπίτι και πήγαμε στο ποτάμι, όπου ο γέρος μυλωνάς μας περίμενε ήδη δίπλα στο νερό. Μας είπε ότι τον χειμώνα ο πάγος ήταν πολύ χοντρός και την άνοιξη το νερό ανέβηκε πάνω από τη γέφυρα.",
+    "devanagari": "सुबह हम घर से निकले और नदी की ओर चले गए, जहाँ बूढ़ा किसान पानी के पास हमारा इंतज़ार कर रहा था। उसने बताया कि इस साल बारिश बहुत अच्छी हुई है और खेतों में फसल पहले से अधिक है, इसलिए गाँव के सब लोग खुश हैं।",
+    "thai": "เช้านี้เราออกจากบ้านและเดินไปที่แม่น้ำ ซึ่งชายชราคนหนึ่งกำลังรอเราอยู่ใกล้น้ำ เขาเล่าว่าปีนี้ฝนตกดีมากและข้าวในนามีมากกว่าปีก่อน ทุกคนในหมู่บ้านจึงมีความสุข",
+    "hangul": "아침에 우리는 집을 나와 강으로 걸어갔고 그곳에서 나이 많은 농부가 물가에서 우리를 기다리고 있었다. 그는 올해 비가 많이 와서 논의 벼가 작년보다 잘 자랐고 그래서 마을 사람들이 모두 기뻐한다고 말했다.",
+    "chinese": "早上我们从家里出来,走到河边,那里有一位老人正在水边等着我们。他告诉我们,今年的雨水很好,田里的粮食比去年多,所以村里的人都很高兴。后来大家一起回到村子,吃了晚饭,又说了很久的话。",
+    "japanese": "朝、私たちは家を出て川まで歩いて行きました。そこでは年を取った農家の人が水のそばで私たちを待っていました。今年は雨がよく降ったので、田んぼの米が去年より多く、村の人はみんな喜んでいると話してくれました。",
+}
+
+
+def test_letters_are_counted_by_code_point():
+    texts = [*SCRIPT_TEXTS.values(), cases.BASE, "", "12 34", "é日a本ა", "𠀀 😀"]
+    column = as_strings(pa.array(texts))
+    got = fertility.letters_by_script(*fertility.offsets_of(column))
+    names = list(fertility.SCRIPTS)
+    assert [names[i] for i in got[:8].argmax(axis=1)] == ["cyrillic", "greek", "devanagari", "thai", "hangul", "east_asian", "east_asian", "latin"]
+    assert got[7].sum() == sum(c.isalpha() for c in cases.BASE) and got[8:10].sum() == 0
+    assert {names[i]: int(n) for i, n in enumerate(got[10]) if n} == {"latin": 2, "east_asian": 2, "other": 1}
+    assert got[11].sum() == 1 and got[11][names.index("east_asian")] == 1
+
+
+def test_fertility_keeps_clean_texts_of_other_scripts(spark):
+    rows = [(i, t, None, None, None) for i, t in enumerate(SCRIPT_TEXTS.values())]
+    got = fertility.fertility_rules(cases.docs(spark, rows), [(RANKS, public_tokenizers.PATTERN)]).collect()
+    assert len(got) == len(rows) and all(r.kept and not r.base_failed for r in got)
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
