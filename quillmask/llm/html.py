@@ -4,7 +4,8 @@ A page is cut into leaf blocks: runs of text between block-level tags. Each bloc
 (tags, and the words of their class and id), its hashed words and a few measures such as length and share of link text. A
 bidirectional LSTM, written in numpy, reads the blocks of a page in order, so that every decision sees the whole page. It
 is trained on pages that a generator writes with known labels: articles in many layouts among menus, headers, sidebars,
-notices, adverts, forms and comments. Scripts, styles, comments in the markup and the head are never blocks.
+notices, adverts, forms and comments. Scripts, styles, comments in the markup and the head are never blocks. Of an element
+that is left out but never closed only the tag is; scripts and styles then run to the end of the page.
 """
 
 from __future__ import annotations
@@ -23,7 +24,17 @@ from pyspark.sql import types as T
 from .stream import tidy
 from .words import Words, as_strings
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title|textarea|select|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
+_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments; scripts and styles, up to the end of the page if they are never closed; elements whose content is no markup, if
+#: they are closed before one of the same name opens; tags of the elements left out; all other tags; other markup.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(title|textarea|iframe)(?=[\s/>])(?:(?!<\2[\s/>]).)*?</\2(?=[\s/>])[^>]*>"
+    rf"|<(?P<shut>/?)(?P<skipped>noscript|template|svg|head|title|textarea|select|iframe|object)(?=[\s/>]|\Z)(?P<own>{_ATTRS}>|[^>]*(?:>|\Z))"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>{_ATTRS})/?>|<[!?][^>]*>",
+    re.S | re.I,
+)
+#: The end of a tag that closes itself: the slash is no part of a value without quotes.
+_CLOSED = re.compile(r"(?<![^\s\"'])(?:[^\s\"'=]*)/>\Z")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -37,6 +48,24 @@ PATH, WORDS, MEASURES = 96, 32, 8
 HIDDEN = 16
 
 
+def _left_out(tokens: list[re.Match]) -> dict[int, int]:
+    """The tokens that open an element left out, and the one that closes each. Those never closed are missing: of them the
+    tag alone is left out. A head is closed before the body begins, or not at all."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        name = (m["skipped"] or "").lower()
+        if not name:
+            if (m["name"] or "").lower() == "body":
+                opened.pop("head", None)
+        elif m["shut"]:
+            if opened.get(name):
+                found[opened[name].pop()] = i
+        elif name != "svg" or not _CLOSED.search(m["own"]):
+            opened.setdefault(name, []).append(i)
+    return found
+
+
 def blocks(html: str) -> tuple[list[str], list[tuple[str, ...]], list[float]]:
     """Texts (references decoded, white space made one space), paths and shares of link text of the leaf blocks."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -61,26 +90,30 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, ...]], list[float]]:
         if in_link:
             linked += len(piece)
 
-    for m in _TOKEN.finditer(html):
+    tokens = list(_TOKEN.finditer(html))
+    left_out = _left_out(tokens)
+    for i, m in enumerate(tokens):
+        if m.start() < at:  # within an element left out
+            continue
         if m.start() > at:
             take(html[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
+        at = tokens[left_out.get(i, i)].end()
+        name, end = (m["name"], m["end"]) if m["name"] else (m["skipped"], m["shut"])
+        if name is None or m["skipped"] and not end:
             continue
         name = name.lower()
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if end else 1
             elif name in ("br", "wbr", "img"):
                 held.append(" ")
             continue
         end_block()
-        if m[2]:
+        if end:
             in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    del stack[k:]
                     break
             continue
         if name in VOID or name in ("html", "body"):
@@ -90,8 +123,8 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, ...]], list[float]]:
             stack.pop()
         before = stack[-1][1] if stack else ()
         own = [name]
-        if m[4]:
-            for _, a, b, c in _NAMED.findall(m[4]):
+        if m["attrs"]:
+            for _, a, b, c in _NAMED.findall(m["attrs"]):
                 own += [f".{w}" for w in _WORD.findall((a or b or c).lower())]
         stack.append((name, before + tuple(own)))
     if at < len(html):

@@ -25,6 +25,31 @@ def test_main_text_of_a_page():
     assert html.extract_pages([PAGE.format(MAIN)], html.trained()) == [WANT]
 
 
+@pytest.mark.parametrize(
+    ("markup", "want"),
+    [
+        ("<html><head><title>x</title><meta name=a><body><article><p>Real text.</article>", ["Real text."]),
+        ("<head><title>x</title><style>p{}</style><p>Real text.<p>More.", ["Real text.", "More."]),
+        ("<head><title>x</title></head><body><p>Real text.", ["Real text."]),
+        ("<p>One.</p><svg class='a' />\n<p>Two.</p><svg><text>no</text></svg><p>Three.", ["One.", "Two.", "Three."]),
+        ("<svg a=b/>no</svg><p>One.</p><svg hidden/><p>Two.</p><svg><text>no</text></svg>", ["One.", "Two."]),
+        ("<svg>no<svg>no</svg>no</svg><p>One.</p>", ["One."]),
+        ("<p>One.</p><select name=q><p>Two.</p><select><option>no</select><p>Three.</p>", ["One.", "Two.", "Three."]),
+        *((f"<p>One.</p><{tag} x='y'><p>Two.</p><p>Three.</p>", ["One.", "Two.", "Three."]) for tag in ("select", "noscript", "iframe", "svg", "object", "template", "textarea", "title")),
+        ("<p>One.</p><iframe src=a><p>Two.</p><iframe src=b>no</iframe><p>Three.</p>", ["One.", "Two.", "Three."]),
+        ("<head-line>One.</head-line><object-list><p>Two.</p></object-list><style-guide>Three.</style-guide>", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><script>'</svg><p>no'", ["One."]),
+        ("<textarea><svg>no</textarea><p>One.</p></svg><script>a='</noscript>'</script ><noscript>no</noscript><p>Two.", ["One.", "Two."]),
+    ],
+)
+def test_only_closed_elements_are_left_out_whole(markup, want):
+    assert html.blocks(markup)[0] == want
+
+
+def test_main_text_of_a_page_without_end_of_head():
+    assert html.extract_pages([PAGE.replace("</head>", "").format(MAIN)], html.trained()) == [WANT]
+
+
 def test_labeller_on_pages_it_has_not_seen():
     writer, right, total = html.PageWriter(77), 0, 0
     for _ in range(80):
