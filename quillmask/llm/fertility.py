@@ -7,9 +7,10 @@ single byte (byte fallback) and the entropy of its tokens in bits, over the most
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from functools import cache
 
 import numpy as np
@@ -33,9 +34,34 @@ class Band:
     entropy: float
 
 
-#: Bands by main script. Latin and the like split into short pieces at worst; scripts that a vocabulary hardly knows fall
-#: back to bytes, so only their entropy and a wide range are judged.
-BANDS = {"latin": Band(1.2, 8.0, 0.43, 0.62), "other": Band(0.2, 8.0, 1.0, 0.4)}
+#: Bands by vocabulary (file name) and main script; scripts that are not named have those of "other". The limits lie between
+#: what clean texts measure (translated messages of programs, 38 to 1,500 texts a script) and what random letters of the
+#: script or a few words over and over do. A vocabulary that hardly knows a script takes its clean texts and random letters
+#: alike apart into bytes: there ("other") only texts that are nearly constant can be rejected, by entropy or by length.
+BANDS = {
+    "byte_bpe_multi_50k.tiktoken": {
+        "latin": Band(1.2, 8.0, 0.43, 0.62),
+        "greek": Band(1.05, 4.0, 0.5, 0.62),
+        "cyrillic": Band(1.2, 6.0, 0.5, 0.62),
+        "armenian": Band(0.72, 2.0, 0.88, 0.5),
+        "hebrew": Band(1.34, 3.5, 0.42, 0.62),
+        "arabic": Band(1.24, 4.0, 0.3, 0.61),
+        "devanagari": Band(0.74, 2.0, 0.75, 0.52),
+        "tamil": Band(0.95, 2.4, 0.4, 0.51),
+        "thai": Band(0.95, 2.8, 0.35, 0.6),
+        "hangul": Band(1.0, 3.2, 0.65, 0.65),
+        "east_asian": Band(0.7, 2.6, 0.7, 0.7),
+        "other": Band(0.25, 8.0, 1.0, 0.3),
+    },
+    "byte_bpe_50k.tiktoken": {
+        "latin": Band(0.8, 8.0, 0.82, 0.61),
+        "greek": Band(0.75, 3.0, 0.75, 0.5),
+        "cyrillic": Band(0.73, 3.0, 0.8, 0.5),
+        "hebrew": Band(0.78, 3.0, 0.78, 0.48),
+        "arabic": Band(0.75, 3.0, 0.76, 0.52),
+        "other": Band(0.25, 8.0, 1.0, 0.3),
+    },
+}
 #: Code points by script. Letters and their marks count where they stand in these ranges, all other ones as "other".
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)),
@@ -123,8 +149,9 @@ def letters_by_script(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return found
 
 
-def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]], bands: dict[str, Band], text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]], bands: list[dict[str, Band]], text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     coders = [bpe(*v) for v in vocabularies]
+    limits = [np.array([astuple(b.get(k, b["other"])) for k in _NAMES]) for b in bands]
     for batch in batches:
         text = as_strings(batch.column(text_at))
         measured = [fertility(coder, text) for coder in coders]  # over the whole batch: the more text, the more pieces repeat
@@ -133,20 +160,21 @@ def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]
             letters = letters_by_script(s.words.data, s.words.off)
             size = np.maximum(s.n_words, letters[:, _UNSPACED].sum(axis=1) // LETTERS_A_WORD)
             failed = (size < LEAST_WORDS) | (100 * s.n_repeat_words > 30 * s.n_words)
-            latin = (letters.argmax(axis=1) == 0) & (letters[:, 0] > 0)
-            limit = lambda name: np.where(latin, *(getattr(bands[k], name) for k in ("latin", "other")))  # noqa: B023, E731
+            script = np.where(letters.any(axis=1), letters.argmax(axis=1), len(_NAMES) - 1)
             kept = ~failed
-            for values in measured:
+            for values, band in zip(measured, limits, strict=True):
                 chars, share, entropy = (v[a:b] for v in values[1:])
-                kept &= (chars >= limit("low")) & (chars <= limit("high")) & (share <= limit("fallback")) & (entropy >= limit("entropy"))
+                low, high, fallback, least = band[script].T
+                kept &= (chars >= low) & (chars <= high) & (share <= fallback) & (entropy >= least)
             made = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, failed, kept, chars, share, entropy]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != text_at), *map(pa.array, made)], names)
 
 
-def fertility_rules(docs: DataFrame, vocabularies: list[tuple[str, str]], bands: dict[str, Band] | None = None, text_col: str = "text") -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabularies: list[tuple[str, str]], bands: list[dict[str, Band]] | None = None, text_col: str = "text") -> DataFrame:
     """docs, the text left out, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the
     measures chars_per_token, fallback_share and token_entropy of the last vocabulary. vocabularies are (rank file, split
-    pattern); kept is false if the base rules fail or any vocabulary's measures leave the bands of the text's script.
+    pattern); kept is false if the base rules fail or any vocabulary's measures leave its bands of the text's script. bands are one dict by script for each vocabulary, "other"
+    among them; those of BANDS if not given, and a vocabulary that BANDS does not name is refused with a ValueError.
 
     The script of a text is the one that most of its letters belong to, by code point; a text without letters counts as
     "other". Where words are not set apart by spaces, LETTERS_A_WORD letters count as a word when the base rules ask for
@@ -160,5 +188,8 @@ def fertility_rules(docs: DataFrame, vocabularies: list[tuple[str, str]], bands:
     clash = {n for n, _ in added} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    unknown = [] if bands else [path for path, _ in vocabularies if os.path.basename(path) not in BANDS]
+    if unknown:
+        raise ValueError(f"no bands for {unknown}")
     schema = T.StructType([f for f in docs.schema.fields if f.name != text_col] + [T.StructField(n, t) for n, t in added])
-    return docs.mapInArrow(tidy(_rules, vocabularies=vocabularies, bands=bands or BANDS, text_at=docs.columns.index(text_col), names=schema.names), schema)
+    return docs.mapInArrow(tidy(_rules, vocabularies=vocabularies, bands=bands or [BANDS[os.path.basename(path)] for path, _ in vocabularies], text_at=docs.columns.index(text_col), names=schema.names), schema)

@@ -23,6 +23,7 @@ from .scratch import Scratch
 from .substring import remove_repeated_spans
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+SECOND_BPE_FILE = "byte_bpe_50k.tiktoken"
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
 
 
@@ -81,7 +82,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fertility_rules(docs, [(public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)])
+    return fertility_rules(docs, [(public_tokenizers.path(f), public_tokenizers.PATTERN) for f in (SECOND_BPE_FILE, BPE_FILE)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,12 +13,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmask.llm import bpe, fertility, graph, langid, mixing, ngram_join, quality, stream, substring
+from quillmask.llm import bpe, fertility, graph, langid, mixing, ngram_join, quality, queries, stream, substring
 from quillmask.llm.graph import connected_components
 from quillmask.llm.scratch import Scratch
 from quillmask.llm.textstats import TextStats
 from quillmask.llm.words import Words, as_strings
 from tests.llm import cases
+from tests.oracle import DATA
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -233,6 +234,39 @@ def test_fertility_keeps_clean_texts_of_other_scripts(spark):
     assert len(got) == len(rows) and all(r.kept and not r.base_failed for r in got)
 
 
+BOTH = [(public_tokenizers.path(f), public_tokenizers.PATTERN) for f in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
+
+
+def test_fertility_rejects_random_letters_of_scripts_that_are_known(spark):
+    rng, texts = random.Random(4), {k: t for k, t in SCRIPT_TEXTS.items()}
+    texts["arabic"] = "في الصباح خرجنا من البيت وذهبنا إلى النهر حيث كان الفلاح العجوز ينتظرنا قرب الماء وقال لنا إن المطر هذا العام كان كثيرا وإن القمح في الحقول أكثر من العام الماضي ولذلك فإن أهل القرية كلهم سعداء"
+    texts["hebrew"] = "בבוקר יצאנו מהבית והלכנו אל הנהר, שם חיכה לנו האיכר הזקן ליד המים. הוא סיפר לנו שהשנה ירד הרבה גשם ושהחיטה בשדות גבוהה יותר מאשר בשנה שעברה, ולכן כל אנשי הכפר שמחים מאוד."
+    texts["latin"] = cases.BASE
+    texts["georgian"] = "დილით ჩვენ სახლიდან გამოვედით და მდინარისკენ წავედით, სადაც მოხუცი გლეხი წყალთან გველოდებოდა. მან გვითხრა, რომ წელს კარგი წვიმები იყო და მინდვრებში მოსავალი გაცილებით მეტია, ამიტომ სოფელში ყველა ძალიან გახარებულია და მადლობელი."
+    rows, known = [], [k for k in texts if k != "georgian"]
+    for k, t in texts.items():
+        letters = [c for a, b in fertility.SCRIPTS.get(k, ((0x4E00, 0x9FA0),)) for c in map(chr, range(a, b + 1)) if c.isalpha()]
+        noise = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)) if k in known else " ".join("ა" for _ in range(60))
+        rows += [(len(rows), t, "clean", k, None), (len(rows) + 1, noise, "noise", k, None)]
+    got = {(r.source, r.lang): r.kept for r in fertility.fertility_rules(cases.docs(spark, rows), BOTH).collect()}
+    assert got == {(k, kind): kind == "clean" for k in texts for kind in ("clean", "noise")}
+
+
+def test_fertility_holds_texts_to_the_bands_of_each_vocabulary(spark):
+    rows = cases.docs(spark, [(0, SCRIPT_TEXTS["cyrillic"], None, None, None)])
+    open_, shut = {"other": fertility.Band(0, 9, 1, 0)}, {"other": fertility.Band(0, 9, 1, 0), "cyrillic": fertility.Band(3, 9, 1, 0)}
+    assert [fertility.fertility_rules(rows, BOTH, b).first().kept for b in ([open_, open_], [shut, open_], [open_, shut])] == [True, False, False]
+    with pytest.raises(ValueError):
+        fertility.fertility_rules(rows, [("unknown.tiktoken", public_tokenizers.PATTERN)])
+
+
+def test_query_measures_two_vocabularies(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(queries, "fertility_rules", lambda docs, vocabularies: used.extend(vocabularies))
+    queries.op10_fertility(spark, DATA)
+    assert used == BOTH
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
