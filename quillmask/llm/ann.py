@@ -5,7 +5,7 @@ sorted. A query opens a window around its own value on every direction. Windows
 same arrays serve every radius) until enough vectors lie within the windows of a
 given share of the directions. All of those are verified with exact cosines, none is left out for being too many.
 
-Rows are dealt into blocks of bounded size by their id, queries likewise; each pair of a row block and a query block is one
+Rows are dealt into blocks by their id and vector, queries likewise, and blocks of too many copies are searched in parts; each pair of a row block and a query block is one
 task, and the best of all blocks are merged. Every row is indexed; nothing is fitted to the data.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Rows and queries of a block; rows are numbered with 16 bits.
 ROWS, QUERIES = 16384, 1024
+MOST_PLACES = 65_535
 
 
 def directions(dim: int, m: int, seed: int) -> np.ndarray:
@@ -40,6 +41,8 @@ def _search(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int, m: in
     empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(rows) or not len(queries):
         return empty
+    if len(rows) > MOST_PLACES:  # copies of one row are dealt to one block, however many there are
+        return pd.concat([_search(key, rows.iloc[a : a + ROWS], queries, k, m, share, verify, seed) for a in range(0, len(rows), ROWS)], ignore_index=True)
     rows = rows.sort_values("vec_id", kind="stable")
     ids, (raw, unit) = rows["vec_id"].to_numpy(), _unit(rows["embedding"])
     raw_q, unit_q = _unit(queries["embedding"])
@@ -93,7 +96,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
     pick = [F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), F.size(vec_col).alias("dim")]
     rows, asked = (usable(x, vec_col).where(F.col(id_col).isNotNull()).select(*pick) for x in (vectors, queries))
     n_rows, n_asked = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
-    blocks = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    blocks = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     rows = blocks(rows, "rb", n_rows, "qb", n_asked).groupBy("dim", "rb", "qb")
     asked = blocks(asked, "qb", n_asked, "rb", n_rows).groupBy("dim", "rb", "qb")
     search = partial(_search, k=k, m=m, share=share, verify=verify, seed=seed)

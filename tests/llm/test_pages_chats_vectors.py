@@ -50,6 +50,22 @@ def test_main_text_of_a_page_without_end_of_head():
     assert html.extract_pages([PAGE.replace("</head>", "").format(MAIN)], html.trained()) == [WANT]
 
 
+def test_neighbours_in_a_block_of_more_rows_than_16_bits_count(monkeypatch):
+    import pandas as pd
+
+    sizes, unit = [], ann._unit
+    monkeypatch.setattr(ann, "_unit", lambda r: sizes.append(len(r)) or unit(r))
+    rng = np.random.default_rng(2)
+    x, n = rng.standard_normal((70_000, 8)), 70_000
+    rows = pd.DataFrame({"vec_id": np.where(np.arange(n) < 66_000, 7, np.arange(n)), "embedding": list(x)})
+    got = ann._search((), rows, pd.DataFrame({"vec_id": [-1, -2, -3], "embedding": list(x[:3] + 0.01)}), 5, 32, 0.5, 0.2, 11)
+    assert max(sizes) <= 65_535
+    for q in range(3):
+        score = x @ (x[q] + 0.01) / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q] + 0.01)
+        best = got[got.query_id == -1 - q].score.nlargest(5).to_numpy()
+        assert np.allclose(best, np.sort(score)[::-1][:5])
+
+
 def test_labeller_on_pages_it_has_not_seen():
     writer, right, total = html.PageWriter(77), 0, 0
     for _ in range(80):
