@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .stream import tidy
-from .words import as_strings, offsets_of, pieces, prefix_hash
+from .words import as_strings, offsets_of, pieces, range_hash
 
 #: Bytes of text whose distinct pieces are encoded together, how many pieces one string given to the library holds, and how
 #: many strings it gets at once.
@@ -87,14 +87,13 @@ class ByteBpe:
             part = column.slice(a, b - a)
             data, off = offsets_of(part)
             found = [(self._cut(*offsets_of(part.slice(c, d - c))), off[c]) for c, d in pieces(part)]
-            start = np.concatenate([np.zeros(0, np.int64), *(s + o for (s, _, _), o in found)])
-            one, two = (np.concatenate([np.zeros(0, np.uint64), *(f[i] for f, _ in found)]) for i in (1, 2))
-            ids, at = self._encode(data, off, start, one, two)
+            start = np.concatenate([np.zeros(0, np.int64), *(s + o for (s, _), o in found)])
+            ids, at = self._encode(data, off, start, np.concatenate([np.zeros(0, np.uint64), *(h for (_, h), _ in found)]))
             yield a, b, ids, at[np.searchsorted(start, off)]
 
     @staticmethod
-    def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first byte of each piece and two hashes of it."""
+    def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first byte of each piece and a hash of it."""
         cut = np.zeros(len(data), bool)
         if len(data) > 1:
             cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]]
@@ -105,16 +104,18 @@ class ByteBpe:
         cut[off[:-1][off[:-1] < len(data)]] = True
         start = np.flatnonzero(cut)
         stop = np.append(start[1:], len(data))[: len(start)]
-        return start, prefix_hash(data, start, stop, 0), prefix_hash(data, start, stop, 1)
+        return start, range_hash(data, start, stop, 0)
 
-    def _encode(self, data: np.ndarray, off: np.ndarray, start: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, data: np.ndarray, off: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and the first id of each (and the end)."""
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         stop = np.append(start[1:], len(data))
-        _, first, back = np.unique(one, return_index=True, return_inverse=True)
-        if not np.array_equal(two[first][back], two):  # two pieces share a hash: encode each
-            first = back = np.arange(len(start))
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        other = _unlike(data, start, stop, first[back])
+        if len(other):  # pieces that share a hash with another one, but not its bytes, are encoded by themselves
+            back[other] = len(first) + np.arange(len(other))
+            first = np.append(first, other)
         # pieces between two cuts can stand one after another in one string; those at an end of a text can't
         inner = _SPACE[data[start[first]]] & ~_SPACE[data[stop[first] - 1]] & ~np.isin(stop[first], off)
         order = np.argsort(~inner, kind="stable")
@@ -169,6 +170,29 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nda
     return flat[np.repeat(start[which] - at[:-1], n) + np.arange(at[-1])], at
 
 
+def _unlike(data: np.ndarray, start: np.ndarray, stop: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Which pieces differ in their bytes from the piece that model names for them."""
+    size = stop - start
+    same = size == size[model]
+    for a, b in _parts(size):
+        which = np.flatnonzero(same[a:b]) + a
+        got, at = _gather(data, start, size, which)
+        want, _ = _gather(data, start[model], size, which)
+        if not np.array_equal(got, want):
+            wrong = np.append(0, np.cumsum(got != want))
+            same[which[wrong[at[1:]] != wrong[at[:-1]]]] = False
+    return np.flatnonzero(~same)
+
+
+def _parts(size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of about so many bytes."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 @cache
 def bpe(path: str, pattern: str) -> ByteBpe:
     """One instance for each Python worker."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .words import Words, mix, prefix_hash
+from .words import Words, mix, range_hash
 
 
 def _set(chars: bytes) -> np.ndarray:
@@ -59,7 +59,7 @@ class TextStats:
         stop[last] = w.off[1:][owner[last]]
         full = np.searchsorted(w.start, stop) > np.searchsorted(w.start, start)
         start, stop, owner = start[full], stop[full], owner[full]
-        key = mix(prefix_hash(w.data, start, stop, 0) + mix(owner.astype(np.uint64)))
+        key = mix(range_hash(w.data, start, stop, 0) + mix(owner.astype(np.uint64)))
         first = np.unique(key, return_index=True)[1]
         self.n_lines = np.bincount(owner, minlength=n_docs)
         self.n_dup_lines = self.n_lines - np.bincount(owner[first], minlength=n_docs)

@@ -18,8 +18,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+#: Places of a byte within a block, each with its own table of random numbers.
+_PLACES = 32
+_tables: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,29 +30,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of an odd base modulo 2^64, and those of its inverse."""
-    have = _powers.get((which, 0))
-    if have is None or len(have[0]) <= n:
-        size = max(PIECE + 64, n + 1) if n < 8 * PIECE else n + 1
-        base = _BASE[which]
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p))
-        have = tuple(made)
-        if size <= 8 * PIECE:
-            _powers[(which, 0)] = have
-    return have
-
-
-def prefix_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
-    """Polynomial hashes of values[start:stop] for many ranges at once, from one running sum."""
-    up, down = powers(len(values), which)
-    run = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[: len(values)], out=run[1:])
-    return mix((run[stop] - run[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _table(which: int) -> np.ndarray:
+    """256 random numbers for each place of a block."""
+    if which not in _tables:
+        n = np.arange(_PLACES * 256, dtype=np.uint64)
+        _tables[which] = mix(mix(n + np.uint64(0x9E3779B97F4A7C15 + which)) + np.uint64(which))
+    return _tables[which]
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
+    """Hashes of data[start:stop] for ascending ranges that do not overlap: tabulation hashing. Every byte stands for a random
+    number that depends on its place, blocks of 32 bytes are added up and mixed by their number, so no pattern of bytes has
+    the same hash as another one by its structure (polynomials modulo 2^64 collide on Thue-Morse words)."""
+    size = stop - start
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    owner = np.repeat(start, np.diff(np.append(start, len(data))))
+    place = (np.arange(start[0], len(data)) - owner) & (_PLACES - 1)
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_table(which)[(place << 8) + data[start[0] :]], out=run[start[0] + 1 :])
+    blocks = np.maximum(-(-size // _PLACES), 1)
+    first = np.cumsum(blocks) - blocks
+    nth = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    a = np.repeat(start, blocks) + nth * _PLACES
+    b = np.minimum(a + _PLACES, np.repeat(stop, blocks))
+    total = np.add.reduceat(mix(run[b] - run[a] + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first)
+    return mix(total + mix(size.astype(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F)))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + np.uint64(0xA0761D6478BD642F)))
+
+
+def window_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of values[i : i + k] for every i, put together from runs of 1, 2, 4, ... values."""
+    n, wide, size, out, have = len(values), values, 1, None, 0
+    if n < k:
+        return np.zeros(0, np.uint64)
+    while True:
+        if k & size:
+            m = n - have - size + 1
+            out = wide[:m] if out is None else _pair(out[:m], wide[have : have + m])
+            have += size
+        if 2 * size > k:
+            return out[: n - k + 1]
+        wide = _pair(wide[: len(wide) - size], wide[size:])
+        size *= 2
 
 
 def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -107,11 +131,11 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return prefix_hash(self.data, self.start, self.stop, which)
+        return range_hash(self.data, self.start, self.stop, which)
 
-    def windows(self, hashes: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all k-word windows that lie within one document."""
         if len(hashes) < k:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[: len(hashes) - k + 1] == self.doc[k - 1 :])
-        return at, prefix_hash(hashes, at, at + k, which)
+        return at, window_hash(hashes, k)[at]
