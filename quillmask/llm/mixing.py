@@ -5,30 +5,36 @@ pivotal method. Two documents pass mass (size times fraction) to each other, in
 expectation, until the fraction of one is 0 or 1. Documents meet in groups of bounded size, large ones first, and each
 group hands on its unfinished document together with a few small ones of every size class; groups of groups repeat this
 up to one group per source, where the partner of each document is all smaller ones together, so that these take up what
-the larger ones left over. A group never holds more
-than a bounded number of rows, whatever share of all rows a source has.
+the larger ones left over. Every toss is a coin of its own: order and tosses come from different hashes, and tosses differ
+by level, so no document's expectation depends on its place. A group never holds more than a bounded number of rows,
+whatever share of all rows a source has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .words import mix
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents in a group of the first level, groups merged at a further level, documents handed on per size class.
 GROUP, FAN, SPARE = 4096, 16, 8
+#: Rows that one run of a repeated row stands for.
+RUN = 4096
 
 
 def source_targets(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """(source, source_size, target) of rows (source, size): weights repeat over the sources in order of code points, null
+    """(source, source_size, target) of rows (source, size, n times): weights repeat over the sources in order of code points, null
     last; together they get share of all words, each at most cap times its own, the excess going to the others by weight.
 
     Works on one row a source. A source without words has the target 0."""
-    per = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs"))
+    per = docs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.count("*").alias("n_docs"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     full = F.col("source_size") * float(cap)
@@ -68,10 +74,11 @@ def _round(size: np.ndarray, p: np.ndarray, draw: np.ndarray, keep: np.ndarray)
     return p
 
 
-def _round_last(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
+def _round_last(size: np.ndarray, p: np.ndarray, draw: np.ndarray, again: np.ndarray) -> np.ndarray:
     """The same over documents in falling size, with all smaller ones together as the partner of each, as long as they can
-    take up its fraction. So what is left over at the end is a fraction of one of the smallest."""
-    p, due = p.copy(), float((p * size).sum())
+    take up its fraction. What is left over at the end is a fraction of one of the smallest, which tosses alone. draw and
+    again are independent coins."""
+    p = p.copy()
     for i in range(len(p) - 1):
         if not 0 < p[i] < 1:
             continue
@@ -83,19 +90,20 @@ def _round_last(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray
         p[i + 1 :] = np.clip(p[i + 1 :] - room * (((1 - p[i]) if up else -p[i]) * size[i] / total), 0, 1)
         p[i] = float(up)
     p = np.where(p < 1e-12, 0.0, np.where(p > 1 - 1e-12, 1.0, p))
-    p = _round(size, p, 1 - draw, np.zeros(len(p), bool))
-    p = np.where((p > 0) & (p < 1), np.round(p), p)
-    over = float((p * size).sum()) - due
-    for i in range(len(p)):  # what that rounding makes too many or too few: documents that fit in it change sides, large ones first
-        if 0 < size[i] <= abs(over) and (p[i] > 0) == (over > 0):
-            over -= size[i] if p[i] > 0 else -size[i]
-            p[i] = 1 - p[i]
-    return p
+    p = _round(size, p, again, np.zeros(len(p), bool))
+    alone = (p > 0) & (p < 1)
+    return np.where(alone, mix((again * 2.0**53).astype(np.uint64)) * 2.0**-64 < p, p)
+
 
+def _coins(key: np.ndarray, level: int, which: int) -> np.ndarray:
+    """A fresh number from 0 to 1 for each document, level and use."""
+    return (mix(mix(key.view(np.uint64) + np.uint64(8 * level + which)) + np.uint64(level)) >> np.uint64(11)) * 2.0**-53
 
-def _group(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "draw", "rid"], ascending=[False, True, True], kind="stable")
-    size, p, draw = (rows[c].to_numpy() for c in ("size", "p", "draw"))
+
+def _group(rows: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
+    rows = rows.assign(at=_coins(rows["draw64"].to_numpy(np.int64), level, 0)).sort_values(["size", "at", "rid"], ascending=[False, True, True], kind="stable")
+    size, p, key = rows["size"].to_numpy(), rows["p"].to_numpy(), rows["draw64"].to_numpy(np.int64)
+    draw, again = (_coins(key, level, i) for i in (1, 2))
     keep = np.zeros(len(rows), bool)
     if not last:
         seen: dict[int, int] = {}
@@ -104,15 +112,15 @@ def _group(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
             if 0 < p[i] < 1 and seen.get(c, 0) < SPARE:
                 seen[c] = seen.get(c, 0) + 1
                 keep[i] = True
-    return rows.assign(p=_round_last(size.astype(float), p, draw) if last else _round(size.astype(float), p, draw, keep))
-
+    made = _round_last(size.astype(float), p, draw, again) if last else _round(size.astype(float), p, draw, keep)
+    return rows.assign(p=made).drop(columns="at")
 
-def _group_step(rows: pd.DataFrame) -> pd.DataFrame:
-    return _group(rows, False)
 
+def _step(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        return _group(rows, level, last)
 
-def _group_last(rows: pd.DataFrame) -> pd.DataFrame:
-    return _group(rows, True)
+    return step
 
 
 def mix_sources(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -120,43 +128,36 @@ def mix_sources(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     """(id_col, size, source_size, target, copies, taken) for every row of docs: its words, those of its source, the words
     the source should give, how often to take the document, and the words so taken. copies never exceeds cap rounded up.
 
-    Null texts have size 0 and are never taken. A null source is a source of its own, the last one. Equal rows draw
-    apart by their number among the equal ones' hash ties, so reruns on the same rows agree as a multiset. Null ids are
+    Null texts have size 0 and are never taken. A null source is a source of its own, the last one. Rows that agree in id,
+    source and text are one unit with a number of copies and share its outcome out among themselves, so a row that is
+    repeated very often stays one row until the result; reruns on the same rows agree whatever their order. Null ids are
     allowed. An empty table gives an empty one; columns other than the three named are ignored."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("draw64"))
-    rows = scratch.save(rows, "sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("draw64"))
+    rows = scratch.save(rows.groupBy("id", "source", "size", "draw64").agg(F.count("*").alias("n")), "sizes")
     targets = scratch.save(source_targets(rows, weights, share, cap), "targets")
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(due + 1e-12)
-    rows = rows.withColumn("base", F.when(F.col("size") > 0, whole).otherwise(0).cast("long")).withColumn("p", F.when(F.col("size") > 0, F.greatest(due - whole, F.lit(0.0))).otherwise(0.0))
-    level = F.ceil(F.col("n_docs") / GROUP)
-    rows = rows.select("id", "source", "size", "draw64", "source_size", "target", "base", "p", F.pmod("draw64", level).alias("g"), level.alias("groups"))
-    open_ = rows.where("p > 0 and p < 1").select(F.coalesce("id", F.lit(-(2**63))).cast("long").alias("rid"), "draw64", "source", "size", (F.pmod(F.shiftrightunsigned("draw64", 11), F.lit(1 << 53)) / float(1 << 53)).alias("draw"), "p", "g", "groups")
-    schema = open_.schema
-    done: list[DataFrame] = []
+    whole = F.when(F.col("size") > 0, F.floor(due + 1e-12)).otherwise(0)
+    rows = rows.withColumn("base", whole.cast("long")).withColumn("p", F.when(F.col("size") > 0, F.greatest(due - F.floor(due + 1e-12), F.lit(0.0)) * F.col("n")).otherwise(0.0))
+    rows = rows.withColumn("more", F.floor(F.col("p") + 1e-12).cast("long")).withColumn("p", F.greatest(F.col("p") - F.col("more"), F.lit(0.0)))
+    groups = F.ceil(F.col("n_docs") / GROUP)
+    rows = rows.select(F.coalesce("id", F.lit(0)).alias("rid"), F.col("id").isNull().alias("nameless"), "source", "size", "draw64", "n", "source_size", "target", "base", "more", "p", F.pmod("draw64", groups).alias("g"))
+    ended = rows.where("p <= 0 or p >= 1")
+    open_ = rows.where("p > 0 and p < 1")
     most = targets.agg(F.max(F.ceil(F.col("n_docs") / GROUP))).first()[0] or 1
-    step = 0
+    level = 0
     while True:
         last = most <= 1
-        open_ = scratch.save(open_.groupBy("source", "g").applyInPandas(_group_last if last else _group_step, schema), f"level-{step}")
-        done.append(open_.where("p <= 0 or p >= 1"))
+        open_ = scratch.save(open_.groupBy("source", "g").applyInPandas(_step(level, last), open_.schema), f"level-{level}")
+        ended = ended.unionByName(open_.where("p <= 0 or p >= 1"))
         if last:
             break
         open_ = open_.where("p > 0 and p < 1").withColumn("g", F.floor(F.col("g") / FAN))
-        most, step = -(-most // FAN), step + 1
-    ended = done[0]
-    for more in done[1:]:
-        ended = ended.unionByName(more)
-    # equal ids with equal texts are interchangeable: their outcomes are dealt by number
-    number = lambda order: F.row_number().over(Window.partitionBy("rid", "draw64", "source").orderBy(order))
-    ended = ended.withColumn("nth", number("p")).select("rid", "draw64", "source", "nth", F.col("p").alias("extra"))
-    rows = rows.withColumn("rid", F.coalesce("id", F.lit(-(2**63))).cast("long")).withColumn("nth", number("p"))
-    ended = ended.withColumnsRenamed({c: f"_{c}" for c in ("rid", "draw64", "source", "nth")})
-    on = (F.col("rid") == F.col("_rid")) & (F.col("draw64") == F.col("_draw64")) & (F.col("nth") == F.col("_nth")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = rows.join(ended, on, "left")
-    copies = (F.col("base") + F.when(F.coalesce("extra", "p") >= 0.5, 1).otherwise(0)).cast("long")
-    rows = rows.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    return scratch.last(rows, "mix")
-
-
+        most, level = -(-most // FAN), level + 1
+    # a unit's rows again, dealt out in runs so that no array grows with their number
+    extra = F.col("more") + F.when(F.col("p") >= 0.5, 1).otherwise(0)
+    ended = ended.withColumn("extra", extra).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))))
+    ended = ended.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("n")) - 1)))
+    copies = F.col("base") + (F.col("nth") < F.col("extra")).cast("long")
+    ended = ended.select(F.when(~F.col("nameless"), F.col("rid")).alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return scratch.last(ended, "mix")
