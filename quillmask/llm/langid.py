@@ -1,10 +1,13 @@
 """Language ID with string kernels: blended-spectrum n-gram presence, Nyström landmarks, kernel ridge regression.
 
-A text is the set of its byte n-grams of two to four bytes (A-Z lower-cased; hashed to a fixed number of places, all
-lengths blended into one vector of zeros and ones). The kernel of two texts is the size of their sets' intersection over
-the geometric mean of their sizes. A few texts per language serve as landmarks; the kernel between texts and landmarks,
-whitened by the landmarks' own kernel, stands for the whole kernel matrix. One ridge regression per language against the
-rest is solved on it. Scoring is two matrix products for a batch of texts.
+A text is the set of its byte n-grams of two to four bytes (A-Z lower-cased, white space as blanks), all lengths blended.
+The kernel of two texts is the size of their sets' intersection over the geometric mean of their sizes; sets are exact,
+so a text of any length is told apart from one that holds every n-gram. A few texts per language serve as landmarks; the
+kernel between texts and landmarks, whitened by the landmarks' own kernel, stands for the whole kernel matrix. One ridge
+regression per language against the rest is solved on it.
+
+Scoring multiplies the sparse presence matrix of a batch with landmarks by weights. Since both are linear, the landmarks'
+presence matrix (n-gram by landmark) and the weights (landmark by language) are multiplied once, after training.
 """
 
 from __future__ import annotations
@@ -21,85 +24,120 @@ from pyspark.sql import types as T
 from .stream import few, small_batches, tidy
 from .words import as_strings, mix, offsets_of, pieces
 
-PLACES = 8192
 SIZES = (2, 3, 4)
 #: Training texts of each language, those with the least hash of their id; every LANDMARK-th of them is a landmark.
 PER_LANGUAGE, LANDMARK = 250, 8
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
+#: Places of the table in which n-grams are looked up; n-grams that share a place are told apart by themselves.
+_TABLE = 1 << 20
 
 
-def presence(column: pa.Array) -> np.ndarray:
-    """One row of zeros and ones a text."""
+def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number (length and bytes) of the distinct n-grams of each text of a piece, by row and number."""
     data, off = offsets_of(column)
     data = _LOWER[data]
-    doc = np.repeat(np.arange(len(column)), np.diff(off))
-    out = np.zeros((len(column), PLACES), np.float32)
-    code = data.astype(np.uint64)
+    doc = np.repeat(np.arange(len(column), dtype=np.uint64) << np.uint64(34), np.diff(off))
+    keys, code = [np.zeros(0, np.uint64)], data.astype(np.uint64)
     for n in range(2, max(SIZES) + 1):
         if len(data) < n:
             break
         code = (code[:-1] << np.uint64(8)) | data[n - 1 :]
         if n in SIZES:
-            at = np.flatnonzero(doc[: len(code)] == doc[n - 1 :])
-            out[doc[at], (mix(code[at] + np.uint64(n << 40)) % np.uint64(PLACES)).astype(np.int64)] = 1
-    return out
+            whole = doc[: len(code)] == doc[n - 1 :]
+            keys.append((doc[: len(code)] + code + np.uint64((n - 2) << 32))[whole])
+    key = np.sort(np.concatenate(keys))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return (key >> np.uint64(34)).astype(np.int64), key & np.uint64((1 << 34) - 1)
 
 
 @dataclass
 class KernelClassifier:
+    """vocabulary: the n-grams of the landmarks in order; weights: one column of them per language."""
+
     languages: list[str]
-    landmarks: np.ndarray
-    roots: np.ndarray
+    vocabulary: np.ndarray
     weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, languages: list[str], ridge: float = 1e-2) -> KernelClassifier:
+    def fit(sets: list[np.ndarray], languages: list[str], ridge: float = 1e-2) -> KernelClassifier:
+        """From sets of n-grams (sorted numbers) and the language of each."""
         known = sorted(set(languages))
-        marks = x[:: LANDMARK] if len(x) > LANDMARK else x
-        model = KernelClassifier(known, np.ascontiguousarray(marks.T), np.sqrt(np.maximum(marks.sum(axis=1), 1)), np.zeros((len(marks), len(known))))
-        if len(known) == 0:
-            return model
-        value, vector = np.linalg.eigh(model.kernel(marks).astype(np.float64))
+        marks = sets[::LANDMARK] if len(sets) > LANDMARK else sets
+        grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *marks]))
+        if not known:
+            return KernelClassifier(known, grams, np.zeros((len(grams), 0)))
+        held = np.zeros((len(grams), len(marks)), np.float32)
+        for j, s in enumerate(marks):
+            held[np.searchsorted(grams, s), j] = 1
+        held /= np.sqrt([max(len(s), 1) for s in marks]).astype(np.float32)
+
+        def kernel(some: list[np.ndarray]) -> np.ndarray:
+            made = []
+            for a in range(0, len(some), 64):
+                x = np.zeros((len(some[a : a + 64]), len(grams)), np.float32)
+                for i, s in enumerate(some[a : a + 64]):
+                    at = np.searchsorted(grams, s)
+                    x[i, at[grams[np.minimum(at, len(grams) - 1)] == s]] = 1 / np.sqrt(max(len(s), 1))
+                made.append(x @ held)
+            return np.concatenate(made).astype(np.float64)
+
+        value, vector = np.linalg.eigh(kernel(marks))
         white = vector / np.sqrt(np.maximum(value, 1e-6))
-        z = model.kernel(x) @ white
+        z = kernel(sets) @ white
         target = np.array(languages)[:, None] == np.array(known)[None]
         solved = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ target.astype(np.float64))
-        model.weights = white @ solved
-        return model
-
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        """Between texts (rows of presence) and landmarks."""
-        return (x @ self.landmarks) / (np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] * self.roots)
-
-    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best language of each row, by number, and its score from 0 to 1."""
-        y = self.kernel(x).astype(np.float64) @ self.weights
-        best = y.argmax(axis=1)
-        return best, np.clip(y[np.arange(len(y)), best], 0, 1)
-
-
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return KernelClassifier(known, grams, held.astype(np.float64) @ (white @ solved))
+
+    def table(self) -> np.ndarray:
+        """For each place the first n-gram of the vocabulary that hashes to it and how many do, packed."""
+        place = mix(self.vocabulary) & np.uint64(_TABLE - 1)
+        order = np.argsort(place, kind="stable")
+        self.vocabulary, self.weights, place = self.vocabulary[order], self.weights[order], place[order].astype(np.int64)
+        return np.searchsorted(place, np.arange(_TABLE + 1)).astype(np.int32)
+
+    def score(self, row: np.ndarray, gram: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each of n texts, by number, and what each language scores, times the root of the set size."""
+        place = (mix(gram) & np.uint64(_TABLE - 1)).astype(np.int64)
+        at, end = table[place], table[place + 1]
+        y = np.zeros((n, len(self.languages)))
+        while len(at):
+            some = np.flatnonzero(at < end)
+            at, end, row, gram = at[some], end[some], row[some], gram[some]
+            hit = self.vocabulary[at] == gram
+            for j in range(len(self.languages)):
+                y[:, j] += np.bincount(row[hit], self.weights[at[hit], j], minlength=n)
+            at, end, row, gram = at[~hit] + 1, end[~hit], row[~hit], gram[~hit]
+        return y.argmax(axis=1), y
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = as_strings(batch.column(0))
         for a, b in pieces(text):
-            bits = np.packbits(presence(text.slice(a, b - a)).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in bits], pa.binary())], ["id", "lang", "x"])
+            row, gram = ngrams(text.slice(a, b - a))
+            sets = [x.tobytes() for x in np.split(gram, np.searchsorted(row, np.arange(1, b - a)))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "lang", "x"])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model, text_at: int, letters_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     model = model.value
-    known = np.array([*model.languages, UNKNOWN])
+    table, known = model.table(), np.array([*model.languages, UNKNOWN])
     for batch in batches:
         text = as_strings(batch.column(text_at))
         for a, b in pieces(text):
             fine = np.array(batch.column(letters_at).slice(a, b - a).to_pylist(), dtype=object) == True  # noqa: E712  null: none
+            best, score = np.zeros(b - a, np.int64), np.zeros(b - a)
             if model.languages:
-                best, score = model.score(presence(text.slice(a, b - a)))
+                row, gram = ngrams(text.slice(a, b - a))
+                best, y = model.score(row, gram, b - a, table)
+                size = np.sqrt(np.maximum(np.bincount(row, minlength=b - a), 1))
+                score = np.clip(y[np.arange(b - a), best] / size, 0, 1)
             else:
-                best, score, fine = np.zeros(b - a, np.int64), np.zeros(b - a), np.zeros(b - a, bool)
+                fine[:] = False
             best, score = np.where(fine, best, len(known) - 1), np.where(fine, score, 0.0)
             rest = [c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != letters_at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(known[best].tolist(), pa.string()), pa.array(score)], names)
@@ -114,10 +152,9 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang").distinct()
     # a few hundred ids a language; only ids and languages are shuffled to find them
-    got = rows.join(few(chosen), ["id", "lang"], "left_semi").select("text", "id", "lang").mapInArrow(tidy(_presence), "id long, lang string, x binary").toPandas()
+    got = rows.join(few(chosen), ["id", "lang"], "left_semi").select("text", "id", "lang").mapInArrow(tidy(_sets), "id long, lang string, x binary").toPandas()
     got = got.sort_values(["lang", "id", "x"], kind="stable")
-    x = np.unpackbits(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), PLACES // 8), axis=1).astype(np.float32)
-    return KernelClassifier.fit(x, got["lang"].tolist())
+    return KernelClassifier.fit([np.frombuffer(x, np.uint64) for x in got["x"]], got["lang"].tolist())
 
 
 def predict_language(docs: DataFrame, model: KernelClassifier, text_col: str = "text") -> DataFrame:
@@ -130,5 +167,5 @@ def predict_language(docs: DataFrame, model: KernelClassifier, text_col: str = "
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("_letters", F.col(text_col).rlike(r"\p{L}"))
+    rows = docs.withColumn("_letters", F.col(text_col).rlike(LETTER))
     return rows.mapInArrow(tidy(_predict, model=model, text_at=docs.columns.index(text_col), letters_at=len(docs.columns), names=schema.names), schema)
