@@ -52,7 +52,9 @@ class Flattener:
         self.at = 0
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: dict | None) -> None:
+        if part is None:
+            return
         getattr(self, f"visit_{part.get('kind')}", self.visit_other)(part)
 
     def _put(self, text: str) -> None:
@@ -107,8 +109,8 @@ def format_chats(turns: DataFrame, role_col: str = "role", content_col: str = "t
     """turns with formatted (the turn's piece of its conversation's text), loss_start and loss_chars (the span of it that is
     learned: the content of turns whose role is in learn), attachments and expanded_tokens.
 
-    content_col is a string or an array of parts (PARTS; kinds text, image, audio, document). Null content and null texts
-    are empty, a null role is the empty role, an unknown kind raises an error. Rows are independent of each other; an empty
+    content_col is a string or an array of parts (PARTS; kinds text, image, audio, document). Null content, null parts and null
+    texts are empty, a null role is the empty role, an unknown kind raises an error. Rows are independent of each other; an empty
     table gives an empty one. A column that has the name of a result is refused with a ValueError."""
     clash = {n for n, _ in _ADDED} & set(turns.columns)
     if clash:

@@ -30,7 +30,7 @@ _ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(title|textarea|iframe)(?=[\s/>])(?:(?!<\2[\s/>]).)*?</\2(?=[\s/>])[^>]*>"
     rf"|<(?P<shut>/?)(?P<skipped>noscript|template|svg|head|title|textarea|select|iframe|object)(?=[\s/>]|\Z)(?P<own>{_ATTRS}>|[^>]*(?:>|\Z))"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>{_ATTRS})/?>|<[!?][^>]*>",
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>{_ATTRS}|[^<>]*)/?>|<[!?][^>]*>",
     re.S | re.I,
 )
 #: The end of a tag that closes itself: the slash is no part of a value without quotes.
@@ -184,8 +184,9 @@ class Labeller:
         self.p["k"] = np.zeros(1, np.float32)
         self.hidden = hidden
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction over (pages, blocks, features); past a page's end they stay as they are."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States of one direction over (pages, blocks, features); past a page's end they stay as they are. What training
+        needs of each step is kept on demand."""
         n = self.hidden
         z = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
         h = c = np.zeros((len(x), n), np.float32)
@@ -197,7 +198,8 @@ class Labeller:
             c2 = f * c + i * g
             tc = np.tanh(c2)
             h2 = o * tc
-            kept.append((t, i, f, o, g, tc, c, h, m))
+            if keep:
+                kept.append((t, i, f, o, g, tc, c, h, m))
             c, h = m * c2 + (1 - m) * c, m * h2 + (1 - m) * h
             out[:, t] = h
         return out, kept
@@ -207,7 +209,7 @@ class Labeller:
         return _sigmoid((both @ self.p["o"] + x @ self.p["s"])[..., 0] + self.p["k"])
 
     def _grads(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        runs = {d: self._run(x, mask, d) for d in "fb"}
+        runs = {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         p = _sigmoid((both @ self.p["o"] + x @ self.p["s"])[..., 0] + self.p["k"])
         e = ((p - y) * mask / mask.sum())[..., None].astype(np.float32)
