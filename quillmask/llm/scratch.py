@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .stream import small_batches
+from .stream import few, small_batches
 
+#: Seconds of a write after which shuffle files are freed.
+SOON = 1.0
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -38,13 +43,17 @@ class Scratch:
         _made.append((spark, self.root))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        """Writes and rereads a table. Spark deletes shuffle files when the driver collects its garbage, which may be long
+        after their last use; after a write of any size it is asked to."""
+        path, began = f"{self.root}/{name}", time.monotonic()
         df.write.mode("overwrite").parquet(path)
         self.names.add(name)
+        if time.monotonic() - began > SOON:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        for name in names:
+        for name in self.names & set(names):
             _delete(self.spark, f"{self.root}/{name}")
             self.names.discard(name)
 
@@ -55,6 +64,21 @@ class Scratch:
         return df
 
 
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "_row") -> DataFrame:
+    """docs with a number of each row, unique even where ids are null or repeated: that of its file and its place in it, so it
+    is the same in every read and in a task that runs again. A table that was not read from Parquet files is written first."""
+    if name in docs.columns:
+        raise ValueError(f"column {name!r} would be overwritten")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = scratch.save(docs, "numbered")
+    at = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_nth"))
+    files = docs.select(F.col("_metadata.file_path").alias("_path")).distinct().withColumn("_file", F.row_number().over(Window.orderBy("_path")) - 1)
+    files = scratch.save(files, "files")  # one row a file
+    return at.join(few(files), "_path").withColumn(name, F.shiftleft(F.col("_file").cast("long"), 40) + F.col("_nth")).select(*docs.columns, name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
