@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .scratch import Scratch
-from .stream import few, tidy, whole_groups
+from .stream import are_few, few, tidy, whole_groups
 from .words import Words, as_strings, mix, pieces
 
 #: Rows of one column that are multiplied with each other in one task; a longer column is cut into blocks of this size.
@@ -233,18 +233,25 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
 
     state = entries.withColumn("comp", F.col("id")).withColumn("bad", F.lit(None).cast("array<long>"))
     links = refuted = sets = None
-    turn, layers = 0, 1
+    turn, layers, every = 0, 1, False
     while True:
         edges = forest(state, layers, f"edges-{turn}")
+        scratch.drop("reps", "counts", f"labels-{turn - 1}")
         pairs = scratch.save(edges.select("x", "y").distinct(), f"pairs-{turn}")
         named = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), f"named-{turn}")
         bits = sketch.select("id", "n", "wide").join(few(named), "id", "left_semi")
         maybe = _both(pairs, bits, ["wide", "n"]).select("x", "y", "wide_x", "wide_y", "n_x", "n_y")
         maybe = scratch.save(maybe.mapInArrow(tidy(_refute, num=num, den=den), "x long, y long, maybe boolean"), f"maybe-{turn}")
-        named = maybe.where("maybe").select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        named = scratch.save(named if sets is None else named.join(sets, "id", "left_anti"), f"texts-{turn}")
-        more = scratch.save(docs.join(few(named), "id", "left_semi").mapInArrow(tidy(_sets, k=k), "id long, s binary"), f"sets-{turn}")
-        sets = more if sets is None else sets.unionByName(more)
+        if not every:
+            named = maybe.where("maybe").select(F.explode(F.array("x", "y")).alias("id")).distinct()
+            named = scratch.save(named if sets is None else named.join(sets, "id", "left_anti"), f"texts-{turn}")
+            every = not are_few(named)
+            if every:  # the texts are shuffled once, for all turns, not again for the ids of each
+                named = entries.select("id").distinct()
+                named = named if sets is None else named.join(sets, "id", "left_anti")
+            more = docs.join(named.hint("merge") if every else F.broadcast(named), "id", "left_semi")
+            more = scratch.save(more.mapInArrow(tidy(_sets, k=k), "id long, s binary"), f"sets-{turn}")
+            sets = more if sets is None else sets.unionByName(more)
         found = _both(maybe.where("maybe").select("x", "y"), sets, ["s"]).select("x", "y", "s_x", "s_y")
         found = scratch.save(found.mapInArrow(tidy(_verify, num=num, den=den), "x long, y long, ok boolean"), f"found-{turn}")
         good = found.where("ok").select("x", "y").distinct()
@@ -258,9 +265,10 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
         bad = refuted.unionByName(refuted.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("id")).agg(F.collect_set("y").alias("bad"))
         # only blocks with a refuted pair can hold an unproven one
         entries = scratch.save(entries.join(few(active), ["h", "bi", "bj"], "left_semi"), f"entries-{turn}")
+        scratch.drop("entries", *(f"{x}-{turn}" for x in ("edges", "named", "maybe", "texts", "active")), f"entries-{turn - 1}")
         state = entries.join(labels, "id", "left").join(bad, "id", "left").withColumn("comp", F.coalesce("label", "id"))
         turn, layers = turn + 1, min(4 * layers, FORESTS)
-    scratch.drop("entries", "reps", *(f"{x}-{i}" for i in range(turn + 1) for x in ("entries", "sets", "edges", "maybe")))
+    scratch.drop("entries", "reps", "counts", *(f"{x}-{i}" for i in range(turn + 1) for x in ("entries", "sets", "edges", "maybe", "named", "texts", "labels")))
     labels = connected_components(links, scratch, "cc")
     classes = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("c"))
     out = sketch.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")

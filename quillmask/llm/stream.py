@@ -13,20 +13,28 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Spark's own 10,000 rows of long texts or sets take hundreds of MB in an executor and its workers.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch: a thousand long texts, or pairs of their sets, take as much as one batch of short ones.
+BATCH_BYTES = 8 << 20
 #: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each); more are joined by a shuffle.
 FEW = 100_000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS; a lower setting stays."""
-    if int(spark.conf.get(_SETTING)) > BATCH_ROWS or int(spark.conf.get(_SETTING)) <= 0:
-        spark.conf.set(_SETTING, BATCH_ROWS)
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES; lower settings stay."""
+    for name, most in _LIMITS.items():
+        now = spark.conf.get(name, None) or ""  # a number of bytes may have a unit
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
+def are_few(keys: DataFrame) -> bool:
+    return keys.count() <= FEW
 
 
 def few(keys: DataFrame) -> DataFrame:
     """keys, to be broadcast if they are few; meant for keys that are cheap to count."""
-    return F.broadcast(keys) if keys.count() <= FEW else keys
+    return F.broadcast(keys) if are_few(keys) else keys
 
 
 def tidy(run: Callable, **arguments) -> Callable:

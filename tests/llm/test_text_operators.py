@@ -71,6 +71,97 @@ def test_encode_and_decode_tables(spark, tiktoken_encoding):
         bpe.bpe_encode(docs.withColumn("ids", F.lit(1)), RANKS, public_tokenizers.PATTERN)
 
 
+def thue_morse(n=2048):
+    """Two words that polynomial hashes modulo 2^64 cannot tell apart, whatever their base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_defeat_polynomial_hashes(spark, coder, tiktoken_encoding):
+    one, two = thue_morse()
+    w = Words(as_strings(pa.array([one, two, one])))
+    for which in (0, 1):
+        h = w.hashes(which).tolist()
+        assert h[0] == h[2] != h[1]
+    got = [ids[at[d] : at[d + 1]].tolist() for a, b, ids, at in coder.encode_column(as_strings(pa.array([one, two, one]))) for d in range(b - a)]
+    assert got == [tiktoken_encoding.encode_ordinary(t) for t in (one, two, one)]
+    # as words of a text: letters a and b become words
+    rows = [(0, " ".join(one[:1024]), None, None, None), (1, " ".join(two[:1024]), None, None, None), (2, f"{one} {two} " * 30, None, None, None), (3, f"{one} {one} " * 30, None, None, None), (4, f"{one}\n{two}\n{one}", None, None, None)]
+    texts = [r[1] for r in rows]
+    cut = {r.doc_id: (r.n_removed, r.kept) for r in substring.remove_repeated_spans(cases.docs(spark, rows), Scratch(spark, "t")).collect()}
+    assert cut == {i: (sum(gone), " ".join(x for x, g in zip(w, gone) if not g)) for i, (w, gone) in enumerate(cases.repeated(texts))}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_groups(cases.docs(spark, rows), Scratch(spark, "t")).collect()}
+    assert got == cases.components([(i, t) for i, t, *_ in rows])
+    s = TextStats(as_strings(pa.array(texts)))
+    assert s.n_dup_lines.tolist() == [0, 0, 0, 0, 1] and s.n_repeat_words[2:4].tolist() == [60, 60]
+
+
+def test_pieces_that_share_a_hash_are_compared_by_their_bytes(coder, tiktoken_encoding, monkeypatch):
+    hashed = bpe.range_hash
+    monkeypatch.setattr(bpe, "range_hash", lambda *x: hashed(*x) % np.uint64(5))
+    texts = [f"some words of text {i} with ends {i * 7} and é{i}" for i in range(60)]
+    got = [ids[at[d] : at[d + 1]].tolist() for a, b, ids, at in coder.encode_column(as_strings(pa.array(texts))) for d in range(b - a)]
+    assert got == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+
+
+def _shares(sizes, p, levels, runs=400):
+    """Which documents of one source are taken, over many seeds; levels is the number of groups at each level."""
+    import pandas as pd
+
+    taken = np.zeros((runs, len(sizes)))
+    rng = np.random.default_rng(9)
+    for i in range(runs):
+        draw = rng.integers(-(2**63), 2**63 - 1, len(sizes))
+        rows = pd.DataFrame({"rid": np.arange(len(sizes)), "draw64": draw, "size": sizes, "p": np.full(len(sizes), p), "g": draw % levels[0]})
+        for level, groups in enumerate(levels):
+            last = level == len(levels) - 1
+            open_ = rows[(rows.p > 0) & (rows.p < 1)]
+            made = pd.concat([mixing._group(part, level, last) for _, part in open_.groupby(open_.g % groups)])
+            rows = pd.concat([rows[(rows.p <= 0) | (rows.p >= 1)], made])
+        assert set(np.unique(rows.p)) <= {0.0, 1.0}
+        taken[i, rows.rid[rows.p == 1]] = 1
+    return taken
+
+
+@pytest.mark.parametrize("levels", [(1,), (16, 4, 1)])
+@pytest.mark.parametrize("tied", [True, False])
+def test_each_document_is_taken_as_often_as_it_should_be(levels, tied):
+    n, p, runs = 128, 0.3, 400
+    sizes = np.repeat([5, 20, 80, 300], n // 4) if tied else np.arange(3, 3 + n)
+    got = _shares(sizes, p, levels, runs)
+    for part in np.array_split(np.argsort(sizes, kind="stable"), 4):  # small ones go together, so their mean varies more than that of independent ones
+        each = got[:, part].mean(axis=1)
+        assert abs(each.mean() - p) < 3 * each.std() / np.sqrt(runs) + 1e-3
+    assert abs(got.mean(axis=0) - p).max() < 4.5 * np.sqrt(p * (1 - p) / runs)
+    assert np.abs(got @ sizes - p * sizes.sum()).max() <= sizes.max()
+
+
+def test_sizes_and_targets_of_the_mix_are_those_of_sql(spark):
+    """The part of the query that SQL can state: sizes, sizes of sources and targets (here 20 rounds of sharing out again)."""
+    from tests.oracle import connect
+
+    sql = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+     s AS (SELECT source, sum(size)::DOUBLE AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+     r(step, source, n, w, shut) AS (SELECT 0, source, n, w, false FROM s UNION ALL
+        SELECT step + 1, source, n, w, shut OR w * (1.5 * sum(n) OVER () - coalesce(sum(2 * n) FILTER (shut) OVER (), 0)) / nullif(sum(w) FILTER (NOT shut) OVER (), 0) > 2 * n FROM r WHERE step < 20),
+     t AS (SELECT source, n, CASE WHEN shut THEN 2 * n ELSE w * (1.5 * sum(n) OVER () - coalesce(sum(2 * n) FILTER (shut) OVER (), 0)) / sum(w) FILTER (NOT shut) OVER () END AS target FROM r WHERE step = 20)
+SELECT doc_id, size, n, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+    want = {r[0]: r[1:] for r in connect().execute(sql).fetchall()}
+    got = queries.op1_mix_sources(spark, DATA).collect()
+    assert len(got) == len(want) and all((r["size"], r.source_size) == want[r.doc_id][:2] and abs(r.target - want[r.doc_id][2]) < 1e-6 * max(1, r.target) and r.taken <= 2 * r["size"] for r in got)
+
+
+def test_rows_that_repeat_share_out_their_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(1, "a b c", None, "x", None)] * 101 + [(2, "d e", None, "x", None), (None, "d e", None, "y", None), (None, "d e", None, "y", None)]
+    got = mixing.mix_sources(cases.docs(spark, rows), Scratch(spark, "t")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    for name in (305, 4):
+        some = [r for r in got if r.source_size == name]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 3 and len({r.copies for r in some}) <= 2
+
+
 def test_mix_comes_near_its_targets_and_agrees_with_itself(spark):
     r = random.Random(4)
     rows = [(i, " ".join(["w"] * r.choice((0, 1, 3, 40, 200, 900))), None, ("a", "b", None, "c")[min(3, int(r.random() * 6))], None) for i in range(900)]
@@ -141,6 +232,43 @@ def test_spans_against_brute_force(spark):
         substring.remove_repeated_spans(docs.withColumn("kept", F.lit(1)), Scratch(spark, "t"))
 
 
+def test_long_repeats_are_compacted_to_few_spans(spark, monkeypatch):
+    """A passage of 1,000 words in three texts is one path of the graph, a branch in it makes three."""
+    r = random.Random(5)
+    fill = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = fill(1000)
+    texts = [[*fill(60), *passage, *fill(60)], [*passage, *fill(100)], [*fill(20), *passage]]
+    made, compact = [], substring._compact
+
+    def compacted(vertices, scratch):
+        chains = compact(vertices, scratch)
+        made.append(sorted(r.total for r in chains.collect()))
+        return chains
+
+    monkeypatch.setattr(substring, "_compact", compacted)
+    for texts, want in ((texts, [1000 - 34]), ([*texts, [*fill(50), *passage[300:400], *fill(50)]], [100 - 34, 300, 600])):
+        rows = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+        got = {x.doc_id: (x.n_removed, x.kept) for x in substring.remove_repeated_spans(cases.docs(spark, rows), Scratch(spark, "t")).collect()}
+        assert got == {i: (sum(gone), " ".join(x for x, g in zip(w, gone) if not g)) for i, (w, gone) in enumerate(cases.repeated([x[1] for x in rows]))}
+        assert made.pop() == want
+
+
+def test_spans_that_only_hashes_share_are_found_out(spark, monkeypatch):
+    """With the first set of hashes cut to a few bits windows collide; the words at their coordinates do not, so others are used."""
+    graphs, graph_of = [], substring._graph
+    fake = lambda texts, scratch, k, anchor, seed: graphs.append(seed) or graph_of(texts, scratch, k, anchor, seed)
+    monkeypatch.setattr(substring, "_graph", fake)
+    prove = substring._prove
+    monkeypatch.setattr(substring, "_prove", lambda batches, k: ((b if len(graphs) > 1 else _wrong(b)) for b in prove(batches, k)))
+    rows = [(i, cases.BASE + f" {i}", None, None, None) for i in range(3)]
+    got = substring.remove_repeated_spans(cases.docs(spark, rows), Scratch(spark, "t")).collect()
+    assert graphs == [0, 1] and [x.n_removed for x in sorted(got)] == [len(cases.words(cases.BASE))] * 3
+
+
+def _wrong(batch):
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(batch.num_rows), pa.int64()), batch.column(2)], ["chain", "d1", "d2"])
+
+
 def test_groups_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)  # several blocks per column
     monkeypatch.setattr(stream, "FEW", 0)  # ids are joined, not broadcast
@@ -267,6 +395,101 @@ def test_query_measures_two_vocabularies(spark, monkeypatch):
     assert used == BOTH
 
 
+def test_measures_and_verdict_against_brute_force(spark):
+    """Characters per token, share of tokens that hold part of a character, entropy, and what the bands make of them."""
+    import math
+
+    import tiktoken
+
+    texts = [cases.BASE + " , . I 日本 é", *SCRIPT_TEXTS.values(), "aa### bb*** cc%%% dd$$$ " * 20, cases.LONG, "🙂 " * 40]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fertility.fertility_rules(cases.docs(spark, rows), BOTH).collect()}
+    kept = {i: not got[i].base_failed for i in range(len(texts))}
+    for path, pattern in BOTH:
+        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+        bands = fertility.BANDS[path.rpartition("/")[2]]
+        for i, t in enumerate(texts):
+            ids = coder.encode_ordinary(t)
+            parts = sum("\ufffd" in coder.decode_single_token_bytes(x).decode(errors="replace") for x in ids)
+            entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values()) / min(9, max(1, math.log2(len(ids))))
+            letters = fertility.letters_by_script(*fertility.offsets_of(as_strings(pa.array([t]))))[0]
+            script = list(fertility.SCRIPTS)[letters.argmax()] if letters.any() else "other"
+            band = bands.get(script, bands["other"])
+            measured = (len(t) / len(ids), parts / len(ids), entropy)
+            kept[i] &= band.low <= measured[0] <= band.high and measured[1] <= band.fallback and measured[2] >= band.entropy
+            if path.endswith("multi_50k.tiktoken"):
+                assert np.allclose(measured, (got[i].chars_per_token, got[i].fallback_share, got[i].token_entropy))
+    assert {i: r.kept for i, r in got.items()} == kept and len(set(kept.values())) == 2
+
+
+def test_a_comma_is_no_byte_fallback(coder):
+    _, _, share, _ = fertility.fertility(coder, as_strings(pa.array([", . I a , . !"])))
+    assert share[0] == 0
+
+
+def test_rules_keep_clean_documents_of_the_table_and_reject_junk(spark):
+    rows = queries.op10_fertility(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("not base_failed and quality is not null").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.995 and np.mean(bad) < 0.5
+
+
+def test_base_counts_are_those_of_sql(spark):
+    from tests.oracle import connect
+
+    sql = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS j FROM w),
+     wide AS (SELECT doc_id, j, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM each WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+     again AS (SELECT doc_id, j FROM (SELECT doc_id, j, count(*) OVER (PARTITION BY doc_id, s) AS c FROM wide WHERE n = 8) WHERE c > 1),
+     hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(j, j + 8)) AS k FROM again) GROUP BY doc_id),
+     line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
+     dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(ws), length(array_to_string(ws, '')), len(regexp_extract_all(t, '[#*$%&|<>]')), coalesce(dup.n, 0), coalesce(hit.n, 0), len(ws) < 20 OR 100 * coalesce(hit.n, 0) > 30 * len(ws)
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN dup USING (doc_id)"""
+    want = Counter(connect().execute(sql).fetchall())
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in queries.op10_fertility(spark, DATA).collect())
+    assert got == want
+
+
+def test_language_of_texts_of_any_length(spark):
+    """Held-out texts alone and many put together: sets are exact, so that a very long text is told apart as well."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang is not null and text is not null")
+    out = "pmod(crc32(cast(doc_id as string)), 5) = 0"
+    model = langid.train_language(docs.where(f"not ({out})"))
+    joined = docs.where(out).groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).select(F.lit(1).alias("doc_id"), "text", "lang", F.lit(None).cast("string").alias("source"), F.lit(1).alias("n_chars"))
+    assert joined.agg(F.min(F.size(F.split("text", " ")))).first()[0] > 5_000
+    assert all(r.lang_pred == r.lang for r in langid.predict_language(joined, model).collect())
+    with pytest.raises(ValueError):
+        langid.predict_language(docs.withColumn("lang_pred", F.lit("")), model)
+
+
+def test_kernel_scores_are_those_of_sets():
+    """The collapsed product against kernels computed from Python sets, texts one by one."""
+    texts = [cases.BASE, "der schnelle braune fuchs springt", "le renard brun saute", "", "ab", cases.BASE[:90], "die eule wacht am fluss", "le bateau rentre au moulin"]
+    languages = ["en", "de", "fr", "fr", "en", "en", "de", "fr"]
+
+    def grams(t):
+        b = bytes(x + 32 if 65 <= x <= 90 else 32 if 9 <= x <= 13 else x for x in t.encode())
+        return {b[i : i + n] for n in (2, 3, 4) for i in range(len(b) - n + 1)}
+
+    row, gram = langid.ngrams(as_strings(pa.array(texts)))
+    sets = np.split(gram, np.searchsorted(row, np.arange(1, len(texts))))
+    assert [len(s) for s in sets] == [len(grams(t)) for t in texts]
+    model = langid.KernelClassifier.fit(sets, languages)
+    marks = texts if len(texts) <= langid.LANDMARK else texts[:: langid.LANDMARK]
+    kernel = lambda xs: np.array([[len(grams(x) & grams(m)) / np.sqrt(max(1, len(grams(x))) * max(1, len(grams(m)))) for m in marks] for x in xs])
+    value, vector = np.linalg.eigh(kernel(marks))
+    white = vector / np.sqrt(np.maximum(value, 1e-6))
+    z, known = kernel(texts) @ white, sorted(set(languages))
+    target = np.array([[x == k for k in known] for x in languages], float)
+    want = z @ np.linalg.solve(z.T @ z + 1e-2 * np.eye(z.shape[1]), z.T @ target)
+    new = ["der fuchs wacht", "the owl watches the river", cases.BASE * 50]
+    row, gram = langid.ngrams(as_strings(pa.array(texts + new)))
+    best, y = model.score(row, gram, len(texts + new), model.table())
+    y = y / np.sqrt(np.maximum(np.bincount(row, minlength=len(texts + new)), 1))[:, None]
+    assert np.allclose(y[: len(texts)], want, atol=1e-4) and [known[i] for i in best[-3:]] == ["de", "en", "en"]
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
