@@ -1,8 +1,10 @@
-"""Column expressions over text, built from Spark's own functions; only normalise() may leave the JVM, for non-ASCII text."""
+"""Column expressions over text, built from Spark's own functions; only normalise() leaves the JVM, for the few rows whose
+text it may change."""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,12 +22,25 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@cache
+def unsettled() -> str:
+    """A class of all characters that NFKC may change, by themselves or behind another one: those with a form of their own,
+    marks, and the second halves of composed ones. Letters such as é or ß are none, they are settled."""
+    every = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in every)
+    second = {int(p[1], 16) for p in pairs if len(p) == 2 and p[0][0] != "<"} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    odd = [i for i in every if i in second or unicodedata.combining(chr(i)) or unicodedata.normalize("NFKC", chr(i)) != chr(i)]
+    first = [i for i, before in zip(odd, [None, *odd]) if before != i - 1]
+    last = [i for i, after in zip(odd, [*odd[1:], None]) if after != i + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
+
+
 def normalise(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with column in NFKC and straight quotes. The Arrow function sees an empty string for pure ASCII rows."""
-    text = F.col(column)
-    wide = text.rlike(r"[^\x00-\x7F]")
-    made = _nfkc(F.when(wide, text).otherwise(F.lit("")))
-    return df.withColumn(column, F.translate(F.when(wide, made).otherwise(text), "‘’“”", "''\"\""))
+    """df with column in NFKC and straight quotes. Rows that hold no character of unsettled() never reach Python: the others are
+    split off, which reads df twice."""
+    odd = F.coalesce(F.col(column).rlike(unsettled()), F.lit(False))
+    rows = df.where(~odd).unionByName(df.where(odd).withColumn(column, _nfkc.asNondeterministic()(column)))
+    return rows.withColumn(column, F.translate(F.col(column), "‘’“”", "''\"\""))
 
 
 def to_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -40,24 +55,26 @@ def quoted(text: Column) -> Column:
 
 
 def spans(text: Column, pattern: Column | str, group: int = 0) -> Column:
-    """All matches of pattern as array of SPAN: 0-based start, end after the last, and the text of group. Offsets come from
-    the lengths of what lies between matches; those of group 1 assume that its text is the last such text in the match."""
+    """All matches of pattern as array of SPAN: 0-based start, end after the last, and the text of group. Offsets are summed up in
+    one pass over the matches and what lies before each; those of group 1 assume that its text is the last such text in the
+    match."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
-    total = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    start = lambda i: total(between, i + 1) + total(hits, i)
-    if group == 0:
-        made = F.transform(hits, lambda h, i: F.struct(start(i).cast("int").alias("start"), (start(i) + F.length(h)).cast("int").alias("end"), h.alias("text")))
-    else:
-        inner = F.regexp_extract_all(text, p, F.lit(group))
-
-        def of_group(h: Column, i: Column) -> Column:
-            x = F.get(inner, i)
-            at = start(i) + F.length(h) - F.call_function("instr", F.reverse(h), F.reverse(x)) + 1 - F.length(x)
-            return F.struct(at.cast("int").alias("start"), (at + F.length(x)).cast("int").alias("end"), x.alias("text"))
-
-        made = F.transform(hits, of_group)
-    return F.when(F.size(hits) > 0, made).otherwise(F.array().cast(f"array<{SPAN}>"))
+    found = F.regexp_extract_all(text, p, F.lit(0))
+    both = F.arrays_zip(found.alias("h"), F.split(text, p, -1).alias("b"), *([F.regexp_extract_all(text, p, F.lit(group)).alias("x")] if group else []))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def more(so_far: Column, x: Column) -> Column:
+        h = x["h"]
+        start = so_far["at"] + F.length(x["b"])
+        if group:
+            at = start + F.length(h) - F.call_function("instr", F.reverse(h), F.reverse(x["x"])) + 1 - F.length(x["x"])
+            one = F.struct(at.alias("start"), (at + F.length(x["x"])).alias("end"), x["x"].alias("text"))
+        else:
+            one = F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("text"))
+        # behind the last match there is only text
+        return F.when(h.isNull(), so_far).otherwise(F.struct((start + F.length(h)).alias("at"), F.concat(so_far["out"], F.array(one)).alias("out")))
+
+    return F.aggregate(both, zero, more, lambda s: s["out"])
 
 
 def context(line: Column, start: Column, end: Column, width: int = 50) -> Column:

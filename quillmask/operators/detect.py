@@ -1,4 +1,4 @@
-"""Detectors: pages of text to matches, in one pass over the lines and without Python.
+"""Detectors: pages of text to matches, in one pass over the lines and in the JVM.
 
 Each detector is an expression that yields an array of matches for a line; the arrays of all detectors are joined and
 unfolded once, so a page is read, split and searched in a single stage. Cheap conditions stand before costly patterns.
@@ -8,6 +8,7 @@ Every match carries ord, its place in the order of detection, which decides ties
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +68,14 @@ def _match(s: Column, category: Column | str, confidence: Column | float, line:
 
 def _by_patterns(d: Detector, line: Column, below: Column, n: Column) -> Column:
     def over(text: Column, num: Column, confidence: float) -> Column:
-        one = lambda p, i: F.transform(spans(text, d.flags + p, d.group), lambda s: _match(s, d.category, confidence, text, num, n, d.rank, i))
-        return F.concat(*[one(p, i) for i, p in enumerate(d.patterns)])
+        """The spans of each pattern, with its number, made into matches at once."""
+        each = F.flatten(F.array(*[F.transform(spans(text, d.flags + p, d.group), lambda s, i=i: F.struct(s.alias("s"), F.lit(i).alias("i"))) for i, p in enumerate(d.patterns)]))
+        return F.transform(each, lambda r: _match(r["s"], d.category, confidence, text, num, n, d.rank, r["i"]))
 
     here = over(line, n, d.confidence)
     if d.below is not None:
-        here = F.when(F.exists(F.array(*[F.lit(d.flags + p) for p in d.patterns]), lambda p: F.regexp_like(line, p)), here).otherwise(F.coalesce(over(below, n + 1, d.below), _none()))
+        any_here = reduce(Column.__or__, [F.regexp_like(line, F.lit(d.flags + p)) for p in d.patterns])
+        here = F.when(any_here, here).otherwise(F.coalesce(over(below, n + 1, d.below), _none()))
     return F.when(F.regexp_like(line, F.lit(d.gate)), here).otherwise(_none()) if d.gate else here
 
 
@@ -85,9 +88,10 @@ def _street_only(line: Column, n: Column) -> Column:
 
 def _family(line: Column, below: Column, n: Column) -> Column:
     """Names after family keywords: after a colon or space, in brackets, after a comma; else at the start of the next line."""
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit("Parent/Guardian" if any(h in k.lower() for h in PARENT_HINTS) else "Family member").alias("c")) for i, k in enumerate(FAMILY_KEYWORDS)])
     word = lambda k: F.concat(F.lit(r"(?U)\b(?i:"), k, F.lit(")"))
-    there = F.filter(rows, lambda r: F.regexp_like(line, word(r["k"])))
+    # which keywords a line holds is tested with constant patterns; only those of the ones it holds are put together a line
+    of_keyword = lambda i, k: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit("Parent/Guardian" if any(h in k.lower() for h in PARENT_HINTS) else "Family member").alias("c"))
+    there = F.array_compact(F.array(*[F.when(F.regexp_like(line, F.lit(rf"(?U)\b(?i:{k})")), of_keyword(i, k)) for i, k in enumerate(FAMILY_KEYWORDS)]))
     forms = [r"[:\s]+" + P.NAME, r"\s*\(\s*" + P.NAME + r"\s*\)", r",\s+" + P.NAME]
 
     def of(r: Column) -> Column:
@@ -123,12 +127,13 @@ def with_name_forms(cases: DataFrame) -> DataFrame:
                         F.upper(F.substring(surname, 1, 3)).alias("id_prefix"))
 
 
-def detect_lines(pages: DataFrame, cases: DataFrame | None = None, registry: list[Detector] | None = None) -> DataFrame:
+def detect_lines(pages: DataFrame, cases: DataFrame | None = None, registry: list[Detector] | None = None, normalised: bool = False) -> DataFrame:
     """Matches (pages' keys, text, category, confidence, page_num, line_num, context, ord, source) of pages (case_id if cases
-    are given, doc_id, page_num, text). Text is normalised first. Null and empty pages have no matches."""
+    are given, doc_id, page_num, text). Text is normalised first, unless it is already. Null and empty pages have no matches."""
     registry = REGISTRY if registry is None else registry
     keys = [c for c in KEYS if c in pages.columns]
-    rows = normalise(pages.select(*keys, "text"))
+    rows = pages.select(*keys, "text")
+    rows = rows if normalised else normalise(rows)
     forms: list[str] = []
     if cases is not None:  # joined to pages, before they become many lines
         named = with_name_forms(cases)

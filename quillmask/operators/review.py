@@ -109,9 +109,28 @@ def run_totals(results: DataFrame) -> DataFrame:
 
 
 def audit_lines(entries: DataFrame) -> DataFrame:
-    """Lines of the audit log: per document and output, by page and line."""
+    """Lines (document_name, output_name, place, line) of the audit log: a head, a rule, then a line for each entry, by page and
+    line. A row a line, so a document with very many entries is never gathered."""
+    keys = ["document_name", "output_name"]
     label = confidence_label(F.col("confidence"))
     line = F.format_string('Page %d, Line %d: "%s" [%s] [%s confidence]', "page_num", "line_num", "text", "category", label)
-    rows = F.array_sort(F.collect_list(F.struct("page_num", "line_num", "match_idx", line.alias("line"))))
-    by = entries.groupBy("document_name", "output_name").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"))
-    return by.select("document_name", "output_name", F.concat(F.lit("DOCUMENT: "), "document_name", F.lit(" → "), "output_name", F.lit("\n"), F.lit("─" * 76), F.lit("\n"), "body").alias("section"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("page_num", "line_num", "match_idx"))
+    body = entries.select(*keys, (nth + 1).alias("place"), line.alias("line"))
+    head = F.array(F.concat(F.lit("DOCUMENT: "), "document_name", F.lit(" → "), "output_name"), F.lit("─" * 76))
+    return entries.select(*keys).distinct().select(*keys, F.posexplode(head).alias("place", "line")).unionByName(body)
+
+
+def selected_categories(chosen: DataFrame, by: str = "category") -> DataFrame:
+    """Chosen matches counted by category, in the order of names or, by "n", most first and equal ones by name."""
+    counts = category_counts(chosen)
+    return counts.orderBy("category") if by == "category" else counts.orderBy(F.desc("n"), "category")
+
+
+def native_pages(pages: Column | str, scanned: Column | str) -> Column:
+    """Pages (an array of numbers) with text of their own: all but the scanned ones."""
+    return F.array_except(pages, scanned)
+
+
+def scanned_pages(produced: Column | str, scanned: Column | str) -> Column:
+    """Scanned pages among those of which text was produced, in order."""
+    return F.array_sort(F.array_intersect(scanned, produced))

@@ -129,6 +129,19 @@ def verify_redaction(outputs: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def verify_scanned(outputs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, failures, status) of redacted documents whose pages were drawn and read again (doc_id, page_num, text, error): what
+    is still visible, page by page, and every page that could not be read. An error counts as a failure, so a document is only
+    "written" if all of it was read and nothing was found."""
+    items = chosen.select("doc_id", F.btrim("text").alias("item")).where(F.length("item") >= 3).groupBy("doc_id").agg(F.collect_set("item").alias("items"))
+    rows = outputs.join(items, "doc_id", "left")
+    seen = F.filter("items", lambda i: visible(i, F.lower(F.col("text"))))
+    shown = F.transform(F.coalesce(seen, F.array().cast("array<string>")), lambda i: F.concat(F.lit("Page "), F.col("page_num"), F.lit(": '"), i, F.lit("' still visible after redaction")))
+    failed = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("OCR verification error: "), "error"))).otherwise(shown)
+    by = rows.select("doc_id", failed.alias("f")).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("f"))).alias("failures"))
+    return by.withColumn("status", F.when(F.size("failures") > 0, "quarantined").otherwise("written"))
+
+
 def strip_filename(stem: Column, names: Column) -> Column:
     """A file's stem without the given names, longest first, and without what their removal leaves behind."""
     long = F.transform(F.array_sort(F.transform(F.filter(names, lambda n: F.length(n) >= 3), lambda n, i: F.struct((-F.length(n)).alias("l"), i.alias("i"), n.alias("n")))), lambda r: r["n"])

@@ -82,13 +82,13 @@ def whole_word_boxes(found: DataFrame, words: DataFrame) -> DataFrame:
     rows = found.where(F.length("text") >= 3)
     needle, pad = F.lower(F.btrim("text")), lambda df: df.select(*PAGE, "text", *[(F.col(c) + d).alias(c) for c, d in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
     w = words.select(*PAGE, F.lower(F.btrim("word")).alias("w"), *[F.col(c).alias(f"w_{c}") for c in ("x0", "y0", "x1", "y1")])
-    short = rows.where(F.length("text") <= 6).withColumn("_id", F.monotonically_increasing_id()).join(w, PAGE)
+    short = rows.where(F.length("text") <= 6).join(w, PAGE)
     wide = F.least("x1", "w_x1") - F.greatest("x0", "w_x0")
     high = F.least("y1", "w_y1") - F.greatest("y0", "w_y0")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     tail = F.substring(F.col("w"), F.length(needle) + 1, F.length("w"))
     fits = F.startswith("w", needle) & tail.rlike(r"^(?:['’]s)?[^a-zA-Z0-9]*$") & (wide > 0) & (high > 0) & (wide * high >= 0.7 * area)
-    return pad(rows.where(F.length("text") > 6)).unionByName(pad(short.where(fits).dropDuplicates(["_id"])))
+    return pad(rows.where(F.length("text") > 6)).unionByName(pad(short.where(fits)).distinct())
 
 
 def redaction_plan(marks: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,3 +101,31 @@ def redaction_plan(marks: DataFrame, items: DataFrame) -> DataFrame:
     part = F.exists("texts", lambda t: F.contains(F.lower("value"), F.lower(t)))
     title = F.regexp_replace(F.col("value"), F.concat(F.lit("(?i)"), F.array_join(F.transform("texts", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")), F.lit("[REDACTED]"))
     return rows.where(F.when(F.col("kind") == "widget", word).otherwise(part)).select("doc_id", "kind", "page_num", "value", F.when(F.col("kind") == "bookmark", title).otherwise("delete").alias("action"))
+
+
+def unique_images(images: DataFrame, scanned_pages: DataFrame) -> DataFrame:
+    """(doc_id, xref, n_places): the embedded images (doc_id, page_num, xref) that are to be read, once each however often they are
+    placed, pages that were read as a whole (doc_id, page_num) left out."""
+    rest = images.join(scanned_pages, ["doc_id", "page_num"], "left_anti")
+    return rest.groupBy("doc_id", "xref").agg(F.count("*").alias("n_places"))
+
+
+def image_boxes(images: DataFrame, scanned_pages: DataFrame, words: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, page_num, xref, item, x0, y0, x1, y1): boxes to blacken in every place of an image. words (doc_id, xref, pos, word,
+    box) are those of each image, read once; items are all of a document, as images may stand on any page."""
+    found = find_items(words.withColumnRenamed("xref", "page_num"), items).withColumnRenamed("page_num", "xref")
+    places = images.join(scanned_pages, ["doc_id", "page_num"], "left_anti").select("doc_id", "page_num", "xref").distinct()
+    return places.join(found, ["doc_id", "xref"]).select("doc_id", "page_num", "xref", "item", "x0", "y0", "x1", "y1")
+
+
+# What a file says of itself, and the parts of its structure that may hold text.
+METADATA = ["author", "title", "subject", "creator", "producer", "keywords", "creationDate", "modDate"]
+STRUCTURE = ["MarkInfo", "StructTreeRoot", "Names"]
+
+
+def metadata_plan(documents: DataFrame) -> DataFrame:
+    """(doc_id, kind, page_num, value, action) for every document: its information is emptied, its second copy of that (XMP) and
+    the files it holds are deleted, and so are parts of its structure that repeat its text."""
+    rows = [("metadata", v, "empty") for v in METADATA] + [("xmp", "xmp", "delete"), ("embedded", "*", "delete")] + [("structure", v, "delete") for v in STRUCTURE]
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(0).alias("page_num"), F.lit(v).alias("value"), F.lit(a).alias("action")) for k, v, a in rows])
+    return documents.select("doc_id", F.inline(each))

@@ -70,10 +70,46 @@ def write_results(results: DataFrame, folder: str) -> None:
     rows.write.mode("append").partitionBy("status").parquet(folder)
 
 
-def write_texts(results: DataFrame, folder: str) -> None:
-    """One text file per document, written by the executors under folder/<status>/<name>."""
-    rows = results.select("name", "status", finished_text(F.col("body"), F.col("n_replaced")).alias("value"))
-    rows.withColumnRenamed("name", "file").write.mode("append").partitionBy("status", "file").text(folder)
+def output_name(stem: Column, status: Column, kind: str = "txt") -> Column:
+    """The file name of a result: what could not be verified says so in its name, so that it is taken for nothing else."""
+    done = "_deidentified.txt" if kind == "txt" else "_redacted.pdf"
+    return F.concat(stem, F.when(status == "written", F.lit(done)).otherwise(F.lit(f".UNVERIFIED.{kind}")))
+
+
+def _write_files(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    """Each file under a name of its own first, then moved in place: a task that runs again leaves one whole file."""
+    import uuid
+
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        for name, data in zip(batch["name"], batch["data"], strict=True):
+            part = f"{root}/.{uuid.uuid4().hex}"
+            with files.open_output_stream(part) as out:
+                out.write(data)
+            files.move(part, f"{root}/{name}")
+        yield pd.DataFrame({"name": batch["name"], "n_bytes": batch["data"].map(len)})
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """One file in folder for each of rows (name, data), written by the executors; (name, n_bytes) of what was written. folder is
+    a path or address of a file system that pyarrow knows; names must be distinct and hold no folder (unique_names)."""
+    folder = folder.rstrip("/") if "://" in folder else folder.removeprefix("file:").rstrip("/")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _write_files(batches, folder)
+
+    made = rows.select("name", F.col("data").cast("binary").alias("data")).mapInPandas(run, "name string, n_bytes long")
+    path = f"{folder}/.written"
+    made.write.mode("overwrite").parquet(path)  # writes the files, and the list of them
+    return made.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def write_texts(results: DataFrame, folder: str) -> DataFrame:
+    """One text file per document of results (stem, body, n_replaced, status), <stem>_deidentified.txt, or <stem>.UNVERIFIED.txt for
+    one whose check found something left. read_outputs and cleanup find them again."""
+    return write_files(results.select(output_name(F.col("stem"), F.col("status")).alias("name"), finished_text(F.col("body"), F.col("n_replaced")).alias("data")), folder)
 
 
 def redact_files(files: DataFrame, plan: DataFrame, redact: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
