@@ -1,7 +1,9 @@
-"""SQL that gives the rows of the registered queries: over the driver's tables where they hold cases, else the rows themselves."""
+"""SQL that gives the rows of the registered queries, over the driver's tables or people invented from them."""
 
 from __future__ import annotations
 
+from .invented import PEOPLE
+
 _PHONE = r"""'\+61[\s\-]*4\d{2}[\s\-]*\d{3}[\s\-]*\d{3}', '\+61[\s\-]*[2-478][\s\-]*\d{4}[\s\-]*\d{4}', '0[2-478][\s\-]*\d{4}[\s\-]*\d{4}', '\(0[2-478]\)[\s\-]*\d{4}[\s\-]*\d{4}', '04\d{2}[\s\-]*\d{3}[\s\-]*\d{3}', '04\d{8}'"""
 _EMAIL = r"'\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'"
 _DATES = r"""'\d{1,2}/\d{1,2}/\d{2,4}', '\d{1,2}-\d{1,2}-\d{2,4}', '\d{1,2}\.\d{1,2}\.\d{2,4}'"""
@@ -25,8 +27,6 @@ def _values(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({columns})"
 
 
-_REPORT_BODY = ("'--- Page 1 ---' || chr(10) || chr(10) || 'Student: [Student]' || chr(10) || 'His classroom teacher, [Other person 1], reports steady progress.' || chr(10) || "
-                "'Speech pathologist [Other person 2] completed the assessment.' || chr(10) || 'His NDIS support worker, [Other person 3], attends fortnightly.' || chr(10) || '[Student]''s mother, [Parent], attended the meeting.'")
 
 ORACLES = {
     "flagship": f"WITH {_DEDUP} SELECT category, 'high' AS label, count(*) AS n FROM deduped WHERE lang = 'en' GROUP BY category",
@@ -37,7 +37,6 @@ ORACLES = {
     "d04_email": f"WITH {_FOUND} SELECT doc_id, line_num, text, 0.95::DOUBLE AS confidence FROM emails",
     "d10_dob_same_line": f"WITH {_LINES}, {_hits('dates', 'Date of birth', _DATES)} SELECT doc_id, line_num, text FROM dates WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id, line_num, text",
     "w01_match_dedup": f"WITH {_DEDUP} SELECT doc_id, match_idx, line_num, text, category FROM ranked",
-    "w01_ties": _values("match_idx, line_num, text, category, confidence", "0, 1, 'Jane Smith', 'Student name', 0.95::DOUBLE", "1, 2, 'Jane Smith', 'Student name', 0.95", "2, 1, 'Jane', 'A', 0.65"),
     "a02_by_category": f"WITH {_DEDUP} SELECT category, count(*) AS n FROM deduped GROUP BY category",
     "a03_summary": f"WITH {_DEDUP}, labelled AS (SELECT category, 'high' AS label FROM deduped) SELECT category, label, count(*) AS n FROM labelled GROUP BY GROUPING SETS ((category), (label), ())",
     "a05_doc_category": f"WITH {_DEDUP} SELECT doc_id, category, count(*) AS n, bool_or(confidence < 0.8) AS uncertain FROM deduped GROUP BY doc_id, category",
@@ -45,62 +44,106 @@ ORACLES = {
     "u03_deselected": f"WITH {_DEDUP} SELECT DISTINCT doc_id, lower(text) AS text FROM ranked r WHERE match_idx > 0 AND NOT EXISTS (SELECT 1 FROM ranked s WHERE s.doc_id = r.doc_id AND s.match_idx = 0 AND lower(s.text) = lower(r.text))",
     "v03_levenshtein": "SELECT n_name, r_name, levenshtein(lower(n_name), lower(r_name)) AS distance, regexp_matches(lower(r_name), '^[a-z]{5,}$') AND abs(length(n_name) - length(r_name)) <= 2 AND "
                        "levenshtein(lower(n_name), lower(r_name)) <= CASE WHEN length(r_name) <= 7 THEN 1 ELSE 2 END AS close FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "d17_variations": _values("name, form", *[f"'{n}', '{f}'" for n, fs in {"Jane Smith": ["Jane Smith", "Jane", "Smith", "J. Smith", "Jane S.", "J.S."], "Jo Nguyen": ["Jo Nguyen", "Nguyen", "J. Nguyen", "Jo N.", "J.N."], "Jo": ["Jo"], "Mary Jane Watson": ["Mary Jane Watson", "Mary", "Watson", "M. Watson", "Mary W.", "M.W.", "MJW"]}.items() for f in fs]),
-    "d17_nicknames": _values("name, form", "'Christopher Brown', 'chris'", "'Beth Lee', 'elizabeth'"),
-    "d_detectors": _values("row, line_num, text, category, confidence", "0, 1, '0412 345 678', 'Phone number', 0.95::DOUBLE", "1, 1, '02.6056.1234', 'Phone number', 0.95", "3, 1, '12 Bakers Lane, Wodonga VIC 3690', 'Address', 0.95", "4, 1, '12 Bakers Lane', 'Address', 0.65",
-                           "6, 2, '15/03/2015', 'Date of birth', 0.9", "7, 2, '2345 67890 1', 'Medicare number', 0.9", "8, 2, 'Sarah Williams', 'Parent/Guardian', 0.6", "9, 1, 'Nick', 'Parent/Guardian', 0.65", "10, 1, 'Summer', 'Family member', 0.65",
-                           "12, 1, 'Chris', 'Student name (nickname)', 0.75", "13, 1, '123456789', 'NDIS number', 0.9", "14, 1, '51 824 753 556', 'ABN', 0.9", "15, 1, 'A1234567', 'Passport number', 0.65", "16, 1, 'SMI1234', 'Student ID', 0.95", "16, 1, 'ABC999', 'Student ID', 0.65",
-                           "17, 1, '123 456 789A', 'Centrelink CRN', 0.65", "18, 1, 'O''Brien', 'Student name', 0.95", "19, 1, 'Griffin', 'Student name', 0.95", "20, 1, 'Jane Bloggs', 'Student name', 0.95", "20, 1, 'Jane', 'Student name', 0.95", "20, 1, 'Bloggs', 'Student name', 0.95"),
-    "n08_entities": _values("text, category, confidence, line_num", "'Sarah', 'Person name (NER variation)', 0.85::DOUBLE, 1", "'Williams', 'Person name (NER variation)', 0.85, 1", "'Williams', 'Person name (NER variation)', 0.85, 2", "'123456789A', 'Centrelink CRN', 0.85, 2", "'Sarah Williams', 'Person name (NER)', 0.9, 1", "'1/2/2010', 'Date of birth', 0.9, 2"),
-    "o05_sweep": _values("doc_id, nth, name", "'d', 1, 'Ada'", "'d', 2, 'Bo Li'"),
-    "e01_people": _values("seq, full_name, role, label", "0, 'Billy Bob', 'student', '[Student]'", "1, 'Mary Bob', 'parent', '[Parent]'", "2, 'Oak Hill Primary School', 'organisation', '[Organisation]'", "3, 'Sarah Williams', 'other', '[Other person 1]'", "4, 'Ada Kowalski', 'other', '[Other person 2]'", "5, 'John Citizen', 'other', '[Other person 3]'"),
-    "w04_shared_token": _values("form, label", "'billy', '[Student]'", "'billy bob', '[Student]'", "'bob', '[Family name]'", "'hill', '[Organisation]'", "'mary', '[Parent]'", "'oak hill primary school', '[Organisation]'"),
-    "r02_deidentify": _values("doc_id, body, n_replaced, status", f"'d1', {_REPORT_BODY}, 6, 'written'", "'d2', '--- Page 1 ---' || chr(10) || chr(10) || 'S. Williams met [Student] - [Family name] at [Organisation] [Organisation]. Call [phone].', 5, 'written'"),
     "r02_documents": f"WITH {_DEDUP} SELECT 'all' AS scope, count(DISTINCT doc_id) AS docs_changed, count(*) AS emails FROM emails",
-    "a14_role_vote": _values("name, role, confidence, evidence", "'Mary Bob', 'parent', 'likely', 'mother'", "'Ada K', 'carer', 'likely', 'foster'", "'Sarah W', 'teacher', 'likely', 'classroom teacher'", "'Ann', 'health', 'likely', 'pathologist'", "'John', 'support_worker', 'likely', 'support worker'", "'Guy', 'other', 'unknown', ''", "'Dr Who', 'health', 'possible', 'Dr'"),
-    "v01_visible": _values("pii, body, visible", "'Ann', 'Annual report', false", "'Ann', 'Ann''s report', true", "'Smith Jones', 'by smith - jones', true", "'Smith Jones', 'smithjones', true", "'Ann', '[Ann 1] here', false"),
-    "v02_fuzzy": _values("pii, left_over", "'Sarah', true", "'Ann', false", "'0412 345 678', false", "'Sarah Williams', true"),
-    "r09_filename": _values("stem, safe", "'Joe Bloggs DIP Vineland Report 2025', 'DIP Vineland Report 2025'", "'Vineland Report - Joe Bloggs', 'Vineland Report'", "'Behavior Management Plan - Joe Bloggs (T1 2024)', 'Behavior Management Plan (T1 2024)'",
-                            "'Bloggs_Joe_Adaptive_Behaviour_Assessment_Summary', 'Adaptive Behaviour Assessment Summary'", "'Joe''s Assessment Report', 'Assessment Report'", "'Joe Bloggs', 'document'"),
     "f14_preselect": "SELECT category, mode, mode = 'redact' OR category NOT LIKE '%(NER)' OR category IN ('Person name (NER)', 'Location (NER)') AS chosen, shown FROM (VALUES ('Student name', 'Student name'), ('Person name (NER)', 'Name (found automatically)'), "
                      "('Person name (NER variation)', 'Name variation (found automatically)'), ('Location (NER)', 'Possible place name (auto-detected)'), ('ORGANIZATION (NER)', 'Possible organisation (auto-detected)'), ('Date/Time (NER)', 'Date or time (auto-detected)'), ('Phone number', 'Phone number')) AS c(category, shown), (VALUES ('redact'), ('deidentify')) AS m(mode)",
-    "f07_clean_person": _values("name, person, form_label", "'Ms  Williams', 'Williams', false", "'Dr. Ada Kowalski', 'Ada Kowalski', false", "'Mr', NULL, false", "'Billy Bob Date of Birth', NULL, false", "'O''Brien-Smith', 'O''Brien-Smith', false", "'Phone', NULL, true", "'A1 B', NULL, false", "'Prof Dr Jo', 'Jo', false"),
-    "p08_paths": _values("text, scrubbed", r"'open C:\Users\jo\a.pdf failed', 'open [path removed] failed'", r"""'at "C:\My Files\x y.pdf" now', 'at [path removed] now'""", r"'\\srv\share\a.txt', '[path removed]'", "'see /Users/jo/b.pdf or /etc/x', 'see [path removed] or /etc/x'", "'nothing', 'nothing'"),
-    "p06_context": _values('context, "at", text, matched', *[f"'...by **Ann** and **Bo**...', {i}, '{t}', {m}" for i, (t, m) in enumerate((("...by ", "false"), ("Ann", "true"), (" and ", "false"), ("Bo", "true"), ("...", "false")))], "'plain', 0, 'plain', false", "'odd ** mark', 0, 'odd ** mark', false"),
-    "k07_names": _values("doc_id, name", "'a', 'Report_deidentified.txt'", "'b', 'Report_2_deidentified.txt'", "'c', 'Plan_deidentified.txt'", "'d', 'Report_deidentified.txt'"),
-    "k08_safe_name": _values("name, as_txt, as_pdf", "'../a/b.docx', 'b.txt', 'b.docx.pdf'", r"'c:\x\y.txt', 'y.txt', 'y.txt.pdf'", "'..', NULL, NULL", "'plain', 'plain.txt', 'plain.pdf'"),
-    "k03_finished": _values("body, warns, whole", "'x', true, true", "'y', false, true"),
-    "s05_choose_text": _values("page_num, ocr, text, method, confidence", "1, true, repeat('x', 51) || chr(10) || 'v', 'native', 1.0::DOUBLE", "2, true, 'scan', 'ocr', 0.75", "1, false, repeat('x', 51) || chr(10) || 'v', 'native', 1.0", "2, false, 'short' || chr(10) || 'v', 'native', 0.5"),
-    "s07_ocr_lines": _values("doc_id, page_num, text, confidence", "'d', 1, 'Joe ran' || chr(10) || 'home', 0.8::DOUBLE"),
-    "j10_ocr_items": _values("item, pos, x0, y0, x1, y1", "'joe', 0, -4, 46, 84, 84", "'met sarah', 2, 196, 46, 384, 84", "'sarah', 3, 296, 46, 384, 84", "'a@b.com', 5, 496, 46, 584, 84"),
-    "f13_signature": _values("xref", "1", "2", "6"),
     "b03_boxes": _values("text, x0, y0, x1, y1", "'Annabella', 4.0::DOUBLE, 4.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE", "'Ann', 99.0, -1.0, 131.0, 11.0"),
-    "b08_plan": _values("kind, value, action", "'bookmark', 'Ann''s plan', '[REDACTED]''s plan'", "'link', 'http://x/annual', 'delete'", "'widget', 'Ann Lee', 'delete'"),
     "r04_layout": _values("page_num, text", "1, 'Working Memory | 79 | 8 | Below average'", "2, 'Comments' || chr(10) || 'Behaviour improved.'", "3, 'A long line that wraps onto the next.'"),
-    "k06_audit": _values("document_name, n_lines, first_entry", "'a', 4, 'Page 1, Line 3: \"[Student]\" [Student name] [medium confidence]'"),
-    "manual_matches": _values("match_idx, text, category, confidence, line_num, source", "0, 'Ann', 'Student name', 0.95::DOUBLE, 1, 'regex'", "1, 'Bob', 'Manual', 1.0, 0, 'manual'"),
-    "e06_answers": _values("seq, full_name, role, label", "0, 'Billy Bob', 'student', '[Student]'", "1, 'Sarah Williams', 'teacher', '[Teacher]'", "2, 'John Citizen', 'other', '[Other person 1]'", "3, 'Billy Chen', 'other', '[Other person 2]'", "4, 'Lee', 'health', '[Speech pathologist]'"),
-    "s08_blocks": _values("doc_id, page_num, text", "'d', 1, 'text'", "'d', 1, 'more'"),
-    "s09_spans": _values("doc_id, page_num, text, x0, y0, x1, y1", "'d', 1, 'Joe', 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE"),
-    "p01_normalise": _values("n, text", "0, 'Griffin'", "1, 'O''Brien \"said\"'", "2, 'plain ''x'''", "3, NULL"),
-    "p03_context": "SELECT '...Call **Ann** now...' AS context UNION ALL SELECT '...' || repeat('x', 50) || '**Ann**' || repeat('y', 50) || '...'",
     "p05_label": "SELECT CASE WHEN l_discount::DOUBLE * 10 >= 0.8 THEN 'high' WHEN l_discount::DOUBLE * 10 >= 0.5 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM lineitem GROUP BY 1",
-    "p09_name_list": _values("typed, names", "' Ann Lee, ,Bo Li,', 'Ann Lee|Bo Li'", "'', ''", "NULL, ''"),
     "f01_gate_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines FROM lines WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id",
-    "f02_page_gate": _values("scope, n", "'page', 3", "'line', 2"),
-    "f12_image_only": _values("page_num", "1"),
-    "b01_zones": _values("doc_id, page_num, x0, y0, x1, y1", "'d', 1, 0.0::DOUBLE, 0.0::DOUBLE, 600.0::DOUBLE, 120.0::DOUBLE", "'d', 1, 0.0, 920.0, 600.0, 1000.0"),
     "j05_missing": f"WITH {_FOUND} SELECT count(*) AS n, 'Run detection first' AS error FROM documents d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id)",
-    "j14_effective_role": _values("full_name, role", "'Ann', 'teacher'", "'Bo', 'carer'"),
     "a01_counts": f"WITH {_DEDUP} SELECT doc_id, count(*) AS n FROM deduped GROUP BY ROLLUP (doc_id)",
-    "a06_ocr_items": _values("doc_id, n", "'d', 2", "'e', 0"),
-    "a11_run_totals": _values("documents, successful, items, failures, ocr_warnings", "2, 1, 5, 2, 1"),
-    "a15_ambiguity": _values("form, note", "'bob', '\"bob\" is shared by \"Billy Bob\" [Student], \"Mary Bob\" [Parent] — on its own it was labelled [Family name].'"),
     "a16_corpus": f"WITH {_FOUND}, seen AS (SELECT DISTINCT doc_id, category, lower(text) AS text FROM found) SELECT category, count(*) AS n, count(DISTINCT text) AS n_texts FROM seen GROUP BY category",
-    "a17_folder_counts": _values("total, processable, flagged", "5, 3, 2"),
-    "e09_describe": _values("full_name, occurrences, suggested_role, confidence, evidence", "'Mary Bob', 1, 'parent', 'entered', ''", "'Sarah Williams', 2, 'teacher', 'likely', 'classroom teacher'", "'Dr Lee', 0, 'health', 'possible', 'Dr'"),
-    "k05_key": _values("section, line", "1, '[Student]  ->  Billy Bob'", "1, '[Parent]  ->  Mary Bob'", "2, '- shared'", "3, 'Billy.pdf  ->  Student document_deidentified.txt'", "3, 'Other.pdf  ->  (not produced)'"),
-    "r10_filename_names": _values("name", "'Joe Bloggs'", "'Joe'", "'Bloggs'", "'Al Bloggs'", "'Oak Hill'", "'Oak'", "'Hill'"),
     "w07_runs": "WITH r AS (SELECT source, CASE WHEN coalesce(lag(lang) OVER (PARTITION BY source ORDER BY doc_id) <> lang, true) THEN 1 ELSE 0 END AS new FROM documents) SELECT source, sum(new)::BIGINT AS n_runs, count(*) AS n FROM r GROUP BY source",
-    "u04_native_pages": _values("native, scanned", "'1,3', '2'"),
+}
+
+
+def _rows(*parts: tuple[str, ...], columns: str, where: dict[int, str] | None = None) -> str:
+    """A union of rows of formulas over the invented people."""
+    names = columns.split(", ")
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{v} AS {n}" for n, v in zip(names, row, strict=True)) + " FROM p" + (f" WHERE {row_where}" if (row_where := (where or {}).get(i)) else "") for i, row in enumerate(parts))
+
+
+_FULL, _MOTHER = "first || ' ' || last", "mother_first || ' ' || mother_last"
+_NAME = "'Student name', 0.95::DOUBLE"
+#: What detectors must find in a report: line, text, category and confidence, and for whom.
+_MATCHES = [
+    ("1", _FULL, _NAME, ""), ("1", "first", _NAME, ""), ("1", "last", _NAME, ""), ("2", "phone", "'Phone number', 0.95", ""), ("3", "email", "'Email address', 0.95", ""), ("4", "address", "'Address', 0.95", ""), ("4", "town", "'Organisation name', 0.95", ""),
+    ("6", "dob", "'Date of birth', 0.90", ""), ("7", "medicare", "'Medicare number', 0.95", ""), ("8", "crn", "'Centrelink CRN', 0.65", ""), ("9", "ndis", "'NDIS number', 0.90", ""), ("10", "abn", "'ABN', 0.90", ""), ("11", "passport", "'Passport number', 0.65", ""),
+    ("12", "code", "'Student ID', CASE WHEN k % 2 = 0 THEN 0.95 ELSE 0.65 END", ""), ("13", _MOTHER, "'Parent/Guardian (user-provided)', 0.95", ""), ("13", "last", _NAME, "mother_last = last"), ("14", "street", "'Address', 0.65", ""), ("15", "nick", "'Student name (nickname)', 0.75", "nick IS NOT NULL"),
+]
+_DETECTED = "found AS (" + " UNION ALL ".join(f"SELECT k AS doc_id, {n} AS line_num, {t} AS text, a AS category, b AS confidence FROM (SELECT *, {c.rpartition(', ')[0] if not c.startswith(chr(39) + 'Student ID') else chr(39) + 'Student ID' + chr(39)} AS a, ({c.rpartition(', ')[2] if not c.startswith(chr(39) + 'Student ID') else c.partition(', ')[2]})::DOUBLE AS b FROM p) q" + (f" WHERE {w}" if w else "") for n, t, c, w in _MATCHES) + ")"
+#: The reports with labels: the lines, and how many texts were replaced.
+_CLEAN = ["'Report on [Student]'", "'Ring [phone] after lunch'", "'or write to [email]'", "'home: [address]'", "'Date of Birth:'", "'[date of birth]'", "'Medicare [Medicare number]'", "'CRN [Centrelink CRN]'", "'NDIS number: [NDIS number]'", "'ABN: [ABN]'", "'passport no [passport number]'",
+          "'code [student ID]'", "'Mother: [Parent]'", "'walks along [address] daily'", "CASE WHEN nick IS NULL THEN 'all was well' ELSE '[Student] was late' END", "'seen by [Other person]'"]
+_SAME = "mother_last = last"
+_ALL_FORMS = "unnest([first || ' ' || last, first, last, substr(first, 1, 1) || '. ' || last, first || ' ' || substr(last, 1, 1) || '.', substr(first, 1, 1) || '.' || substr(last, 1, 1) || '.'])"
+_TURNS = "turns AS (SELECT conv_id, turn::INT AS page_num, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM conversations WHERE text IS NOT NULL)"
+
+ORACLES |= {
+    "w01_ties": "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0), m AS (SELECT o_custkey AS doc_id, o_orderkey::INT AS line_num, o_orderpriority AS text, 'A' AS category, 0.65::DOUBLE AS confidence FROM o UNION ALL SELECT o_custkey, o_orderkey::INT, o_orderstatus || ' only', 'D', 0.95 FROM o) "
+                "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, line_num) - 1)::INT AS match_idx, line_num, text, category, confidence FROM m",
+    "d17_variations": f"WITH {PEOPLE} SELECT k, {_ALL_FORMS} AS form FROM p",
+    "d17_nicknames": f"WITH {PEOPLE} SELECT k, unnest(CASE first WHEN 'Matthew' THEN ['matt'] WHEN 'Daniel' THEN ['dan', 'danny'] END) AS form FROM p",
+    "d_detectors": f"WITH {PEOPLE}, {_DETECTED} SELECT * FROM found",
+    "d_documents": f"WITH {_DEDUP} SELECT category, count(*) AS n FROM deduped GROUP BY category",
+    "n08_entities": f"WITH {PEOPLE}, n AS (" + " UNION ALL ".join(f"SELECT k AS doc_id, {t} AS text, '{c}' AS category, {x}::DOUBLE AS confidence, {n} AS line_num FROM p" + (f" WHERE {w}" if w else "") for n, t, c, x, w in [
+        ("1", _FULL, "Student name", "0.95", ""), ("1", "first", "Student name", "0.95", ""), ("1", "last", "Student name", "0.95", ""), ("13", "last", "Student name", "0.95", _SAME), ("2", "phone", "Phone number", "0.85", ""), ("4", "address", "Address", "0.85", ""), ("6", "dob", "Date of birth", "0.9", ""),
+        ("7", "medicare", "Medicare number", "0.9", ""), ("8", "crn", "Centrelink CRN", "0.85", ""), ("9", "ndis", "Centrelink CRN", "0.85", ""), ("16", "seen_by", "Person name (NER)", "0.9", ""), ("1", "first", "Person name (NER variation)", "0.85", ""), ("1", "last", "Person name (NER variation)", "0.85", ""),
+        ("13", "last", "Person name (NER variation)", "0.85", _SAME), ("16", "split_part(seen_by, ' ', 1)", "Person name (NER variation)", "0.85", ""), ("16", "split_part(seen_by, ' ', 2)", "Person name (NER variation)", "0.85", "")]) + ") SELECT DISTINCT * FROM n",
+    "o05_sweep": f"WITH {PEOPLE}, f AS (" + _rows(("k", "1", "first"), ("k", "2", "mother_first"), ("k", "3", "seen_by"), columns="doc_id, place, name", where={1: "k % 2 = 1"}) + ") SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth, name FROM f",
+    "e01_people": f"WITH {PEOPLE} " + _rows(("k", "0", _FULL, "'student'", "'[Student]'"), ("k", "1", _MOTHER, "'parent'", "'[Parent]'"), ("k", "2", "school", "'organisation'", "'[Organisation]'"), ("k", "3", "seen_by", "'other'", "'[Other person]'"), columns="k, seq, full_name, role, label"),
+    "e10_preview": f"WITH {PEOPLE} " + _rows(("k", _MOTHER, "'[Parent]'"), ("k", "seen_by", "CASE WHEN k % 3 = 0 THEN '[Teacher]' ELSE '[Psychologist]' END"), columns="k, full_name, label"),
+    "w04_shared_token": f"WITH {PEOPLE} SELECT DISTINCT * FROM (" + _rows(("k", "lower(first)", "'[Student]'"), ("k", "lower(last)", f"CASE WHEN {_SAME} THEN '[Family name]' ELSE '[Student]' END"), ("k", "lower(mother_first)", "'[Parent]'"), ("k", "lower(mother_last)", f"CASE WHEN {_SAME} THEN '[Family name]' ELSE '[Parent]' END"), ("k", "lower(town)", "'[Organisation]'"), ("k", "lower(school)", "'[Organisation]'"), columns="k, form, label") + ") t",
+    "r02_deidentify": f"WITH {PEOPLE} SELECT k, '--- Page 1 ---' || chr(10) || chr(10) || {' || chr(10) || '.join(_CLEAN)} AS body, CASE WHEN nick IS NULL THEN 14 ELSE 15 END AS n_replaced, 'written' AS status FROM p",
+    "a14_role_vote": f"""WITH {PEOPLE}, s AS (SELECT k, k % 8 AS kind, k % 5 = 0 AS tutors FROM p),
+      one AS (SELECT k, tutors, kind, ['parent', 'carer', 'teacher', 'school_staff', 'health', 'support_worker', 'other_student', NULL][kind + 1] AS role, ['mother', 'foster', 'tutor', 'chaplain', 'physio', 'advocate', 'classmate', NULL][kind + 1] AS word FROM s)
+      SELECT k, CASE WHEN tutors THEN 'teacher' WHEN role IS NOT NULL THEN role ELSE 'health' END AS role, CASE WHEN tutors OR role IS NOT NULL THEN 'likely' ELSE 'possible' END AS confidence, CASE WHEN tutors THEN 'tutor' ELSE coalesce(word, 'Dr') END AS evidence FROM one""",
+    "v01_visible": "SELECT n_name, unnest([n_name || 'ic tale', lower(n_name) || chr(39) || 's tale', 'by ' || replace(n_name, ' ', ' - '), 'by ' || replace(n_name, ' ', ''), '[' || n_name || ' 1] here']) AS body, unnest([false, true, true, true, false]) AS visible FROM nation",
+    "v02_fuzzy": f"WITH {PEOPLE}, r AS (SELECT k, last, CASE k % 3 WHEN 0 THEN replace(lower(last), 'e', 'c') WHEN 1 THEN last || 'x' ELSE 'nothing' END AS read FROM p) SELECT k, read, abs(length(read) - length(last)) <= 2 AND levenshtein(lower(read), lower(last)) <= CASE WHEN length(last) <= 7 THEN 1 ELSE 2 END AS left_over FROM r",
+    "r09_filename": f"WITH {PEOPLE} " + _rows(("k", "0", "'Plan ' || k"), ("k", "1", "'Plan'"), ("k", "2", "'Plan ' || k"), ("k", "3", "'Term Summary'"), ("k", "4", "'Summary'"), ("k", "5", "'document'"), columns="k, kind, safe"),
+    "f07_clean_person": f"WITH {PEOPLE} " + _rows(("k", "0", "last", "false"), ("k", "1", _FULL, "false"), ("k", "2", "NULL", "false"), ("k", "3", "NULL", "false"), ("k", "4", "last || '-O' || chr(39) || 'Hara'", "false"), ("k", "5", "NULL", "true"), ("k", "6", "NULL", "false"), ("k", "7", "first", "false"), columns="k, kind, person, form_label"),
+    "p08_paths": f"WITH {PEOPLE} " + _rows(("k", "0", "'open [path removed] failed'"), ("k", "1", "'at [path removed] now'"), ("k", "2", "'[path removed]'"), ("k", "3", "'see [path removed] or /etc/x'"), ("k", "4", "'no path of ' || first"), columns="k, kind, scrubbed"),
+    "p06_context": f"WITH {PEOPLE} " + _rows(("k", "0", "'...by '", "false"), ("k", "1", "first", "true"), ("k", "2", "' and '", "false"), ("k", "3", "last", "true"), ("k", "4", "'...'", "false"), columns='k, "at", text, matched'),
+    "k07_names": "WITH f AS (SELECT o_orderkey AS doc_id, o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m') AS stem, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) AS n FROM orders) SELECT doc_id, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '_deidentified.txt' AS name FROM f",
+    "k08_safe_name": f"WITH {PEOPLE} " + _rows(("k", "0", "first || '.txt'", "first || '.docx.pdf'"), ("k", "1", "last || '.txt'", "last || '.txt.pdf'"), ("k", "2", "NULL", "NULL"), ("k", "3", f"{_FULL} || '.txt'", f"{_FULL} || '.pdf'"), columns="k, kind, as_txt, as_pdf"),
+    "k03_finished": "SELECT doc_id, lang IS DISTINCT FROM 'en' AS warns, true AS whole, CASE WHEN lang = 'en' THEN 186 ELSE 255 END AS head FROM documents WHERE text IS NOT NULL",
+    "s05_choose_text": "WITH d AS (SELECT doc_id, text, length(trim(text)) > 50 AS enough FROM documents WHERE text IS NOT NULL), b AS (SELECT *, o.ocr FROM d, (VALUES (true), (false)) o(ocr)) SELECT doc_id, ocr, CASE WHEN ocr AND NOT enough THEN 4 ELSE length(text) + 2 END AS n_chars, NOT (ocr AND NOT enough) AS with_values, "
+                       "CASE WHEN ocr AND NOT enough THEN 'ocr' ELSE 'native' END AS method, CASE WHEN enough THEN 1.0 WHEN ocr THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM b",
+    "s07_ocr_lines": f"WITH {_TURNS}, w AS (SELECT *, pos // 5 AS line, pos % 50 + 50 AS conf FROM turns WHERE pos % 7 <> 6 AND trim(word) <> ''), l AS (SELECT conv_id, page_num, line, string_agg(word, ' ' ORDER BY pos) AS t, sum(conf) AS s, count(*) AS n FROM w GROUP BY ALL) "
+                     "SELECT conv_id, page_num, string_agg(t, chr(10) ORDER BY line) AS text, round(sum(s) / sum(n) / 100, 9) AS confidence FROM l GROUP BY conv_id, page_num",
+    "j10_ocr_items": f"WITH {_TURNS}, w AS (SELECT *, regexp_replace(lower(word), '[^\\p{{L}}\\p{{M}}\\p{{N}}_''’]', '', 'g') AS c FROM turns WHERE pos % 7 <> 6), i AS (SELECT unnest(['the', 'la', 'und']) AS item) "
+                     "SELECT conv_id, page_num, item, pos::INT AS pos, pos % 5 * 100 - 4 AS x0, pos // 5 * 20 - 4 AS y0, pos % 5 * 100 + length(word) * 8 + 4 AS x1, pos // 5 * 20 + 19 AS y1 FROM w, i WHERE length(item) >= 3 AND (c = item OR c = item || chr(39) || 's' OR c = item || '’s')",
+    "f13_signature": "WITH i AS (SELECT *, l_partkey % 500 + 20 AS px_w, l_suppkey % 240 AS px_h, l_partkey % 400 AS rect_w, l_discount * 5 AS ink FROM lineitem) SELECT l_orderkey, l_linenumber, px_w FROM i WHERE px_h > 0 AND px_w >= 2 * px_h AND rect_w <= 250 AND px_w >= 50 AND px_h <= 200 AND ink <= 0.30",
+    "b08_plan": f"WITH {PEOPLE} " + _rows(("k", "'widget'", _FULL, "'delete'"), ("k", "'link'", "'http://x/' || lower(first) || 'ian'", "'delete'"), ("k", "'bookmark'", "first || chr(39) || 's plan'", "'[REDACTED]' || chr(39) || 's plan'"), columns="k, kind, value, action"),
+    "b00_plan": "WITH c AS (SELECT count(*) AS n FROM customer), r(stage, kind, page_num, action, x0, y1) AS (VALUES (0, 'zone', 1, 'blank', 0.0, 96.0), (0, 'zone', 1, 'blank', 0.0, 800.0), (0, 'zone', 2, 'blank', 0.0, 96.0), (0, 'zone', 2, 'blank', 0.0, 800.0), (1, 'text', 1, 'erase', 9.0, 21.0), (1, 'scan', 2, 'blacken', 96.0, 124.0), "
+                "(2, 'image', 1, 'blacken', 1.0, 24.0), (2, 'image', 3, 'blacken', 1.0, 24.0), (3, 'signature', 1, 'blacken', NULL, NULL), (3, 'signature', 3, 'blacken', NULL, NULL), (4, 'bookmark', 0, 'title', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), "
+                "(5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'xmp', 0, 'delete', NULL, NULL), (5, 'embedded', 0, 'delete', NULL, NULL), (5, 'structure', 0, 'delete', NULL, NULL), "
+                "(5, 'structure', 0, 'delete', NULL, NULL), (5, 'structure', 0, 'delete', NULL, NULL)) SELECT stage, kind, page_num, action, (count(*) * any_value(n))::BIGINT AS n, (sum(x0) * any_value(n))::DOUBLE AS x0, (sum(y1) * any_value(n))::DOUBLE AS y1 FROM r, c GROUP BY stage, kind, page_num, action",
+    "v06_scanned": f"WITH {PEOPLE}, f AS (SELECT k, list_sort(list_filter([CASE WHEN k % 4 = 0 THEN 'Page 1: ' || chr(39) || last || chr(39) || ' still visible after redaction' END, CASE WHEN k % 7 = 0 THEN 'OCR verification error: no image' END], lambda x: x IS NOT NULL)) AS f FROM p) SELECT k, array_to_string(f, '; ') AS failures, CASE WHEN len(f) > 0 THEN 'quarantined' ELSE 'written' END AS status FROM f",
+    "o08_categories": f"WITH {_DEDUP} SELECT category, count(*) AS n FROM ranked WHERE match_idx % 2 = 0 GROUP BY category",
+    "b06_images": "WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS xref FROM lineitem), s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') SELECT l_orderkey AS doc_id, xref, count(*) AS n_places FROM i ANTI JOIN s USING (l_orderkey, l_linenumber) GROUP BY ALL",
+    "k11_metadata": "SELECT kind, value, action, (SELECT count(*) FROM supplier) AS n FROM (VALUES ('metadata', 'author', 'empty'), ('metadata', 'title', 'empty'), ('metadata', 'subject', 'empty'), ('metadata', 'creator', 'empty'), ('metadata', 'producer', 'empty'), ('metadata', 'keywords', 'empty'), ('metadata', 'creationDate', 'empty'), "
+                    "('metadata', 'modDate', 'empty'), ('xmp', 'xmp', 'delete'), ('embedded', '*', 'delete'), ('structure', 'MarkInfo', 'delete'), ('structure', 'StructTreeRoot', 'delete'), ('structure', 'Names', 'delete')) t(kind, value, action)",
+    "k06_audit": f"WITH {PEOPLE} " + _rows(("k", "0", "'DOCUMENT: ' || k || ' → ' || k"), ("k", "1", "repeat('─', 76)"), ("k", "2", "'Page 1, Line 6: \"' || dob || '\" [Date of birth] [high confidence]'"), ("k", "3", "'Page 1, Line 10: \"' || abn || '\" [ABN] [high confidence]'"), columns="k, place, line"),
+    "manual_matches": f"WITH {PEOPLE} " + _rows(("k", "0", "first", "'Student name'", "0.95::DOUBLE", "1", "'regex'"), ("k", "CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END", "last", "'Manual'", "1.0", "0", "'manual'"), columns="k, match_idx, text, category, confidence, line_num, source", where={0: "k % 2 = 0"}),
+    "e06_answers": f"WITH {PEOPLE} " + _rows(("k", "0", _FULL, "'student'", "'[Student]'"), ("k", "1", "'Sidonie Harcastle'", "'teacher'", "'[Teacher]'"), ("k", "2", "'Ansgar ' || town", "'other'", "'[Other person]'"), ("k", "3", "'Plimmer'", "'health'", "'[Night nurse]'"), columns="k, seq, full_name, role, label"),
+    "s08_blocks": "SELECT n_regionkey AS page_num, n_name AS text FROM nation WHERE n_nationkey % 2 = 0",
+    "s09_spans": "SELECT l_orderkey AS doc_id, count(*) AS n, sum(l_linenumber)::DOUBLE AS x0, sum(l_quantity)::DOUBLE AS y1 FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber <> 2 GROUP BY l_orderkey",
+    "p01_normalise": f"WITH {PEOPLE} SELECT k, first || chr(39) || 's \"' || last || '\" file A é é ß' AS text FROM p",
+    "p03_context": "WITH d AS (SELECT doc_id, text, length(text) // 2 AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, trim('...' || substring(text, greatest(s - 50, 0) + 1, s - greatest(s - 50, 0)) || '**' || substring(text, s + 1, 3) || '**' || substring(text, s + 4, 50) || '...') AS context FROM d",
+    "p09_name_list": f"WITH {PEOPLE} SELECT k, CASE WHEN k % 10 IN (0, 1) THEN '' ELSE first || ' ' || last || '|' || seen_by END AS names FROM p",
+    "f02_page_gate": f"WITH {PEOPLE} " + _rows(("k", "'page'", "3"), ("k", "'line'", "2"), columns="doc_id, scope, n"),
+    "f12_image_only": "SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS n_images FROM lineitem WHERE l_partkey % 4 = 0 AND l_suppkey % 3 > 0",
+    "b01_zones": "WITH z AS (SELECT l_orderkey AS doc_id, l_partkey % 600 + 1.0 AS w, l_suppkey % 900 + 100.0 AS h FROM lineitem) SELECT doc_id, 2 * count(*) AS n, round(sum(h * 0.92)::DOUBLE, 6) AS y0, round(sum(h * 1.12)::DOUBLE, 6) AS y1, sum(2 * w)::DOUBLE AS x1 FROM z GROUP BY doc_id",
+    "j14_effective_role": f"WITH {PEOPLE} SELECT k, seen_by AS full_name, CASE WHEN k % 3 = 0 THEN 'carer' ELSE 'teacher' END AS role FROM p WHERE k % 5 <> 0",
+    "a06_ocr_items": "SELECT l_orderkey AS doc_id, count(*) FILTER (o_orderkey % 2 = 0 AND l_linenumber IN (2, 3)) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
+    "a11_run_totals": "SELECT count(*) AS documents, count(*) FILTER (o_orderstatus = 'F') AS successful, sum(o_custkey)::BIGINT AS items, 2 * count(*) FILTER (o_orderstatus = 'P') AS failures, count(*) FILTER (o_orderkey % 3 = 0) AS ocr_warnings FROM orders",
+    "a15_ambiguity": f"WITH {PEOPLE} SELECT k, lower(last) AS form, '\"' || lower(last) || '\" is shared by \"' || {_FULL} || '\" [Student], \"' || {_MOTHER} || '\" [Parent] — on its own it was labelled [Family name].' AS note FROM p WHERE {_SAME}",
+    "a17_folder_counts": "SELECT count(*) AS total, count(*) FILTER (o_orderkey % 5 IN (0, 1, 4)) AS processable, count(*) FILTER (o_orderkey % 5 IN (2, 3)) AS flagged FROM orders",
+    "e09_describe": f"WITH {PEOPLE} " + _rows(("k", "mother_first", "1", "'parent'", "'entered'", "''"), ("k", "seen_by", "2", "'teacher'", "'likely'", "'tutor'"), ("k", "'Dr Lee'", "0", "'health'", "'possible'", "'Dr'"), columns="k, full_name, occurrences, suggested_role, confidence, evidence"),
+    "k05_key": f"WITH {PEOPLE} " + _rows(("k", "1", f"'[Student]  ->  ' || {_FULL}"), ("k", "1", f"'[Parent]  ->  ' || {_MOTHER}"), ("k", "1", "'[Organisation]  ->  ' || school"), ("k", "1", "'[Other person]  ->  ' || seen_by"),
+                                         ("k", "2", f"'- \"' || lower(last) || '\" is shared by \"' || {_FULL} || '\" [Student], \"' || {_MOTHER} || '\" [Parent] — on its own it was labelled [Family name].'"), ("k", "3", "first || '.pdf  ->  ' || CASE WHEN k % 2 = 0 THEN 'Student document_deidentified.txt' ELSE '(not produced)' END"), columns="k, section, line", where={4: _SAME}),
+    "r10_filename_names": f"WITH {PEOPLE} SELECT k, array_to_string(list_filter([{_FULL}, first, last, {_MOTHER}, mother_first, CASE WHEN mother_last <> last THEN mother_last END, school, town, 'Primary', 'School'], lambda x: x IS NOT NULL), '|') AS names FROM p",
+    "u04_native_pages": "WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber::INT))) AS a FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, array_to_string(list_filter(a, lambda x: x NOT IN (2, 3, 99)), ',') AS native, array_to_string(list_filter(a, lambda x: x IN (2, 3, 99)), ',') AS scanned FROM o",
 }

@@ -17,23 +17,19 @@ from ..operators import people as who
 from ..operators import review as R
 from ..operators import rewrite as W
 from ..operators import scans as S
-from ..operators.detect import REGISTRY, detect_lines
+from ..operators.detect import REGISTRY, detect_lines, with_name_forms
 from ..operators.layout import layout_pages
 from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogniser, page_entities, person_sweep
 from ..operators.roles import describe_people, effective_roles, suggest_roles
 from ..sources.documents import blocks_of_page, choose_text, pages_of_table, spans_of_page
 from ..sources.sinks import finished_text, key_lines, safe_name, unique_names
-from .flows import deidentify, detect
+from . import invented as I
+from .flows import deidentify, detect, plan_redaction, preview_labels
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 CASE = "case_id string, student_name string, parent_names array<string>, family_names array<string>, organisation_names array<string>"
 PAGE = "case_id string, doc_id string, page_num int, text string"
-REPORT = """Student: Billy Bob
-His classroom teacher, Sarah Williams, reports steady progress.
-Speech pathologist Ada Kowalski completed the assessment.
-His NDIS support worker, John Citizen, attends fortnightly.
-Billy's mother, Mary Bob, attended the meeting."""
 
 
 def _pages(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
@@ -49,9 +45,26 @@ def _rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
 
-def _report(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    cases = _rows(spark, CASE, ("c", "Billy Bob", ["Mary Bob"], [], ["Oak Hill Primary School"]))
-    return _rows(spark, PAGE, ("c", "d1", 1, REPORT), ("c", "d2", 1, "S. Williams met Billy - Bob at Oak Hill. Call 0412 345 678.")), cases
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.people(spark, sf_dir)
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _people(spark, sf_dir)
+    return I.reports(rows), I.cases(rows)
+
+
+def _seen_by() -> Callable:
+    return lexicon_recogniser(I.SEEN_BY.split(","))
+
+
+def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    pages, cases = _reports(spark, sf_dir)
+    return deidentify(pages, cases, detect(pages, cases, _seen_by()))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +108,12 @@ def w01_match_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w01_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _rows(spark, "doc_id string, page_num int, line_num int, text string, category string, confidence double, context string, source string, ord array<int>",
-                 ("d", 1, 1, "Jane Smith", "Student name", 0.95, "", "regex", [0]), ("d", 1, 1, "JANE SMITH", "Person name (NER)", 0.85, "", "recogniser", [1]),
-                 ("d", 1, 2, "Jane Smith", "Student name", 0.95, "", "regex", [2]), ("d", 1, 1, "Jane", "A", 0.65, "", "regex", [3]), ("d", 1, 1, "jane", "B", 0.65, "", "regex", [4]))
-    return R.rank_matches(R.dedup_matches(made)).select("match_idx", "line_num", "text", "category", "confidence")
+    """Line items as matches: the same text (any case) twice on a line, with equal or better confidence later."""
+    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), F.col("o_orderkey").cast("int").alias("line_num"), "o_orderpriority", "o_orderstatus")
+    one = lambda text, category, confidence, at: F.struct(text.alias("text"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit("").alias("context"), F.lit("regex").alias("source"), F.array(F.lit(at)).alias("ord"))
+    text = F.col("o_orderpriority")
+    made = rows.select("doc_id", "page_num", "line_num", F.inline(F.array(one(text, "A", 0.65, 0), one(F.lower(text), "B", 0.65, 1), one(F.upper(text), "C", 0.65, 2), one(F.concat("o_orderstatus", F.lit(" only")), "D", 0.95, 3))))
+    return R.rank_matches(R.dedup_matches(made)).select(F.col("doc_id").cast("long").alias("doc_id"), "match_idx", "line_num", "text", "category", "confidence")
 
 
 def a02_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,56 +150,68 @@ def v03_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d17_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "name string", ("Jane Smith",), ("Jo Nguyen",), ("Jo",), ("Mary Jane Watson",))
-    return rows.select("name", F.explode(N.variations(F.col("name"))).alias("form"))
+    rows = _people(spark, sf_dir).select("k", F.concat_ws(" ", "first", "last").alias("name"))
+    return rows.select("k", F.explode(N.variations(F.col("name"))).alias("form"))
 
 
 def d17_nicknames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "name string", ("Christopher Brown",), ("Arthur Jones",), ("Beth Lee",))
-    return rows.select("name", F.explode(N.nicknames(F.col("name"))).alias("form"))
+    rows = _people(spark, sf_dir).select("k", F.concat_ws(" ", "first", "last").alias("name"))
+    return rows.select("k", F.explode(N.nicknames(F.col("name"))).alias("form"))
 
 
 def d_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every detector on literal lines."""
-    texts = [("Call me on 0412 345 678 please", "x"), ("Ph: 02.6056.1234", "x"), ("Version 2.04.1234.5678 build", "x"), ("Address: 12 Bakers Lane, Wodonga VIC 3690", "x"), ("Sarah lives at 12 Bakers Lane with her mother.", "x"),
-             ("Working at 2 Year Level Place Value", "x"), ("Date of Birth:\n15/03/2015", "Jane Smith"), ("Medicare Number:\n2345 67890 1", "Jane Smith"), ("Mother:\nSarah Williams", "Jane Smith"), ("his father (Nick) reported the behaviour", "Joe Bloggs"),
-             ("his sister, Summer, was also present", "Joe Bloggs"), ("Carer: Dad", "Jane Smith"), ("Chris was late", "Christopher Brown"), ("NDIS number: 123456789", "x"), ("ABN: 51 824 753 556", "x"), ("passport no A1234567", "x"),
-             ("SMI1234 and ABC999", "Jane Smith"), ("CRN 123 456 789A", "x"), ("Student O’Brien was present", "O'Brien"), ("Student Griﬃn was present", "Griffin"), ("Jane Bloggs bought some bloggsel", "Jane Bloggs"), ("", "Jane Smith")]
-    pages = _rows(spark, PAGE, *[(str(i), str(i), 1, t) for i, (t, _) in enumerate(texts)])
-    cases = _rows(spark, CASE, *[(str(i), n, [], [], []) for i, (_, n) in enumerate(texts)])
-    found = R.dedup_matches(detect_lines(pages, cases))
-    return found.select(F.col("doc_id").cast("int").alias("row"), "line_num", "text", "category", "confidence")
+    """Every detector over a report of each customer."""
+    found = R.dedup_matches(detect_lines(*_reports(spark, sf_dir)))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text", "category", "confidence")
+
+
+def d_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full set of detectors over all documents, counted."""
+    found = R.dedup_matches(detect_lines(_pages(spark, sf_dir)))
+    return found.groupBy("category").agg(F.count("*").alias("n")).where("category in ('Phone number', 'Email address')")
 
 
 def n08_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _rows(spark, PAGE, ("c", "d", 1, "Seen by Sarah Williams.\nWilliams said so. Born 1/2/2010, CRN 123456789A"))
-    find = lexicon_recogniser(["Sarah Williams"])
-    varied, hits = entity_matches(pages, F.concat(page_entities(F.col("text")), find(F.col("text")), no_recogniser(F.col("text"))))
-    return varied.unionByName(hits).select("text", "category", "confidence", "line_num").distinct()
+    """What page recognisers and a model find in the reports, and the other forms of the names among it."""
+    pages, cases = _reports(spark, sf_dir)
+    rows = pages.join(with_name_forms(cases).select("case_id", "student_forms"), "case_id")
+    text = F.col("text")
+    varied, hits = entity_matches(rows, F.concat(page_entities(text, F.col("student_forms")), _seen_by()(text), no_recogniser(text)))
+    return varied.unionByName(hits).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "category", "confidence", "line_num").distinct()
 
 
 def o05_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "doc_id string, text string", ("d", "Ada met Bo Li, ADA and Ada; Cy Bell too"))
-    left = _rows(spark, "doc_id string, text string", ("d", "cy bell"))
-    return person_sweep(rows, lexicon_recogniser(["Ada", "ADA", "Bo Li", "Cy Bell"])(F.col("text")), left)
+    """People still found in texts, distinct whatever their case; each second mother was deselected."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    texts = rows.select("doc_id", F.expr("concat(first, ' met ', mother_first, ', ', upper(first), ' and ', first, '; ', seen_by, ' too')").alias("text"))
+    left = rows.where("k % 2 = 0").select("doc_id", F.lower("mother_first").alias("text"))
+    names = [*I.FIRST.split(","), *I.FIRST.upper().split(","), *I.MOTHERS.split(","), *I.SEEN_BY.split(",")]
+    return person_sweep(texts, lexicon_recogniser(names)(F.col("text")), left).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def e01_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, cases = _report(spark)
-    run = deidentify(pages, cases, detect(pages, cases, lexicon_recogniser(["Sarah Williams", "Ada Kowalski", "John Citizen"])))
-    return run["owners"].select("seq", "full_name", "role", "label")
+    return _run(spark, sf_dir)["owners"].select(F.col("case_id").cast("long").alias("k"), "seq", "full_name", "role", "label")
+
+
+def e10_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that people would get if each third person that was detected is answered to be a teacher, the others a psychologist."""
+    rows = _people(spark, sf_dir).withColumn("case_id", F.col("k").cast("string"))
+    chosen = rows.select("case_id", F.lit("d").alias("doc_order"), F.lit(0).alias("match_idx"), F.col("seen_by").alias("text"), F.lit("Person name (NER)").alias("category"))
+    answers = rows.select("case_id", F.lit(0).alias("place"), F.concat(F.lit("Ms "), "seen_by").alias("name"), F.expr("case when k % 3 = 0 then 'teacher' else 'health' end").alias("role"), F.expr("case when k % 3 = 0 then null else 'psychologist' end").alias("custom"))
+    return preview_labels(I.cases(rows), chosen, answers).select(F.col("case_id").cast("long").alias("k"), "full_name", "label")
 
 
 def w04_shared_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, cases = _report(spark)
-    run = deidentify(pages, cases, detect(pages, cases))
-    return run["forms"].where(F.col("form").isin("billy", "bob", "mary", "billy bob", "oak hill primary school", "hill")).select("form", "label")
+    """What first names, surnames and the school stand for; a surname that mother and child share is the family's."""
+    rows = _people(spark, sf_dir)
+    forms = _run(spark, sf_dir)["forms"].select(F.col("case_id").cast("long").alias("k"), "form", "label")
+    asked = rows.select("k", F.explode(F.array(*[F.lower(c) for c in ("first", "last", "mother_first", "mother_last", "town", "school")])).alias("form")).distinct()
+    return asked.join(forms, ["k", "form"], "left")
 
 
 def r02_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, cases = _report(spark)
-    run = deidentify(pages, cases, detect(pages, cases, lexicon_recogniser(["Sarah Williams", "Ada Kowalski", "John Citizen"])))
-    return run["results"].select("doc_id", "body", "n_replaced", "status")
+    """The reports with everything replaced: whole texts, as they are written."""
+    return _run(spark, sf_dir)["results"].select(F.col("doc_id").cast("long").alias("k"), "body", F.col("n_replaced").cast("int").alias("n_replaced"), "status")
 
 
 def r02_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,26 +226,33 @@ def r02_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a14_role_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = [("Mary Bob", "Billy's mother, Mary Bob, attended the meeting."), ("Ada K", "His foster carer, Ada Kowalski, reported improvement."), ("Sarah W", "His classroom teacher, Sarah Williams, noted progress."),
-            ("Ann", "Speech pathologist Ada Kowalski completed the assessment."), ("John", "His NDIS support worker, John Citizen, attends fortnightly."), ("Guy", "guardian"), ("Dr Who", "was there")]
-    return suggest_roles(_rows(spark, "name string, at int, snippet string", *[(n, i, s) for i, (n, s) in enumerate(said)]), ("name",)).select("name", "role", "confidence", "evidence")
+    """Roles from what is said around a name, one snippet or three a person."""
+    rows = _people(spark, sf_dir)
+    said = "split_part('the mother|a foster home|our tutor|the chaplain|a physio|an advocate|her classmate|nobody', '|', cast(k % 8 + 1 as int))"
+    snippet = lambda what: F.concat(F.expr(what), F.lit(", "), "first", F.lit(", was there"))
+    more = F.when(F.col("k") % 5 == 0, F.array(F.struct(F.lit(1).alias("at"), snippet("'the tutor'").alias("snippet")), F.struct(F.lit(2).alias("at"), snippet("'a tutor'").alias("snippet")))).otherwise(F.array().cast("array<struct<at:int,snippet:string>>"))
+    contexts = rows.select(F.when(F.col("k") % 8 == 7, F.concat(F.lit("Dr "), "last")).otherwise(F.col("first")).alias("name"), F.col("k").alias("case_id"), F.inline(F.concat(F.array(F.struct(F.lit(0).alias("at"), snippet(said).alias("snippet"))), more)))
+    return suggest_roles(contexts).select(F.col("case_id").alias("k"), "role", "confidence", "evidence")
 
 
 def v01_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "pii string, body string", ("Ann", "Annual report"), ("Ann", "Ann's report"), ("Smith Jones", "by smith - jones"), ("Smith Jones", "smithjones"), ("Ann", "[Ann 1] here"))
-    bare = W.strip_labels(F.col("body"), F.array(F.lit("[Ann 1]")))
-    return rows.select("pii", "body", W.visible(F.col("pii"), bare).alias("visible"))
+    """Nations' names in five surroundings: within a word, possessive, parted by other separators, by none, within a label."""
+    rows = _table(spark, sf_dir, "nation").select("n_name", F.explode(F.expr("array(concat(n_name, 'ic tale'), concat(lower(n_name), char(39), 's tale'), concat('by ', replace(n_name, ' ', ' - ')), concat('by ', replace(n_name, ' ', '')), concat('[', n_name, ' 1] here'))")).alias("body"))
+    bare = W.strip_labels(F.col("body"), F.array(F.concat(F.lit("["), "n_name", F.lit(" 1]"))))
+    return rows.select("n_name", "body", W.visible(F.col("n_name"), bare).alias("visible"))
 
 
 def v02_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "pii string, body string", ("Sarah", "Sarnh attended today."), ("Ann", "And then he left."), ("0412 345 678", "Call 0412 345 679."), ("Sarah Williams", "Willianis was present."))
-    return rows.select("pii", (F.size(W.fuzzy_leftovers(F.col("body"), F.array("pii"), F.array().cast("array<string>"))) > 0).alias("left_over"))
+    """Surnames misread by a scanner: one letter, two letters, or another word."""
+    rows = _people(spark, sf_dir).select("k", "last", F.expr("case cast(k % 3 as int) when 0 then replace(lower(last), 'e', 'c') when 1 then concat(last, 'x') else 'nothing' end").alias("read"))
+    return rows.select("k", "read", (F.size(W.fuzzy_leftovers(F.concat("read", F.lit(" was here.")), F.array("last"), F.array().cast("array<string>"))) > 0).alias("left_over"))
 
 
 def r09_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stems = ["Joe Bloggs DIP Vineland Report 2025", "Vineland Report - Joe Bloggs", "Behavior Management Plan - Joe Bloggs (T1 2024)", "Bloggs_Joe_Adaptive_Behaviour_Assessment_Summary", "Joe's Assessment Report", "Joe Bloggs"]
-    names = F.array(*map(F.lit, ["Joe Bloggs", "Joe", "Bloggs", "J. Bloggs", "J.F.", "JF"]))
-    return _rows(spark, "stem string", *[(s,) for s in stems]).select("stem", W.strip_filename(F.col("stem"), names).alias("safe"))
+    """Stems that hold a name in front, behind, within brackets, with underscores, or nothing else."""
+    rows = _people(spark, sf_dir)
+    stems = "array(concat(first, ' ', last, ' Plan ', cast(k as string)), concat('Plan - ', first, ' ', last), concat('Plan ', cast(k as string), ' (', first, ')'), concat(last, '_', first, '_Term_Summary'), concat(first, char(39), 's Summary'), concat(first, ' ', last))"
+    return rows.select("k", F.posexplode(F.expr(stems)).alias("kind", "stem"), F.array(F.concat_ws(" ", "first", "last"), "first", "last").alias("names")).select("k", "kind", W.strip_filename(F.col("stem"), F.col("names")).alias("safe"))
 
 
 def f14_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,60 +262,70 @@ def f14_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f07_clean_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Ms  Williams", "Dr. Ada Kowalski", "Mr", "Billy Bob Date of Birth", "O'Brien-Smith", "Phone", "A1 B", "Prof Dr Jo"]
-    return _rows(spark, "name string", *[(n,) for n in names]).select("name", N.clean_person(F.col("name")).alias("person"), N.is_form_label(F.col("name")).alias("form_label"))
+    rows = _people(spark, sf_dir).select("k", F.posexplode(F.expr("array(concat('Ms  ', last), concat('Dr. ', first, ' ', last), 'Mr', concat(first, ' ', last, ' Date of Birth'), concat(last, '-O''Hara'), 'Phone:', concat(first, cast(k as string)), concat('Prof Dr ', first))")).alias("kind", "name"))
+    return rows.select("k", "kind", N.clean_person(F.col("name")).alias("person"), N.is_form_label(F.col("name")).alias("form_label"))
 
 
 def p08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [r"open C:\Users\jo\a.pdf failed", r'at "C:\My Files\x y.pdf" now', r"\\srv\share\a.txt", "see /Users/jo/b.pdf or /etc/x", "nothing"]
-    return _rows(spark, "text string", *[(t,) for t in texts]).select("text", X.scrub_paths(F.col("text")).alias("scrubbed"))
+    """Messages with Windows, network and Unix paths that hold a name."""
+    rows = _people(spark, sf_dir)
+    texts = [F.concat(F.lit("open C:\\Users\\"), "first", F.lit("\\a.pdf failed")), F.concat(F.lit('at "C:\\My Files\\'), "first", F.lit(' b.pdf" now')), F.concat(F.lit("\\\\srv\\"), "last", F.lit("\\a.txt")), F.concat(F.lit("see /Users/"), "first", F.lit("/b.pdf or /etc/x")), F.concat(F.lit("no path of "), "first")]
+    return rows.select("k", F.posexplode(F.array(*texts)).alias("kind", "text")).select("k", "kind", X.scrub_paths(F.col("text")).alias("scrubbed"))
 
 
 def p06_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "context string", ("...by **Ann** and **Bo**...",), ("plain",), ("",), ("odd ** mark",))
-    return rows.select("context", F.posexplode(X.split_context(F.col("context"))).alias("at", "s")).select("context", "at", "s.text", "s.matched")
+    rows = _people(spark, sf_dir).select("k", F.concat(F.lit("...by **"), "first", F.lit("** and **"), "last", F.lit("**...")).alias("context"))
+    return rows.select("k", F.posexplode(X.split_context(F.col("context"))).alias("at", "s")).select("k", "at", "s.text", "s.matched")
 
 
 def k07_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "folder string, stem string, doc_id string", ("o", "Report", "a"), ("o", "Report", "b"), ("o", "Plan", "c"), ("p", "Report", "d"))
+    """Orders as files: a folder per status, a stem per priority and day."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("folder"), F.concat("o_orderpriority", F.lit(" "), F.date_format("o_orderdate", "yyyy-MM")).alias("stem"), F.col("o_orderkey").alias("doc_id"))
     return unique_names(rows, "_deidentified.txt").select("doc_id", "name")
 
 
 def k08_safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "name string", ("../a/b.docx",), (r"c:\x\y.txt",), ("..",), ("plain",))
-    return rows.select("name", safe_name(F.col("name"), ".txt").alias("as_txt"), safe_name(F.col("name"), ".pdf").alias("as_pdf"))
+    rows = _people(spark, sf_dir).select("k", F.posexplode(F.array(F.concat(F.lit("../a/"), "first", F.lit(".docx")), F.concat(F.lit("c:\\x\\"), "last", F.lit(".txt")), F.lit(".."), F.concat("first", F.lit(" "), "last"))).alias("kind", "name"))
+    return rows.select("k", "kind", safe_name(F.col("name"), ".txt").alias("as_txt"), safe_name(F.col("name"), ".pdf").alias("as_pdf"))
 
 
 def k03_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "body string, n int", ("x", 0), ("y", 2))
-    return rows.select("body", F.startswith(finished_text(F.col("body"), F.col("n")), F.lit("WARNING")).alias("warns"), F.endswith(finished_text(F.col("body"), F.col("n")), F.col("body")).alias("whole"))
+    """The heads of finished texts over all documents, as if those in English had been changed."""
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("body"), F.when(F.col("lang") == "en", 3).otherwise(0).alias("n"))
+    whole = finished_text(F.col("body"), F.col("n"))
+    return rows.select("doc_id", F.startswith(whole, F.lit("WARNING")).alias("warns"), F.endswith(whole, F.col("body")).alias("whole"), (F.length(whole) - F.length("body")).alias("head"))
 
 
 def s05_choose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = "x" * 51
-    rows = _rows(spark, "doc_id string, page_num int, native_text string, widget_values string, ocr_text string, ocr_confidence double", ("d", 1, long, "v", "scan", 0.5), ("d", 2, "short", "v", "scan", 0.75))
+    """Documents as pages with a text of their own and one read by a scanner, which counts for the short ones."""
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), F.col("text").alias("native_text"), F.lit("v").alias("widget_values"), F.lit("scan").alias("ocr_text"), F.lit(0.75).alias("ocr_confidence"))
     both = [choose_text(rows, ocr).withColumn("ocr", F.lit(ocr)) for ocr in (True, False)]
-    return both[0].unionByName(both[1]).select("page_num", "ocr", "text", "method", "confidence")
+    return both[0].unionByName(both[1]).select(F.col("doc_id").cast("long").alias("doc_id"), "ocr", F.length("text").alias("n_chars"), F.endswith("text", F.lit("\nv")).alias("with_values"), "method", "confidence")
 
 
-def s07_ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "doc_id string, page_num int, pos int, word string, block int, line int, conf int", ("d", 1, 0, "Joe", 1, 1, 90), ("d", 1, 1, "ran", 1, 1, 70), ("d", 1, 2, " ", 1, 1, 50), ("d", 1, 3, "home", 1, 2, 0), ("d", 1, 4, "bad", 1, 2, -1))
-    return S.lines_of_words(rows)
+def _turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as scanned pages: words in lines of five, every seventh one of no confidence."""
+    rows = _table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return rows.select("*", F.lit(1).alias("block"), F.floor(F.col("pos") / 5).cast("int").alias("line"), F.when(F.col("pos") % 7 == 6, -1).otherwise(F.col("pos") % 50 + 50).cast("int").alias("conf"))
 
 
-def _words(spark: SparkSession, *words: str) -> DataFrame:
-    return _rows(spark, "doc_id string, page_num int, pos int, word string, x0 int, y0 int, x1 int, y1 int", *[("d", 1, i, w, 100 * i, 50, 100 * i + 80, 80) for i, w in enumerate(words)])
+def s07_ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.lines_of_words(_turn_words(spark, sf_dir))
+    return rows.select(F.col("doc_id").cast("long").alias("conv_id"), "page_num", "text", F.round("confidence", 9).alias("confidence"))
 
 
 def j10_ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, "Joe's", "Bloggs,", "met", "Sarnh", "Wi1liams", "a@b.com;", "Jo")
-    items = _rows(spark, "doc_id string, text string", ("d", "Joe"), ("d", "met Sarah"), ("d", "Sarah"), ("d", "a@b.com"), ("d", "Jo"))
-    return S.find_items(words, items).select("item", "pos", "x0", "y0", "x1", "y1")
+    """The, possessives and what stands around it, in the turns of conversations; a word is as wide as it is long."""
+    words = _turn_words(spark, sf_dir).where("conf >= 0").select("doc_id", "page_num", "pos", "word", (F.col("pos") % 5 * 100).alias("x0"), (F.col("line") * 20).alias("y0"), (F.col("pos") % 5 * 100 + F.length("word") * 8).alias("x1"), (F.col("line") * 20 + 15).alias("y1"))
+    items = words.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit("The"), F.lit("la"), F.lit("und"))).alias("text"))
+    return S.find_items(words, items).select(F.col("doc_id").cast("long").alias("conv_id"), "page_num", "item", "pos", "x0", "y0", "x1", "y1")
 
 
 def f13_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "xref int, px_w int, px_h int, rect_w double, ink_ratio double", (1, 302, 56, 114.0, 0.09), (2, 500, 50, 200.0, 0.05), (3, 302, 160, 114.0, 0.09), (4, 302, 56, 251.0, 0.09), (5, 302, 56, 114.0, 0.31), (6, 400, 200, 250.0, 0.30))
-    return S.signatures(rows).select("xref")
+    """Line items as images: quantity, part and price as width, height and ink."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 500 + 20 as int) AS px_w", "cast(l_suppkey % 240 as int) AS px_h", "cast(l_partkey % 400 as double) AS rect_w", "cast(l_discount * 5 as double) AS ink_ratio")
+    return S.signatures(rows).select("l_orderkey", "l_linenumber", "px_w")
 
 
 def b03_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,8 +335,52 @@ def b03_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b08_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = _rows(spark, "doc_id string, kind string, page_num int, value string", ("d", "widget", 1, "Annual"), ("d", "widget", 1, "Ann Lee"), ("d", "link", 1, "http://x/annual"), ("d", "annotation", 2, "none"), ("d", "bookmark", 0, "Ann's plan"))
-    return S.redaction_plan(marks, _rows(spark, "doc_id string, text string", ("d", "Ann"))).select("kind", "value", "action")
+    """Form values, links and bookmarks of each case that show the name."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    mark = lambda kind, page, value: F.struct(F.lit(kind).alias("kind"), F.lit(page).alias("page_num"), F.expr(value).alias("value"))
+    marks = rows.select("doc_id", F.inline(F.array(mark("widget", 1, "concat(first, 'ian')"), mark("widget", 1, "concat(first, ' ', last)"), mark("link", 1, "concat('http://x/', lower(first), 'ian')"), mark("annotation", 2, "'none'"), mark("bookmark", 0, "concat(first, char(39), 's plan')"))))
+    plan = S.redaction_plan(marks, rows.select("doc_id", F.col("first").alias("text")))
+    return plan.select(F.col("doc_id").cast("long").alias("k"), "kind", "value", "action")
+
+
+def b00_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that redaction does to a document of each case, by stage and kind: zones, boxes on a page of text and on a
+    scanned one, an image placed twice and read once, a signature, marks, metadata."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    each = lambda schema, *values: rows.select("doc_id", F.inline(F.array(*[F.struct(*[F.expr(str(v)).alias(n) for n, v in zip(schema.split(), row, strict=True)]) for row in values])))
+    pages = each("page_num width height n_words n_images", (1, "600.0D", "800.0D", 5, 1), (2, "600.0D", "800.0D", 0, 1))
+    hits = each("page_num text x0 y0 x1 y1", (1, "first", "10.0D", "10.0D", "50.0D", "20.0D"), (2, "first", "10.0D", "10.0D", "50.0D", "20.0D"))
+    words = each("page_num word x0 y0 x1 y1", (1, "concat(first, ',')", "10.0D", "10.0D", "50.0D", "20.0D"), (1, "concat(first, 'ian')", "70.0D", "10.0D", "90.0D", "20.0D"))
+    scanned = each("page_num pos word x0 y0 x1 y1", (2, 0, "upper(first)", 100, 100, 180, 120), (2, 1, "'was'", 200, 100, 240, 120))
+    images = each("page_num xref px_w px_h rect_w ink_ratio", (1, 7, 300, 60, "120.0D", "0.1D"), (3, 7, 300, 60, "120.0D", "0.1D"), (2, 8, 900, 900, "500.0D", "0.5D"))
+    image_words = each("xref pos word x0 y0 x1 y1", (7, 0, "first", 5, 5, 60, 20), (8, 0, "first", 5, 5, 60, 20))
+    marks = each("kind page_num value", ("'bookmark'", 0, "concat(first, ' plan')"))
+    plan = plan_redaction(rows.select("doc_id"), rows.select("doc_id", F.col("first").alias("text")), pages, words, hits, scanned, images, image_words, marks, zones=True)
+    return plan.groupBy("stage", "kind", "page_num", "action").agg(F.count("*").alias("n"), F.sum("x0").alias("x0"), F.sum("y1").alias("y1")).withColumn("action", F.when(F.col("kind") == "bookmark", F.lit("title")).otherwise(F.col("action"))).groupBy("stage", "kind", "page_num", "action").agg(F.sum("n").alias("n"), F.sum("x0").alias("x0"), F.sum("y1").alias("y1"))
+
+
+def v06_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents read again by a scanner: what is still visible and pages that could not be read are failures."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    outputs = rows.select("doc_id", F.inline(F.expr("array(named_struct('page_num', 1, 'text', case when k % 4 = 0 then concat('by ', lower(last), ' today') else concat(last, 'ia was there') end, 'error', cast(null as string)), named_struct('page_num', 2, 'text', '', 'error', case when k % 7 = 0 then 'no image' end))")))
+    return W.verify_scanned(outputs, rows.select("doc_id", F.col("last").alias("text"))).select(F.col("doc_id").cast("long").alias("k"), F.array_join("failures", "; ").alias("failures"), "status")
+
+
+def o08_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected matches of the documents by category, most first."""
+    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    return R.selected_categories(ranked.where("match_idx % 2 = 0"), "n")
+
+
+def b06_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as placements of images on pages: each image of an order is read once, pages that were scanned are left out."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS page_num", "l_suppkey % 3 AS xref", "l_returnflag")
+    return S.unique_images(rows.select("doc_id", "page_num", "xref"), rows.where("l_returnflag = 'R'").select("doc_id", "page_num").distinct())
+
+
+def k11_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = S.metadata_plan(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id")))
+    return plan.groupBy("kind", "value", "action").agg(F.count("*").alias("n"))
 
 
 def r04_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,43 +392,54 @@ def r04_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k06_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "document_name string, output_name string, page_num int, line_num int, match_idx int, text string, category string, confidence double", ("a", "a", 2, 1, 0, "[phone]", "Phone number", 0.95), ("a", "a", 1, 3, 1, "[Student]", "Student name", 0.75))
-    return R.audit_lines(rows).select("document_name", F.size(F.split("section", "\n")).alias("n_lines"), F.element_at(F.split("section", "\n"), 3).alias("first_entry"))
+    """Log lines of the matches found in the reports, by document."""
+    found = R.rank_matches(R.dedup_matches(detect_lines(*_reports(spark, sf_dir)))).where("category = 'Date of birth' or category = 'ABN'")
+    lines = R.audit_lines(found.select(F.col("doc_id").alias("document_name"), F.col("doc_id").alias("output_name"), "page_num", "line_num", "match_idx", "text", "category", "confidence"))
+    return lines.select(F.col("document_name").cast("long").alias("k"), "place", "line")
 
 
 def manual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _rows(spark, "doc_id string, text string, category string, confidence double, page_num int, line_num int, context string, source string, match_idx int", ("d", "Ann", "Student name", 0.95, 1, 1, "", "regex", 0))
-    more = _rows(spark, "doc_id string, text string, category string, page_num int", ("d", " Bob ", None, 1), ("d", "Bo", None, 1), ("d", "Late", None, 3))
-    return R.add_manual(ranked, more, _rows(spark, "doc_id string, total_pages int", ("d", 2))).select("match_idx", "text", "category", "confidence", "line_num", "source")
+    """Entries by hand: one that is fine, one that is too short, one on a page that is not there."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    ranked = rows.where("k % 2 = 0").selectExpr("doc_id", "first AS text", "'Student name' AS category", "0.95D AS confidence", "1 AS page_num", "1 AS line_num", "'' AS context", "'regex' AS source", "0 AS match_idx")
+    more = rows.selectExpr("doc_id", "inline(array(named_struct('text', concat(' ', last, ' '), 'category', cast(null as string), 'page_num', 1), named_struct('text', 'Bo', 'category', cast(null as string), 'page_num', 1), named_struct('text', 'Late', 'category', cast(null as string), 'page_num', 3)))")
+    return R.add_manual(ranked, more, rows.selectExpr("doc_id", "2 AS total_pages")).select(F.col("doc_id").cast("long").alias("k"), "match_idx", "text", "category", "confidence", "line_num", "source")
 
 
 def e06_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles that people gave, one of them unusable because it shows a name."""
-    cases = _rows(spark, CASE, ("c", "Billy Bob", [], [], []))
-    chosen = _rows(spark, "case_id string, doc_order string, match_idx int, text string, category string", *[("c", "d", i, t, "Person name (NER)") for i, t in enumerate(["S. Williams", "Sarah Williams", "John Citizen", "Billy Chen", "Ms Lee"])])
-    answers = _rows(spark, "case_id string, place int, name string, role string, custom string", ("c", 0, "Ms Williams", "teacher", None), ("c", 1, "John Citizen", "other", "Billy's mum"), ("c", 2, "Ms Lee", "health", "speech pathologist"), ("c", 3, "Billy Bob", "teacher", None))
-    return who.owner_labels(who.build_rosters(cases, chosen, answers)).select("seq", "full_name", "role", "label")
+    """Roles that people gave: one that fits a written form, one that shows a name and is refused, one typed, one for the student."""
+    rows = _people(spark, sf_dir).withColumn("case_id", F.col("k").cast("string"))
+    named = "array('S. Harcastle', 'Sidonie Harcastle', concat('Ansgar ', town), 'Ms Plimmer')"
+    chosen = rows.select("case_id", F.lit("d").alias("doc_order"), F.posexplode(F.expr(named)).alias("match_idx", "text"), F.lit("Person name (NER)").alias("category"))
+    answer = lambda place, name, role, custom: F.struct(F.lit(place).alias("place"), F.expr(name).alias("name"), F.lit(role).alias("role"), F.expr(custom).cast("string").alias("custom"))
+    answers = rows.select("case_id", F.inline(F.array(answer(0, "'Ms Harcastle'", "teacher", "null"), answer(1, "concat('Ansgar ', town)", "other", "concat('aide of ', first)"), answer(2, "'Ms Plimmer'", "health", "'night nurse'"), answer(3, "concat(first, ' ', last)", "teacher", "null"))))
+    cases = I.cases(rows).select("case_id", "student_name", *[F.array().cast("array<string>").alias(c) for c in ("parent_names", "family_names", "organisation_names")])
+    return who.owner_labels(who.build_rosters(cases, chosen, answers)).select(F.col("case_id").cast("long").alias("k"), "seq", "full_name", "role", "label")
 
 
 def s08_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "doc_id string, page_num int, blocks array<struct<kind:int,text:string>>", ("d", 1, [(0, "text"), (1, "image"), (0, "more")]))
-    return blocks_of_page(rows)
+    """Nations of a region as the blocks of a page, those with even keys text."""
+    rows = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("page_num")).agg(F.collect_list(F.struct((F.col("n_nationkey") % 2).alias("kind"), F.col("n_name").alias("text"))).alias("blocks"))
+    return blocks_of_page(rows.withColumn("doc_id", F.lit("d"))).select("page_num", "text")
 
 
 def s09_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
-    rows = _rows(spark, f"doc_id string, page_num int, blocks array<struct<lines:array<struct<spans:array<{span}>>>>>", ("d", 1, [([([("Joe", 1.0, 2.0, 3.0, 4.0), ("", 1.0, 2.0, 3.0, 4.0), ("lost", None, None, None, None)],)],)]))
-    return spans_of_page(rows)
+    """Line items of an order as spans of one line; some have no text, some no box."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_linestatus")).alias("text"), F.when(F.col("l_linenumber") != 2, F.col("l_linenumber").cast("double")).alias("x0"), *[F.col("l_quantity").cast("double").alias(c) for c in ("y0", "x1", "y1")]).alias("s"))
+    lines = rows.groupBy("doc_id").agg(F.array(F.struct(F.array(F.struct(F.collect_list("s").alias("spans"))).alias("lines"))).alias("blocks"))
+    return spans_of_page(lines.withColumn("page_num", F.lit(1))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("x0").alias("x0"), F.sum("y1").alias("y1"))
 
 
 def p01_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "n int, text string", (0, "Griﬃn"), (1, "O’Brien “said”"), (2, "plain 'x'"), (3, None))
+    """Ligatures, full-width letters, parted accents and curly quotes made plain; settled text stays."""
+    rows = _people(spark, sf_dir).select("k", F.expr("concat(first, '’s “', last, '” ﬁle Ａ e\u0301 é ß')").alias("text"))
     return X.normalise(rows)
 
 
 def p03_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "line string, s int, e int", ("Call Ann now", 5, 8), ("x" * 60 + "Ann" + "y" * 60, 60, 63))
-    return rows.select(X.context(F.col("line"), F.col("s"), F.col("e")).alias("context"))
+    """The context of each document's middle."""
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("s"))
+    return rows.select("doc_id", X.context(F.col("text"), F.col("s"), F.col("s") + 3).alias("context"))
 
 
 def p05_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +449,8 @@ def p05_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p09_name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "typed string", (" Ann Lee, ,Bo Li,",), ("",), (None,))
-    return rows.select("typed", F.array_join(X.name_list(F.col("typed")), "|").alias("names"))
+    rows = _people(spark, sf_dir).select("k", F.expr("case when k % 10 = 0 then null when k % 10 = 1 then '' else concat(' ', first, ' ', last, ', ,', seen_by, ',') end").alias("typed"))
+    return rows.select("k", F.array_join(X.name_list(F.col("typed")), "|").alias("names"))
 
 
 def f01_gate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,19 +462,21 @@ def f01_gate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f02_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label anywhere on a page flags all its dates; a label on a line those of that line or, without any, of the next."""
-    text = "Born in spring.\nSeen 1/2/2020 and 3-4-2021.\nLeft 5/6/2022."
-    pages = _rows(spark, PAGE, ("c", "d", 1, text))
-    by_page = pages.select(F.lit("page").alias("scope"), F.inline(page_entities(F.col("text")))).where("type = 'AU_DOB'").groupBy("scope").agg(F.count("*").alias("n"))
-    by_line = detect_lines(pages).where("category = 'Date of birth'").groupBy(F.lit("line").alias("scope")).agg(F.count("*").alias("n"))
-    return by_page.unionByName(by_line)
+    rows = _people(spark, sf_dir)
+    pages = I.reports(rows).drop("text").join(rows.select(F.col("k").cast("string").alias("case_id"), F.expr("concat('Born in spring.\nSeen ', dob, ' and 3-4-2021.\nLeft 5/6/2022.')").alias("text")), "case_id")
+    by_page = pages.select("doc_id", F.lit("page").alias("scope"), F.inline(page_entities(F.col("text")))).where("type = 'AU_DOB'").groupBy("doc_id", "scope").agg(F.count("*").alias("n"))
+    by_line = detect_lines(pages).where("category = 'Date of birth'").groupBy("doc_id", F.lit("line").alias("scope")).agg(F.count("*").alias("n"))
+    return by_page.unionByName(by_line).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def f12_image_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.image_only_pages(_rows(spark, "page_num int, n_words int, n_images int", (1, 0, 2), (2, 5, 1), (3, 0, 0))).select("page_num")
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 4 as int) AS n_words", "cast(l_suppkey % 3 as int) AS n_images")
+    return S.image_only_pages(rows).select("l_orderkey", "l_linenumber", "n_images")
 
 
 def b01_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.zones(_rows(spark, "doc_id string, page_num int, width double, height double", ("d", 1, 600.0, 1000.0)))
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS page_num", "cast(l_partkey % 600 + 1 as double) AS width", "cast(l_suppkey % 900 + 100 as double) AS height")
+    return S.zones(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("y0"), 6).alias("y0"), F.round(F.sum("y1"), 6).alias("y1"), F.sum("x1").alias("x1"))
 
 
 def j05_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,9 +486,10 @@ def j05_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14_effective_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _rows(spark, "case_id string, full_name string, suggested_role string", ("c", "Ann", "teacher"), ("c", "Bo", "health"), ("c", "Cy", "other"))
-    answers, ignored = _rows(spark, "case_id string, full_name string, role string", ("c", "Bo", "carer")), _rows(spark, "case_id string, full_name string", ("c", "Cy"))
-    return effective_roles(people, answers, ignored).select("full_name", "role")
+    rows = _people(spark, sf_dir).select(F.col("k").alias("case_id"), F.col("seen_by").alias("full_name"))
+    people = rows.withColumn("suggested_role", F.lit("teacher"))
+    answers, ignored = rows.where("case_id % 3 = 0").withColumn("role", F.lit("carer")), rows.where("case_id % 5 = 0")
+    return effective_roles(people, answers, ignored).select(F.col("case_id").alias("k"), "full_name", "role")
 
 
 def a01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,17 +498,17 @@ def a01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a06_ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = _rows(spark, "doc_id string, page_num int", ("d", 1), ("d", 2), ("d", 2), ("e", 1))
-    return R.ocr_item_counts(matches, _rows(spark, "doc_id string, ocr_pages array<int>", ("d", [2]), ("e", [])))
+    """Line items as matches on pages; the second and third page of every other order were scanned."""
+    matches = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "cast(l_linenumber as int) AS page_num")
+    return R.ocr_item_counts(matches, _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "case when o_orderkey % 2 = 0 then array(2, 3) else cast(array() as array<int>) end AS ocr_pages"))
 
 
 def a11_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.run_totals(_rows(spark, "success boolean, items int, failures array<string>, ocr_warnings array<string>", (True, 3, [], ["w"]), (False, 2, ["x", "y"], [])))
+    return R.run_totals(_table(spark, sf_dir, "orders").selectExpr("o_orderstatus = 'F' AS success", "cast(o_custkey as int) AS items", "case when o_orderstatus = 'P' then array('x', 'y') else cast(array() as array<string>) end AS failures", "case when o_orderkey % 3 = 0 then array('w') else cast(array() as array<string>) end AS ocr_warnings"))
 
 
 def a15_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, cases = _report(spark)
-    return who.ambiguity_notes(deidentify(pages, cases, detect(pages, cases))["forms"]).select("form", "note")
+    return who.ambiguity_notes(_run(spark, sf_dir)["forms"]).select(F.col("case_id").cast("long").alias("k"), "form", "note")
 
 
 def a16_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,25 +518,26 @@ def a16_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.folder_counts(_rows(spark, "status string", ("pdf",), ("converted",), ("failed",), ("protected",), ("pdf",)))
+    return R.folder_counts(_table(spark, sf_dir, "orders").selectExpr("split_part('pdf,converted,failed,protected,pdf', ',', cast(o_orderkey % 5 + 1 as int)) AS status"))
 
 
 def e09_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _rows(spark, "case_id string, seq int, full_name string, label string, role string, custom string, source string", ("c", 1, "Mary Bob", "[Parent]", "parent", None, "entered"), ("c", 2, "Sarah Williams", "[Other person 1]", "other", None, "detected"), ("c", 3, "Dr Lee", "[Other person 2]", "other", None, "detected"))
-    mentions = _rows(spark, "case_id string, full_name string, at int, context string", ("c", "Sarah Williams", 1, "His classroom teacher, Sarah Williams"), ("c", "Sarah Williams", 2, "Sarah Williams said"), ("c", "Mary Bob", 3, "his mother Mary Bob"))
-    return describe_people(people, mentions).select("full_name", "occurrences", "suggested_role", "confidence", "evidence")
+    rows = _people(spark, sf_dir).withColumn("case_id", F.col("k").cast("string"))
+    person = lambda seq, name, role, source: f"named_struct('seq', {seq}, 'full_name', {name}, 'label', '[x]', 'role', '{role}', 'custom', cast(null as string), 'source', '{source}')"
+    people = rows.selectExpr("case_id", f"inline(array({person(1, 'mother_first', 'parent', 'entered')}, {person(2, 'seen_by', 'other', 'detected')}, {person(3, chr(39) + 'Dr Lee' + chr(39), 'other', 'detected')}))")
+    mentions = rows.selectExpr("case_id", "inline(array(named_struct('full_name', seen_by, 'at', 1, 'context', concat('the tutor, ', seen_by)), named_struct('full_name', seen_by, 'at', 2, 'context', concat(seen_by, ' said')), named_struct('full_name', mother_first, 'at', 3, 'context', 'the mother')))")
+    return describe_people(people, mentions).select(F.col("case_id").cast("long").alias("k"), "full_name", "occurrences", "suggested_role", "confidence", "evidence")
 
 
 def k05_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = _rows(spark, "case_id string, seq int, full_name string, label string", ("c", 0, "Billy Bob", "[Student]"), ("c", 1, "Mary Bob", "[Parent]"))
-    notes = _rows(spark, "case_id string, form string, note string", ("c", "bob", "shared"))
-    names = _rows(spark, "case_id string, original string, produced string", ("c", "Billy.pdf", "Student document_deidentified.txt"), ("c", "Other.pdf", None))
-    return key_lines(owners, notes, names).where("section > 0").select("section", "line")
+    rows = _people(spark, sf_dir).withColumn("case_id", F.col("k").cast("string"))
+    run = _run(spark, sf_dir)
+    names = rows.selectExpr("case_id", "concat(first, '.pdf') AS original", "case when k % 2 = 0 then 'Student document_deidentified.txt' end AS produced")
+    return key_lines(run["owners"], who.ambiguity_notes(run["forms"]), names).where("section > 0").select(F.col("case_id").cast("long").alias("k"), "section", "line")
 
 
 def r10_filename_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = W.filename_names(_rows(spark, CASE, ("c", "Joe Bloggs", ["Al Bloggs"], None, ["Oak Hill"])))
-    return rows.select(F.explode("names").alias("name"))
+    return W.filename_names(I.cases(_people(spark, sf_dir))).select(F.col("case_id").cast("long").alias("k"), F.array_join("names", "|").alias("names"))
 
 
 def w07_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,8 +549,10 @@ def w07_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u04_native_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "pages array<int>, ocr array<int>", ([1, 2, 3], [2, 9]))
-    return rows.select(F.array_join(F.array_except("pages", "ocr").cast("array<string>"), ",").alias("native"), F.array_join(F.array_intersect("ocr", "pages").cast("array<string>"), ",").alias("scanned"))
+    """Pages with text of their own, and scanned ones that were produced, as arrays of line numbers of an order."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("pages")).withColumn("ocr", F.array(F.lit(3), F.lit(2), F.lit(99)))
+    text = lambda a: F.array_join(F.array_sort(a).cast("array<string>"), ",")
+    return rows.select("l_orderkey", text(R.native_pages("pages", "ocr")).alias("native"), text(R.scanned_pages("pages", "ocr")).alias("scanned"))
 
 
 _NAMED: list[Query] = [
@@ -455,7 +560,7 @@ _NAMED: list[Query] = [
     d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
     s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
-    a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
+    d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
 ]
 
 
