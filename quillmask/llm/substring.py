@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, numbered
 from .stream import tidy
 from .words import Words, as_strings, pieces, window_hash
 
@@ -66,14 +66,33 @@ def _paths(w: Words, k: int, anchor: int, seed: int) -> tuple[np.ndarray, ...]:
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, anchor: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = as_strings(batch.column(2))
+        text = as_strings(batch.column(1))
         for a, b in pieces(text):
             w = Words(text.slice(a, b - a))
             doc, start, count, *hashes = _paths(w, k, anchor, seed)
             off = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
             flat = [pa.array(x.astype(np.int32)) for x in (start, count)] + [pa.array(x.view(np.int64)) for x in hashes]
             lists = [pa.ListArray.from_arrays(off, x) for x in flat]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], ["id0", "tk", "start", "count", "m", "f", "l"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["row", "start", "count", "m", "f", "l"])
+
+
+_MET = "row long, start int, count int, m long, f long, l long, follows long, precedes long, mixed boolean"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of repeated anchors, by their place in the lists of a text, with the windows just behind and before them."""
+    for batch in batches:
+        flags, lists = batch.column(6), [batch.column(i) for i in range(1, 6)]
+        at, size = lists[0].offsets.to_numpy().astype(np.int64), np.diff(flags.offsets.to_numpy())
+        some = flags.flatten()
+        place = some.field("pos").to_numpy() + np.repeat(at[:-1], size)
+        end = np.repeat(at[1:], size)
+        start, count, m, f, l = (x.values.to_numpy()[place] for x in lists)  # noqa: E741
+        first, last = lists[3].values.to_numpy(), lists[4].values.to_numpy()
+        follows = pa.array(first[np.minimum(place + 1, len(first) - 1)], pa.int64(), mask=place + 1 >= end)
+        precedes = pa.array(last[np.maximum(place - 1, 0)], pa.int64(), mask=place == np.repeat(at[:-1], size))
+        row = np.repeat(batch.column(0).to_numpy(), size)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (row, start, count, m, f, l)), follows, precedes, some.field("mixed")], [x.split()[0] for x in _MET.split(", ")])
 
 
 _WINDOW = "m long, f long, l long, count int, idx int, h long, follows long, precedes long, n long"
@@ -173,23 +192,21 @@ _ROW = ["m", "f", "l", "count"]
 def _graph(texts: DataFrame, scratch: Scratch, k: int, anchor: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of repeated anchors, windows of unrolled rows, and the vertices of the graph: first and last window, number of
     windows, and the only window that follows and precedes them."""
-    sketch = texts.mapInArrow(tidy(_sketch, k=k, anchor=anchor, seed=seed), "id0 long, tk long, start array<int>, count array<int>, m array<long>, f array<long>, l array<long>")
-    sketch = scratch.save(sketch, "sketch")
+    sketch = texts.mapInArrow(tidy(_sketch, k=k, anchor=anchor, seed=seed), "row long, start array<int>, count array<int>, m array<long>, f array<long>, l array<long>")
+    sketch = scratch.save(sketch.where(F.size("m") > 0), "sketch")
     anchors = sketch.select(F.inline(F.arrays_zip("m", "f", "l", "count"))).select("m", F.xxhash64("f", "l", "count").alias("c"))
     anchors = anchors.groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
     anchors = scratch.save(anchors.select("m", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    null = F.array(F.lit(None).cast("long"))
-    beside = {"follows": F.concat(F.expr("slice(f, 2, greatest(size(f) - 1, 0))"), null), "precedes": F.concat(null, F.expr("slice(l, 1, greatest(size(l) - 1, 0))"))}
-    rows = sketch.where(F.size("m") > 0).withColumns(beside).select("id0", "tk", F.inline(F.arrays_zip("start", "count", "m", "f", "l", "follows", "precedes")))
-    met = scratch.save(rows.join(anchors, "m"), "met")
-    scratch.drop("sketch", "anchors")
+    # only anchors and places are dealt out by anchor; the hashes come from the lists of each text
+    flags = scratch.save(sketch.select("row", F.posexplode("m").alias("pos", "m")).join(anchors, "m").select("row", "pos", "mixed"), "flags")
+    by_row = flags.groupBy("row").agg(F.collect_list(F.struct("pos", "mixed")).alias("flags"))
+    met = scratch.save(sketch.join(by_row.hint("merge"), "row").select(*sketch.columns, "flags").mapInArrow(tidy(_met), _MET), "met")
+    scratch.drop("sketch", "anchors", "flags")
 
-    kinds = met.groupBy(*_ROW, "mixed").agg(F.count("*").alias("n"), _only("follows"), _only("precedes"), F.min(F.when(F.col("mixed"), F.struct("id0", "tk", "start"))).alias("at"))
+    kinds = met.groupBy(*_ROW, "mixed").agg(F.count("*").alias("n"), _only("follows"), _only("precedes"), F.min(F.when(F.col("mixed"), F.struct("row", "start"))).alias("at"))
     kinds = scratch.save(kinds, "kinds")
-    todo = kinds.where("mixed").groupBy("at.id0", "at.tk").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), *_ROW, "follows", "precedes", "n")).alias("todo"))
-    # rows that share id and text would unroll a row twice
-    windows = texts.join(todo, ["id0", "tk"]).select("text", "todo").mapInArrow(tidy(_unroll, k=k, seed=seed), _WINDOW).dropDuplicates([*_ROW, "idx"])
-    windows = scratch.save(windows, "windows")
+    todo = kinds.where("mixed").groupBy("at.row").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), *_ROW, "follows", "precedes", "n")).alias("todo"))
+    windows = scratch.save(texts.join(todo.hint("merge"), "row").select("text", "todo").mapInArrow(tidy(_unroll, k=k, seed=seed), _WINDOW), "windows")
     edges = windows.groupBy("h").agg(F.sum("n").alias("n"), _only("follows"), _only("precedes"), F.min(F.struct(*_ROW, "idx")).alias("at")).where("n > 1")
     # a window's first place; the windows of an anchor's row that only follow each other are compacted there
     order = Window.partitionBy(*_ROW).orderBy("idx")
@@ -221,18 +238,18 @@ def _compact(vertices: DataFrame, scratch: Scratch) -> DataFrame | None:
     return scratch.save(table.join(links.select(F.col("to").alias("first")), "first", "left_anti").select(F.col("first").alias("chain"), "total"), "chains")
 
 
-def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 35, anchor: int = 12) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text", k: int = 35, anchor: int = 12) -> DataFrame:
     """docs with n_words, n_removed and kept: the words not covered by a k-word window whose words also start anywhere else
     (the same text included), joined by one space. 2 <= anchor < k.
 
     Null texts count as empty: 0, 0 and "". Texts of fewer than k words lose nothing. Repeated rows are copies of each
     other and lose all windows; ids may be null or repeated. An empty table gives an empty one. Other columns stay as they
-    are; a column that has the name of a result (or of a helper: _id0, _tk, _marks) is refused with a ValueError."""
-    clash = {"n_words", "n_removed", "kept", "_id0", "_tk", "_marks"} & set(docs.columns)
+    are; a column that has the name of a result (or of a helper: _row, _marks) is refused with a ValueError."""
+    clash = {"n_words", "n_removed", "kept", "_row", "_marks"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    id0, tk = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text_col)
-    texts = docs.select(id0.alias("id0"), tk.alias("tk"), F.col(text_col).alias("text"))
+    docs = numbered(docs, Scratch(docs.sparkSession, "rows"))
+    texts = docs.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
     for seed in range(TRIES):
         met, windows, vertices = _graph(texts, scratch, k, anchor, seed)
         chains = _compact(vertices, scratch)
@@ -241,13 +258,12 @@ def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
             continue
         # where compacted paths begin; both sides of these joins are written, so that a key with very many rows can be split
         inner = scratch.save(windows.select(*_ROW, "idx", F.col("h").alias("chain")).join(chains, "chain"), "inner")
-        spans = met.where("mixed").join(inner, _ROW).select("id0", "tk", (F.col("start") + F.col("idx")).alias("start"), "total", "chain")
-        whole = met.where("not mixed").withColumn("chain", F.col("f")).join(chains, "chain").select("id0", "tk", "start", "total", "chain")
-        marked = scratch.save(spans.unionByName(whole).distinct(), "marked")
+        spans = met.where("mixed").join(inner, _ROW).select("row", (F.col("start") + F.col("idx")).alias("start"), "total", "chain")
+        whole = met.where("not mixed").withColumn("chain", F.col("f")).join(chains, "chain").select("row", "start", "total", "chain")
+        marked = scratch.save(spans.unionByName(whole), "marked")
         scratch.drop("met", "windows", "chains", "inner")
-        marks = marked.groupBy(F.col("id0").alias("_id0"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("start", "total", "chain")).alias("_marks"))
-        rows = docs.withColumns({"_id0": id0, "_tk": tk}).join(marks.hint("merge"), ["_id0", "_tk"], "left").select(*docs.columns, "_marks")
-        rows = scratch.save(rows, "rows")
+        marks = marked.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "total", "chain")).alias("_marks"))
+        rows = scratch.save(docs.join(marks.hint("merge"), "_row", "left").drop("_row"), "rows")
         scratch.drop("marked")
         proof = rows.where("_marks is not null").select(text_col, "_marks").mapInArrow(tidy(_prove, k=k), "chain long, d1 long, d2 long")
         proof = proof.groupBy("chain").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}{c}") for f in (F.min, F.max) for c in ("d1", "d2")))
@@ -255,5 +271,5 @@ def remove_repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
             break
     else:
         raise RuntimeError(f"hashes of different words agree in {TRIES} sets of hashes")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return rows.mapInArrow(tidy(_cut, k=k, names=schema.names, text_at=docs.columns.index(text_col)), schema)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return rows.mapInArrow(tidy(_cut, k=k, names=schema.names, text_at=rows.columns.index(text_col)), schema)
