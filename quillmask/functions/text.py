@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexicons import SHOWN_CATEGORIES
-from .patterns import PATHS
+from .patterns import EDGE_AFTER, EDGE_BEFORE, PATHS, SEPARATOR
 
 SPAN = "struct<start:int,end:int,text:string>"
 
@@ -54,6 +54,22 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
 
 
+def parts(text: Column) -> Column:
+    """Lower-case words of a chosen text between separators."""
+    return F.filter(F.split(F.lower(text), "(?U)" + SEPARATOR + "+"), lambda t: t != "")
+
+
+def loose_pattern(text: Column) -> Column:
+    """A pattern for a text whose words may be parted by any separators or none; empty for a text of separators."""
+    return F.array_join(F.transform(parts(text), quoted), SEPARATOR + "*")
+
+
+def visible(text: Column, haystack: Column) -> Column:
+    """Whether a text still stands in haystack as whole words, with a possessive s or without."""
+    pattern = F.concat(F.lit("(?Ui)" + EDGE_BEFORE), loose_pattern(text), F.lit("(?:['’]s)?" + EDGE_AFTER))
+    return (F.size(parts(text)) > 0) & F.regexp_like(haystack, pattern)
+
+
 def spans(text: Column, pattern: Column | str, group: int = 0) -> Column:
     """All matches of pattern as array of SPAN: 0-based start, end after the last, and the text of group. Offsets are summed up in
     one pass over the matches and what lies before each; those of group 1 assume that its text is the last such text in the
@@ -74,7 +90,9 @@ def spans(text: Column, pattern: Column | str, group: int = 0) -> Column:
         # behind the last match there is only text
         return F.when(h.isNull(), so_far).otherwise(F.struct((start + F.length(h)).alias("at"), F.concat(so_far["out"], F.array(one)).alias("out")))
 
-    return F.aggregate(both, zero, more, lambda s: s["out"])
+    made = F.aggregate(both, zero, more, lambda s: s["out"])
+    # a fixed pattern is tried first, as most lines hold no match
+    return F.when(F.regexp_like(text, p), made).otherwise(F.array().cast(f"array<{SPAN}>")) if isinstance(pattern, str) else made
 
 
 def context(line: Column, start: Column, end: Column, width: int = 50) -> Column:

@@ -10,29 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.lexicons import CATEGORY_LABELS, SHARED_SURNAME, SOME_NAME, SOME_ORGANISATION, SOMETHING
-from ..functions.text import quoted
+from ..functions.text import loose_pattern, parts, quoted, visible
 from .people import label_for, should_replace
 
 #: Stands between the cells of a table row while text is rewritten and checked; matches may span it.
 CELL = "\u2028"
 
 
-def parts(text: Column) -> Column:
-    """Lower-case words of a chosen text between separators."""
-    return F.filter(F.split(F.lower(text), "(?U)" + P.SEPARATOR + "+"), lambda t: t != "")
-
-
-def loose_pattern(text: Column) -> Column:
-    """A pattern for a text whose words may be parted by any separators or none; empty for a text of separators."""
-    return F.array_join(F.transform(parts(text), quoted), P.SEPARATOR + "*")
-
-
-def visible(text: Column, haystack: Column) -> Column:
-    """Whether a text still stands in haystack as whole words, with a possessive s or without."""
-    pattern = F.concat(F.lit("(?Ui)" + P.EDGE_BEFORE), loose_pattern(text), F.lit("(?:['’]s)?" + P.EDGE_AFTER))
-    return (F.size(parts(text)) > 0) & F.regexp_like(haystack, pattern)
-
-
 def _squeezed(text: Column) -> Column:
     return F.array_join(parts(text), "")
 

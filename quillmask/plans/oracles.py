@@ -29,10 +29,10 @@ def _values(columns: str, *rows: str) -> str:
 
 
 ORACLES = {
-    "flagship": f"WITH {_DEDUP} SELECT category, 'high' AS label, count(*) AS n FROM deduped WHERE lang = 'en' GROUP BY category",
+    "flagship": f"WITH {_DEDUP} SELECT category, 'high' AS label, count(*) AS n FROM deduped GROUP BY category",
     "p02_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars, max(line_num) AS last_line FROM lines GROUP BY doc_id",
     "d01_names": f"WITH {_LINES}, forms AS (SELECT unnest(['eriner retion', 'eriner', 'retion', 'e. retion', 'eriner r.', 'e.r.']) AS form) "
-                 r"SELECT source, form, count(DISTINCT doc_id) AS n_docs FROM lines, forms WHERE regexp_matches(lower(line), '(^|[^\p{L}\p{N}_])' || replace(form, '.', '\.') || CASE WHEN form LIKE '%.' THEN '[\p{L}\p{N}_]' ELSE '($|[^\p{L}\p{N}_])' END) AND source IS NOT NULL GROUP BY source, form",
+                 r"SELECT coalesce(source, '(none)') AS source, form, count(DISTINCT doc_id) AS n_docs FROM lines, forms WHERE regexp_matches(lower(line), '(^|[^\p{L}\p{N}_])' || replace(form, '.', '\.') || CASE WHEN form LIKE '%.' THEN '[\p{L}\p{N}_]' ELSE '($|[^\p{L}\p{N}_])' END) GROUP BY coalesce(source, '(none)'), form",
     "d03_phone": f"WITH {_FOUND} SELECT doc_id, line_num, min_by(text, nth) AS text, 0.95::DOUBLE AS confidence FROM phones GROUP BY doc_id, line_num, lower(text)",
     "d04_email": f"WITH {_FOUND} SELECT doc_id, line_num, text, 0.95::DOUBLE AS confidence FROM emails",
     "d10_dob_same_line": f"WITH {_LINES}, {_hits('dates', 'Date of birth', _DATES)} SELECT doc_id, line_num, text FROM dates WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id, line_num, text",
@@ -47,8 +47,8 @@ ORACLES = {
     "r02_documents": f"WITH {_DEDUP} SELECT 'all' AS scope, count(DISTINCT doc_id) AS docs_changed, count(*) AS emails FROM emails",
     "f14_preselect": "SELECT category, mode, mode = 'redact' OR category NOT LIKE '%(NER)' OR category IN ('Person name (NER)', 'Location (NER)') AS chosen, shown FROM (VALUES ('Student name', 'Student name'), ('Person name (NER)', 'Name (found automatically)'), "
                      "('Person name (NER variation)', 'Name variation (found automatically)'), ('Location (NER)', 'Possible place name (auto-detected)'), ('ORGANIZATION (NER)', 'Possible organisation (auto-detected)'), ('Date/Time (NER)', 'Date or time (auto-detected)'), ('Phone number', 'Phone number')) AS c(category, shown), (VALUES ('redact'), ('deidentify')) AS m(mode)",
-    "b03_boxes": _values("text, x0, y0, x1, y1", "'Annabella', 4.0::DOUBLE, 4.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE", "'Ann', 99.0, -1.0, 131.0, 11.0"),
-    "r04_layout": _values("page_num, text", "1, 'Working Memory | 79 | 8 | Below average'", "2, 'Comments' || chr(10) || 'Behaviour improved.'", "3, 'A long line that wraps onto the next.'"),
+    "b03_boxes": _values("text, x0, y0, x1, y1", "'Fernbrook', 4.0::DOUBLE, 4.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE", "'Fern', 99.0, -1.0, 131.0, 11.0"),
+    "r04_layout": _values("page_num, text", "1, 'Bridge span | 79 | 8 | wide enough'", "2, 'Comments' || chr(10) || 'The water fell.'", "3, 'A line too wide that goes on in another one.'"),
     "p05_label": "SELECT CASE WHEN l_discount::DOUBLE * 10 >= 0.8 THEN 'high' WHEN l_discount::DOUBLE * 10 >= 0.5 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM lineitem GROUP BY 1",
     "f01_gate_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines FROM lines WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id",
     "j05_missing": f"WITH {_FOUND} SELECT count(*) AS n, 'Run detection first' AS error FROM documents d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id)",
@@ -81,7 +81,7 @@ _ALL_FORMS = "unnest([first || ' ' || last, first, last, substr(first, 1, 1) ||
 _TURNS = "turns AS (SELECT conv_id, turn::INT AS page_num, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM conversations WHERE text IS NOT NULL)"
 
 ORACLES |= {
-    "w01_ties": "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0), m AS (SELECT o_custkey AS doc_id, o_orderkey::INT AS line_num, o_orderpriority AS text, 'A' AS category, 0.65::DOUBLE AS confidence FROM o UNION ALL SELECT o_custkey, o_orderkey::INT, o_orderstatus || ' only', 'D', 0.95 FROM o) "
+    "w01_ties": "WITH o AS (SELECT * FROM orders), m AS (SELECT o_custkey AS doc_id, o_orderkey::INT AS line_num, o_orderpriority AS text, 'A' AS category, 0.65::DOUBLE AS confidence FROM o UNION ALL SELECT o_custkey, o_orderkey::INT, o_orderstatus || ' only', 'D', 0.95 FROM o) "
                 "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, line_num) - 1)::INT AS match_idx, line_num, text, category, confidence FROM m",
     "d17_variations": f"WITH {PEOPLE} SELECT k, {_ALL_FORMS} AS form FROM p",
     "d17_nicknames": f"WITH {PEOPLE} SELECT k, unnest(CASE first WHEN 'Matthew' THEN ['matt'] WHEN 'Daniel' THEN ['dan', 'danny'] END) AS form FROM p",

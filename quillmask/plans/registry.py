@@ -32,9 +32,8 @@ CASE = "case_id string, student_name string, parent_names array<string>, family_
 PAGE = "case_id string, doc_id string, page_num int, text string"
 
 
-def _pages(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pages_of_table(docs.where(where) if where else docs, "doc_id")
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def _phones_and_emails(pages: DataFrame) -> DataFrame:
@@ -68,8 +67,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct phone numbers and emails of the English documents by category and confidence label."""
-    found = R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir, "lang = 'en'")))
+    """Distinct phone numbers and emails of all documents by category and confidence label."""
+    found = R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir)))
     return found.groupBy("category", X.confidence_label(F.col("confidence")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -95,7 +94,7 @@ def d10_dob_same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d01_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, per source, in which the forms of a student's name occur; each source is a case."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.coalesce("source", F.lit("(none)")))
     cases = docs.select(F.col("source").alias("case_id")).distinct().select("case_id", F.lit("Eriner Retion").alias("student_name"), *[F.array().cast("array<string>").alias(c) for c in ("parent_names", "family_names", "organisation_names")])
     pages = docs.select(F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), "text")
     found = detect_lines(pages, cases, registry=[]).where("category = 'Student name'")
@@ -109,7 +108,7 @@ def w01_match_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w01_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as matches: the same text (any case) twice on a line, with equal or better confidence later."""
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), F.col("o_orderkey").cast("int").alias("line_num"), "o_orderpriority", "o_orderstatus")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), F.col("o_orderkey").cast("int").alias("line_num"), "o_orderpriority", "o_orderstatus")
     one = lambda text, category, confidence, at: F.struct(text.alias("text"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit("").alias("context"), F.lit("regex").alias("source"), F.array(F.lit(at)).alias("ord"))
     text = F.col("o_orderpriority")
     made = rows.select("doc_id", "page_num", "line_num", F.inline(F.array(one(text, "A", 0.65, 0), one(F.lower(text), "B", 0.65, 1), one(F.upper(text), "C", 0.65, 2), one(F.concat("o_orderstatus", F.lit(" only")), "D", 0.95, 3))))
@@ -329,8 +328,8 @@ def f13_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b03_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _rows(spark, "doc_id string, page_num int, word string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Annual", 0.0, 0.0, 60.0, 10.0), ("d", 1, "Ann,", 100.0, 0.0, 140.0, 10.0))
-    found = _rows(spark, "doc_id string, page_num int, text string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Ann", 0.0, 0.0, 30.0, 10.0), ("d", 1, "Ann", 100.0, 0.0, 130.0, 10.0), ("d", 1, "Annabella", 5.0, 5.0, 9.0, 9.0), ("d", 1, "An", 5.0, 5.0, 9.0, 9.0))
+    words = _rows(spark, "doc_id string, page_num int, word string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Fernside", 0.0, 0.0, 60.0, 10.0), ("d", 1, "Fern,", 100.0, 0.0, 140.0, 10.0))
+    found = _rows(spark, "doc_id string, page_num int, text string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Fern", 0.0, 0.0, 30.0, 10.0), ("d", 1, "Fern", 100.0, 0.0, 130.0, 10.0), ("d", 1, "Fernbrook", 5.0, 5.0, 9.0, 9.0), ("d", 1, "Fe", 5.0, 5.0, 9.0, 9.0))
     return S.whole_word_boxes(found, words).select("text", "x0", "y0", "x1", "y1")
 
 
@@ -386,8 +385,8 @@ def k11_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r04_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id string, page_num int, x0 double, y0 double, x1 double, y1 double, text string, height double"
     row = lambda p, x, y, t, w=60.0: ("d", p, x, y, x + w, y + 12.0, t, 842.0)
-    lines = _rows(spark, schema, row(1, 55.0, 400.0, "Working Memory"), row(1, 230.0, 400.0, "79"), row(1, 300.0, 401.0, "8"), row(1, 380.0, 400.0, "Below  average"), row(2, 50.0, 30.0, "Comments"), row(2, 50.0, 400.0, "Comments"),
-                  row(2, 50.0, 420.0, "Behaviour improved."), row(2, 50.0, 822.0, "Page 1 of 2"), row(3, 50.0, 400.0, "A long line that wraps", 400.0), row(3, 50.0, 413.0, "onto the next.", 100.0))
+    lines = _rows(spark, schema, row(1, 55.0, 400.0, "Bridge span"), row(1, 230.0, 400.0, "79"), row(1, 300.0, 401.0, "8"), row(1, 380.0, 400.0, "wide  enough"), row(2, 50.0, 30.0, "Comments"), row(2, 50.0, 400.0, "Comments"),
+                  row(2, 50.0, 420.0, "The water fell."), row(2, 50.0, 822.0, "Page 1 of 2"), row(3, 50.0, 400.0, "A line too wide that goes on", 400.0), row(3, 50.0, 413.0, "in another one.", 100.0))
     return layout_pages(lines, drop_zones=True).select("page_num", F.replace("text", F.lit(W.CELL), F.lit(" | ")).alias("text"))
 
 

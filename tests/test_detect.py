@@ -1,5 +1,7 @@
 """Detectors, names and people on small cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +14,10 @@ from quillmask.operators.detect import REGISTRY, detect_lines
 from quillmask.plans.flows import deidentify, detect
 from quillmask.plans.registry import CASE, PAGE
 
-NO_ADDRESS = ["Working at 2 Year Level Place Value", "2 Specialists Dr Jones", "12 Point Rise in reading fluency", "8 On The Rise", "He scored 12 Points", "Year 3 students"]
+NO_ADDRESS = ["Level 4 Term Two Reading", "3 Helpers Dr Munrose", "11 Point Rise in spelling", "6 On The Way Up", "She won 14 Points", "Grade 5 pupils"]
 
 
-def found(spark, text, student="Joe Bloggs", **lists):
+def found(spark, text, student="Oswick Munrose", **lists):
     pages = spark.createDataFrame([("c", "d", 1, text)], PAGE)
     cases = spark.createDataFrame([("c", student, lists.get("parents", []), lists.get("family", []), lists.get("orgs", []))], CASE)
     return {(r.text, r.category, r.line_num) for r in detect_lines(pages, cases).collect()}
@@ -27,7 +29,7 @@ def test_report_language_is_no_address(spark, text):
 
 
 def test_full_address_hides_the_street_within_it(spark):
-    assert [x[0] for x in found(spark, "Address: 12 Bakers Lane, Wodonga VIC 3690") if x[1] == "Address"] == ["12 Bakers Lane, Wodonga VIC 3690"]
+    assert [x[0] for x in found(spark, "Home is 7 Corvane Road, Telmora VIC 3456") if x[1] == "Address"] == ["7 Corvane Road, Telmora VIC 3456"]
 
 
 def test_same_line_number_keeps_the_next_line_out(spark):
@@ -35,9 +37,9 @@ def test_same_line_number_keeps_the_next_line_out(spark):
 
 
 def test_lists_of_names_and_telling_words(spark):
-    got = found(spark, "Mary Bob of Oak Hill Primary School met Tim Lee", parents=["Mary Bob"], family=["Tim Lee"], orgs=["Oak Hill Primary School"])
-    assert ("Mary Bob", "Parent/Guardian (user-provided)", 1) in got and ("Tim Lee", "Family member (user-provided)", 1) in got
-    assert {x[0] for x in got if x[1] == "Organisation name"} == {"Oak Hill Primary School", "Oak", "Hill"}
+    got = found(spark, "Ilsabet Vardane of Fern Ridge Primary School met Yorvel Lee", parents=["Ilsabet Vardane"], family=["Yorvel Lee"], orgs=["Fern Ridge Primary School"])
+    assert ("Ilsabet Vardane", "Parent/Guardian (user-provided)", 1) in got and ("Yorvel Lee", "Family member (user-provided)", 1) in got
+    assert {x[0] for x in got if x[1] == "Organisation name"} == {"Fern Ridge Primary School", "Fern", "Ridge"}
 
 
 @pytest.mark.parametrize("text", [None, "", "\n\n", " "])
@@ -57,7 +59,26 @@ def test_offsets_are_code_points(spark):
 def test_detection_stays_in_the_jvm_and_needs_no_shuffle(spark):
     pages = spark.createDataFrame([("d", 1, "x")], "doc_id string, page_num int, text string")
     plan = detect_lines(pages)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "BatchEvalPython" not in plan
+    assert "Exchange" not in plan
+    # the only Python node stands above a filter that lets unsettled text through, on its own branch of a union
+    assert plan.count("EvalPython") == 1 and re.search(r"ArrowEvalPython[^\n]*\n[^\n]*Filter coalesce\(RLIKE", plan)
+
+
+def test_settled_text_never_reaches_python(spark, monkeypatch):
+    def broken(text):
+        raise AssertionError("a row reached Python")
+
+    monkeypatch.setattr(X, "_nfkc", F.pandas_udf(lambda text: broken(text), "string"))
+    plain = spark.createDataFrame([("d", 1, "called 0412 345 678"), ("e", 1, "é ß ü ñ 日本 Ω ж"), ("f", 1, None), ("g", 1, "")], "doc_id string, page_num int, text string")
+    assert [r.text for r in detect_lines(plain).collect()] == ["0412 345 678"]
+
+
+@pytest.mark.parametrize("text", ["ﬁle", "e\u0301", "Ａ", "\u00a0", "½", "\u1100\u1161", "한글", "é", "ẛ̣", "〱", "𝐀", "ｶﾞ"])
+def test_what_nfkc_changes_is_not_settled(spark, text):
+    import unicodedata
+
+    made = X.normalise(spark.createDataFrame([(text,)], "text string")).first().text
+    assert made == unicodedata.normalize("NFKC", text)
 
 
 def test_registry_can_be_extended(spark):
@@ -82,53 +103,53 @@ def roster(spark, student, *mentions, parents=()):
 
 
 def test_first_name_shared_with_a_classmate(spark):
-    _, forms = roster(spark, "Billy Bob", "Billy Chen")
+    _, forms = roster(spark, "Torvin Vardane", "Torvin Quill")
     got = {r.form: r.label for r in forms.collect()}
-    assert got["billy"] == "[Student]" and got["chen"] == "[Other person]"
+    assert got["torvin"] == "[Student]" and got["quill"] == "[Other person]"
 
 
-@pytest.mark.parametrize("order", [("Sarah Williams", "S. Williams"), ("S. Williams", "Sarah Williams"), ("Ms Sarah Williams", "Sarah W.", "S. Williams")])
+@pytest.mark.parametrize("order", [("Sidonie Harcastle", "S. Harcastle"), ("S. Harcastle", "Sidonie Harcastle"), ("Ms Sidonie Harcastle", "Sidonie H.", "S. Harcastle")])
 def test_written_forms_of_one_person_share_a_label(spark, order):
-    owners, _ = roster(spark, "Billy Bob", *order)
-    assert [(r.full_name, r.label) for r in owners.where("seq > 0").collect()] == [("Sarah Williams", "[Other person]")]
+    owners, _ = roster(spark, "Torvin Vardane", *order)
+    assert [(r.full_name, r.label) for r in owners.where("seq > 0").collect()] == [("Sidonie Harcastle", "[Other person]")]
 
 
 def test_shared_surname_is_the_familys(spark):
-    _, forms = roster(spark, "Billy Bob", "Sarah Williams", "John Williams")
+    _, forms = roster(spark, "Torvin Vardane", "Sidonie Harcastle", "Rufaro Harcastle")
     got = {r.form: r.label for r in forms.collect()}
-    assert got["williams"] == "[Family name]" and got["sarah"] == "[Other person 1]" and got["john"] == "[Other person 2]"
+    assert got["harcastle"] == "[Family name]" and got["sidonie"] == "[Other person 1]" and got["rufaro"] == "[Other person 2]"
     assert who.ambiguity_notes(forms).count() == 1
 
 
 def test_dedup_keeps_first_of_equals_and_last_only_if_better(spark):
     schema = "doc_id string, page_num int, line_num int, text string, category string, confidence double, context string, source string, ord array<int>"
-    rows = [("d", 1, 1, "Jane", c, p, "", "regex", [i]) for i, (c, p) in enumerate((("A", 0.5), ("B", 0.5), ("C", 0.9), ("D", 0.9)))]
+    rows = [("d", 1, 1, "Quenna", c, p, "", "regex", [i]) for i, (c, p) in enumerate((("A", 0.5), ("B", 0.5), ("C", 0.9), ("D", 0.9)))]
     got = R.rank_matches(R.dedup_matches(spark.createDataFrame(rows, schema))).collect()
     assert [(r.category, r.match_idx, r.first_ord) for r in got] == [("C", 0, [0])]
 
 
 def test_labels_are_not_searched_again(spark):
-    pages = spark.createDataFrame([("c", "d", 1, "Person met Sarah Williams.")], PAGE)
-    cases = spark.createDataFrame([("c", "Person Smith", [], [], [])], CASE)
+    pages = spark.createDataFrame([("c", "d", 1, "Person met Sidonie Harcastle.")], PAGE)
+    cases = spark.createDataFrame([("c", "Person Tibbance", [], [], [])], CASE)
     schema = "case_id string, doc_id string, match_idx int, text string, category string, confidence double, page_num int, line_num int, context string, source string"
-    ranked = spark.createDataFrame([("c", "d", 0, "Person", "Student name", 0.95, 1, 1, "", "r"), ("c", "d", 1, "Sarah Williams", "Person name (NER)", 0.9, 1, 1, "", "r")], schema)
+    ranked = spark.createDataFrame([("c", "d", 0, "Person", "Student name", 0.95, 1, 1, "", "r"), ("c", "d", 1, "Sidonie Harcastle", "Person name (NER)", 0.9, 1, 1, "", "r")], schema)
     out = deidentify(pages, cases, ranked)["results"].first()
     assert out.body.endswith("[Student] met [Other person].") and out.n_replaced == 2 and out.status == "written"
 
 
 def test_address_over_two_cells_is_replaced_and_verified(spark):
-    pages = spark.createDataFrame([("c", "d", 1, f"42 Smith Street{W.CELL}Melbourne VIC 3000")], PAGE)
-    cases = spark.createDataFrame([("c", "Joe Bloggs", [], [], [])], CASE)
-    ranked = spark.createDataFrame([("c", "d", 0, "42 Smith Street Melbourne VIC 3000", "Address", 0.95, 1, 1, "", "r")], "case_id string, doc_id string, match_idx int, text string, category string, confidence double, page_num int, line_num int, context string, source string")
+    pages = spark.createDataFrame([("c", "d", 1, f"81 Fennick Street{W.CELL}Ostmere VIC 3001")], PAGE)
+    cases = spark.createDataFrame([("c", "Oswick Munrose", [], [], [])], CASE)
+    ranked = spark.createDataFrame([("c", "d", 0, "81 Fennick Street Ostmere VIC 3001", "Address", 0.95, 1, 1, "", "r")], "case_id string, doc_id string, match_idx int, text string, category string, confidence double, page_num int, line_num int, context string, source string")
     out = deidentify(pages, cases, ranked)["results"].first()
     assert "[address]" in out.body and out.status == "written"
 
 
 def test_scanned_page_with_a_near_miss_is_quarantined(spark):
-    pages = spark.createDataFrame([("c", "d", 1, "Sarah was here", "native"), ("c", "d", 2, "Sarnh left", "ocr")], PAGE + ", method string")
-    cases = spark.createDataFrame([("c", "Sarah Lee", [], [], [])], CASE)
+    pages = spark.createDataFrame([("c", "d", 1, "Sidonie was here", "native"), ("c", "d", 2, "Sidonle left", "ocr")], PAGE + ", method string")
+    cases = spark.createDataFrame([("c", "Sidonie Lee", [], [], [])], CASE)
     out = deidentify(pages, cases, detect(pages, cases))["results"].first()
-    assert out.status == "quarantined" and out.leftovers == ["Sarah"]
+    assert out.status == "quarantined" and out.leftovers == ["Sidonie"]
 
 
 def test_form_words_stay(spark):

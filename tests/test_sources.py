@@ -58,12 +58,63 @@ def test_results_lie_apart_by_status_and_cleanup_only_takes_its_own(spark, tmp_p
     assert keep.exists() and not made.exists()
 
 
+def test_texts_are_files_of_their_own_and_are_found_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one", 1, "written"), ("b", "two", 0, "quarantined"), ("c", "three", 2, "written")], "stem string, body string, n_replaced int, status string")
+    wrote = {r["name"]: r.n_bytes for r in K.write_texts(rows, str(tmp_path)).collect()}
+    assert set(wrote) == {"a_deidentified.txt", "b.UNVERIFIED.txt", "c_deidentified.txt"}
+    for name, size in wrote.items():
+        assert (tmp_path / name).is_file() and (tmp_path / name).stat().st_size == size
+    assert {(os.path.basename(r.path), r.text.rpartition("\n")[2]) for r in D.read_outputs(spark, str(tmp_path)).collect()} == {("a_deidentified.txt", "one"), ("c_deidentified.txt", "three")}
+    listed = K.cleanup(spark, str(tmp_path))
+    assert [os.path.basename(p) for p in listed] == ["a_deidentified.txt", "b.UNVERIFIED.txt", "c_deidentified.txt"]
+    K.cleanup(spark, str(tmp_path), listed)
+    assert K.cleanup(spark, str(tmp_path)) == [] and D.read_outputs(spark, str(tmp_path)).count() == 0
+
+
+def test_redaction_from_plan_to_quarantine(spark):
+    """Files that are text: one is redacted, one keeps a name, one cannot be read again, one cannot be rewritten."""
+    from quillmask.plans.flows import redact
+
+    files = spark.createDataFrame([(p, p, bytearray(c)) for p, c in (("good", b"Fern met Bo"), ("kept", b"Fern met fern"), ("dark", b"Fern hid"), ("broken", b"x"))], "path string, stem string, content binary")
+    plan = spark.createDataFrame([(p, "text", 1, "Fern", "erase") for p in ("good", "kept", "dark", "broken")], "doc_id string, kind string, page_num int, value string, action string")
+    items = spark.createDataFrame([(p, "Fern") for p in ("good", "kept", "dark", "broken")], "doc_id string, text string")
+
+    def rewrite(content, rows):
+        if content == b"x":
+            raise ValueError("no file")
+        for r in rows:
+            content = content.replace(r["value"].encode(), b"####")
+        return content
+
+    def read(path, content):
+        yield {"page_num": 1, "text": content.decode()}
+
+    def scan(path, content):
+        if b"hid" in content:
+            raise ValueError("too dark")
+        yield {"page_num": 1, "text": content.decode()}
+
+    got = {r.path: (r["name"], r.content and bytes(r.content), r.status, r.failures) for r in redact(files, plan, items, rewrite, read, scan).collect()}
+    assert got["good"] == ("good_redacted.pdf", b"#### met Bo", "written", [])
+    assert got["kept"] == ("kept.UNVERIFIED.pdf", b"#### met fern", "quarantined", ["Page 1: 'Fern' still visible after redaction"])
+    assert got["dark"][0] == "dark.UNVERIFIED.pdf" and got["dark"][2:] == ("quarantined", ["OCR verification error: too dark"])
+    assert got["broken"][:3] == (None, None, "failed") and "no file" in got["broken"][3][0]
+
+
+def test_categories_come_in_either_order(spark):
+    from quillmask.operators.review import selected_categories
+
+    rows = spark.createDataFrame([("B",), ("A",), ("C",), ("C",), (None,)], "category string")
+    assert [(r.category, r.n) for r in selected_categories(rows).collect()] == [("A", 1), ("B", 1), ("C", 2), ("Unknown", 1)]
+    assert [r.category for r in selected_categories(rows, "n").collect()] == ["C", "A", "B", "Unknown"]
+
+
 def test_key_is_refused_among_the_outputs(spark, tmp_path):
-    owners = spark.createDataFrame([("c", 0, "Billy Bob", "[Student]")], "case_id string, seq int, full_name string, label string")
+    owners = spark.createDataFrame([("c", 0, "Torvin Vardane", "[Student]")], "case_id string, seq int, full_name string, label string")
     notes = spark.createDataFrame([], "case_id string, form string, note string")
-    names = spark.createDataFrame([("c", "Billy.pdf", None)], "case_id string, original string, produced string")
+    names = spark.createDataFrame([("c", "Torvin.pdf", None)], "case_id string, original string, produced string")
     lines = K.key_lines(owners, notes, names)
-    assert lines.where(F.col("line") == "[Student]  ->  Billy Bob").count() == 1
+    assert lines.where(F.col("line") == "[Student]  ->  Torvin Vardane").count() == 1
     try:
         K.write_key(lines, str(tmp_path), str(tmp_path), spark)
     except ValueError:
@@ -100,8 +151,8 @@ def test_word_files_are_converted_or_say_why_not(spark, tmp_path):
 
 
 def test_redaction_goes_through_an_adapter(spark):
-    files = spark.createDataFrame([("a", bytearray(b"Ann met Bo")), ("b", bytearray(b"x"))], "path string, content binary")
-    plan = spark.createDataFrame([("a", "text", 1, "Ann", "delete")], "doc_id string, kind string, page_num int, value string, action string")
+    files = spark.createDataFrame([("a", bytearray(b"Fern met Bo")), ("b", bytearray(b"x"))], "path string, content binary")
+    plan = spark.createDataFrame([("a", "text", 1, "Fern", "delete")], "doc_id string, kind string, page_num int, value string, action string")
 
     def redact(content, rows):
         if content == b"x":
@@ -117,8 +168,8 @@ def test_what_a_redacted_document_still_shows(spark):
     from quillmask.operators.rewrite import verify_redaction
     from quillmask.operators.scans import image_counts
 
-    out = spark.createDataFrame([("d", 1, "Annual plan"), ("d", 2, "by smith-jones")], "doc_id string, page_num int, text string")
-    chosen = spark.createDataFrame([("d", "Ann"), ("d", "Smith Jones"), ("d", "by")], "doc_id string, text string")
-    assert [(r.doc_id, r.text) for r in verify_redaction(out, chosen).collect()] == [("d", "Smith Jones")]
+    out = spark.createDataFrame([("d", 1, "Fernside plan"), ("d", 2, "by oswick-vale")], "doc_id string, page_num int, text string")
+    chosen = spark.createDataFrame([("d", "Fern"), ("d", "Oswick Vale"), ("d", "by")], "doc_id string, text string")
+    assert [(r.doc_id, r.text) for r in verify_redaction(out, chosen).collect()] == [("d", "Oswick Vale")]
     pages = spark.createDataFrame([("d", 2, "native"), ("d", 1, "native"), ("e", 3, "ocr"), ("f", 0, "native")], "doc_id string, n_images int, method string")
     assert [(r.doc_id, r.n_images) for r in image_counts(pages).collect()] == [("d", 3)]
