@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .stream import tidy
+from .stream import tidy, together
 from .words import as_strings, offsets_of, pieces, range_hash
 
 #: Bytes of text whose distinct pieces are encoded together, how many pieces one string given to the library holds, and how
 #: many strings it gets at once.
-GROUP = 8 << 20
+GROUP = 12 << 20
 STRING = 256
 BATCH = 32
 _SPACE = np.zeros(256, bool)
@@ -201,7 +201,7 @@ def bpe(path: str, pattern: str) -> ByteBpe:
 
 def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     coder = bpe(path, pattern)
-    for batch in batches:
+    for batch in together(batches, text_at, GROUP):
         for a, b, ids, at in coder.encode_column(as_strings(batch.column(text_at))):
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), lists, pa.array(np.diff(at))], names)
@@ -216,7 +216,7 @@ def _decode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ids
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     coder = bpe(path, pattern)
-    for batch in batches:
+    for batch in together(batches, text_at, GROUP):
         for a, b, ids, at in coder.encode_column(as_strings(batch.column(text_at))):
             each = [ids[at[d] : at[d + 1]] for d in range(b - a)]
             digests = [[hashlib.sha256(f(x)).hexdigest() for x in each] for f in (coder.decimal, coder.decode)]

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import bpe
-from .stream import small_batches, tidy
+from .bpe import GROUP, bpe
+from .stream import small_batches, tidy, together
 from .textstats import TextStats
 from .words import as_strings, offsets_of, pieces
 
@@ -99,12 +99,14 @@ def fertility(coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
         n.append(count)
         chars.append(points / some)
         share.append(np.diff(np.append(0, np.cumsum(partial_token[ids]))[at]) / some)
-        bits = np.zeros(b - a)
-        for d in range(b - a):
-            c = np.bincount(ids[at[d] : at[d + 1]]) if count[d] else np.zeros(0)
-            p = c[c > 0] / some[d]
-            bits[d] = -(p * np.log2(p)).sum() / min(_ENTROPY_BITS, max(1.0, np.log2(some[d])))
-        entropy.append(bits)
+        # tokens of each text in order, so that equal ones stand together
+        doc = np.repeat(np.arange(b - a) << 20, count)
+        same = np.sort(doc + ids)
+        ends = np.append(np.flatnonzero(same[1:] != same[:-1]) + 1, len(same))[: len(same)]
+        times = np.diff(np.append(0, ends))
+        inner = np.bincount(same[ends - 1] >> 20, times * np.log2(times), minlength=b - a) if len(same) else np.zeros(b - a)
+        size = np.log2(some)
+        entropy.append(np.maximum(size - inner / some, 0) / np.minimum(_ENTROPY_BITS, np.maximum(1.0, size)))
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in (n, chars, share, entropy))
 
 
@@ -152,7 +154,7 @@ def letters_by_script(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]], bands: list[dict[str, Band]], text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     coders = [bpe(*v) for v in vocabularies]
     limits = [np.array([astuple(b.get(k, b["other"])) for k in _NAMES]) for b in bands]
-    for batch in batches:
+    for batch in together(batches, text_at, GROUP):
         text = as_strings(batch.column(text_at))
         measured = [fertility(coder, text) for coder in coders]  # over the whole batch: the more text, the more pieces repeat
         for a, b in pieces(text):

@@ -53,6 +53,18 @@ def _tidy(run: Callable, arguments: dict, batches: Iterator[pa.RecordBatch]) ->
             trim(0)
 
 
+def together(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts have about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(text_at).nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
     """Tables of about so many rows that never cut a group; the input is sorted by keys within its partition."""
     held: list[pa.Table] = []
