@@ -3,7 +3,7 @@
 Each feature is cut into bins at quantiles of the training rows. Rounds of boosting go through the features in turn; each
 turn fits a shallow tree over the bins of one feature to the gradients and adds its leaves, times a small rate, to that
 feature's lookup table. Then the pairs whose coarse grids explain most of what is left get tables of their own, boosted
-the same way. A score is the logistic function of a sum of table entries, looked up for whole batches at once.
+by shallow trees that split either feature. A score is the logistic function of a sum of table entries, looked up for whole batches at once.
 """
 
 from __future__ import annotations
@@ -47,6 +47,33 @@ def _leaves(g: np.ndarray, h: np.ndarray, splits: int, ridge: float) -> np.ndarr
     return out
 
 
+def _boxes(g: np.ndarray, h: np.ndarray, splits: int, ridge: float) -> np.ndarray:
+    """The values that a tree of so many splits, each of one of two features, gives the cells of a grid."""
+    # sums over all cells above and to the left of a corner
+    G, H = (np.pad(x.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0))) for x in (g, h))
+    total = lambda s, a, b, c, d: s[b, d] - s[a, d] - s[b, c] + s[a, c]
+    worth = lambda *box: total(G, *box) ** 2 / (total(H, *box) + ridge)
+    boxes = [(0, g.shape[0], 0, g.shape[1])]
+    for _ in range(splits):
+        best, where = 1e-9, None
+        for n, (a, b, c, d) in enumerate(boxes):
+            for across, at in ((False, np.arange(a + 1, b)), (True, np.arange(c + 1, d))):
+                if len(at):
+                    parts = ((a, b, c, at), (a, b, at, d)) if across else ((a, at, c, d), (at, b, c, d))
+                    more = worth(*parts[0]) + worth(*parts[1]) - worth(a, b, c, d)
+                    if more.max() > best:
+                        best, where = float(more.max()), (n, across, int(at[more.argmax()]))
+        if where is None:
+            break
+        n, across, at = where
+        a, b, c, d = boxes.pop(n)
+        boxes += [(a, b, c, at), (a, b, at, d)] if across else [(a, at, c, d), (at, b, c, d)]
+    out = np.empty(g.shape)
+    for box in boxes:
+        out[box[0] : box[1], box[2] : box[3]] = total(G, *box) / (total(H, *box) + ridge)
+    return out
+
+
 @dataclass
 class AdditiveModel:
     """fit() learns the tables from features and 0/1 labels; score() gives probabilities. Training is deterministic."""
@@ -96,11 +123,9 @@ class AdditiveModel:
                 c = cell(i, j)
                 p = 1 / (1 + np.exp(-score))
                 g, h = np.bincount(c, y - p, table.size), np.bincount(c, p * (1 - p), table.size)
-                order = np.argsort(g / (h + self.ridge), kind="stable")  # cells side by side that ask for like changes
-                step = np.empty(table.size)
-                step[order] = self.rate * _leaves(g[order], h[order], self.splits, self.ridge)
-                table += step.reshape(table.shape)
-                score += step[c]
+                step = self.rate * _boxes(g.reshape(table.shape), h.reshape(table.shape), self.splits, self.ridge)
+                table += step
+                score += step.ravel()[c]
         return self
 
     def _step(self, b: np.ndarray, n: int, y: np.ndarray, score: np.ndarray) -> np.ndarray:

@@ -499,9 +499,43 @@ def test_additive_model_finds_an_interaction():
     assert np.allclose(quality.AdditiveModel().fit(x[:0], y[:0]).score(x), 0.5)
 
 
-def test_quality_of_held_out_rows(spark):
-    from tests.oracle import DATA
+def test_scores_are_sums_of_table_entries(spark):
+    """Features by plain counting, tables looked up one by one, against the scores of the operator."""
+    import math
+
+    texts = [t or "" for _, t, *_ in cases.rows() if t != cases.LONG] + ["Same line.\nSame line.\nOther; line! 42 #", "a b c d e f g h " * 3]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.train_quality(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+
+    def features(t):
+        w, lines = cases.words(t), [x for x in t.split("\n") if cases.words(x)]
+        n, size = max(1, len(w)), max(1, len(t.encode()))
+        upper, lower = (sum(c.isascii() and f(c) for c in t) for f in (str.isupper, str.islower))
+        count, hit = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7)), set()
+        for j in range(len(w) - 7):
+            if count[tuple(w[j : j + 8])] > 1:
+                hit |= set(range(j, j + 8))
+        return [math.log1p(len(w)), sum(map(len, w)) / n, sum(t.count(c) for c in "#*$%&|<>") / n, (len(lines) - len(set(lines))) / max(1, len(lines)), len(hit) / n, upper / max(1, upper + lower),
+                sum(c in "0123456789" for c in t) / size, sum(t.count(c) for c in ".,;:!?") / n, sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, sum(len(x.encode()) == 1 for x in w) / n, (len(t.encode()) - len(t)) / size, math.log1p(len(w) / max(1, len(lines)))]
 
+    def score(x):
+        place = lambda cuts, v: sum(c <= v for c in cuts)
+        total = model.base + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, x))
+        total += sum(t[place(model.coarse_cuts[i], x[i]), place(model.coarse_cuts[j], x[j])] for (i, j), t in model.pairs.items())
+        return 1 / (1 + math.exp(-total))
+
+    got = {r.doc_id: r.score for r in quality.score_quality(cases.docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), model).collect()}
+    assert len(model.pairs) and all(abs(got[i] - score(features(t))) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_a_tree_over_two_features_splits_either():
+    g = np.zeros((6, 5))
+    g[2:, 3:] = 1
+    got = quality._boxes(g, np.ones((6, 5)), 2, 0.0)
+    assert np.allclose(got, g) and np.allclose(quality._boxes(g, np.ones((6, 5)), 0, 0.0), g.mean())
+
+
+def test_quality_of_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = "pmod(crc32(cast(doc_id as string)), 5) = 0"
     model = quality.train_quality(docs, labels.where(f"not ({out})"))
@@ -513,8 +547,6 @@ def test_quality_of_held_out_rows(spark):
 
 
 def test_language_of_held_out_rows(spark):
-    from tests.oracle import DATA
-
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.train_language(docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 0"))
     rows = [r for r in langid.predict_language(docs, model).where("lang is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
