@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,8 @@ from .words import as_strings, offsets_of, pieces, range_hash
 GROUP = 12 << 20
 STRING = 256
 BATCH = 32
+#: Most pieces whose ids a worker keeps from one part to the next.
+KNOWN = 800_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -60,6 +63,71 @@ def parts_of(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+@dataclass
+class Part:
+    """Rows a to b of a column, cut into pieces: first is a piece of each kind, back the kind of each piece."""
+
+    a: int
+    b: int
+    data: np.ndarray
+    off: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    back: np.ndarray
+
+
+@dataclass
+class Known:
+    """Pieces that were encoded before, by their hashes in order, with their bytes and ids."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    id_start: np.ndarray
+    id_size: np.ndarray
+    data: np.ndarray
+    ids: np.ndarray
+
+
+_NOTHING = Known(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint8), np.zeros(0, np.int32))
+
+
+def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each piece and a hash of it."""
+    cut = np.zeros(len(data), bool)
+    if len(data) > 1:
+        cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]]
+        # not after what may be white space outside ASCII: U+0085, U+00A0 and three-byte characters from E1, E2, E3
+        low, two = data[:-1], np.append(np.uint8(0), data[:-2])
+        three = np.append(np.zeros(2, np.uint8), data[:-3]) if len(data) > 2 else np.zeros(len(data) - 1, np.uint8)
+        cut[1:] &= ~((two == 0xC2) & ((low == 0x85) | (low == 0xA0)) | (low >= 0x80) & (three >= 0xE1) & (three <= 0xE3))
+    cut[off[:-1][off[:-1] < len(data)]] = True
+    start = np.flatnonzero(cut)
+    stop = np.append(start[1:], len(data))[: len(start)]
+    return start, range_hash(data, start, stop, 0)
+
+
+def cut_column(column: pa.Array) -> Iterator[Part]:
+    """Parts of a string column for any encoder: pieces do not depend on the vocabulary."""
+    for a, b in pieces(column, GROUP):
+        part = column.slice(a, b - a)
+        data, off = offsets_of(part)
+        found = [(_cut(*offsets_of(part.slice(c, d - c))), off[c]) for c, d in pieces(part)]
+        start = np.concatenate([np.zeros(0, np.int64), *(s + o for (s, _), o in found)])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for (_, h), _ in found)])
+        size = np.diff(np.append(start, len(data)))
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        alike = size == size[first[back]]
+        alike[alike] = _same(data, start[alike], data, start[first[back]][alike], size[alike])
+        other = np.flatnonzero(~alike)
+        if len(other):  # pieces that share a hash with another one, but not its bytes, are kinds of their own
+            back[other] = len(first) + np.arange(len(other))
+            first = np.append(first, other)
+        yield Part(a, b, data, off, start, size, hashes, first, back)
+
+
 class ByteBpe:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -80,50 +148,58 @@ class ByteBpe:
         self.tokens = tokens
         self._bytes = _table(tokens)
         self._decimal = _table([b"%d," % i for i in range(len(tokens))])
+        self._known = _NOTHING
 
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids, offsets of each row's ids) for parts of a string column."""
-        for a, b in pieces(column, GROUP):
-            part = column.slice(a, b - a)
-            data, off = offsets_of(part)
-            found = [(self._cut(*offsets_of(part.slice(c, d - c))), off[c]) for c, d in pieces(part)]
-            start = np.concatenate([np.zeros(0, np.int64), *(s + o for (s, _), o in found)])
-            ids, at = self._encode(data, off, start, np.concatenate([np.zeros(0, np.uint64), *(h for (_, h), _ in found)]))
-            yield a, b, ids, at[np.searchsorted(start, off)]
-
-    @staticmethod
-    def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first byte of each piece and a hash of it."""
-        cut = np.zeros(len(data), bool)
-        if len(data) > 1:
-            cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]]
-            # not after what may be white space outside ASCII: U+0085, U+00A0 and three-byte characters from E1, E2, E3
-            low, two = data[:-1], np.append(np.uint8(0), data[:-2])
-            three = np.append(np.zeros(2, np.uint8), data[:-3]) if len(data) > 2 else np.zeros(len(data) - 1, np.uint8)
-            cut[1:] &= ~((two == 0xC2) & ((low == 0x85) | (low == 0xA0)) | (low >= 0x80) & (three >= 0xE1) & (three <= 0xE3))
-        cut[off[:-1][off[:-1] < len(data)]] = True
-        start = np.flatnonzero(cut)
-        stop = np.append(start[1:], len(data))[: len(start)]
-        return start, range_hash(data, start, stop, 0)
-
-    def _encode(self, data: np.ndarray, off: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and the first id of each (and the end)."""
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        stop = np.append(start[1:], len(data))
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        other = _unlike(data, start, stop, first[back])
-        if len(other):  # pieces that share a hash with another one, but not its bytes, are encoded by themselves
-            back[other] = len(first) + np.arange(len(other))
-            first = np.append(first, other)
+        for part in cut_column(column):
+            yield part.a, part.b, *self.encode(part)
+
+    def encode(self, part: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a part, and the first id of each (and the end)."""
+        if not len(part.start):
+            return np.zeros(0, np.int32), np.zeros(len(part.off), np.int64)
+        known, data, start, size, hashes = self._known, part.data, part.start[part.first], part.size[part.first], part.hashes[part.first]
+        at = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0))
+        old = np.zeros(len(start), bool)
+        if len(known.hashes):
+            old = (known.hashes[at] == hashes) & (known.size[at] == size)
+            old[old] = _same(data, start[old], known.data, known.start[at[old]], size[old])
+        new = np.flatnonzero(~old)
+        ids, first, n = self._encode(part, part.first[new])
+        # ids of what was known stand before those of what is new
+        id_start, id_size = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        id_start[old], id_size[old] = known.id_start[at[old]], known.id_size[at[old]]
+        id_start[new], id_size[new] = first + len(known.ids), n
+        flat = np.concatenate([known.ids, ids])
+        self._remember(part, start, size, hashes, flat, id_start, id_size, new)
+        out, at = _gather(flat, id_start, id_size, part.back)
+        return out, at[np.searchsorted(part.start, part.off)]
+
+    def _remember(self, part: Part, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, flat: np.ndarray, id_start: np.ndarray, id_size: np.ndarray, new: np.ndarray) -> None:
+        """Adds the new pieces to those known; if they would be too many, only those of this part stay known."""
+        known = self._known
+        if len(known.hashes) + len(new) > KNOWN:
+            known, new = _NOTHING, np.arange(len(start))[:KNOWN]
+            flat, at = _gather(flat, id_start, id_size, new)
+            id_start, id_size = at[:-1], id_size[new]
+        else:
+            id_start, id_size = id_start[new], id_size[new]
+        data, at = _gather(part.data, start, size, new)
+        every = [np.concatenate(x) for x in ((known.hashes, hashes[new]), (known.start, at[:-1] + len(known.data)), (known.size, size[new]), (known.id_start, id_start), (known.id_size, id_size))]
+        _, order = np.unique(every[0], return_index=True)
+        self._known = Known(*(x[order] for x in every), np.concatenate([known.data, data]), flat)
+
+    def _encode(self, part: Part, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some pieces by the library, the first id of each and how many it has."""
+        if not len(first):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        data, begin, size = part.data, part.start[first], part.size[first]
         # pieces between two cuts can stand one after another in one string; those at an end of a text can't
-        inner = _SPACE[data[start[first]]] & ~_SPACE[data[stop[first] - 1]] & ~np.isin(stop[first], off)
+        inner = _SPACE[data[begin]] & ~_SPACE[data[begin + size - 1]] & ~np.isin(begin + size, part.off)
         order = np.argsort(~inner, kind="stable")
-        first, n = first[order], int(inner.sum())
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        size = stop[first] - start[first]
-        joined, at = _gather(data, start[first], size, np.arange(len(first)))
+        n = int(inner.sum())
+        joined, at = _gather(data, begin, size, order)
         ends = np.append(np.arange(STRING, n, STRING), np.arange(n, len(first)) if n else np.arange(1, len(first)))
         edges = at[np.concatenate([[0], ends, [len(first)]]).astype(np.int64)].tolist()
         raw = joined.tobytes()
@@ -133,8 +209,10 @@ class ByteBpe:
             flat += [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
         flat = np.concatenate(flat)
         token_start = np.cumsum(self._bytes[2][flat]) - self._bytes[2][flat]
-        first_id = np.append(np.searchsorted(token_start, at[:-1]), len(flat))
-        return _gather(flat, first_id[:-1], np.diff(first_id), place[back])
+        found = np.append(np.searchsorted(token_start, at[:-1]), len(flat))
+        first_id, n_ids = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        first_id[order], n_ids[order] = found[:-1], np.diff(found)
+        return flat, first_id, n_ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         return _gather(*self._bytes, ids)[0].tobytes()
@@ -170,18 +248,17 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nda
     return flat[np.repeat(start[which] - at[:-1], n) + np.arange(at[-1])], at
 
 
-def _unlike(data: np.ndarray, start: np.ndarray, stop: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Which pieces differ in their bytes from the piece that model names for them."""
-    size = stop - start
-    same = size == size[model]
+def _same(data: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of data[start : start + size] are equal to other[at : at + size]."""
+    same = np.ones(len(start), bool)
     for a, b in _parts(size):
-        which = np.flatnonzero(same[a:b]) + a
-        got, at = _gather(data, start, size, which)
-        want, _ = _gather(data, start[model], size, which)
+        which = np.arange(a, b)
+        got, edge = _gather(data, start, size, which)
+        want, _ = _gather(other, at, size, which)
         if not np.array_equal(got, want):
             wrong = np.append(0, np.cumsum(got != want))
-            same[which[wrong[at[1:]] != wrong[at[:-1]]]] = False
-    return np.flatnonzero(~same)
+            same[a:b] = wrong[edge[1:]] == wrong[edge[:-1]]
+    return same
 
 
 def _parts(size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:

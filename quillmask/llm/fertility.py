@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import GROUP, bpe
+from .bpe import GROUP, bpe, cut_column
 from .stream import small_batches, tidy, together
 from .textstats import TextStats
 from .words import as_strings, offsets_of, pieces
@@ -89,25 +89,31 @@ _ENTROPY_BITS = 9.0
 
 def fertility(coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, characters per token, byte-fallback share and relative entropy of each text of a column."""
-    partial_token = _partial_tokens(coder)
-    n, chars, share, entropy = [], [], [], []
-    for a, b, ids, at in coder.encode_column(column):
-        data, off = offsets_of(column.slice(a, b - a))
-        points = np.diff(np.append(0, np.cumsum((data & 0xC0) != 0x80))[off])
-        count = np.diff(at)
-        some = np.maximum(count, 1)
-        n.append(count)
-        chars.append(points / some)
-        share.append(np.diff(np.append(0, np.cumsum(partial_token[ids]))[at]) / some)
-        # tokens of each text in order, so that equal ones stand together
-        doc = np.repeat(np.arange(b - a) << 20, count)
-        same = np.sort(doc + ids)
-        ends = np.append(np.flatnonzero(same[1:] != same[:-1]) + 1, len(same))[: len(same)]
-        times = np.diff(np.append(0, ends))
-        inner = np.bincount(same[ends - 1] >> 20, times * np.log2(times), minlength=b - a) if len(same) else np.zeros(b - a)
-        size = np.log2(some)
-        entropy.append(np.maximum(size - inner / some, 0) / np.minimum(_ENTROPY_BITS, np.maximum(1.0, size)))
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (n, chars, share, entropy))
+    return fertility_of([coder], column)[0]
+
+
+def fertility_of(coders: list, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for several vocabularies, which share the pieces that texts are cut into."""
+    made = [[tuple(np.zeros(0) for _ in range(4))] for _ in coders]
+    for part in cut_column(column):
+        points = np.diff(np.append(0, np.cumsum((part.data & 0xC0) != 0x80))[part.off])
+        for each, coder in zip(made, coders, strict=True):
+            each.append(_measures(points, *coder.encode(part), _partial_tokens(coder)))
+    return [tuple(np.concatenate(x) for x in zip(*each, strict=True)) for each in made]
+
+
+def _measures(points: np.ndarray, ids: np.ndarray, at: np.ndarray, partial_token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    count = np.diff(at)
+    some = np.maximum(count, 1)
+    share = np.diff(np.append(0, np.cumsum(partial_token[ids]))[at]) / some
+    # tokens of each text in order, so that equal ones stand together
+    same = np.sort(np.repeat(np.arange(len(count)) << 20, count) + ids)
+    ends = np.append(np.flatnonzero(same[1:] != same[:-1]) + 1, len(same))[: len(same)]
+    times = np.diff(np.append(0, ends))
+    inner = np.bincount(same[ends - 1] >> 20, times * np.log2(times), minlength=len(count)) if len(same) else np.zeros(len(count))
+    size = np.log2(some)
+    entropy = np.maximum(size - inner / some, 0) / np.minimum(_ENTROPY_BITS, np.maximum(1.0, size))
+    return count, points / some, share, entropy
 
 
 @cache
@@ -156,7 +162,7 @@ def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]
     limits = [np.array([astuple(b.get(k, b["other"])) for k in _NAMES]) for b in bands]
     for batch in together(batches, text_at, GROUP):
         text = as_strings(batch.column(text_at))
-        measured = [fertility(coder, text) for coder in coders]  # over the whole batch: the more text, the more pieces repeat
+        measured = fertility_of(coders, text)  # over the whole batch: the more text, the more pieces repeat
         for a, b in pieces(text):
             s = TextStats(text.slice(a, b - a))
             letters = letters_by_script(s.words.data, s.words.off)
