@@ -185,12 +185,19 @@ def _forest(batches: Iterator[pa.RecordBatch], num: int, den: int, layers: int)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[out], bi[out], bj[out], np.minimum(x, y), np.maximum(x, y))], ["h", "bi", "bj", "x", "y"])
 
 
-def _frequent(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
-    """Leading n-grams of unusually many documents, at most MOST_FREQUENT."""
+def _frequent(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> np.ndarray:
+    """Leading n-grams of unusually many documents, at most MOST_FREQUENT: all from that count on which leaves no more."""
     rows = docs.select("text").mapInArrow(tidy(_prefixes, k=k, num=num, den=den), "h long").groupBy("h").count()
     # two passes over the text, but only one number per leading n-gram is shuffled
-    top = rows.where("count >= 32").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT)
-    got = top.select("h").toPandas()["h"].to_numpy(np.int64)
+    rows = scratch.save(rows.where("count >= 32").select("h", F.floor(F.log2("count") * 8).cast("int").alias("level")), "often")
+    least, n = None, 0
+    for level, size in sorted(rows.groupBy("level").count().collect(), reverse=True):  # a few hundred levels at most
+        n += size
+        if n > MOST_FREQUENT:
+            break
+        least = level
+    got = rows.where(F.col("level") >= least).select("h").toPandas()["h"].to_numpy(np.int64) if least is not None else np.zeros(0, np.int64)
+    scratch.drop("often")
     return np.sort(got.view(np.uint64))
 
 
@@ -211,7 +218,7 @@ def ngram_jaccard_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
     its row; the component of its class is given. No rows give no rows; columns other than the two named are ignored."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(docs, k, num, den))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, scratch, k, num, den))
     sketch = docs.mapInArrow(tidy(_sketch, frequent=frequent, k=k, num=num, den=den), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary, wide binary")
     sketch = scratch.save(sketch, "sketch")
     classes = scratch.save(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
