@@ -146,4 +146,11 @@ ORACLES |= {
                                          ("k", "2", f"'- \"' || lower(last) || '\" is shared by \"' || {_FULL} || '\" [Student], \"' || {_MOTHER} || '\" [Parent] — on its own it was labelled [Family name].'"), ("k", "3", "first || '.pdf  ->  ' || CASE WHEN k % 2 = 0 THEN 'Student document_deidentified.txt' ELSE '(not produced)' END"), columns="k, section, line", where={4: _SAME}),
     "r10_filename_names": f"WITH {PEOPLE} SELECT k, array_to_string(list_filter([{_FULL}, first, last, {_MOTHER}, mother_first, CASE WHEN mother_last <> last THEN mother_last END, school, town, 'Primary', 'School'], lambda x: x IS NOT NULL), '|') AS names FROM p",
     "u04_native_pages": "WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber::INT))) AS a FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, array_to_string(list_filter(a, lambda x: x NOT IN (2, 3, 99)), ',') AS native, array_to_string(list_filter(a, lambda x: x IN (2, 3, 99)), ',') AS scanned FROM o",
+    "r05_formatted": f"WITH {PEOPLE} SELECT k, CASE WHEN k % 2 = 1 THEN 'scan' ELSE first || ' | ' || last || chr(10) || school || ' | ' || town || CASE WHEN k % 3 = 0 THEN chr(10) || email ELSE '' END END AS text FROM p",
+    "n07_model": f"WITH {PEOPLE} SELECT k, seen_by AS text, 'Person name (NER)' AS category, 0.9::DOUBLE AS confidence, 16 AS line_num, 'seen by ' || seen_by AS context FROM p",
+    "a10_images": "SELECT l_orderkey AS doc_id, sum(l_quantity::INT % 4)::BIGINT AS n_images FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey HAVING sum(l_quantity::INT % 4) > 0",
+    "v05_redaction": f"WITH {PEOPLE} " + _rows(("k", "last"), ("k", "first"), ("k", _FULL), columns="k, text", where={1: "k % 3 = 0", 2: "k % 3 = 0"}),
+    "f06_person": f"""WITH {PEOPLE}, c(category, person) AS (VALUES ('Student name', true), ('Phone number', false), ('Organisation name', false), ('Family member', true), ('PERSON (NER)', true)), t(kind, form) AS (VALUES (0, false), (1, true), (2, false), (3, false))
+      SELECT k, category, kind, person, NOT (person AND form) AS replaced FROM p, c, t""",
+    "e07_people": f"WITH {PEOPLE} " + _rows(("k", _MOTHER, "'[Parent]'", "'parent'", "'entered'"), ("k", "seen_by", "'[Other person]'", "'other'", "'detected'"), columns="k, full_name, label, role, source"),
 }

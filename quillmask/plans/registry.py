@@ -18,8 +18,8 @@ from ..operators import review as R
 from ..operators import rewrite as W
 from ..operators import scans as S
 from ..operators.detect import REGISTRY, detect_lines, with_name_forms
-from ..operators.layout import layout_pages
-from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogniser, page_entities, person_sweep
+from ..operators.layout import formatted_pages, layout_pages
+from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogniser, page_entities, person_sweep, recogniser_udf
 from ..operators.roles import describe_people, effective_roles, suggest_roles
 from ..sources.documents import blocks_of_page, choose_text, pages_of_table, spans_of_page
 from ..sources.sinks import finished_text, key_lines, safe_name, unique_names
@@ -554,12 +554,59 @@ def u04_native_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", text(R.native_pages("pages", "ocr")).alias("native"), text(R.scanned_pages("pages", "ocr")).alias("scanned"))
 
 
+def r05_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of two cells a person, laid out; of scanned pages the text that was read stays, form values follow the others."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    cell = lambda x, y, text: F.struct(F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 60.0).alias("x1"), F.lit(y + 12.0).alias("y1"), F.col(text).alias("text"))
+    lines = rows.select("doc_id", F.lit(1).alias("page_num"), F.lit(842.0).alias("height"), F.inline(F.array(cell(55.0, 400.0, "first"), cell(230.0, 400.5, "last"), cell(55.0, 430.0, "school"), cell(230.0, 430.0, "town"))))
+    pages = rows.select("doc_id", F.lit(1).alias("page_num"), F.lit("scan").alias("text"), F.expr("case when k % 2 = 0 then 'native' else 'ocr' end").alias("method"), F.expr("case when k % 3 = 0 then email end").alias("widget_values"))
+    return formatted_pages(pages, layout_pages(lines)).select(F.col("doc_id").cast("long").alias("k"), F.replace("text", F.lit(W.CELL), F.lit(" | ")).alias("text"))
+
+
+def n07_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model behind the adapter, which finds towns and the people of a list in batches of texts; places are left out."""
+
+    def find(texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        kinds = {n: "PERSON" for n in I.SEEN_BY.split(",")} | {n: "LOCATION" for n in I.TOWNS.split(",")}
+        return [[(t.index(n), t.index(n) + len(n), kind, 0.85) for n, kind in kinds.items() if n in t] for t in texts]
+
+    pages, _ = _reports(spark, sf_dir)
+    _, hits = entity_matches(pages, recogniser_udf(find)(F.col("text")))
+    return hits.select(F.col("doc_id").cast("long").alias("k"), "text", "category", "confidence", "line_num", "context")
+
+
+def a10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pages with images: images per document that a text output cannot show."""
+    return S.image_counts(_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "cast(l_quantity as int) % 4 AS n_images", "case when l_returnflag = 'R' then 'ocr' else 'native' end AS method"))
+
+
+def v05_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen names that the text of a redacted document still shows as whole words, on any page."""
+    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
+    outputs = rows.selectExpr("doc_id", "inline(array(named_struct('page_num', 1, 'text', concat(first, 'ia and ', upper(last))), named_struct('page_num', 2, 'text', case when k % 3 = 0 then concat('by ', first, '-', last) else 'nothing' end)))")
+    chosen = rows.selectExpr("doc_id", "inline(array(named_struct('text', first), named_struct('text', last), named_struct('text', concat(first, ' ', last)), named_struct('text', 'by')))")
+    return W.verify_redaction(outputs, chosen).select(F.col("doc_id").cast("long").alias("k"), "text")
+
+
+def f06_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which categories are of people, and which of their texts are replaced: words of forms are not, known names always are."""
+    rows = _people(spark, sf_dir)
+    known = F.array(F.struct(F.lit(0).alias("at"), F.lower("first").alias("form"), F.lit("[Student]").alias("label")))
+    each = rows.select("k", "first", F.explode(F.expr("array('Student name', 'Phone number', 'Organisation name', 'Family member', 'PERSON (NER)')")).alias("category")).select("*", F.posexplode(F.expr("array(first, 'Phone:', 'Date of birth', concat(first, 'ia'))")).alias("kind", "text"))
+    return each.select("k", "category", "kind", N.is_person_category(F.col("category")).alias("person"), who.should_replace(F.col("text"), F.col("category"), known).alias("replaced"))
+
+
+def e07_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People of each case but for the student and organisations, and where they come from."""
+    return who.people(_run(spark, sf_dir)["owners"]).select(F.col("case_id").cast("long").alias("k"), "full_name", "label", "role", "source")
+
+
 _NAMED: list[Query] = [
     flagship, p02_lines, d01_names, d03_phone, d04_email, d10_dob_same_line, w01_match_dedup, w01_ties, a02_by_category, a03_summary, a05_doc_category, j04_selected, u03_deselected, v03_levenshtein, d17_variations, d17_nicknames,
     d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
     s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
-    d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
+    d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, r05_formatted, n07_model, a10_images, v05_redaction, f06_person, e07_people, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
 ]
 
 
