@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.lexicons import CATEGORY_LABELS, SHARED_SURNAME, SOME_NAME, SOME_ORGANISATION, SOMETHING
 from ..functions.text import loose_pattern, parts, quoted, visible
-from .people import label_for, should_replace
+from .people import resolve
 
 #: Stands between the cells of a table row while text is rewritten and checked; matches may span it.
 CELL = "\u2028"
@@ -21,16 +21,15 @@ def _squeezed(text: Column) -> Column:
     return F.array_join(parts(text), "")
 
 
-def replacements(chosen: DataFrame, known: DataFrame) -> DataFrame:
+def replacements(chosen: DataFrame, forms: DataFrame) -> DataFrame:
     """(case_id, doc_id, items) of chosen matches: distinct texts that are to be replaced, longest first, each with its label and
-    the first category seen. known comes from people.label_maps."""
+    the first category seen. forms (case_id, form, at, label) come from people.form_labels."""
     rows = chosen.withColumn("raw", F.btrim("text")).where(F.length("raw") >= 2)
     rows = rows.groupBy("case_id", "doc_id", F.lower("raw").alias("_low")).agg(F.min_by(F.struct("raw", "category"), "match_idx").alias("m"), F.min("match_idx").alias("at"))
-    rows = rows.join(known, "case_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<at:int,form:string,label:string>>")))
-    raw, category = F.col("m.raw"), F.col("m.category")
     # the first category seen decides both whether and how a text is replaced
-    rows = rows.where(should_replace(raw, category, F.col("known"))).where(F.size(parts(raw)) > 0)
-    item = F.struct((-F.length(raw)).alias("n"), F.col("at"), raw.alias("raw"), label_for(raw, category, F.col("known")).alias("label"))
+    rows = resolve(rows.select("case_id", "doc_id", "at", F.col("m.raw").alias("text"), F.col("m.category").alias("category")), forms)
+    rows = rows.where(F.col("replaced") & (F.size(parts(F.col("text"))) > 0))
+    item = F.struct((-F.length("text")).alias("n"), "at", F.col("text").alias("raw"), "label")
     return rows.groupBy("case_id", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 

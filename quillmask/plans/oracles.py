@@ -151,6 +151,6 @@ ORACLES |= {
     "a10_images": "SELECT l_orderkey AS doc_id, sum(l_quantity::INT % 4)::BIGINT AS n_images FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey HAVING sum(l_quantity::INT % 4) > 0",
     "v05_redaction": f"WITH {PEOPLE} " + _rows(("k", "last"), ("k", "first"), ("k", _FULL), columns="k, text", where={1: "k % 3 = 0", 2: "k % 3 = 0"}),
     "f06_person": f"""WITH {PEOPLE}, c(category, person) AS (VALUES ('Student name', true), ('Phone number', false), ('Organisation name', false), ('Family member', true), ('PERSON (NER)', true)), t(kind, form) AS (VALUES (0, false), (1, true), (2, false), (3, false))
-      SELECT k, category, kind, person, NOT (person AND form) AS replaced FROM p, c, t""",
+      SELECT k, category, kind, person, NOT (person AND form) AS replaced, CASE WHEN kind = 0 THEN '[Student]' WHEN category = 'Phone number' THEN '[phone]' WHEN category = 'Organisation name' THEN '[organisation]' WHEN kind = 2 THEN '[Student]' ELSE '[name]' END AS label FROM p, c, t""",
     "e07_people": f"WITH {PEOPLE} " + _rows(("k", _MOTHER, "'[Parent]'", "'parent'", "'entered'"), ("k", "seen_by", "'[Other person]'", "'other'", "'detected'"), columns="k, full_name, label, role, source"),
 }

@@ -218,8 +218,8 @@ def r02_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     within a longer run of digits is no whole word and stays.)"""
     pages = _pages(spark, sf_dir).withColumn("case_id", F.lit("all"))
     ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(pages)))
-    known = _rows(spark, "case_id string, known array<struct<at:int,form:string,label:string>>", ("all", []))
-    clean = W.deidentify_pages(pages, W.replacements(ranked, known))
+    forms = spark.createDataFrame([], "case_id string, form string, at int, label string")
+    clean = W.deidentify_pages(pages, W.replacements(ranked, forms))
     emails = F.size(F.split("clean", r"\[email\]", -1)) - 1
     return clean.groupBy(F.lit("all").alias("scope")).agg(F.count_if(emails > 0).alias("docs_changed"), F.sum(emails).alias("emails"))
 
@@ -589,11 +589,11 @@ def v05_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f06_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which categories are of people, and which of their texts are replaced: words of forms are not, known names always are."""
+    """Which categories are of people, which of their texts are replaced (words of forms are not, known names always are) and by what."""
     rows = _people(spark, sf_dir)
-    known = F.array(F.struct(F.lit(0).alias("at"), F.lower("first").alias("form"), F.lit("[Student]").alias("label")))
-    each = rows.select("k", "first", F.explode(F.expr("array('Student name', 'Phone number', 'Organisation name', 'Family member', 'PERSON (NER)')")).alias("category")).select("*", F.posexplode(F.expr("array(first, 'Phone:', 'Date of birth', concat(first, 'ia'))")).alias("kind", "text"))
-    return each.select("k", "category", "kind", N.is_person_category(F.col("category")).alias("person"), who.should_replace(F.col("text"), F.col("category"), known).alias("replaced"))
+    forms = rows.select(F.col("k").alias("case_id"), F.lower("first").alias("form"), F.lit(0).alias("at"), F.lit("[Student]").alias("label"))
+    each = rows.select(F.col("k").alias("case_id"), "first", F.explode(F.expr("array('Student name', 'Phone number', 'Organisation name', 'Family member', 'PERSON (NER)')")).alias("category")).select("*", F.posexplode(F.expr("array(first, 'Phone:', concat('the ', first, ' family'), concat(first, 'ia'))")).alias("kind", "text"))
+    return who.resolve(each, forms).select(F.col("case_id").alias("k"), "category", "kind", N.is_person_category(F.col("category")).alias("person"), "replaced", "label")
 
 
 def e07_people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names, so that what is built on it several times neither
+    plans nor computes it again. Where the setting is absent, a local session gets a folder of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="quillmask-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint(eager=True)
 
 
 def session(name: str = "quillmask", cores: str = "*", **settings: str) -> SparkSession:

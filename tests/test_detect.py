@@ -153,9 +153,11 @@ def test_scanned_page_with_a_near_miss_is_quarantined(spark):
 
 
 def test_form_words_stay(spark):
-    known = F.array().cast("array<struct<at:int,form:string,label:string>>")
-    rows = spark.createDataFrame([("Phone:", "Parent/Guardian"), ("Ann", "Parent/Guardian"), ("Phone", "Phone number")], "t string, c string")
-    assert [r[0] for r in rows.select(who.should_replace(F.col("t"), F.col("c"), known)).collect()] == [False, True, True]
+    forms = spark.createDataFrame([("c", "oswick munrose", 0, "[Student]"), ("c", "munrose", 1, "[Family name]"), ("d", "ann", 0, "[Parent]")], "case_id string, form string, at int, label string")
+    rows = spark.createDataFrame([("c", "Phone:", "Parent/Guardian"), ("c", "Ann", "Parent/Guardian"), ("c", "Phone", "Phone number"), ("c", "dear Oswick  Munrose's", "Student name"), ("c", "the Munrose house", "Student name"), ("c", "Munrose's", "Address"), ("d", "Ann", None), (None, "Ann", "Student name")], "case_id string, text string, category string")
+    got = {(r.case_id, r.text): (r.replaced, r.label) for r in who.resolve(rows, forms).collect()}
+    assert got == {("c", "Phone:"): (False, "[name]"), ("c", "Ann"): (True, "[name]"), ("c", "Phone"): (True, "[phone]"), ("c", "dear Oswick  Munrose's"): (True, "[Student]"), ("c", "the Munrose house"): (True, "[Family name]"),
+                   ("c", "Munrose's"): (True, "[Family name]"), ("d", "Ann"): (True, "[Parent]"), (None, "Ann"): (True, "[name]")}
 
 
 def test_listed_names_are_trimmed_and_keep_their_digits(spark):
