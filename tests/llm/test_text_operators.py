@@ -22,6 +22,7 @@ from tests.llm import cases
 from tests.oracle import DATA
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BOTH = [(public_tokenizers.path(f), public_tokenizers.PATTERN) for f in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
 
 
 @pytest.fixture(scope="module")
@@ -162,6 +163,53 @@ def test_rows_that_repeat_share_out_their_copies(spark, monkeypatch):
         assert abs(sum(r.taken for r in some) - some[0].target) <= 3 and len({r.copies for r in some}) <= 2
 
 
+def test_digests_of_the_table_are_those_of_tiktoken(spark, tiktoken_encoding):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op2_byte_bpe(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = tiktoken_encoding.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_ids_stay_right_when_pieces_are_forgotten(tiktoken_encoding, monkeypatch):
+    """Pieces known from earlier parts, and more of them than are kept."""
+    monkeypatch.setattr(bpe, "KNOWN", 50)
+    own = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    r = random.Random(3)
+    for _ in range(6):
+        texts = [" ".join(r.choice(("alpha", "beta é", "γ", f"n{r.randrange(60)}")) for _ in range(40)) for _ in range(3)] + [""]
+        got = [ids[at[d] : at[d + 1]].tolist() for a, b, ids, at in own.encode_column(as_strings(pa.array(texts))) for d in range(b - a)]
+        assert got == [tiktoken_encoding.encode_ordinary(t) for t in texts] and len(own._known.hashes) <= 50
+
+
+def test_clashing_names_are_refused_and_extra_columns_stay(spark):
+    docs = cases.docs(spark).withColumn("extra", F.lit("kept"))
+    model, scorer = langid.train_language(docs), quality.AdditiveModel().fit(np.zeros((0, 13)), np.zeros(0))
+    pattern = public_tokenizers.PATTERN
+    made = {
+        "n_tokens": lambda d: bpe.bpe_digests(d, RANKS, pattern), "decoded": lambda d: bpe.bpe_decode(bpe.bpe_encode(d, RANKS, pattern), RANKS, pattern), "lang_score": lambda d: langid.predict_language(d, model),
+        "score": lambda d: quality.score_quality(d, scorer), "kept": lambda d: fertility.fertility_rules(d, BOTH), "_marks": lambda d: substring.remove_repeated_spans(d, Scratch(spark, "t")),
+    }
+    for name, run in made.items():
+        out = run(docs).collect()
+        assert len(out) == len(cases.rows()) and all(r.extra == "kept" for r in out)
+        with pytest.raises(ValueError):
+            run(docs.withColumn(name, F.lit(1)))
+
+
+def test_repeated_texts_are_judged_alike(spark):
+    """Ties and repeats: the same text gets the same verdict wherever it stands, however long it is."""
+    rows = [(i, (cases.BASE, cases.LONG, "x y", "")[i % 4], "en", "s", None) for i in range(40)]
+    docs = cases.docs(spark, rows).repartition(5)
+    model, scorer = langid.train_language(docs), quality.train_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    for out in (langid.predict_language(docs, model).select("doc_id", "lang_pred", "lang_score"), quality.score_quality(docs, scorer).select("doc_id", "score"), fertility.fertility_rules(docs, BOTH).drop("lang", "source", "n_chars")):
+        by = {}
+        for r in out.collect():
+            by.setdefault(r.doc_id % 4, set()).add(tuple(r)[1:])
+        assert len(by) == 4 and all(len(v) == 1 for v in by.values())
+
+
 def test_mix_comes_near_its_targets_and_agrees_with_itself(spark):
     r = random.Random(4)
     rows = [(i, " ".join(["w"] * r.choice((0, 1, 3, 40, 200, 900))), None, ("a", "b", None, "c")[min(3, int(r.random() * 6))], None) for i in range(900)]
@@ -362,7 +410,6 @@ def test_fertility_keeps_clean_texts_of_other_scripts(spark):
     assert len(got) == len(rows) and all(r.kept and not r.base_failed for r in got)
 
 
-BOTH = [(public_tokenizers.path(f), public_tokenizers.PATTERN) for f in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
 
 
 def test_fertility_rejects_random_letters_of_scripts_that_are_known(spark):
