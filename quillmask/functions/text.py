@@ -4,6 +4,7 @@ text it may change."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -49,6 +50,11 @@ def to_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return split.withColumn("line_num", F.col("_at") + 1).drop("_at")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: within a lambda an expression is otherwise computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def quoted(text: Column) -> Column:
     """A pattern that matches text as it is."""
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))

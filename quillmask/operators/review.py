@@ -80,6 +80,13 @@ def category_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy(F.coalesce("category", F.lit("Unknown")).alias("category")).agg(F.count("*").alias("n"))
 
 
+def corpus_counts(matches: DataFrame) -> DataFrame:
+    """Distinct (document, category, text whatever its case), counted by category, and how many texts they are: the report that
+    two versions of the detectors are compared by."""
+    rows = matches.select("doc_id", "category", F.lower("text").alias("text")).distinct()
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"))
+
+
 def log_summary(matches: DataFrame) -> DataFrame:
     """Counts by category, by confidence label and in all, from one pass: (category, label, n) with nulls for "any"."""
     rows = matches.select("category", confidence_label(F.col("confidence")).alias("label"))

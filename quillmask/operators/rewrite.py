@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.lexicons import CATEGORY_LABELS, SHARED_SURNAME, SOME_NAME, SOME_ORGANISATION, SOMETHING
-from ..functions.text import loose_pattern, parts, quoted, visible
+from ..functions.text import bind, loose_pattern, parts, quoted, visible
 from .people import resolve
 
 #: Stands between the cells of a table row while text is rewritten and checked; matches may span it.
 CELL = "\u2028"
+ITEMS = "array<struct<n:int,at:int,raw:string,label:string,key:string,pattern:string>>"
 
 
 def _squeezed(text: Column) -> Column:
@@ -22,25 +23,26 @@ def _squeezed(text: Column) -> Column:
 
 
 def replacements(chosen: DataFrame, forms: DataFrame) -> DataFrame:
-    """(case_id, doc_id, items) of chosen matches: distinct texts that are to be replaced, longest first, each with its label and
-    the first category seen. forms (case_id, form, at, label) come from people.form_labels."""
+    """(case_id, doc_id, items: ITEMS) of chosen matches: distinct texts that are to be replaced, longest first, each with its
+    label, its words run together and its pattern. forms (case_id, form, at, label) come from people.form_labels."""
     rows = chosen.withColumn("raw", F.btrim("text")).where(F.length("raw") >= 2)
     rows = rows.groupBy("case_id", "doc_id", F.lower("raw").alias("_low")).agg(F.min_by(F.struct("raw", "category"), "match_idx").alias("m"), F.min("match_idx").alias("at"))
     # the first category seen decides both whether and how a text is replaced
     rows = resolve(rows.select("case_id", "doc_id", "at", F.col("m.raw").alias("text"), F.col("m.category").alias("category")), forms)
     rows = rows.where(F.col("replaced") & (F.size(parts(F.col("text"))) > 0))
-    item = F.struct((-F.length("text")).alias("n"), "at", F.col("text").alias("raw"), "label")
+    item = F.struct((-F.length("text")).alias("n"), "at", F.col("text").alias("raw"), "label", _squeezed(F.col("text")).alias("key"), loose_pattern(F.col("text")).alias("pattern"))
     return rows.groupBy("case_id", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def rewrite(text: Column, items: Column) -> tuple[Column, Column]:
     """(text with every item replaced by its label, number of replacements), in one pass: labels are never searched again, and
     longer items go first. Null items leave the text as it is."""
-    alternatives = F.array_join(F.transform(items, lambda i: loose_pattern(i["raw"])), "|")
+    alternatives = F.array_join(F.transform(items, lambda i: i["pattern"]), "|")
     pattern = F.concat(F.lit("(?Ui)" + P.EDGE_BEFORE + "(?:"), alternatives, F.lit(")" + P.EDGE_AFTER))
     hits, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    label = lambda h: F.get(F.filter(items, lambda i: _squeezed(i["raw"]) == _squeezed(h)), F.lit(0))["label"]
-    whole = F.array_join(F.transform(between, lambda b, k: F.concat(b, F.when(k < F.size(hits), F.coalesce(label(F.get(hits, k)), F.lit(SOMETHING))).otherwise(F.lit("")))), "")
+    label = lambda key: F.coalesce(F.get(F.filter(items, lambda i: i["key"] == key), F.lit(0))["label"], F.lit(SOMETHING))
+    labels = F.transform(hits, lambda h: bind(_squeezed(h), label))
+    whole = F.array_join(F.zip_with(between, labels, lambda b, x: F.concat(b, F.coalesce(x, F.lit("")))), "")
     some = F.coalesce(F.size(items), F.lit(0)) > 0
     return F.when(some, whole).otherwise(text), F.when(some, F.size(hits)).otherwise(0)
 
@@ -72,10 +74,10 @@ def strip_labels(text: Column, labels: Column) -> Column:
     return F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, F.regexp_replace(text, pattern, F.lit(" "))).otherwise(text)
 
 
-def leftovers(body: Column, texts: Column, labels: Column) -> Column:
-    """Those of texts with three characters or more that are still visible."""
-    bare = strip_labels(body, labels)
-    return F.filter(texts, lambda t: (F.length(F.btrim(t)) >= 3) & visible(F.btrim(t), bare))
+def leftovers(body: Column, items: Column, labels: Column) -> Column:
+    """Those of items with three characters or more that are still visible as whole words, as texts."""
+    seen = lambda i, bare: F.regexp_like(bare, F.concat(F.lit("(?Ui)" + P.EDGE_BEFORE), i["pattern"], F.lit("(?:['’]s)?" + P.EDGE_AFTER)))
+    return bind(strip_labels(body, labels), lambda bare: F.transform(F.filter(items, lambda i: (F.length(i["raw"]) >= 3) & (i["key"] != "") & seen(i, bare)), lambda i: i["raw"]))
 
 
 def close_words(word: Column, token: Column) -> Column:
@@ -87,16 +89,17 @@ def close_words(word: Column, token: Column) -> Column:
 def fuzzy_leftovers(body: Column, texts: Column, labels: Column) -> Column:
     """Those of texts with a word that text read from a scan still nearly shows."""
     words = F.array_distinct(F.transform(F.split(strip_labels(body, labels), r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\w'’]", ""))))
-    words = F.filter(words, lambda w: w != "")
-    return F.transform(F.filter(texts, lambda t: F.exists(parts(F.btrim(t)), lambda k: F.exists(words, lambda w: close_words(w, k)))), lambda x: F.btrim(x))
+    near = lambda ws: F.transform(F.filter(texts, lambda t: F.exists(parts(F.btrim(t)), lambda k: F.exists(ws, lambda w: close_words(w, k)))), lambda x: F.btrim(x))
+    return bind(F.filter(words, lambda w: w != ""), near)
 
 
 def verify(bodies: DataFrame, items: DataFrame, labels: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """bodies with leftovers (array) and status: "written", or "quarantined" if anything replaced is still visible. scanned
     (case_id, doc_id, scan) holds the text of scanned pages, which is checked for near misses too. Cell marks become " | "."""
     rows = bodies.join(items, ["case_id", "doc_id"], "left").join(labels, "case_id", "left")
-    texts = F.transform(F.coalesce("items", F.array().cast("array<struct<n:int,at:int,raw:string,label:string>>")), lambda i: i["raw"])
-    found = leftovers(F.col("body"), texts, F.col("labels"))
+    items = F.coalesce("items", F.array().cast(ITEMS))
+    texts = F.transform(items, lambda i: i["raw"])
+    found = leftovers(F.col("body"), items, F.col("labels"))
     if scanned is not None:
         rows = rows.join(scanned, ["case_id", "doc_id"], "left")
         found = F.array_union(found, F.when(F.col("scan").isNotNull(), fuzzy_leftovers(F.col("scan"), texts, F.col("labels"))).otherwise(F.array().cast("array<string>")))

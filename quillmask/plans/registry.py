@@ -511,9 +511,8 @@ def a15_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a16_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (document, category, text), counted by category: the regression report over a corpus."""
-    rows = _phones_and_emails(_pages(spark, sf_dir)).select("doc_id", "category", F.lower("text").alias("text")).distinct()
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"))
+    """The regression report over a corpus."""
+    return R.corpus_counts(_phones_and_emails(_pages(spark, sf_dir)))
 
 
 def a17_folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,10 @@ def counts_by_window(pages: DataFrame, time_col: str, width: str = "10 minutes",
 
 
 def write_matches(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch's deduplicated matches to a table; a page arrives whole, so its batch holds all its matches."""
+    """Adds each batch's deduplicated matches to a table; a page arrives whole, so its batch holds all its matches. A batch that
+    runs again after a failure writes its own part (batch=...) anew, so no match is there twice."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        dedup_matches(rows).drop("first_ord").write.mode("append").parquet(path)
+    def batch(rows: DataFrame, number: int) -> None:
+        dedup_matches(rows).drop("first_ord").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return detect_stream(pages).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
