@@ -118,12 +118,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
     A vector that is null, zero or holds null or non-finite numbers takes no part, nor does a null id. Vectors of another
     length than the query's are no candidates. A query has no rows if there is no candidate; so has an empty table. Rows
     that repeat an id are candidates of their own, and rows are dealt by their place in the table, so that no id or vector
-    fills a block; queries that repeat an id should be left to distinct(). m directions are used; vectors within the
+    fills a block. Rows of queries that repeat another one are one query; those that share only the id share k places. m directions are used; vectors within the
     windows of share * m of them are verified."""
     pick = [F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), F.size(vec_col).alias("dim")]
     scratch = Scratch(vectors.sparkSession, "ann")
     rows = usable(numbered(vectors, scratch), vec_col).where(F.col(id_col).isNotNull()).select(*pick, "_row")
-    asked = usable(queries, vec_col).where(F.col(id_col).isNotNull()).select(*pick)
+    asked = usable(queries, vec_col).where(F.col(id_col).isNotNull()).select(*pick).distinct()
     n_rows, n_asked = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
     deal = lambda df, own, n, key, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     rows = deal(rows, "rb", n_rows, "_row", "qb", n_asked).drop("_row").groupBy("dim", "rb", "qb")

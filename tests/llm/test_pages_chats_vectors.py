@@ -62,6 +62,8 @@ def test_rows_that_repeat_an_id_fill_no_block(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest_neighbours(df, df.where("vec_id = 350"), k=400).toPandas()
     assert (got.vec_id == 7).sum() in (0, 300) and got["rank"].tolist() == list(range(1, 401)) and (got.score.diff().dropna() <= 0).all()
+    twice = ann.nearest_neighbours(df, df.where("vec_id = 350").unionByName(df.where("vec_id = 350")), k=3).toPandas()
+    assert len(twice) == 3 and twice["rank"].tolist() == [1, 2, 3]
     part = pd.DataFrame({"vec_id": np.arange(250), "embedding": list(x[:250])})
     one = ann._search(part, part.iloc[:3], 5, 32, 0.6, 11)  # more rows than a block holds are searched in parts
     assert len(one) == 3 * 3 * 5
