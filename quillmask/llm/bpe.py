@@ -25,11 +25,11 @@ from .words import as_strings, offsets_of, pieces, range_hash
 
 #: Bytes of text whose distinct pieces are encoded together, how many pieces one string given to the library holds, and how
 #: many strings it gets at once.
-GROUP = 12 << 20
+GROUP = 4 << 20
 STRING = 256
 BATCH = 32
 #: Most pieces whose ids a worker keeps from one part to the next.
-KNOWN = 800_000
+KNOWN = 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -91,7 +91,7 @@ class Known:
     ids: np.ndarray
 
 
-_NOTHING = Known(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint8), np.zeros(0, np.int32))
+_NOTHING = Known(np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(4)), np.zeros(0, np.uint8), np.zeros(0, np.int32))
 
 
 def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ class ByteBpe:
         if not len(part.start):
             return np.zeros(0, np.int32), np.zeros(len(part.off), np.int64)
         known, data, start, size, hashes = self._known, part.data, part.start[part.first], part.size[part.first], part.hashes[part.first]
-        at = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0))
+        at = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0)).astype(np.int32)
         old = np.zeros(len(start), bool)
         if len(known.hashes):
             old = (known.hashes[at] == hashes) & (known.size[at] == size)
@@ -188,7 +188,7 @@ class ByteBpe:
         data, at = _gather(part.data, start, size, new)
         every = [np.concatenate(x) for x in ((known.hashes, hashes[new]), (known.start, at[:-1] + len(known.data)), (known.size, size[new]), (known.id_start, id_start), (known.id_size, id_size))]
         _, order = np.unique(every[0], return_index=True)
-        self._known = Known(*(x[order] for x in every), np.concatenate([known.data, data]), flat)
+        self._known = Known(every[0][order], *(x[order].astype(np.int32) for x in every[1:]), np.concatenate([known.data, data]), flat)
 
     def _encode(self, part: Part, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of some pieces by the library, the first id of each and how many it has."""

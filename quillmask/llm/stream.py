@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch. Spark's own 10,000 rows of long texts or sets take hundreds of MB in an executor and its workers.
 BATCH_ROWS = 1000
 #: Bytes of an Arrow batch: a thousand long texts, or pairs of their sets, take as much as one batch of short ones.
-BATCH_BYTES = 8 << 20
-#: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each); more are joined by a shuffle.
+BATCH_BYTES = 4 << 20
+#: Up to so many ids are broadcast to pick texts out of the documents (8 bytes each, a few MB as a table of an executor);
+#: more are joined by a shuffle.
 FEW = 100_000
 _LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
