@@ -23,23 +23,28 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def _class(points: list[int]) -> str:
+    first = [i for i, before in zip(points, [None, *points]) if before != i - 1]
+    last = [i for i, after in zip(points, [*points[1:], None]) if after != i + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
+
+
 @cache
-def unsettled() -> str:
-    """A class of all characters that NFKC may change, by themselves or behind another one: those with a form of their own,
-    marks, and the second halves of composed ones. Letters such as é or ß are none, they are settled."""
+def unsettled() -> tuple[str, str]:
+    """Two classes: all characters that NFKC may change, by themselves or behind another one (those with a form of their own,
+    marks, and the second halves of composed ones; letters such as é or ß are none), and the Latin ones that it never changes."""
     every = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
     pairs = (unicodedata.decomposition(chr(i)).split() for i in every)
     second = {int(p[1], 16) for p in pairs if len(p) == 2 and p[0][0] != "<"} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
     odd = [i for i in every if i in second or unicodedata.combining(chr(i)) or unicodedata.normalize("NFKC", chr(i)) != chr(i)]
-    first = [i for i, before in zip(odd, [None, *odd]) if before != i - 1]
-    last = [i for i, after in zip(odd, [*odd[1:], None]) if after != i + 1]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
+    return _class(odd), _class(sorted(set(range(0x250)) - set(odd)))
 
 
 def normalise(df: DataFrame, column: str = "text") -> DataFrame:
     """df with column in NFKC and straight quotes. Rows that hold no character of unsettled() never reach Python: the others are
-    split off, which reads df twice."""
-    odd = F.coalesce(F.col(column).rlike(unsettled()), F.lit(False))
+    split off, which reads df twice. The class has hundreds of ranges, so it only sees what is not ASCII or settled Latin."""
+    text, (may_change, plain) = F.col(column), unsettled()
+    odd = F.coalesce((F.octet_length(text) != F.length(text)) & F.regexp_replace(text, plain + "+", "").rlike(may_change), F.lit(False))
     rows = df.where(~odd).unionByName(df.where(odd).withColumn(column, _nfkc.asNondeterministic()(column)))
     return rows.withColumn(column, F.translate(F.col(column), "‘’“”", "''\"\""))
 
