@@ -32,6 +32,8 @@ BATCH = 32
 KNOWN = 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Cuts before U+0020 only.
+BLANK = np.arange(256) == 32
 
 
 def byte_characters() -> list[str]:
@@ -94,11 +96,11 @@ class Known:
 _NOTHING = Known(np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(4)), np.zeros(0, np.uint8), np.zeros(0, np.int32))
 
 
-def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cut(data: np.ndarray, off: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first byte of each piece and a hash of it."""
     cut = np.zeros(len(data), bool)
     if len(data) > 1:
-        cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]]
+        cut[1:] = before[data[1:]] & ~_SPACE[data[:-1]]
         # not after what may be white space outside ASCII: U+0085, U+00A0 and three-byte characters from E1, E2, E3
         low, two = data[:-1], np.append(np.uint8(0), data[:-2])
         three = np.append(np.zeros(2, np.uint8), data[:-3]) if len(data) > 2 else np.zeros(len(data) - 1, np.uint8)
@@ -109,12 +111,13 @@ def _cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, range_hash(data, start, stop, 0)
 
 
-def cut_column(column: pa.Array) -> Iterator[Part]:
-    """Parts of a string column for any encoder: pieces do not depend on the vocabulary."""
+def cut_column(column: pa.Array, before: np.ndarray = _SPACE) -> Iterator[Part]:
+    """Parts of a string column for any encoder: pieces do not depend on the vocabulary. Texts are cut before those of the six
+    white spaces that before names, where they follow another character."""
     for a, b in pieces(column, GROUP):
         part = column.slice(a, b - a)
         data, off = offsets_of(part)
-        found = [(_cut(*offsets_of(part.slice(c, d - c))), off[c]) for c, d in pieces(part)]
+        found = [(_cut(*offsets_of(part.slice(c, d - c)), before), off[c]) for c, d in pieces(part)]
         start = np.concatenate([np.zeros(0, np.int64), *(s + o for (s, _), o in found)])
         hashes = np.concatenate([np.zeros(0, np.uint64), *(h for (_, h), _ in found)])
         size = np.diff(np.append(start, len(data)))
@@ -145,6 +148,9 @@ class ByteBpe:
         tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = bytes(self.byte_of_char[c] for c in shown[t])
+        self._tables(tokens)
+
+    def _tables(self, tokens: list[bytes]) -> None:
         self.tokens = tokens
         self._bytes = _table(tokens)
         self._decimal = _table([b"%d," % i for i in range(len(tokens))])

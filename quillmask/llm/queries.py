@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .ann import nearest_neighbours
 from .bpe import bpe_digests
 from .chat import chat_digests, format_chats
@@ -18,12 +19,16 @@ from .langid import predict_language, train_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
 from .oracles import ORACLES
+from .packing import pack_documents
 from .quality import score_quality, train_quality
 from .scratch import Scratch
 from .substring import remove_repeated_spans
+from .whitening import whiten
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 SECOND_BPE_FILE = "byte_bpe_50k.tiktoken"
+PACKING_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
 
 
@@ -85,8 +90,22 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(docs, [(public_tokenizers.path(f), public_tokenizers.PATTERN) for f in (SECOND_BPE_FILE, BPE_FILE)])
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path(PACKING_FILE), digest=True)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokenizers(docs, public_tokenizers.path(PACKING_FILE), public_tokenizers.path(PIECE_FILE), Scratch(spark, "op13"), digest=True)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_mix_sources, op2_byte_bpe, op3_chat_format, op4_nearest, op5_substring_dedup, op6_ngram_jaccard_join, op7_main_text, op8_quality_gam, op9_language_id, op10_fertility]
+    every = [op1_mix_sources, op2_byte_bpe, op3_chat_format, op4_nearest, op5_substring_dedup, op6_ngram_jaccard_join, op7_main_text, op8_quality_gam, op9_language_id, op10_fertility, op11_packing, op12_whitening, op13_alignment]
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
