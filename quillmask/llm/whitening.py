@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ def usable(vectors: DataFrame, vec_col: str) -> DataFrame:
 
 def whole(column: pa.Array, scale: int, shift: int) -> np.ndarray:
     """Vectors of one length as whole numbers, a row each; they must fit 53 bits, which keeps them exact."""
-    c = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64)
+    c = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64)
     x = np.floor(scale * c) + shift
     if len(x) and np.abs(x).max() >= 2.0**53:
         raise ValueError("a vector's number is too large to be scaled exactly")
