@@ -151,10 +151,15 @@ def aligned(texts, library):
                 at += len(x)
             spans.append(out)
         both = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-        groups, before = [], 0
+        groups, left = [], [iter(side) for side in spans]
         for end in both:
-            groups.append("|".join(",".join(str(i) for i, s, e in side if before <= s and e <= end) for side in spans))
-            before = end
+            sides = []
+            for side in left:
+                own = []
+                while not own or own[-1][2] < end:
+                    own.append(next(side))
+                sides.append(",".join(str(i) for i, _, _ in own))
+            groups.append("|".join(sides))
         links, low = [], 0
         for i, s, e in spans[0]:
             while low < len(spans[1]) and spans[1][low][2] <= s:
