@@ -79,7 +79,7 @@ SCRIPTS = {
     "other": (),
 }
 _NAMES = list(SCRIPTS)
-#: Scripts written without spaces between words (Han and kana, Thai; Lao, Burmese and Khmer): so many letters count as a word.
+#: Scripts written without spaces between words (Han and kana, Thai; Lao, Burmese and Khmer): so many letters are likely a word.
 _UNSPACED = [_NAMES.index(k) for k in ("east_asian", "thai", "unspaced")]
 LETTERS_A_WORD = 3
 #: Words that a text needs to be measured.
@@ -166,33 +166,34 @@ def _rules(batches: Iterator[pa.RecordBatch], vocabularies: list[tuple[str, str]
         for a, b in pieces(text):
             s = TextStats(text.slice(a, b - a))
             letters = letters_by_script(s.words.data, s.words.off)
-            size = np.maximum(s.n_words, letters[:, _UNSPACED].sum(axis=1) // LETTERS_A_WORD)
-            failed = (size < LEAST_WORDS) | (100 * s.n_repeat_words > 30 * s.n_words)
+            failed = (s.n_words < LEAST_WORDS) | (100 * s.n_repeat_words > 30 * s.n_words)
+            likely = np.maximum(s.n_words, letters[:, _UNSPACED].sum(axis=1) // LETTERS_A_WORD)
             script = np.where(letters.any(axis=1), letters.argmax(axis=1), len(_NAMES) - 1)
             kept = ~failed
             for values, band in zip(measured, limits, strict=True):
                 chars, share, entropy = (v[a:b] for v in values[1:])
                 low, high, fallback, least = band[script].T
                 kept &= (chars >= low) & (chars <= high) & (share <= fallback) & (entropy >= least)
-            made = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, failed, kept, chars, share, entropy]
+            made = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, failed, kept, chars, share, entropy, likely]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != text_at), *map(pa.array, made)], names)
 
 
 def fertility_rules(docs: DataFrame, vocabularies: list[tuple[str, str]], bands: list[dict[str, Band]] | None = None, text_col: str = "text") -> DataFrame:
     """docs, the text left out, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the
-    measures chars_per_token, fallback_share and token_entropy of the last vocabulary. vocabularies are (rank file, split
+    measures chars_per_token, fallback_share and token_entropy of the last vocabulary, and likely_words. vocabularies are (rank file, split
     pattern); kept is false if the base rules fail or any vocabulary's measures leave its bands of the text's script. bands are one dict by script for each vocabulary, "other"
     among them; those of BANDS if not given, and a vocabulary that BANDS does not name is refused with a ValueError.
 
     The script of a text is the one that most of its letters belong to, by code point; a text without letters counts as
-    "other". Where words are not set apart by spaces, LETTERS_A_WORD letters count as a word when the base rules ask for
-    LEAST_WORDS; n_words itself counts what spaces set apart.
+    "other". The base rules count what spaces set apart, whatever the script: a text fails them with fewer than LEAST_WORDS words, or if more than 30 % of
+    its words repeat. Where words are not set apart by spaces, likely_words counts LETTERS_A_WORD letters as a word (elsewhere it is
+    n_words); it is for those who want to judge such texts by it and changes no verdict.
 
     Null and empty texts have no words and fail the base rules. Texts are judged one by one, so ties and repeats are judged
     alike and an empty table gives an empty one. A column that has the name of a result is refused with a ValueError."""
     small_batches(docs.sparkSession)
     long, double, flag = T.LongType(), T.DoubleType(), T.BooleanType()
-    added = [(n, long) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", flag), ("kept", flag)] + [(n, double) for n in ("chars_per_token", "fallback_share", "token_entropy")]
+    added = [(n, long) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", flag), ("kept", flag)] + [(n, double) for n in ("chars_per_token", "fallback_share", "token_entropy")] + [("likely_words", long)]
     clash = {n for n, _ in added} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")

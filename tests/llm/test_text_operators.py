@@ -404,12 +404,15 @@ def test_letters_are_counted_by_code_point():
     assert got[11].sum() == 1 and got[11][names.index("east_asian")] == 1
 
 
-def test_fertility_keeps_clean_texts_of_other_scripts(spark):
-    rows = [(i, t, None, None, None) for i, t in enumerate(SCRIPT_TEXTS.values())]
-    got = fertility.fertility_rules(cases.docs(spark, rows), [(RANKS, public_tokenizers.PATTERN)]).collect()
-    assert len(got) == len(rows) and all(r.kept and not r.base_failed for r in got)
+#: Scripts whose words are not set apart by spaces: the base rules count one or two words in such texts.
+UNSPACED = ("thai", "chinese", "japanese")
 
 
+def test_fertility_keeps_clean_texts_of_other_scripts(spark):
+    rows = [(i, t, k, None, None) for i, (k, t) in enumerate(SCRIPT_TEXTS.items())]
+    got = {r.lang: r for r in fertility.fertility_rules(cases.docs(spark, rows), [(RANKS, public_tokenizers.PATTERN)]).collect()}
+    assert {k: (r.kept, r.base_failed) for k, r in got.items()} == {k: (k not in UNSPACED, k in UNSPACED) for k in SCRIPT_TEXTS}
+    assert all(got[k].likely_words >= 20 > got[k].n_words for k in UNSPACED) and all(got[k].likely_words == got[k].n_words for k in SCRIPT_TEXTS if k not in UNSPACED)
 
 
 def test_fertility_rejects_random_letters_of_scripts_that_are_known(spark):
@@ -424,7 +427,7 @@ def test_fertility_rejects_random_letters_of_scripts_that_are_known(spark):
         noise = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)) if k in known else " ".join("ა" for _ in range(60))
         rows += [(len(rows), t, "clean", k, None), (len(rows) + 1, noise, "noise", k, None)]
     got = {(r.source, r.lang): r.kept for r in fertility.fertility_rules(cases.docs(spark, rows), BOTH).collect()}
-    assert got == {(k, kind): kind == "clean" for k in texts for kind in ("clean", "noise")}
+    assert got == {(k, kind): kind == "clean" and k not in UNSPACED for k in texts for kind in ("clean", "noise")}
 
 
 def test_fertility_holds_texts_to_the_bands_of_each_vocabulary(spark):
@@ -480,10 +483,7 @@ def test_rules_keep_clean_documents_of_the_table_and_reject_junk(spark):
     assert np.mean(good) > 0.995 and np.mean(bad) < 0.5
 
 
-def test_base_counts_are_those_of_sql(spark):
-    from tests.oracle import connect
-
-    sql = r"""
+BASE_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
      each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS j FROM w),
      wide AS (SELECT doc_id, j, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM each WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
@@ -493,9 +493,27 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
      dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
 SELECT doc_id, len(ws), length(array_to_string(ws, '')), len(regexp_extract_all(t, '[#*$%&|<>]')), coalesce(dup.n, 0), coalesce(hit.n, 0), len(ws) < 20 OR 100 * coalesce(hit.n, 0) > 30 * len(ws)
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN dup USING (doc_id)"""
-    want = Counter(connect().execute(sql).fetchall())
-    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in queries.op10_fertility(spark, DATA).collect())
-    assert got == want
+
+
+def base(rows):
+    return Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows.collect())
+
+
+def test_base_counts_are_those_of_sql(spark):
+    from tests.oracle import connect
+
+    assert base(queries.op10_fertility(spark, DATA)) == Counter(connect().execute(BASE_SQL).fetchall())
+
+
+def test_base_counts_of_texts_without_spaces_are_those_of_sql(spark):
+    import duckdb
+
+    texts = [*SCRIPT_TEXTS.values(), *(SCRIPT_TEXTS[k] * 5 for k in UNSPACED), " ".join([SCRIPT_TEXTS["thai"]] * 25), "\n".join(list(SCRIPT_TEXTS["chinese"]) * 2), cases.BASE, None, ""]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert base(fertility.fertility_rules(cases.docs(spark, rows), BOTH)) == Counter(con.execute(BASE_SQL).fetchall())
 
 
 def test_language_of_texts_of_any_length(spark):
