@@ -1,7 +1,7 @@
 """HTML extraction: a recurrent labeller decides for every block of a page whether it is main text.
 
 A page is cut into leaf blocks: runs of text between block-level tags. Each block becomes a vector of its hashed tag path
-(tags, and the words of their class and id), its hashed words and a few measures such as length and share of link text. A
+(tags, and the words of their class and id by the part these play in a name), its hashed words and a few measures such as length and share of link text. A
 bidirectional LSTM, written in numpy, reads the blocks of a page in order, so that every decision sees the whole page. It
 is trained on pages that a generator writes with known labels: articles in many layouts among menus, headers, sidebars,
 notices, adverts, forms and comments. Scripts, styles, comments in the markup and the head are never blocks. Of an element
@@ -44,7 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: What an opening tag closes if it is open.
 CLOSES = {"p": "p", "li": "li", "tr": "tr", "td": "td th", "th": "td th", "dt": "dt dd", "dd": "dt dd", "option": "option", **{f"h{i}": "p" for i in range(1, 7)},
           **dict.fromkeys("div ul ol dl table section article aside nav header footer form blockquote pre figure main hr".split(), "p")}
-PATH, WORDS, MEASURES = 96, 32, 8
+PATH, WORDS, MEASURES = 128, 32, 8
 HIDDEN = 16
 
 
@@ -124,8 +124,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, ...]], list[float]]:
         before = stack[-1][1] if stack else ()
         own = [name]
         if m["attrs"]:
-            for _, a, b, c in _NAMED.findall(m["attrs"]):
-                own += [f".{w}" for w in _WORD.findall((a or b or c).lower())]
+            own += _marks(" ".join(a or b or c for _, a, b, c in _NAMED.findall(m["attrs"])).lower())
         stack.append((name, before + tuple(own)))
     if at < len(html):
         take(html[at:])
@@ -133,6 +132,20 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, ...]], list[float]]:
     return texts, paths, links
 
 
+@cache
+def _marks(names: str) -> tuple[str, ...]:
+    """The words of an element's names, told apart by the part they play. The last word of a name says what the element is (a
+    post-footer is a footer): after + in an element that is called main text by any of its names, else after a dot. The other words
+    say what kind, or in what state (comments-open, has-sidebar): after a hyphen."""
+    last, rest = [], []
+    for name in names.split():
+        words = _WORD.findall(name)
+        last += words[-1:]
+        rest += words[:-1]
+    sign = "+" if any(w in MAIN_NAMES for w in last) else "."
+    return (*(sign + w for w in last), *(f"-{w}" for w in rest), *([".!"] if sign == "." and not _SIDE.isdisjoint(last) else []))
+
+
 def _mix32(text: str) -> int:
     h = 2166136261
     for b in text.encode():
@@ -146,7 +159,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH, np.float32)
     for x in set(path):
         out[_mix32(x) % PATH] = 1
-    for x in [p for p in path if p[0] != "."][-2:]:
+    for x in [p for p in path if p[0] not in ".+-"][-2:]:
         out[_mix32("last " + x) % PATH] += 1
     return out
 
@@ -272,6 +285,9 @@ SIDE_NAMES = {
     "comments": "comments comment reply replies discussion respond disqus thread feedback".split(),
     "share": "share social sharing buttons follow meta byline author".split(),
 }
+_SIDE = frozenset(w for names in SIDE_NAMES.values() for w in names)
+#: Those that stand in the names of main containers too, for a state or a neighbour of theirs.
+_STATES = [*SIDE_NAMES.values(), "comments sidebar header social banner message".split()]
 
 
 class PageWriter:
@@ -339,10 +355,27 @@ class PageWriter:
     def named(self, names: list[str]) -> str:
         r = self.r
         parts = r.sample(names, min(len(names), r.randint(1, 2)))
+        if r.random() < 0.15:  # an entry-footer, a post-share
+            return f" class=\"{r.choice(MAIN_NAMES)}-{parts[0]}\""
         if r.random() < 0.3:
             parts.append(r.choice(("wrap", "box", "inner", "area", "block", "item", "list", "container", "c", "x")))
         return f" {r.choice(('class', 'class', 'id'))}=\"{r.choice((' ', '-', '_')).join(parts)}\""
 
+    def main_named(self) -> str:
+        """Names of a container of main text: words for it, and often states and words that elsewhere mark side matter."""
+        r = self.r
+        side = lambda: r.choice(r.choice(_STATES))
+        name = "-".join(r.sample(MAIN_NAMES, r.randint(1, 2)))
+        if r.random() < 0.15:
+            name = f"{side()}-{name}" if r.random() < 0.5 else f"{r.choice(MAIN_NAMES)}-{side()}-{r.choice(MAIN_NAMES)}"
+        parts = [name]
+        if r.random() < 0.55:
+            kinds = (lambda: f"{side()}-{r.choice(('open', 'closed', 'on', 'off', 'enabled', self.words(1)))}", lambda: f"{r.choice(('has', 'with', 'no', 'is'))}-{side()}", side,
+                     lambda: f"{side()}-{side()}", lambda: f"{r.choice(('type', 'status', 'format', 'category', 'tag'))}-{r.choice(('post', 'publish', 'standard', 'news', self.words(1)))}")
+            parts += [r.choice(kinds)() for _ in range(r.choice((1, 1, 2, 4, 6)))]
+            r.shuffle(parts)
+        return f" {r.choice(('class', 'class', 'id'))}=\"{' '.join(parts)}\""
+
     def page(self) -> list[tuple[str, int]]:
         r = self.r
         main = self.main()
@@ -354,11 +387,11 @@ class PageWriter:
             main += self.side("comments")
         style = r.random()
         if style < 0.45:
-            main = [("<article>", -1), *main, ("</article>", -1)]
+            main = [(f"<article{self.main_named() if r.random() < 0.4 else ''}>", -1), *main, ("</article>", -1)]
         elif style < 0.6:
             main = [("<main>", -1), *main, ("</main>", -1)]
         elif style < 0.9:
-            main = [(f"<div{self.named(MAIN_NAMES)}>", -1), *main, ("</div>", -1)]
+            main = [(f"<div{self.main_named()}>", -1), *main, ("</div>", -1)]
         if r.random() < 0.3:
             main = [(r.choice(("<div class='container'>", "<div id='wrapper'>", "<main>")), -1), *main, ("</div></main>", -1)]
         before, after = [], []
@@ -380,7 +413,7 @@ class PageWriter:
 
 
 @cache
-def trained(pages: int = 600, seed: int = 3) -> Labeller:
+def trained(pages: int = 1200, seed: int = 3) -> Labeller:
     """The labeller, trained once in a process on generated pages; the same for the same arguments."""
     writer = PageWriter(seed)
     data = []

@@ -131,6 +131,30 @@ def test_pages_of_the_table(spark):
         assert r.text == "\n".join(want) and r.n_chars == len(r.text)
 
 
+THEMES = ["entry-content", "post-content comments-open", "post type-post status-publish format-standard has-post-thumbnail category-news comments-open", "main-content has-sidebar",
+          "article-body message", "blog-header-post", "single banner-top"]
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_class_words_of_a_state_or_a_neighbour_do_not_lose_an_article(tag):
+    story = ["The mill by the river", "Seven wise owls watched from an old oak tree near the bank, as they did each evening.", "Small boats drifted slowly home past the mill, where bread is baked every day."]
+    page = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><{0} class='{1}'><h1>{2}</h1><p>{3}</p><p>{4}</p></{0}><footer><p>&copy; 2024 The Mill</p></footer>"
+    assert html.extract_pages([page.format(tag, names, *story) for names in THEMES], html.trained()) == ["\n".join(story)] * len(THEMES)
+
+
+def test_blocks_of_layouts_that_were_not_learned():
+    writer, right, total = html.PageWriter(99), 0, 0
+    for _ in range(300):
+        page, y = writer.labelled()
+        texts, paths, links = html.blocks(page)
+        if len(y) != len(texts) or not y:
+            continue
+        x, mask, _ = html.pad([(html.vectors(texts, paths, links, np.arange(len(y)) / len(y)), np.array(y))])
+        right += int(((html.trained().score(x, mask)[0] >= 0.5) == np.array(y)).sum())
+        total += len(y)
+    assert right >= 0.97 * total
+
+
 def test_odd_pages(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", "<p"), (5, "u", "<!-- x"), (6, "u", PAGE.format(MAIN)), (6, "u", PAGE.format(MAIN)), (None, None, "<script>x"), (7, "u", PAGE.format("<article>" + "<p>Some words of a long page stand here.</p>" * 3000 + "</article>"))]
