@@ -115,16 +115,56 @@ def run_totals(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("documents"), F.count_if("success").alias("successful"), F.sum("items").alias("items"), F.sum(F.size("failures")).alias("failures"), F.sum(F.size("ocr_warnings")).alias("ocr_warnings"))
 
 
+#: The words of the audit log.
+LOG_RULES = ("=" * 61, "─" * 76, "─" * 25)
+
+
+def _lines(rows: DataFrame, section: int, keys: list[Column], *lines: Column) -> DataFrame:
+    """Lines (section, keys, step, line) of rows; null lines are left out."""
+    each = F.filter(F.array(*[F.struct(F.lit(i).alias("step"), x.alias("line")) for i, x in enumerate(lines)]), lambda x: x["line"].isNotNull())
+    return rows.select(F.lit(section).alias("section"), *[k.alias(n) for k, n in zip(keys, ("document_name", "output_name", "place"), strict=True)], F.inline(each))
+
+
 def audit_lines(entries: DataFrame) -> DataFrame:
-    """Lines (document_name, output_name, place, line) of the audit log: a head, a rule, then a line for each entry, by page and
-    line. A row a line, so a document with very many entries is never gathered."""
+    """Lines (document_name, output_name, place, line) of the audit log's documents: a head, a rule, then a line for each entry, by page
+    and line, and one more for its notes (a column that may be missing). A row a line, so a document with very many entries is
+    never gathered."""
     keys = ["document_name", "output_name"]
     label = confidence_label(F.col("confidence"))
     line = F.format_string('Page %d, Line %d: "%s" [%s] [%s confidence]', "page_num", "line_num", "text", "category", label)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("page_num", "line_num", "match_idx"))
-    body = entries.select(*keys, (nth + 1).alias("place"), line.alias("line"))
-    head = F.array(F.concat(F.lit("DOCUMENT: "), "document_name", F.lit(" → "), "output_name"), F.lit("─" * 76))
-    return entries.select(*keys).distinct().select(*keys, F.posexplode(head).alias("place", "line")).unionByName(body)
+    notes = F.col("notes") if "notes" in entries.columns else F.lit(None).cast("string")
+    noted = F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("    Note: "), notes))
+    rows = entries.select(*keys, line.alias("line"), noted.alias("note"), "page_num", "line_num", "match_idx")
+    order = Window.partitionBy(*keys).orderBy("page_num", "line_num", "match_idx")
+    # notes push what comes after them down by a line
+    at = F.row_number().over(order) + F.coalesce(F.count("note").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    rows = rows.select(*keys, at.cast("int").alias("at"), "line", "note")
+    both = F.filter(F.array(F.struct(F.col("at").alias("place"), F.col("line").alias("line")), F.struct((F.col("at") + 1).alias("place"), F.col("note").alias("line"))), lambda x: x["line"].isNotNull())
+    head = F.array(F.concat(F.lit("DOCUMENT: "), "document_name", F.lit(" → "), "output_name"), F.lit(LOG_RULES[1]))
+    return entries.select(*keys).distinct().select(*keys, F.posexplode(head).alias("place", "line")).unionByName(rows.select(*keys, F.inline(both)))
+
+
+def audit_log(run: DataFrame, entries: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The whole log of one run as lines (section, document_name, output_name, place, line), to be read in that order: its head (0), its documents (1, as
+    audit_lines gives them, each with an empty line behind it), the files that someone has to look at (2) and the end (3).
+
+    run is one row (operation, verb, folder, subject, processed, total, successful, n_flagged, cancelled); flagged are its n_flagged rows
+    (document_name, reason). A run that was cancelled says so, and how far it came."""
+    none = F.lit("")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    c = F.col
+    head = _lines(run, 0, [none, none, F.lit(0)], text(c("operation"), " LOG"), F.lit(LOG_RULES[0]), text("Folder: ", c("folder")), text("Student: ", c("subject")), text("Processed: ", c("processed")),
+                  text("Total documents: ", c("total")), text("Successfully ", c("verb"), ": ", c("successful")), text("Flagged for manual review: ", c("n_flagged")),
+                  F.when(c("cancelled"), text("RUN CANCELLED BY USER — ", c("successful"), " of ", c("total"), " documents were processed")), none)
+    documents = audit_lines(entries)
+    last = entries.groupBy("document_name", "output_name").agg(F.lit((1 << 31) - 1).alias("place"), F.lit("").alias("line"))
+    body = documents.unionByName(last).select(F.lit(1).alias("section"), "document_name", "output_name", "place", F.lit(0).alias("step"), "line")
+    some = _lines(run.where("n_flagged > 0"), 2, [none, none, F.lit(0)], F.lit("FLAGGED FOR MANUAL REVIEW"), F.lit(LOG_RULES[2]))
+    each = _lines(flagged, 2, [c("document_name"), none, F.lit(1)], text("- ", c("document_name"), ": ", F.coalesce("reason", F.lit(""))))
+    end = _lines(run, 3, [none, none, F.lit(0)], F.when(c("n_flagged") > 0, none), F.lit("END OF LOG"))
+    out = head.unionByName(body).unionByName(some).unionByName(each).unionByName(end)
+    nth = F.row_number().over(Window.partitionBy("section", "document_name", "output_name").orderBy("place", "step")) - 1
+    return out.select("section", "document_name", "output_name", nth.cast("int").alias("place"), "line")
 
 
 def selected_categories(chosen: DataFrame, by: str = "category") -> DataFrame:

@@ -39,11 +39,13 @@ def _part(word: Column, item: Column) -> Column:
 
 def find_items(words: DataFrame, items: DataFrame, padding: int = PADDING) -> DataFrame:
     """Boxes (doc_id, page_num, item, pos, x0, y0, x1, y1) to paint over: runs of words (pos, word, x0..y1) that match an item
-    (doc_id, text) of the document, with its padding. Items under three characters are left out. Words of a page are gathered
-    into one row, so that runs are compared within it and pages meet items by document only."""
+    (doc_id, text) of the document, with its padding; items that have a page_num are looked for on that page only. Items under three
+    characters are left out. Words of a page are gathered into one row, so that runs are compared within it and pages meet
+    items by document, or by page."""
     page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "x0", "y0", "x1", "y1"))).alias("w"))
-    chosen = items.select("doc_id", F.lower(F.btrim("text")).alias("item")).where(F.length("item") >= 3).distinct()
-    rows = page.join(chosen.withColumn("p", F.split("item", r"(?U)\s+")), "doc_id")
+    keys = [c for c in PAGE if c in items.columns]
+    chosen = items.select(*keys, F.lower(F.btrim("text")).alias("item")).where(F.length("item") >= 3).distinct()
+    rows = page.join(chosen.withColumn("p", F.split("item", r"(?U)\s+")), keys)
     n = F.size("p")
     single = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: _one(F.get("w", i)["word"], F.col("item")))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: (i + n <= F.size("w")) & F.forall(F.sequence(F.lit(0), n - 1), lambda k: _part(F.get("w", i + k)["word"], F.get("p", k))))
@@ -103,6 +105,17 @@ def redaction_plan(marks: DataFrame, items: DataFrame) -> DataFrame:
     return rows.where(F.when(F.col("kind") == "widget", word).otherwise(part)).select("doc_id", "kind", "page_num", "value", F.when(F.col("kind") == "bookmark", title).otherwise("delete").alias("action"))
 
 
+def item_boxes(items: DataFrame) -> DataFrame:
+    """Boxes of items (doc_id, page_num, text, x0..y1) whose place is known already, a point wider on each side."""
+    known = items.where(F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull())
+    return known.select(*PAGE, "text", *[(F.col(c) + d).alias(c) for c, d in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]).distinct()
+
+
+def unread_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_num) without any word that was read there: what they show can't be found, so it can't be removed."""
+    return pages.select(*PAGE).distinct().join(words.select(*PAGE), PAGE, "left_anti")
+
+
 def unique_images(images: DataFrame, scanned_pages: DataFrame) -> DataFrame:
     """(doc_id, xref, n_places): the embedded images (doc_id, page_num, xref) that are to be read, once each however often they are
     placed, pages that were read as a whole (doc_id, page_num) left out."""

@@ -31,8 +31,6 @@ def _values(columns: str, *rows: str) -> str:
 ORACLES = {
     "flagship": f"WITH {_DEDUP} SELECT category, 'high' AS label, count(*) AS n FROM deduped GROUP BY category",
     "p02_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars, max(line_num) AS last_line FROM lines GROUP BY doc_id",
-    "d01_names": f"WITH {_LINES}, forms AS (SELECT unnest(['eriner retion', 'eriner', 'retion', 'e. retion', 'eriner r.', 'e.r.']) AS form) "
-                 r"SELECT coalesce(source, '(none)') AS source, form, count(DISTINCT doc_id) AS n_docs FROM lines, forms WHERE regexp_matches(lower(line), '(^|[^\p{L}\p{N}_])' || replace(form, '.', '\.') || CASE WHEN form LIKE '%.' THEN '[\p{L}\p{N}_]' ELSE '($|[^\p{L}\p{N}_])' END) GROUP BY coalesce(source, '(none)'), form",
     "d03_phone": f"WITH {_FOUND} SELECT doc_id, line_num, min_by(text, nth) AS text, 0.95::DOUBLE AS confidence FROM phones GROUP BY doc_id, line_num, lower(text)",
     "d04_email": f"WITH {_FOUND} SELECT doc_id, line_num, text, 0.95::DOUBLE AS confidence FROM emails",
     "d10_dob_same_line": f"WITH {_LINES}, {_hits('dates', 'Date of birth', _DATES)} SELECT doc_id, line_num, text FROM dates WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id, line_num, text",
@@ -45,16 +43,11 @@ ORACLES = {
     "v03_levenshtein": "SELECT n_name, r_name, levenshtein(lower(n_name), lower(r_name)) AS distance, regexp_matches(lower(r_name), '^[a-z]{5,}$') AND abs(length(n_name) - length(r_name)) <= 2 AND "
                        "levenshtein(lower(n_name), lower(r_name)) <= CASE WHEN length(r_name) <= 7 THEN 1 ELSE 2 END AS close FROM nation JOIN region ON n_regionkey = r_regionkey",
     "r02_documents": f"WITH {_DEDUP} SELECT 'all' AS scope, count(DISTINCT doc_id) AS docs_changed, count(*) AS emails FROM emails",
-    "f14_preselect": "SELECT category, mode, mode = 'redact' OR category NOT LIKE '%(NER)' OR category IN ('Person name (NER)', 'Location (NER)') AS chosen, shown FROM (VALUES ('Student name', 'Student name'), ('Person name (NER)', 'Name (found automatically)'), "
-                     "('Person name (NER variation)', 'Name variation (found automatically)'), ('Location (NER)', 'Possible place name (auto-detected)'), ('ORGANIZATION (NER)', 'Possible organisation (auto-detected)'), ('Date/Time (NER)', 'Date or time (auto-detected)'), ('Phone number', 'Phone number')) AS c(category, shown), (VALUES ('redact'), ('deidentify')) AS m(mode)",
-    "b03_boxes": _values("text, x0, y0, x1, y1", "'Fernbrook', 4.0::DOUBLE, 4.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE", "'Fern', 99.0, -1.0, 131.0, 11.0"),
-    "r04_layout": _values("page_num, text", "1, 'Bridge span | 79 | 8 | wide enough'", "2, 'Comments' || chr(10) || 'The water fell.'", "3, 'A line too wide that goes on in another one.'"),
     "p05_label": "SELECT CASE WHEN l_discount::DOUBLE * 10 >= 0.8 THEN 'high' WHEN l_discount::DOUBLE * 10 >= 0.5 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM lineitem GROUP BY 1",
     "f01_gate_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines FROM lines WHERE regexp_matches(line, '(?i)DOB|D\\.O\\.B\\.|Date of Birth|Born|Birth Date') GROUP BY doc_id",
     "j05_missing": f"WITH {_FOUND} SELECT count(*) AS n, 'Run detection first' AS error FROM documents d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id)",
     "a01_counts": f"WITH {_DEDUP} SELECT doc_id, count(*) AS n FROM deduped GROUP BY ROLLUP (doc_id)",
     "a16_corpus": f"WITH {_FOUND}, seen AS (SELECT DISTINCT doc_id, category, lower(text) AS text FROM found) SELECT category, count(*) AS n, count(DISTINCT text) AS n_texts FROM seen GROUP BY category",
-    "w07_runs": "WITH r AS (SELECT source, CASE WHEN coalesce(lag(lang) OVER (PARTITION BY source ORDER BY doc_id) <> lang, true) THEN 1 ELSE 0 END AS new FROM documents) SELECT source, sum(new)::BIGINT AS n_runs, count(*) AS n FROM r GROUP BY source",
 }
 
 
@@ -116,16 +109,11 @@ ORACLES |= {
                      "SELECT conv_id, page_num, item, pos::INT AS pos, pos % 5 * 100 - 4 AS x0, pos // 5 * 20 - 4 AS y0, pos % 5 * 100 + length(word) * 8 + 4 AS x1, pos // 5 * 20 + 19 AS y1 FROM w, i WHERE length(item) >= 3 AND (c = item OR c = item || chr(39) || 's' OR c = item || '’s')",
     "f13_signature": "WITH i AS (SELECT *, l_partkey % 500 + 20 AS px_w, l_suppkey % 240 AS px_h, l_partkey % 400 AS rect_w, l_discount * 5 AS ink FROM lineitem) SELECT l_orderkey, l_linenumber, px_w FROM i WHERE px_h > 0 AND px_w >= 2 * px_h AND rect_w <= 250 AND px_w >= 50 AND px_h <= 200 AND ink <= 0.30",
     "b08_plan": f"WITH {PEOPLE} " + _rows(("k", "'widget'", _FULL, "'delete'"), ("k", "'link'", "'http://x/' || lower(first) || 'ian'", "'delete'"), ("k", "'bookmark'", "first || chr(39) || 's plan'", "'[REDACTED]' || chr(39) || 's plan'"), columns="k, kind, value, action"),
-    "b00_plan": "WITH c AS (SELECT count(*) AS n FROM customer), r(stage, kind, page_num, action, x0, y1) AS (VALUES (0, 'zone', 1, 'blank', 0.0, 96.0), (0, 'zone', 1, 'blank', 0.0, 800.0), (0, 'zone', 2, 'blank', 0.0, 96.0), (0, 'zone', 2, 'blank', 0.0, 800.0), (1, 'text', 1, 'erase', 9.0, 21.0), (1, 'scan', 2, 'blacken', 96.0, 124.0), "
-                "(2, 'image', 1, 'blacken', 1.0, 24.0), (2, 'image', 3, 'blacken', 1.0, 24.0), (3, 'signature', 1, 'blacken', NULL, NULL), (3, 'signature', 3, 'blacken', NULL, NULL), (4, 'bookmark', 0, 'title', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), "
-                "(5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'metadata', 0, 'empty', NULL, NULL), (5, 'xmp', 0, 'delete', NULL, NULL), (5, 'embedded', 0, 'delete', NULL, NULL), (5, 'structure', 0, 'delete', NULL, NULL), "
-                "(5, 'structure', 0, 'delete', NULL, NULL), (5, 'structure', 0, 'delete', NULL, NULL)) SELECT stage, kind, page_num, action, (count(*) * any_value(n))::BIGINT AS n, (sum(x0) * any_value(n))::DOUBLE AS x0, (sum(y1) * any_value(n))::DOUBLE AS y1 FROM r, c GROUP BY stage, kind, page_num, action",
     "v06_scanned": f"WITH {PEOPLE}, f AS (SELECT k, list_sort(list_filter([CASE WHEN k % 4 = 0 THEN 'Page 1: ' || chr(39) || last || chr(39) || ' still visible after redaction' END, CASE WHEN k % 7 = 0 THEN 'OCR verification error: no image' END], lambda x: x IS NOT NULL)) AS f FROM p) SELECT k, array_to_string(f, '; ') AS failures, CASE WHEN len(f) > 0 THEN 'quarantined' ELSE 'written' END AS status FROM f",
     "o08_categories": f"WITH {_DEDUP} SELECT category, count(*) AS n FROM ranked WHERE match_idx % 2 = 0 GROUP BY category",
     "b06_images": "WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS xref FROM lineitem), s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') SELECT l_orderkey AS doc_id, xref, count(*) AS n_places FROM i ANTI JOIN s USING (l_orderkey, l_linenumber) GROUP BY ALL",
     "k11_metadata": "SELECT kind, value, action, (SELECT count(*) FROM supplier) AS n FROM (VALUES ('metadata', 'author', 'empty'), ('metadata', 'title', 'empty'), ('metadata', 'subject', 'empty'), ('metadata', 'creator', 'empty'), ('metadata', 'producer', 'empty'), ('metadata', 'keywords', 'empty'), ('metadata', 'creationDate', 'empty'), "
                     "('metadata', 'modDate', 'empty'), ('xmp', 'xmp', 'delete'), ('embedded', '*', 'delete'), ('structure', 'MarkInfo', 'delete'), ('structure', 'StructTreeRoot', 'delete'), ('structure', 'Names', 'delete')) t(kind, value, action)",
-    "k06_audit": f"WITH {PEOPLE} " + _rows(("k", "0", "'DOCUMENT: ' || k || ' → ' || k"), ("k", "1", "repeat('─', 76)"), ("k", "2", "'Page 1, Line 6: \"' || dob || '\" [Date of birth] [high confidence]'"), ("k", "3", "'Page 1, Line 10: \"' || abn || '\" [ABN] [high confidence]'"), columns="k, place, line"),
     "manual_matches": f"WITH {PEOPLE} " + _rows(("k", "0", "first", "'Student name'", "0.95::DOUBLE", "1", "'regex'"), ("k", "CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END", "last", "'Manual'", "1.0", "0", "'manual'"), columns="k, match_idx, text, category, confidence, line_num, source", where={0: "k % 2 = 0"}),
     "e06_answers": f"WITH {PEOPLE} " + _rows(("k", "0", _FULL, "'student'", "'[Student]'"), ("k", "1", "'Sidonie Harcastle'", "'teacher'", "'[Teacher]'"), ("k", "2", "'Ansgar ' || town", "'other'", "'[Other person]'"), ("k", "3", "'Plimmer'", "'health'", "'[Night nurse]'"), columns="k, seq, full_name, role, label"),
     "s08_blocks": "SELECT n_regionkey AS page_num, n_name AS text FROM nation WHERE n_nationkey % 2 = 0",
@@ -154,3 +142,73 @@ ORACLES |= {
       SELECT k, category, kind, person, NOT (person AND form) AS replaced, CASE WHEN kind = 0 THEN '[Student]' WHEN category = 'Phone number' THEN '[phone]' WHEN category = 'Organisation name' THEN '[organisation]' WHEN kind = 2 THEN '[Student]' ELSE '[name]' END AS label FROM p, c, t""",
     "e07_people": f"WITH {PEOPLE} " + _rows(("k", _MOTHER, "'[Parent]'", "'parent'", "'entered'"), ("k", "seen_by", "'[Other person]'", "'other'", "'detected'"), columns="k, full_name, label, role, source"),
 }
+
+_FORMS = ["eriner retion", "eriner", "retion", "e. retion", "eriner r.", "e.r."]
+
+
+def _form(form: str) -> str:
+    """Lines that hold a form as a whole word: a plain test first, as few lines do."""
+    end = r"[\p{L}\p{N}_]" if form.endswith(".") else r"($|[^\p{L}\p{N}_])"
+    pattern = r"(^|[^\p{L}\p{N}_])" + form.replace(".", r"\.") + end
+    return f"SELECT source, doc_id, '{form}' AS form FROM low WHERE contains(line, '{form}') AND regexp_matches(line, '{pattern}')"
+
+
+_FOUR = "substr(c_mktsegment, 1, 4)"
+_BOX = "NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1"
+_AT = "{}::DOUBLE AS x0, {}::DOUBLE AS y0, {}::DOUBLE AS x1, {}::DOUBLE AS y1"
+
+
+def _step(stage: int, kind: str, page: str, xref: str, value: str, action: str, box: str, where: str, table: str = "o") -> str:
+    return f"SELECT doc_id, {stage} AS stage, '{kind}' AS kind, {page} AS page_num, {xref}::BIGINT AS xref, {value} AS value, '{action}' AS action, {box} FROM {table} WHERE {where}"
+
+
+ORACLES |= {
+    "d01_names": f"WITH {_LINES}, low AS (SELECT coalesce(source, '(none)') AS source, doc_id, lower(line) AS line FROM lines), f AS ({' UNION ALL '.join(map(_form, _FORMS))}) SELECT source, form, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY source, form",
+    "f14_preselect": "SELECT category, mode, mode = 'redact' OR category NOT LIKE '%(NER)' OR category IN ('Person name (NER)', 'Location (NER)') AS chosen, shown, count(*) AS n FROM (SELECT l_partkey % 7 AS c FROM lineitem) l JOIN (VALUES (0, 'Student name', 'Student name'), (1, 'Person name (NER)', 'Name (found automatically)'), "
+                     "(2, 'Person name (NER variation)', 'Name variation (found automatically)'), (3, 'Location (NER)', 'Possible place name (auto-detected)'), (4, 'ORGANIZATION (NER)', 'Possible organisation (auto-detected)'), (5, 'Date/Time (NER)', 'Date or time (auto-detected)'), (6, 'Phone number', 'Phone number')) AS t(c, category, shown) USING (c), (VALUES ('redact'), ('deidentify')) AS m(mode) GROUP BY category, mode, shown",
+    "b03_boxes": f"SELECT c_custkey AS doc_id, c_mktsegment AS text, 9.0::DOUBLE AS x0, -1.0::DOUBLE AS y0, 11.0 + 8 * length(c_mktsegment)::DOUBLE AS x1, 11.0::DOUBLE AS y1 FROM customer WHERE length(c_mktsegment) > 6 "
+                 f"UNION ALL SELECT c_custkey, {_FOUR}, 9.0, -1.0, 11.0 + 8 * length({_FOUR}), 11.0 FROM customer WHERE c_custkey % 4 <> 2 AND c_custkey % 7 <> 0",
+    "r04_layout": "WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, l_orderkey % 2 = 0 AS two, l_quantity::INT AS q FROM lineitem), "
+                  "c AS (SELECT *, CASE WHEN two THEN n // 2 ELSE n END AS r, CASE WHEN two THEN 60 WHEN q % 3 = 0 THEN 150 ELSE 400 END AS wide FROM l), r AS (SELECT doc_id, r, string_agg(n || ' of ' || q, ' | ' ORDER BY n) AS t, count(*) AS cells, max(wide) AS wide FROM c WHERE r > 0 GROUP BY doc_id, r), "
+                  "w AS (SELECT *, max(wide) OVER (PARTITION BY doc_id) AS widest, lag(wide) OVER (PARTITION BY doc_id ORDER BY r) AS above, lag(cells) OVER (PARTITION BY doc_id ORDER BY r) AS cells_above FROM r) "
+                  "SELECT doc_id, string_agg(CASE WHEN above IS NULL THEN '' WHEN cells = 1 AND cells_above = 1 AND r <> 3 AND above > 0.5 * widest THEN ' ' WHEN r = 3 THEN chr(10) || chr(10) ELSE chr(10) END || t, '' ORDER BY r) AS text FROM w GROUP BY doc_id",
+    "k06_audit": "WITH e AS (SELECT l_orderkey::VARCHAR AS d, l_suppkey % 3 + 1 AS page, l_partkey % 9 AS ln, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS i, 'Page ' || (l_suppkey % 3 + 1) || ', Line ' || (l_partkey % 9) || ': \"part ' || l_partkey || '\" [' || l_returnflag || '] [' "
+                 "|| CASE WHEN l_discount * 10 >= 0.8 THEN 'high' WHEN l_discount * 10 >= 0.5 THEN 'medium' ELSE 'low' END || ' confidence]' AS line, CASE WHEN l_linestatus = 'O' THEN '    Note: sent ' || l_shipdate::DATE END AS note FROM lineitem), "
+                 "t AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderpriority = '1-URGENT') AS flagged FROM orders), "
+                 "a AS (SELECT d, 0 AS page, 0 AS ln, 0 AS i, unnest([0, 1]) AS step, unnest(['DOCUMENT: ' || d || ' → ' || d || '_out', repeat('─', 76)]) AS line FROM (SELECT DISTINCT d FROM e) UNION ALL SELECT d, page, ln, i, 0, line FROM e UNION ALL SELECT d, page, ln, i, 1, note FROM e WHERE note IS NOT NULL UNION ALL SELECT DISTINCT d, 99, 0, 0, 0, '' FROM e), "
+                 "h AS (SELECT unnest(range(10)) AS place, unnest(['REDACTION LOG', repeat('=', 61), 'Folder: /in', 'Student: Torvin Vardane', 'Processed: 2026-01-02 03:04:05', 'Total documents: ' || n, 'Successfully redacted: ' || done, 'Flagged for manual review: ' || flagged, 'RUN CANCELLED BY USER — ' || done || ' of ' || n || ' documents were processed', '']) AS line FROM t) "
+                 "SELECT 0 AS section, '' AS document_name, '' AS output_name, place::INT AS place, line FROM h UNION ALL SELECT 1, d, d || '_out', (row_number() OVER (PARTITION BY d ORDER BY page, ln, i, step) - 1)::INT, line FROM a "
+                 "UNION ALL SELECT 2, '', '', unnest([0, 1]), unnest(['FLAGGED FOR MANUAL REVIEW', repeat('─', 25)]) UNION ALL SELECT 2, o_orderkey::VARCHAR, '', 0, '- ' || o_orderkey || ': status ' || o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 3, '', '', unnest([0, 1]), unnest(['', 'END OF LOG'])",
+    "w07_runs": "WITH w AS (SELECT conv_id, turn::INT AS page_num, unnest(string_split(coalesce(text, ''), ' ')) AS word, unnest(range(len(string_split(coalesce(text, ''), ' ')))) AS pos FROM conversations), k AS (SELECT * FROM w WHERE pos % 11 <> 3 AND word <> '') "
+                "SELECT conv_id, page_num, (count(DISTINCT pos // 4) + sum(length(word) - length(replace(word, chr(10), ''))))::INT AS n_lines, (sum(length(word)) + count(*) - 1)::INT AS n_chars, 0.9::DOUBLE AS confidence FROM k GROUP BY conv_id, page_num",
+    "b00_plan": "WITH o AS (SELECT o_custkey AS doc_id, o_orderkey::INT AS p, lpad((o_orderkey % 50)::VARCHAR, 4, '0') AS clerk, o_orderkey % 3 AS kind, o_orderkey % 5 = 0 AS placed, min(lpad((o_orderkey % 50)::VARCHAR, 4, '0')) OVER (PARTITION BY o_custkey) AS first FROM orders), d AS (SELECT DISTINCT doc_id, first FROM o) "
+                + " UNION ALL ".join([
+                    _step(1, "text", "p", "NULL", "'clerk ' || clerk", "erase", _AT.format(9, 9, 51, 21), "kind = 0 AND placed"), _step(1, "text", "p", "NULL", "'clerk ' || clerk", "erase", _AT.format(29, 39, 91, 51), "kind = 0 AND NOT placed"),
+                    _step(1, "scan", "p", "NULL", "'clerk ' || clerk", "blacken", _AT.format(96, 96, 264, 124), "kind = 1"), _step(1, "unread", "p", "NULL", "''", "fail", _BOX, "kind = 2"),
+                    _step(2, "image", "p", "7", "'clerk ' || first", "blacken", _AT.format(1, 1, 124, 24), "kind = 0"), _step(3, "signature", "p", "7", "''", "blacken", _BOX, "kind = 0"),
+                    _step(4, "bookmark", "0", "NULL", "'Orders of CLERK ' || first || ' and others'", "Orders of [REDACTED] and others", _BOX, "true", "d"),
+                ]),
+}
+
+#: This dialect counts changes in bytes, so letters of two bytes stand as marks of one.
+_PLAIN = "translate({}, 'áàâäãåçéèêëíìîïñóòôöõúùûüýßœæ', '0123456789!#$%&()*+,-./:;<=>?@')"
+_CLOSE = r"regexp_full_match(token, '\p{L}{5,}') AND abs(length(word) - length(token)) <= 2 AND levenshtein(" + _PLAIN.format("word") + ", " + _PLAIN.format("token") + ") <= CASE WHEN length(token) <= 7 THEN 1 ELSE 2 END"
+_WORDS_OF = r"unnest(regexp_extract_all(lower(text), '\p{L}+'))"
+_SPANS = "SELECT l_partkey AS part, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS s, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::INT * CASE WHEN l_suppkey % 50 = 0 THEN 100 ELSE 1 END AS e, l_returnflag = 'R' AS returned FROM lineitem"
+#: The context of a text that stands once in a line.
+_CONTEXT = "trim('...' || substr(line, greatest(instr(line, text) - 50, 1), least(instr(line, text) - 1, 50)) || '**' || text || '**' || substr(line, instr(line, text) + length(text), 50) || '...')"
+
+ORACLES |= {
+    "j01_lexicon": r"WITH names AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+ [\p{L}\p{M}\p{N}_]+')[1:10])) AS name FROM documents), "
+                   + _LINES + r", t AS (SELECT doc_id, line_num, regexp_extract_all(lower(line), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+') AS x FROM lines), e AS (SELECT doc_id, line_num, x, unnest(range(1, len(x) - 1)) AS i FROM t), "
+                   "p AS (SELECT doc_id, line_num, x[i] || ' ' || x[i + 2] AS name FROM e WHERE x[i + 1] = ' ') SELECT name, count(DISTINCT (doc_id, line_num)) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM p SEMI JOIN names USING (name) GROUP BY name",
+    "j01_listed": f"WITH {PEOPLE}, f AS ("
+                  + _rows(("k", "1", "first", "'Student name'", "0.95", f"'Report on ' || {_FULL}"), ("k", "16", "seen_by", "'Family member (user-provided)'", "0.95", "'seen by ' || seen_by"), ("k", "4", "town", "'Organisation name'", "0.95", "'home: ' || address"), columns="k, line_num, text, category, confidence, line")
+                  + f") SELECT k, line_num, text, category, confidence::DOUBLE AS confidence, {_CONTEXT} AS context FROM f",
+    "v02_misread": f"SELECT word, token FROM (SELECT DISTINCT {_WORDS_OF} AS word FROM conversations) w, (SELECT DISTINCT {_WORDS_OF} AS token FROM benchmark) t WHERE {_CLOSE}",
+    "v02_misread_items": f"WITH w AS (SELECT DISTINCT conv_id, {_WORDS_OF} AS word FROM conversations WHERE turn > 0), t AS (SELECT DISTINCT conv_id, {_WORDS_OF} AS token FROM conversations WHERE turn = 0) SELECT conv_id, token AS text, word FROM w JOIN t USING (conv_id) WHERE {_CLOSE}",
+    "j02_ranges": f"WITH x AS ({_SPANS}) SELECT part, count(*) AS n, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS days FROM x a JOIN x b USING (part) WHERE a.returned AND NOT b.returned AND a.s < b.e AND b.s < a.e GROUP BY part",
+    "j02_within": f"WITH x AS ({_SPANS}) SELECT part, count(*) AS n, sum(s)::BIGINT AS starts FROM x a WHERE returned AND NOT EXISTS (SELECT 1 FROM x b WHERE b.part = a.part AND NOT b.returned AND a.s >= b.s AND a.e <= b.e AND a.e > a.s) GROUP BY part",
+    "j03_asof": "WITH o AS (SELECT o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % 2678400) AS otime, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL), "
+                "f AS (SELECT event_id, ts, otime, o_orderkey FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.otime) SELECT event_id, o_orderkey, CASE WHEN epoch_us(ts) - epoch_us(otime) <= 3 * 86400000000 THEN o_orderkey END AS recent FROM f",
+}

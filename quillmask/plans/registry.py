@@ -1,7 +1,7 @@
 """The registered queries and their SQL oracles.
 
-Queries over documents run on the whole table. Where the driver's tables hold no case for an operator, it runs on literal rows,
-and the oracle states the rows that must come out.
+Queries run over whole tables of the driver, or over reports about people invented from customer; the oracle computes what
+must come out.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as X
+from ..operators import intervals as V
 from ..operators import people as who
 from ..operators import review as R
 from ..operators import rewrite as W
 from ..operators import scans as S
+from ..operators.asof import asof_join
 from ..operators.detect import REGISTRY, detect_lines, with_name_forms
 from ..operators.layout import formatted_pages, layout_pages
+from ..operators.lexicon import lexicon_join, listed_matches
+from ..operators.misread import misread_items, near_words
 from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogniser, page_entities, person_sweep, recogniser_udf
 from ..operators.roles import describe_people, effective_roles, suggest_roles
 from ..sources.documents import blocks_of_page, choose_text, pages_of_table, spans_of_page
@@ -165,9 +169,9 @@ def d_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full set of detectors over all documents, counted."""
+    """The full set of detectors over all documents, counted by category."""
     found = R.dedup_matches(detect_lines(_pages(spark, sf_dir)))
-    return found.groupBy("category").agg(F.count("*").alias("n")).where("category in ('Phone number', 'Email address')")
+    return found.groupBy("category").agg(F.count("*").alias("n"))
 
 
 def n08_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,9 +259,10 @@ def r09_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f14_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cats = ["Student name", "Person name (NER)", "Person name (NER variation)", "Location (NER)", "ORGANIZATION (NER)", "Date/Time (NER)", "Phone number"]
-    rows = _rows(spark, "category string", *[(c,) for c in cats]).withColumn("mode", F.explode(F.array(F.lit("redact"), F.lit("deidentify"))))
-    return rows.select("category", "mode", R.preselected(F.col("category"), F.col("mode")).alias("chosen"), X.friendly_category(F.col("category")).alias("shown"))
+    """Which categories are chosen at first, in both modes, and what they are called, over line items that stand for matches."""
+    cats = "Student name|Person name (NER)|Person name (NER variation)|Location (NER)|ORGANIZATION (NER)|Date/Time (NER)|Phone number"
+    rows = _table(spark, sf_dir, "lineitem").selectExpr(f"split_part('{cats}', '|', cast(l_partkey % 7 + 1 as int)) AS category", "explode(array('redact', 'deidentify')) AS mode")
+    return rows.groupBy("category", "mode", R.preselected(F.col("category"), F.col("mode")).alias("chosen"), X.friendly_category(F.col("category")).alias("shown")).agg(F.count("*").alias("n"))
 
 
 def f07_clean_person(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,9 +333,12 @@ def f13_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b03_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _rows(spark, "doc_id string, page_num int, word string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Fernside", 0.0, 0.0, 60.0, 10.0), ("d", 1, "Fern,", 100.0, 0.0, 140.0, 10.0))
-    found = _rows(spark, "doc_id string, page_num int, text string, x0 double, y0 double, x1 double, y1 double", ("d", 1, "Fern", 0.0, 0.0, 30.0, 10.0), ("d", 1, "Fern", 100.0, 0.0, 130.0, 10.0), ("d", 1, "Fernbrook", 5.0, 5.0, 9.0, 9.0), ("d", 1, "Fe", 5.0, 5.0, 9.0, 9.0))
-    return S.whole_word_boxes(found, words).select("text", "x0", "y0", "x1", "y1")
+    """Customers' segments and the first letters of these as boxes that a search found: short ones count only where a word fills them."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "1 AS page_num", "explode(array(c_mktsegment, substr(c_mktsegment, 1, 4), substr(c_mktsegment, 1, 2))) AS text", "c_custkey AS k")
+    found = rows.selectExpr("doc_id", "page_num", "text", "10.0D AS x0", "0.0D AS y0", "10.0D + 8 * length(text) AS x1", "10.0D AS y1")
+    ending = F.when(F.col("k") % 4 == 0, ",").when(F.col("k") % 4 == 1, "'s").when(F.col("k") % 4 == 2, "ia").otherwise("")
+    words = rows.select("doc_id", "page_num", F.concat("text", ending).alias("word"), F.lit(10.0).alias("x0"), F.lit(0.0).alias("y0"), (10.0 + F.when(F.col("k") % 7 == 0, 4).otherwise(8) * F.length("text")).alias("x1"), F.lit(10.0).alias("y1"))
+    return S.whole_word_boxes(found, words).select("doc_id", "text", "x0", "y0", "x1", "y1")
 
 
 def b08_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,19 +351,22 @@ def b08_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b00_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that redaction does to a document of each case, by stage and kind: zones, boxes on a page of text and on a
-    scanned one, an image placed twice and read once, a signature, marks, metadata."""
-    rows = _people(spark, sf_dir).withColumn("doc_id", F.col("k").cast("string"))
-    each = lambda schema, *values: rows.select("doc_id", F.inline(F.array(*[F.struct(*[F.expr(str(v)).alias(n) for n, v in zip(schema.split(), row, strict=True)]) for row in values])))
-    pages = each("page_num width height n_words n_images", (1, "600.0D", "800.0D", 5, 1), (2, "600.0D", "800.0D", 0, 1))
-    hits = each("page_num text x0 y0 x1 y1", (1, "first", "10.0D", "10.0D", "50.0D", "20.0D"), (2, "first", "10.0D", "10.0D", "50.0D", "20.0D"))
-    words = each("page_num word x0 y0 x1 y1", (1, "concat(first, ',')", "10.0D", "10.0D", "50.0D", "20.0D"), (1, "concat(first, 'ian')", "70.0D", "10.0D", "90.0D", "20.0D"))
-    scanned = each("page_num pos word x0 y0 x1 y1", (2, 0, "upper(first)", 100, 100, 180, 120), (2, 1, "'was'", 200, 100, 240, 120))
-    images = each("page_num xref px_w px_h rect_w ink_ratio", (1, 7, 300, 60, "120.0D", "0.1D"), (3, 7, 300, 60, "120.0D", "0.1D"), (2, 8, 900, 900, "500.0D", "0.5D"))
-    image_words = each("xref pos word x0 y0 x1 y1", (7, 0, "first", 5, 5, 60, 20), (8, 0, "first", 5, 5, 60, 20))
-    marks = each("kind page_num value", ("'bookmark'", 0, "concat(first, ' plan')"))
-    plan = plan_redaction(rows.select("doc_id"), rows.select("doc_id", F.col("first").alias("text")), pages, words, hits, scanned, images, image_words, marks, zones=True)
-    return plan.groupBy("stage", "kind", "page_num", "action").agg(F.count("*").alias("n"), F.sum("x0").alias("x0"), F.sum("y1").alias("y1")).withColumn("action", F.when(F.col("kind") == "bookmark", F.lit("title")).otherwise(F.col("action"))).groupBy("stage", "kind", "page_num", "action").agg(F.sum("n").alias("n"), F.sum("x0").alias("x0"), F.sum("y1").alias("y1"))
+    """What redaction does to the documents of customers, row by row but for metadata: an order is a page of three kinds (text, an image
+    that was read, an image that was not), its clerk an item on that page, some with their box; all pages of a customer share a seal.
+    Items are searched on their own page, images and bookmarks are held against all items of the document."""
+    orders = _table(spark, sf_dir, "orders").selectExpr("cast(o_custkey as string) AS doc_id", "cast(o_orderkey as int) AS page_num", "lpad(cast(o_orderkey % 50 as string), 4, '0') AS clerk", "o_orderkey", "o_orderkey % 3 AS kind")
+    pages = orders.selectExpr("doc_id", "page_num", "600.0D AS width", "800.0D AS height", "case when kind = 0 then 5 else 0 end AS n_words", "1 AS n_images")
+    box = "case when kind = 0 and o_orderkey % 5 = 0 then {}D end AS {}"
+    items = orders.selectExpr("doc_id", "page_num", "concat('clerk ', clerk) AS text", *[box.format(v, c) for v, c in ((10.0, "x0"), (10.0, "y0"), (50.0, "x1"), (20.0, "y1"))])
+    hits = orders.selectExpr("doc_id", "page_num", "inline(array(named_struct('text', concat('clerk ', clerk), 'x0', 30.0D, 'y0', 40.0D, 'x1', 90.0D, 'y1', 50.0D), named_struct('text', 'clerk 0', 'x0', 1.0D, 'y0', 1.0D, 'x1', 2.0D, 'y1', 2.0D)))")
+    words = orders.selectExpr("doc_id", "page_num", "'clerk' AS word", "30.0D AS x0", "40.0D AS y0", "60.0D AS x1", "50.0D AS y1")
+    read = orders.where("kind = 1").selectExpr("doc_id", "page_num", "inline(array(named_struct('pos', 0, 'word', 'Clerk', 'x0', 100, 'y0', 100, 'x1', 180, 'y1', 120), named_struct('pos', 1, 'word', clerk, 'x0', 190, 'y0', 100, 'x1', 260, 'y1', 120)))")
+    images = orders.selectExpr("doc_id", "page_num", "7L AS xref", "300 AS px_w", "case when kind = 0 then 60 else 250 end AS px_h", "120.0D AS rect_w", "0.1D AS ink_ratio")
+    first = orders.groupBy("doc_id").agg(F.min("clerk").alias("clerk"))
+    seal = first.selectExpr("doc_id", "7L AS xref", "inline(array(named_struct('pos', 0, 'word', 'clerk', 'x0', 5, 'y0', 5, 'x1', 60, 'y1', 20), named_struct('pos', 1, 'word', clerk, 'x0', 70, 'y0', 5, 'x1', 120, 'y1', 20)))")
+    marks = first.selectExpr("doc_id", "'bookmark' AS kind", "0 AS page_num", "concat('Orders of CLERK ', clerk, ' and others') AS value")
+    plan = plan_redaction(first.select("doc_id"), items, pages, words, hits, read, images, seal, marks)
+    return plan.where("stage < 5").select(F.col("doc_id").cast("long").alias("doc_id"), "stage", "kind", "page_num", "xref", "value", "action", "x0", "y0", "x1", "y1")
 
 
 def v06_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,18 +394,28 @@ def k11_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r04_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "doc_id string, page_num int, x0 double, y0 double, x1 double, y1 double, text string, height double"
-    row = lambda p, x, y, t, w=60.0: ("d", p, x, y, x + w, y + 12.0, t, 842.0)
-    lines = _rows(spark, schema, row(1, 55.0, 400.0, "Bridge span"), row(1, 230.0, 400.0, "79"), row(1, 300.0, 401.0, "8"), row(1, 380.0, 400.0, "wide  enough"), row(2, 50.0, 30.0, "Comments"), row(2, 50.0, 400.0, "Comments"),
-                  row(2, 50.0, 420.0, "The water fell."), row(2, 50.0, 822.0, "Page 1 of 2"), row(3, 50.0, 400.0, "A line too wide that goes on", 400.0), row(3, 50.0, 413.0, "in another one.", 100.0))
-    return layout_pages(lines, drop_zones=True).select("page_num", F.replace("text", F.lit(W.CELL), F.lit(" | ")).alias("text"))
+    """Line items as lines of a page for each order: those of even orders stand in two columns, those of odd ones below each other, where
+    wide ones go on in the next; the first row is a header's, the third one after it is set apart."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = _table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(at) - 1)
+    rows = rows.selectExpr("l_orderkey AS doc_id", "1 AS page_num", "n", "l_orderkey % 2 = 0 AS two", "cast(l_quantity as int) AS q").withColumn("r", F.expr("case when two then n div 2 else n end"))
+    top = F.expr("case when r = 0 then 40.0D else 200.0D + r * 13 + (case when r >= 3 then 20 else 0 end) end")
+    left, wide = F.expr("case when two then 55.0D + 200 * (n % 2) else 55.0D end"), F.expr("case when two then 60.0D when q % 3 = 0 then 150.0D else 400.0D end")
+    lines = rows.select("doc_id", "page_num", left.alias("x0"), top.alias("y0"), (left + wide).alias("x1"), (top + 12).alias("y1"), F.format_string(" %d  of %d ", "n", "q").alias("text"), F.lit(842.0).alias("height"))
+    return layout_pages(lines, drop_zones=True).select("doc_id", F.replace("text", F.lit(W.CELL), F.lit(" | ")).alias("text"))
 
 
 def k06_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines of the matches found in the reports, by document."""
-    found = R.rank_matches(R.dedup_matches(detect_lines(*_reports(spark, sf_dir)))).where("category = 'Date of birth' or category = 'ABN'")
-    lines = R.audit_lines(found.select(F.col("doc_id").alias("document_name"), F.col("doc_id").alias("output_name"), "page_num", "line_num", "match_idx", "text", "category", "confidence"))
-    return lines.select(F.col("document_name").cast("long").alias("k"), "place", "line")
+    """The log of a run over orders as documents, their line items as entries, some with notes; urgent orders were flagged, and the run
+    was stopped before the last ones."""
+    orders, items = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    at = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    entries = items.withColumn("match_idx", F.row_number().over(at)).selectExpr("cast(l_orderkey as string) AS document_name", "concat(l_orderkey, '_out') AS output_name", "cast(l_suppkey % 3 + 1 as int) AS page_num", "cast(l_partkey % 9 as int) AS line_num",
+                                                                                "match_idx", "concat('part ', l_partkey) AS text", "l_returnflag AS category", "l_discount * 10 AS confidence", "case when l_linestatus = 'O' then concat('sent ', date(l_shipdate)) end AS notes")
+    flagged = orders.where("o_orderpriority = '1-URGENT'").selectExpr("cast(o_orderkey as string) AS document_name", "concat('status ', o_orderstatus) AS reason")
+    run = orders.agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("successful"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_flagged"))
+    run = run.selectExpr("'REDACTION' AS operation", "'redacted' AS verb", "'/in' AS folder", "'Torvin Vardane' AS subject", "'2026-01-02 03:04:05' AS processed", "total", "successful", "n_flagged", "successful < total AS cancelled")
+    return R.audit_log(run, entries, flagged)
 
 
 def manual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,11 +560,12 @@ def r10_filename_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w07_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents in order, as runs of one language: gaps and islands on a table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    new = F.coalesce(F.lag("lang").over(order) != F.col("lang"), F.lit(True)).cast("int")
-    return docs.select("source", new.alias("new")).groupBy("source").agg(F.sum("new").alias("n_runs"), F.count("*").alias("n"))
+    """Turns of all conversations as scanned words whose lines are told apart by block and line together: runs of one line number in
+    two blocks stay two lines, however often a line comes back."""
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "word"))
+    words = rows.select("*", F.expr("cast(pos div 4 % 2 as int)").alias("block"), F.expr("cast(pos div 8 % 3 as int)").alias("line"), F.when(F.col("pos") % 11 == 3, -1).otherwise(F.lit(90)).alias("conf"))
+    lines = S.lines_of_words(words)
+    return lines.select(F.col("doc_id").cast("long").alias("conv_id"), "page_num", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.length("text").alias("n_chars"), F.round("confidence", 9).alias("confidence"))
 
 
 def u04_native_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,12 +622,82 @@ def e07_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return who.people(_run(spark, sf_dir)["owners"]).select(F.col("case_id").cast("long").alias("k"), "full_name", "label", "role", "source")
 
 
+def _pairs_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for one large case: each document's first ten pairs of neighbouring words."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"(?U)\w+ \w+"), F.lit(0)), 1, 10)
+    return _table(spark, sf_dir, "documents").select(F.explode(words).alias("name")).select(F.lower("name").alias("name")).distinct()
+
+
+def j01_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About ten thousand names at scale 0.01 (pairs of words of the documents), each looked for in all lines of all documents."""
+    lines = X.to_lines(_pages(spark, sf_dir).select("doc_id", "text"))
+    names = _pairs_of_words(spark, sf_dir).withColumn("scope", F.lit("all"))
+    found = lexicon_join(lines.withColumn("scope", F.lit("all")), names, ["scope"], ["doc_id", "line_num"])
+    return found.groupBy("name").agg(F.count_distinct("doc_id", "line_num").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def j01_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the reports of customers by the index, with their categories and contexts, as the detectors' own lists would find them."""
+    pages, _ = _reports(spark, sf_dir)
+    rows = _people(spark, sf_dir)
+    one = lambda name, category, confidence, rank: F.struct(F.expr(name).alias("name"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(rank).alias("rank"))
+    names = rows.select(F.col("k").cast("string").alias("case_id"), F.inline(F.array(one("first", "Student name", 0.95, 1), one("seen_by", "Family member (user-provided)", 0.95, 15), one("town", "Organisation name", 0.95, 16), one("'XQ'", "Student ID", 0.65, 9))))
+    found = listed_matches(pages, names)
+    return found.select(F.col("doc_id").cast("long").alias("k"), "line_num", "text", "category", "confidence", "context")
+
+
+def v02_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all conversations that may be misread words of the benchmark's texts, each pair of distinct words once."""
+    words = lambda table: _table(spark, sf_dir, table).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    return near_words(words("conversations").withColumnRenamed("w", "word"), words("benchmark").withColumnRenamed("w", "token"))
+
+
+def v02_misread_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a conversation (its first turn's words) that a later turn shows misread, by conversation."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("ws"))
+    words = turns.where("turn > 0").select("doc_id", F.explode("ws").alias("word"))
+    items = turns.where("turn = 0").select("doc_id", F.explode("ws").alias("text"))
+    return misread_items(words, items).select(F.col("doc_id").alias("conv_id"), "text", "word")
+
+
+def _spans(spark: SparkSession, sf_dir: str, flag: str, name: str) -> DataFrame:
+    """Line items as spans of a part: from a day, for as many days as their quantity."""
+    rows = _table(spark, sf_dir, "lineitem").where(f"l_returnflag {flag}").withColumn(f"{name}_start", F.datediff("l_shipdate", F.lit("1990-01-01")))
+    return rows.select(F.col("l_partkey").alias("part"), f"{name}_start", (F.col(f"{name}_start") + F.col("l_quantity").cast("int") * F.when(F.col("l_suppkey") % 50 == 0, 100).otherwise(1)).alias(f"{name}_end"), F.col("l_orderkey").alias(f"{name}_order"), F.col("l_linenumber").alias(f"{name}_line"))
+
+
+def j02_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that returned items of a part share with its other ones: how many pairs, and how many days together."""
+    pairs = V.overlap_join(_spans(spark, sf_dir, "= 'R'", "a"), _spans(spark, sf_dir, "<> 'R'", "b"), ["part"], ("a_start", "a_end"), ("b_start", "b_end"))
+    days = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    return pairs.groupBy("part").agg(F.count("*").alias("n"), F.sum(days).alias("days"))
+
+
+def j02_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned items of a part that lie within none of its other ones, as street addresses do that are no part of a full one."""
+    a, b = _spans(spark, sf_dir, "= 'R'", "a"), _spans(spark, sf_dir, "<> 'R'", "b")
+    rest = V.not_within(a, b.select("part", "b_start", "b_end"), ["part"], ("a_start", "a_end"), ("b_start", "b_end"), ["part", "a_order", "a_line", "a_start", "a_end"])
+    return rest.groupBy("part").agg(F.count("*").alias("n"), F.sum("a_start").alias("starts"))
+
+
+def j03_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last order before it or at that time, and whether that one is less than three days old. Orders are
+    put at times of the month of the events."""
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey * 7919 % 2678400)")
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), at.alias("ordered_at"), "o_orderkey")
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    found = asof_join(events, orders, ["user_id"], "ts", "ordered_at", stretch=86_400)
+    recent = asof_join(events, orders.withColumnsRenamed({"o_orderkey": "recent", "ordered_at": "recent_at"}), ["user_id"], "ts", "recent_at", within=3 * 86_400)
+    return found.select("event_id", "o_orderkey").join(recent.select("event_id", "recent"), "event_id")
+
+
 _NAMED: list[Query] = [
     flagship, p02_lines, d01_names, d03_phone, d04_email, d10_dob_same_line, w01_match_dedup, w01_ties, a02_by_category, a03_summary, a05_doc_category, j04_selected, u03_deselected, v03_levenshtein, d17_variations, d17_nicknames,
     d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
     s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
     d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, r05_formatted, n07_model, a10_images, v05_redaction, f06_person, e07_people, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
+    j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
 ]
 
 

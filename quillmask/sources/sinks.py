@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,23 +113,35 @@ def write_texts(results: DataFrame, folder: str) -> DataFrame:
     return write_files(results.select(output_name(F.col("stem"), F.col("status")).alias("name"), finished_text(F.col("body"), F.col("n_replaced")).alias("data")), folder)
 
 
-def redact_files(files: DataFrame, plan: DataFrame, redact: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
-    """(path, content, error) of files (path, content) rewritten by an adapter that gets a file and the rows of plan (doc_id, kind,
-    page_num, value, action) that name it. A file that fails has no content, so nothing half done is written."""
-    row = F.struct("kind", "page_num", "value", "action")
-    by = plan.groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(row).alias("rows"))
+_MADE = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+#: What an adapter is told of each step: where it acts (a page, an image by its xref, a box), on what, and how.
+PLAN = "stage int, page_num int, kind string, xref long, value string, action string, x0 double, y0 double, x1 double, y1 double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def redact_files(files: DataFrame, plan: DataFrame, redact: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
+    """(path, content, error) of files (path, content) rewritten by an adapter that gets a file and the rows of plan (doc_id and those of
+    PLAN; a column that is missing is null) that name it, in the order of stages, pages, kinds, images and boxes. A file that fails, or
+    whose plan has a row with the action fail, has no content, so nothing half done is written."""
+    fields = [(f.split()[0], f.split()[1]) for f in PLAN.split(", ")]
+    row = F.struct(*[(F.col(c) if c in plan.columns else F.lit(None)).cast(t).alias(c) for c, t in fields])
+    in_order = F.array_sort(F.collect_list(row))
+    by = plan.groupBy(F.col("doc_id").alias("path")).agg(in_order.alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for path, content, rows in zip(batch["path"], batch["content"], batch["rows"], strict=True):
+            for path, content, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                steps = steps or []
+                unread = [s["page_num"] for s in steps if s["action"] == "fail"]
                 try:
-                    made.append((path, redact(content, [dict(r) for r in rows] if rows is not None else []), None))
+                    if unread:
+                        raise ValueError(f"pages {unread} could not be read")
+                    made.append({"path": path, "content": redact(content, steps), "error": None})
                 except Exception as e:  # noqa: BLE001  the reason belongs in the table, and other files go on
-                    made.append((path, None, str(e)))
-            yield pd.DataFrame(made, columns=["path", "content", "error"])
+                    made.append({"path": path, "content": None, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(made, schema=_MADE)
 
-    return files.select("path", "content").join(by, "path", "left").mapInPandas(run, "path string, content binary, error string")
+    return files.select("path", "content").join(by, "path", "left").mapInArrow(run, "path string, content binary, error string")
 
 
 def key_lines(owners: DataFrame, notes: DataFrame, names: DataFrame, beside_outputs: bool = False) -> DataFrame:

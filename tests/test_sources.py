@@ -101,6 +101,52 @@ def test_redaction_from_plan_to_quarantine(spark):
     assert got["broken"][:3] == (None, None, "failed") and "no file" in got["broken"][3][0]
 
 
+#: Keys of pages.
+GRID = "doc_id string, page_num int"
+
+
+def test_an_adapter_that_only_sees_boxes_blanks_the_right_cells(spark):
+    """Pages are grids of letters, a cell 10 points wide and high; the adapter is told nothing but the plan. Page 1 is text, page 2 an image that was
+    read, page 3 holds an embedded image (xref 7) that page 1 shows too."""
+    import json
+
+    from quillmask.plans.flows import plan_redaction
+
+    page = lambda *rows: [list(r) for r in rows]
+    source = json.dumps({"1": page("Fern met Bo", "..Fern...Fernia"), "2": page("by Fern now"), "images": {"7": page("Fern")}})
+    files = spark.createDataFrame([("d", bytearray(source.encode())), ("u", bytearray(source.encode()))], "path string, content binary")
+    docs = spark.createDataFrame([("d",), ("u",)], "doc_id string")
+    items = spark.createDataFrame([("d", 1, "Fern"), ("d", 2, "Fern"), ("u", 2, "Fern")], GRID + ", text string")
+    pages = spark.createDataFrame([(d, 1, 300, 100, 5, 1) for d in "du"] + [(d, 2, 300, 100, 0, 1) for d in "du"], GRID + ", width int, height int, n_words int, n_images int")
+    box = ", x0 double, y0 double, x1 double, y1 double"
+    words = spark.createDataFrame([("d", 1, "Fern", 0.0, 0.0, 40.0, 10.0), ("d", 1, "Fern", 20.0, 10.0, 60.0, 20.0), ("d", 1, "Fernia", 90.0, 10.0, 150.0, 20.0)], GRID + ", word string" + box)
+    hits = spark.createDataFrame([("d", 1, "Fern", 0.0, 0.0, 40.0, 10.0), ("d", 1, "Fern", 20.0, 10.0, 60.0, 20.0), ("d", 1, "Fern", 90.0, 10.0, 130.0, 20.0), ("d", 1, "met", 50.0, 0.0, 80.0, 10.0)], GRID + ", text string" + box)
+    scanned = spark.createDataFrame([("d", 2, 0, "by", 0.0, 0.0, 20.0, 10.0), ("d", 2, 1, "Fern", 30.0, 0.0, 70.0, 10.0)], GRID + ", pos int, word string" + box)
+    images = spark.createDataFrame([("d", 1, 7, 900, 900, 500.0, 0.5)], GRID + ", xref int, px_w int, px_h int, rect_w double, ink_ratio double")
+    image_words = spark.createDataFrame([("d", 7, 0, "Fern", 0.0, 0.0, 40.0, 10.0)], "doc_id string, xref int, pos int, word string" + box)
+    marks = spark.createDataFrame([], "doc_id string, kind string, page_num int, value string")
+    plan = plan_redaction(docs, items, pages, words, hits, scanned, images, image_words, marks, zones=False)
+    stages = []
+
+    def paint(content, steps):
+        made = json.loads(content)
+        for s in steps:
+            stages.append(s["stage"])
+            if s["x0"] is None:
+                continue
+            grid = made["images"][str(s["xref"])] if s["kind"] == "image" else made[str(s["page_num"])]
+            for y, row in enumerate(grid):
+                for x in range(len(row)):
+                    if s["x0"] < 10 * x + 5 < s["x1"] and s["y0"] < 10 * y + 5 < s["y1"]:
+                        row[x] = "#"
+        assert [s["stage"] for s in steps] == sorted(s["stage"] for s in steps)
+        return json.dumps(made).encode()
+
+    got = {r.path: (r.content and json.loads(bytes(r.content)), r.error) for r in K.redact_files(files, plan, paint).collect()}
+    assert got["d"] == ({"1": page("#### met Bo", "..####...Fernia"), "2": page("by #### now"), "images": {"7": page("####")}}, None)
+    assert got["u"] == (None, "pages [2] could not be read")
+
+
 def test_categories_come_in_either_order(spark):
     from quillmask.operators.review import selected_categories
 
