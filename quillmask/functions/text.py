@@ -1,5 +1,5 @@
-"""Column expressions over text, built from Spark's own functions; only normalise() leaves the JVM, for the few rows whose
-text it may change."""
+"""Column expressions over text, built from Spark's own functions; only normalise() leaves the JVM, for the few texts that
+it may change."""
 
 from __future__ import annotations
 
@@ -41,12 +41,12 @@ def unsettled() -> tuple[str, str]:
 
 
 def normalise(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with column in NFKC and straight quotes. Rows that hold no character of unsettled() never reach Python: the others are
-    split off, which reads df twice. The class has hundreds of ranges, so it only sees what is not ASCII or settled Latin."""
+    """df with column in NFKC and straight quotes. df is read once: Python is given a null for every text that holds no character of
+    unsettled(), and those texts stay in the JVM. The class has hundreds of ranges, so it only sees what is not ASCII or settled Latin."""
     text, (may_change, plain) = F.col(column), unsettled()
-    odd = F.coalesce((F.octet_length(text) != F.length(text)) & F.regexp_replace(text, plain + "+", "").rlike(may_change), F.lit(False))
-    rows = df.where(~odd).unionByName(df.where(odd).withColumn(column, _nfkc.asNondeterministic()(column)))
-    return rows.withColumn(column, F.translate(F.col(column), "‘’“”", "''\"\""))
+    odd = (F.octet_length(text) != F.length(text)) & F.regexp_replace(text, plain + "+", "").rlike(may_change)
+    rows = df.withColumn("_changed", _nfkc.asNondeterministic()(F.when(odd, text)))
+    return rows.withColumn(column, F.translate(F.coalesce("_changed", text), "‘’“”", "''\"\"")).drop("_changed")
 
 
 def to_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:

@@ -44,12 +44,21 @@ COLUMNS = [
     ("nick", "case first when 'Matthew' then 'Matt' when 'Daniel' then 'Dan' end"),
     ("school", "concat(town, ' Primary School')"),
 ]
+LANDLINE, BRACKETED = f"concat('03 ', {_cut(8, 2, 4, 4)})", f"concat('(07) ', {_cut(8, 5, 4, 4)})"
+DOTTED = f"concat('04', {_digits(2, 3)}, '.', {_digits(3, 4)}, '.', {_digits(3, 5)})"
+LONG_DATE = "concat(cast(k % 27 + 1 as string), ' ', split_part('January,March,May,Sep,Dec', ',', cast(k % 5 + 1 as int)), ' ', cast(2011 + k % 8 as string))"
+AUNT = "concat(split_part('Hesper,Ione,Calista', ',', cast(k % 3 + 1 as int)), ' Quoyle')"
 #: Lines of a report, from 1, as SQL.
 LINES = ["concat('Report on ', first, ' ', last)", "concat('Ring ', phone, ' after lunch')", "concat('or write to ', email)", "concat('home: ', address)", "'Date of Birth:'", "dob", "concat('Medicare ', medicare)", "concat('CRN ', crn)",
          "concat('NDIS number: ', ndis)", "concat('ABN: ', abn)", "concat('passport no ', passport)", "concat('code ', code)", "concat('Mother: ', mother_first, ' ', mother_last)", "concat('walks along ', street, ' daily')",
          "coalesce(concat(nick, ' was late'), 'all was well')", "concat('seen by ', seen_by)"]
 
 
+#: A second report: family by context and from the list, numbers on the line below, other forms of phone numbers and dates.
+MORE_LINES = ["concat('Father: ', mother_first, ' Penhollow')", "concat('Sister (', seen_by, ') came')", "'Grandmother'", "concat(mother_first, ' Tolvane visited')", "'Medicare card below'", "medicare", "'CRN'", "crn",
+              f"concat('call ', {LANDLINE})", f"concat('or ', {BRACKETED})", f"concat('mobile ', {DOTTED})", f"concat('Date of Birth: ', {LONG_DATE})", f"concat('with ', {AUNT}, ' today')", "'Mum, Odette Rowe, rang'"]
+
+
 def _nested(select: str) -> str:
     """select over the columns, each computed from those before it."""
     out = "SELECT c_custkey AS k FROM customer"
@@ -76,6 +85,13 @@ def reports(rows: DataFrame) -> DataFrame:
     return rows.select(key.alias("case_id"), key.alias("doc_id"), F.lit(1).alias("page_num"), F.expr(f"concat_ws('\n', {', '.join(LINES)})").alias("text"))
 
 
+def more_reports(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of the second report, and their cases, which list an aunt as family and no parent."""
+    key, none = F.col("k").cast("string"), F.array().cast("array<string>")
+    pages = rows.select(key.alias("case_id"), key.alias("doc_id"), F.lit(1).alias("page_num"), F.expr(f"concat_ws('\n', {', '.join(MORE_LINES)})").alias("text"))
+    return pages, rows.select(key.alias("case_id"), F.concat_ws(" ", "first", "last").alias("student_name"), none.alias("parent_names"), F.array(F.expr(AUNT)).alias("family_names"), none.alias("organisation_names"))
+
+
 def cases(rows: DataFrame) -> DataFrame:
     """What is known of each case: the names of the person, of the mother, and of the school."""
     none = F.array().cast("array<string>")

@@ -92,8 +92,12 @@ def d04_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d10_dob_same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect_lines(_pages(spark, sf_dir), registry=[d for d in REGISTRY if d.category == "Date of birth"]).where("confidence = 0.95")
-    return R.dedup_matches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text")
+    """Dates of birth beside their label, in reports that hold one there and in such that hold one below it."""
+    rows = _people(spark, sf_dir)
+    dates = [d for d in REGISTRY if d.category == "Date of birth"]
+    pages = I.more_reports(rows)[0].unionByName(I.reports(rows))
+    found = R.dedup_matches(detect_lines(pages, registry=dates).where("confidence = 0.95"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text")
 
 
 def d01_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +172,12 @@ def d_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text", "category", "confidence")
 
 
+def d14_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family known by context or from the list, numbers on the line below their keyword, and other forms of phone numbers and dates."""
+    found = R.dedup_matches(detect_lines(*I.more_reports(_people(spark, sf_dir))))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "line_num", "text", "category", "confidence")
+
+
 def d_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full set of detectors over all documents, counted by category."""
     found = R.dedup_matches(detect_lines(_pages(spark, sf_dir)))
@@ -697,7 +707,7 @@ _NAMED: list[Query] = [
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
     s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
     d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, r05_formatted, n07_model, a10_images, v05_redaction, f06_person, e07_people, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
-    j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
+    d14_context, j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
 ]
 
 

@@ -2,25 +2,68 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names, so that what is built on it several times neither
-    plans nor computes it again. Where the setting is absent, a local session gets a folder of its own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = "file://" + tempfile.mkdtemp(prefix="quillmask-")
-        sc.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where the setting is absent, a local session gets a folder of its own; on a
+    cluster executors would not share it, so there the setting is needed."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="quillmask-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+class Kept:
+    """Tables of one run that are computed once and kept in the shared folder, so that what is built on them several times neither
+    plans nor computes them again. They hold real names: close() deletes them, and so does the end of a with block, or else
+    of the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.root = f"{shared_folder(spark)}/quillmask-run-{uuid.uuid4().hex[:12]}"
+        _open.append(self)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Deletes the run's tables; nothing that was built on them can be read after that."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if self in _open:
+            _open.remove(self)
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+_open: list[Kept] = []
+
+
+@atexit.register
+def close_all() -> None:
+    """Deletes what runs that were not closed have kept."""
+    for kept in list(_open):
+        try:
+            kept.close()
+        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+            return
 
 
 def session(name: str = "quillmask", cores: str = "*", **settings: str) -> SparkSession:

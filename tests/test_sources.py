@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quillmask.plans.registry import PAGE
+from quillmask.plans.registry import CASE, PAGE
 from quillmask.sources import documents as D
 from quillmask.sources import sinks as K
 from quillmask.streaming.detect import counts_by_window, write_matches
@@ -219,3 +219,38 @@ def test_what_a_redacted_document_still_shows(spark):
     assert [(r.doc_id, r.text) for r in verify_redaction(out, chosen).collect()] == [("d", "Oswick Vale")]
     pages = spark.createDataFrame([("d", 2, "native"), ("d", 1, "native"), ("e", 3, "ocr"), ("f", 0, "native")], "doc_id string, n_images int, method string")
     assert [(r.doc_id, r.n_images) for r in image_counts(pages).collect()] == [("d", 3)]
+
+
+def test_pages_of_a_file_are_read_once_and_may_leave_out_what_they_lack(spark, tmp_path):
+    from quillmask.plans.flows import detect
+
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    calls = spark.sparkContext.accumulator(0)
+
+    def reader(path, content):
+        calls.add(1)
+        yield {"page_num": 1, "text": "mail a@b.org ﬁne"}
+        yield {"page_num": 2, "text": None, "method": "ocr", "confidence": 0.5, "other": 1}
+
+    pages = D.extract_pages(D.scan_files(spark, str(tmp_path), content=True), reader)
+    assert [(r.page_num, r.method, r.widget_values) for r in pages.collect()] == [(1, None, None), (2, "ocr", None)]
+    before = calls.value
+    assert [r.text for r in detect(pages.select("doc_id", "page_num", "text")).collect()] == ["a@b.org"] and calls.value == before + 1
+
+
+def test_a_run_leaves_no_names_behind(spark, tmp_path):
+    from quillmask.plans.flows import deidentify, detect
+    from quillmask.plans.session import Kept, close_all, shared_folder
+
+    root = shared_folder(spark).removeprefix("file://")
+    held = lambda: [n for n in os.listdir(root) if n.startswith("quillmask-run-")]
+    close_all()
+    pages = spark.createDataFrame([("c", "d", 1, "Torvin Vardane left")], PAGE)
+    cases = spark.createDataFrame([("c", "Torvin Vardane", [], [], [])], CASE)
+    with Kept(spark) as kept:
+        run = deidentify(pages, cases, detect(pages, cases), kept=kept)
+        assert run["results"].first().status == "written" and len(held()) == 1
+    assert held() == []
+    assert deidentify(pages, cases, detect(pages, cases))["results"].count() == 1 and len(held()) == 1
+    close_all()
+    assert held() == []
