@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BLANK, GROUP, ByteBpe, Part, _gather, cut_column
+from .bpe import BLANK, ByteBpe, Part, _gather, cut_column
 from .coders import file_bpe, piece_bpe
 from .scratch import Scratch
 from .stream import small_batches, tidy, together
 
+#: Bytes of text of a chunk. Each of its links takes some tens of bytes while it is worked on.
+CHUNK = 2 << 20
 #: Parts that the count of a pair is first added up in.
 SALT = 16
 _OWN = ["_chunk", "_at", "_times", "_a", "_b", "_n"]
@@ -93,12 +95,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, text_at
     a, b = file_bpe(path_a), piece_bpe(path_b)
     context = TaskContext.get()
     chunk = (context.partitionId() if context else 0) << 36
-    for batch in together(batches, text_at, GROUP):
+    for batch in together(batches, text_at, CHUNK):
         rest = [c for i, c in enumerate(batch.columns) if i != text_at]
         text = batch.column(text_at).cast(pa.large_string())
         empty = pc.fill_null(pc.equal(pc.binary_length(text), 0), True)
         text = pc.if_else(empty, pa.scalar("", pa.large_string()), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(text, ""), pa.scalar("", pa.large_string())))
-        for part in cut_column(text, BLANK):
+        for part in cut_column(text, BLANK, CHUNK):
             made = [c.encode(part) for c in (a, b)]
             fine = np.logical_and(*(same_bytes(c, *x, part) for c, x in zip((a, b), made, strict=True)))
             ids, at = zip(*(_only(*x, fine) for x in made), strict=True)

@@ -111,10 +111,10 @@ def _cut(data: np.ndarray, off: np.ndarray, before: np.ndarray) -> tuple[np.ndar
     return start, range_hash(data, start, stop, 0)
 
 
-def cut_column(column: pa.Array, before: np.ndarray = _SPACE) -> Iterator[Part]:
+def cut_column(column: pa.Array, before: np.ndarray = _SPACE, size: int = GROUP) -> Iterator[Part]:
     """Parts of a string column for any encoder: pieces do not depend on the vocabulary. Texts are cut before those of the six
-    white spaces that before names, where they follow another character."""
-    for a, b in pieces(column, GROUP):
+    white spaces that before names, where they follow another character. A part has about size bytes, or is one longer text."""
+    for a, b in pieces(column, size):
         part = column.slice(a, b - a)
         data, off = offsets_of(part)
         found = [(_cut(*offsets_of(part.slice(c, d - c)), before), off[c]) for c, d in pieces(part)]
