@@ -216,3 +216,12 @@ ORACLES |= {
     "j03_asof": "WITH o AS (SELECT o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % 2678400) AS otime, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL), "
                 "f AS (SELECT event_id, ts, otime, o_orderkey FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.otime) SELECT event_id, o_orderkey, CASE WHEN epoch_us(ts) - epoch_us(otime) <= 3 * 86400000000 THEN o_orderkey END AS recent FROM f",
 }
+
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+ORACLES |= {
+    "e01_stream": ORACLES["e01_people"],
+    "t06_sessions": "WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 90 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e) "
+                    "SELECT user_id, rtrim(rtrim(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS start, rtrim(rtrim(strftime(max(ts) + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS \"end\", count(*) AS n, round(sum(value), 4) AS value, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY user_id, nth",
+    "t06_sliding": "WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts) - i * INTERVAL 2 HOUR AS s FROM events, range(3) r(i)) "
+                   f"SELECT event_type, {_STAMP.format('s')} AS start, {_STAMP.format('s + INTERVAL 6 HOUR')} AS \"end\", count(*) AS n, round(sum(value), 4) AS value FROM w GROUP BY event_type, s",
+}

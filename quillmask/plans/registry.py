@@ -27,9 +27,12 @@ from ..operators.recognise import entity_matches, lexicon_recogniser, no_recogni
 from ..operators.roles import describe_people, effective_roles, suggest_roles
 from ..sources.documents import blocks_of_page, choose_text, pages_of_table, spans_of_page
 from ..sources.sinks import finished_text, key_lines, safe_name, unique_names
+from ..streaming import windows as T
+from ..streaming.people import current_rosters, write_people
 from . import invented as I
 from .flows import deidentify, detect, plan_redaction, preview_labels
 from .oracles import ORACLES
+from .session import Kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 CASE = "case_id string, student_name string, parent_names array<string>, family_names array<string>, organisation_names array<string>"
@@ -701,13 +704,38 @@ def j03_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "o_orderkey").join(recent.select("event_id", "recent"), "event_id")
 
 
+def t06_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users: events that follow each other within 90 minutes."""
+    made = T.sessions(_table(spark, sf_dir, "events"), ["user_id"], "ts", "90 minutes", value=F.round(F.sum("value"), 4), errors=F.count_if(F.col("event_type") == "error"))
+    return made.withColumn("end", F.col("end").cast("string")).withColumn("start", F.col("start").cast("string"))
+
+
+def t06_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind in windows of six hours, one every two hours."""
+    made = T.sliding(_table(spark, sf_dir, "events"), ["event_type"], "ts", "6 hours", "2 hours", value=F.round(F.sum("value"), 4))
+    return made.withColumn("end", F.col("end").cast("string")).withColumn("start", F.col("start").cast("string"))
+
+
+def e01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """e01_people by a stream: the chosen matches of the reports come in five batches, split by text and not by document."""
+    pages, cases = _reports(spark, sf_dir)
+    ranked = detect(pages, cases, _seen_by())
+    chosen = ranked.where(R.preselected(F.col("category"), "deidentify")).select("case_id", F.col("doc_id").alias("doc_order"), "match_idx", "text", "category")
+    kept = Kept(spark)
+    chosen.repartitionByRange(5, F.xxhash64("text")).write.parquet(f"{kept.root}/in")
+    stream = spark.readStream.schema(chosen.schema).option("maxFilesPerTrigger", 1).parquet(f"{kept.root}/in")
+    write_people(stream, cases, f"{kept.root}/people", f"{kept.root}/checkpoint").awaitTermination()
+    owners = who.owner_labels(current_rosters(spark, f"{kept.root}/people", cases))
+    return owners.select(F.col("case_id").cast("long").alias("k"), "seq", "full_name", "role", "label")
+
+
 _NAMED: list[Query] = [
     flagship, p02_lines, d01_names, d03_phone, d04_email, d10_dob_same_line, w01_match_dedup, w01_ties, a02_by_category, a03_summary, a05_doc_category, j04_selected, u03_deselected, v03_levenshtein, d17_variations, d17_nicknames,
     d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
     s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
     d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, r05_formatted, n07_model, a10_images, v05_redaction, f06_person, e07_people, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
-    d14_context, j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
+    t06_sessions, t06_sliding, e01_stream, d14_context, j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
 ]
 
 
