@@ -219,6 +219,7 @@ ORACLES |= {
 
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 ORACLES |= {
+    "a16_sketches": "SELECT l_returnflag AS category, count(*) AS n, true AS texts_fine, true AS documents_fine, true AS median_fine FROM lineitem GROUP BY l_returnflag",
     "e01_stream": ORACLES["e01_people"],
     "t06_sessions": "WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 90 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e) "
                     "SELECT user_id, rtrim(rtrim(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS start, rtrim(rtrim(strftime(max(ts) + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS \"end\", count(*) AS n, round(sum(value), 4) AS value, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY user_id, nth",

@@ -15,6 +15,7 @@ from ..functions import names as N
 from ..functions import text as X
 from ..operators import intervals as V
 from ..operators import people as who
+from ..operators import reports as Q
 from ..operators import review as R
 from ..operators import rewrite as W
 from ..operators import scans as S
@@ -729,13 +730,26 @@ def e01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners.select(F.col("case_id").cast("long").alias("k"), "seq", "full_name", "role", "label")
 
 
+def a16_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as matches: reports of two runs merged, and whether their estimates lie within the stated errors of the exact numbers."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_linestatus", "l_returnflag AS category", "l_orderkey AS doc_id", "concat(l_partkey, '-', l_suppkey) AS text", "l_discount AS confidence")
+    runs = [Q.report(rows.where(F.col("l_linestatus") == v)) for v in ("F", "O")]
+    said = Q.read(Q.merge(runs[0].unionByName(runs[1]))).withColumnRenamed("n", "n_said")
+    exact = rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.count_distinct("doc_id").alias("documents"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= Q.DISTINCT_ERROR * F.col(b)
+    both = exact.join(said, "category")
+    middle = rows.join(both.select("category", "q50"), "category").groupBy("category").agg(F.avg((F.col("confidence") < F.col("q50")).cast("int")).alias("below"), F.avg((F.col("confidence") <= F.col("q50")).cast("int")).alias("upto"))
+    fine = (F.col("below") <= 0.5 + Q.RANK_ERROR) & (F.col("upto") >= 0.5 - Q.RANK_ERROR)
+    return both.join(middle, "category").select("category", F.col("n_said").alias("n"), near("n_texts", "texts").alias("texts_fine"), near("n_documents", "documents").alias("documents_fine"), fine.alias("median_fine"))
+
+
 _NAMED: list[Query] = [
     flagship, p02_lines, d01_names, d03_phone, d04_email, d10_dob_same_line, w01_match_dedup, w01_ties, a02_by_category, a03_summary, a05_doc_category, j04_selected, u03_deselected, v03_levenshtein, d17_variations, d17_nicknames,
     d_detectors, n08_entities, o05_sweep, e01_people, w04_shared_token, r02_deidentify, r02_documents, a14_role_vote, v01_visible, v02_fuzzy, r09_filename, f14_preselect, f07_clean_person, p08_paths, p06_context, k07_names,
     k08_safe_name, k03_finished, s05_choose_text, s07_ocr_lines, j10_ocr_items, f13_signature, b03_boxes, b08_plan, r04_layout, k06_audit, manual_matches, e06_answers,
     s08_blocks, s09_spans, p01_normalise, p03_context, p05_label, p09_name_list, f01_gate_lines, f02_page_gate, f12_image_only, b01_zones, j05_missing, j14_effective_role, a01_counts, a06_ocr_items, a11_run_totals,
     d_documents, e10_preview, b00_plan, v06_scanned, o08_categories, b06_images, k11_metadata, r05_formatted, n07_model, a10_images, v05_redaction, f06_person, e07_people, a15_ambiguity, a16_corpus, a17_folder_counts, e09_describe, k05_key, r10_filename_names, w07_runs, u04_native_pages,
-    t06_sessions, t06_sliding, e01_stream, d14_context, j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
+    a16_sketches, t06_sessions, t06_sliding, e01_stream, d14_context, j01_lexicon, j01_listed, v02_misread, v02_misread_items, j02_ranges, j02_within, j03_asof,
 ]
 
 
