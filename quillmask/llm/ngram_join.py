@@ -1,9 +1,9 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap by a threshold, and the groups they form.
 
-Method: a blocked product of the sparse document by n-gram incidence matrix with its transpose. Columns are ordered
-(n-grams found to be frequent last, else by hash) and only the leading columns of each row, as many as the threshold
-allows two similar rows to differ in, are multiplied. Every column becomes one or more blocks of rows. Within a block,
-numpy forms the products and drops the pairs that sizes, positions and a parity bitmap prove to lie below the bound. Of
+Method: a prefix-filtered join with verification, in place of a product of the document by n-gram incidence matrix with its transpose
+that accumulates overlap counts (the README has the numbers of entries of both). N-grams are ordered (those found to be frequent last,
+else by hash) and only the leading ones of each row, as many as the threshold allows two similar rows to differ in, are
+columns. Every column becomes one or more blocks of rows. Within a block, numpy lists the pairs and drops the pairs that sizes, positions and a parity bitmap prove to lie below the bound. Of
 the remaining pairs only a spanning forest leaves the block: one row fewer than the block has, however many copies it
 holds. Their overlaps are then counted on the whole sets. A block with a refuted pair is taken up again, with what is
 known by then and more forests, until no block holds an unproven pair; so no link between groups is lost.
