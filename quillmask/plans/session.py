@@ -33,10 +33,12 @@ class Kept:
         _open.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
+        """df written and read again. Names that repeat from case to case take a hundredth of their memory in a file, and Spark
+        estimates a table by its files, so joins of kept tables sort and never broadcast them."""
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).hint("merge")
 
     def close(self) -> None:
         """Deletes the run's tables; nothing that was built on them can be read after that."""
