@@ -723,8 +723,10 @@ def e01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = detect(pages, cases, _seen_by())
     chosen = ranked.where(R.preselected(F.col("category"), "deidentify")).select("case_id", F.col("doc_id").alias("doc_order"), "match_idx", "text", "category")
     kept = Kept(spark)
-    chosen.repartitionByRange(5, F.xxhash64("text")).write.parquet(f"{kept.root}/in")
-    stream = spark.readStream.schema(chosen.schema).option("maxFilesPerTrigger", 1).parquet(f"{kept.root}/in")
+    chosen = kept.cut(chosen)  # detection is not run again to deal its rows
+    files = -(-chosen.rdd.getNumPartitions() // 5)  # of a batch, so that a batch is many tasks however large it is
+    chosen.repartition(5 * files, "text", F.pmod(F.xxhash64("doc_order"), F.lit(files))).write.parquet(f"{kept.root}/in")
+    stream = spark.readStream.schema(chosen.schema).option("maxFilesPerTrigger", files).parquet(f"{kept.root}/in")
     write_people(stream, cases, f"{kept.root}/people", f"{kept.root}/checkpoint").awaitTermination()
     owners = who.owner_labels(current_rosters(spark, f"{kept.root}/people", cases))
     return owners.select(F.col("case_id").cast("long").alias("k"), "seq", "full_name", "role", "label")
