@@ -1,5 +1,8 @@
 """Plans that hold at size: what may be broadcast, and how rows are dealt to tasks."""
 
+from pyspark.sql import functions as F
+
+from quillmask.functions.names import clean_person, variations
 from quillmask.plans import invented, registry
 from quillmask.plans.session import Kept
 from tests import oracle
@@ -22,3 +25,10 @@ def test_people_are_dealt_by_rows_and_not_broadcast(spark):
     plan = plan_of(invented.reports(rows).join(invented.cases(rows), "case_id"))
     assert "Broadcast" not in plan and plan.count("Exchange") <= 2  # dealt by case once, for both sides
     assert "Broadcast" not in plan_of(registry.d_detectors(spark, oracle.DATA))
+
+
+def test_a_name_is_computed_once(spark):
+    text = F.concat(F.lit("  Ms "), F.col("id").cast("string").substr(1, 0), F.lit("Sidonie  Harcastle"))
+    rows = spark.range(1).select(variations(clean_person(text)).alias("forms"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Ms ") <= 1 and rows.first().forms[:3] == ["Sidonie Harcastle", "Sidonie", "Harcastle"]
