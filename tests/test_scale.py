@@ -1,8 +1,14 @@
 """Plans that hold at size: what may be broadcast, and how rows are dealt to tasks."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from quillmask.functions import patterns as P
+from quillmask.functions.lexicons import FAMILY_KEYWORDS
 from quillmask.functions.names import clean_person, variations
+from quillmask.functions.text import spans
+from quillmask.operators.detect import _any, _mentions
 from quillmask.plans import invented, registry
 from quillmask.plans.session import Kept
 from tests import oracle
@@ -32,3 +38,33 @@ def test_a_name_is_computed_once(spark):
     rows = spark.range(1).select(variations(clean_person(text)).alias("forms"))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Ms ") <= 1 and rows.first().forms[:3] == ["Sidonie Harcastle", "Sidonie", "Harcastle"]
+
+
+def test_pages_are_searched_for_entities_once(spark):
+    plan = registry.n08_entities(spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and plan.count("Relation [") == 2  # pages, and the names of their cases
+
+
+def test_spans_in_one_pass_are_those_of_the_pattern(spark):
+    texts = ["abn: 11 222 333 444, abn 99888777666 1", "x﷐12﷑ y3", "\U0001f600 ABN 12345678901", "", "none", None]
+    abn, digits = r"(?Ui)abn\s*:?\s*(\d{2}\s?\d{3}\s?\d{3}\s?\d{3})\b", r"\d+"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans(F.col("t"), digits).alias("n"), spans(F.col("t"), F.lit(abn), 1).alias("g"))
+    assert spans(F.col("t"), digits)._jc.toString().count("regexp_extract_all") == 0
+    for r in rows.collect():
+        assert [tuple(s) for s in r.n] == [(m.start(), m.end(), m[0]) for m in re.finditer(digits, r.t or "")]
+        assert [tuple(s) for s in r.g] == [(*m.span(1), m[1]) for m in re.finditer(abn.replace("(?Ui)", "(?i)"), r.t or "")]
+
+
+def test_a_lookahead_in_front_changes_no_match(spark):
+    long = "Flat 3/12 Corvane Road, Telmora VIC 34561 Fennick Lane, Ostmere NSW 2000\nNo 2013 at 4 Ut Court and 3Unit 5 Elm St, Foo VIC 3001"
+    text = F.lit(long)
+    for pattern, plain, flags in [(P.full_address(), rf"{P.UNIT}\d+\s+[A-Za-z\s]+(?:{P.STREETS}),?\s+[A-Za-z\s]+,?\s+(?:{P.STATES})\s+\d{{4}}", "(?Ui)"), (P.MEDICARE, r"\b\d{4}\s?\d{5}\s?\d\b", "(?U)"),
+                                  (P.STREET_ONLY, rf"\b{P.UNIT}{P.STREET_LEAD}(?:{P.STREETS_FREE})\b|\b{P.UNIT}{P.STREET_LEAD}(?:{P.STREETS_ENDING})(?=[,.]|\s*$)", "(?U)")]:
+        a, b = spark.range(1).select(spans(text, flags + pattern), F.regexp_extract_all(text, F.lit(flags + plain), F.lit(0))).first()
+        assert [s.text for s in a] == b
+
+
+def test_family_keywords_are_met_in_any_case_and_script(spark):
+    lines = ["x", "the MOTHER", "Next of  kin", "Next of kin", "foster \t PARENT", "ſister K", "step-Mother", "Lives WITH", "gé aunt", "kinship"]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select(_mentions(F.col("t"), FAMILY_KEYWORDS), F.col("t").rlike(_any(FAMILY_KEYWORDS))).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows] and {r[0] for r in rows} == {True, False}
