@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -23,9 +24,9 @@ from pyspark.sql import types as T
 from .stream import tidy, together
 from .words import as_strings, offsets_of, pieces, range_hash
 
-#: Bytes of text whose distinct pieces are encoded together, how many pieces one string given to the library holds, and how
-#: many strings it gets at once.
-GROUP = 4 << 20
+#: Bytes of text whose distinct pieces are encoded together (arrays of some 30 times that size are made of them), how many
+#: pieces one string given to the library holds, and how many strings it gets at once.
+GROUP = 1 << 20
 STRING = 256
 BATCH = 32
 #: Most pieces whose ids a worker keeps from one part to the next.
@@ -135,6 +136,8 @@ class ByteBpe:
     """Encoder and decoder for one rank file and split pattern."""
 
     def __init__(self, path: str, pattern: str):
+        # a task has one core; threads of the library would each keep a heap of their own in the worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks, chars = load_ranks(path), byte_characters()
@@ -192,9 +195,12 @@ class ByteBpe:
         else:
             id_start, id_size = id_start[new], id_size[new]
         data, at = _gather(part.data, start, size, new)
-        every = [np.concatenate(x) for x in ((known.hashes, hashes[new]), (known.start, at[:-1] + len(known.data)), (known.size, size[new]), (known.id_start, id_start), (known.id_size, id_size))]
-        _, order = np.unique(every[0], return_index=True)
-        self._known = Known(every[0][order], *(x[order].astype(np.int32) for x in every[1:]), np.concatenate([known.data, data]), flat)
+        every = np.concatenate([known.hashes, hashes[new]])
+        _, order = np.unique(every, return_index=True)
+        # one after another, and each in the type that is kept, so that little stands beside the old arrays
+        rest = ((known.start, at[:-1] + len(known.data)), (known.size, size[new]), (known.id_start, id_start), (known.id_size, id_size))
+        rest = [np.concatenate([a, b.astype(np.int32)])[order] for a, b in rest]
+        self._known = Known(every[order], *rest, np.concatenate([known.data, data]), flat)
 
     def _encode(self, part: Part, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of some pieces by the library, the first id of each and how many it has."""
