@@ -38,6 +38,14 @@ def test_names_are_found_as_one_by_one(spark):
     assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
 
 
+def test_tokens_of_a_line_are_not_made_again_to_see_whether_there_are_any(spark):
+    """explode() gets such a filter from the optimiser, which is put below the projection that makes the tokens."""
+    lines, names = spark.createDataFrame([("1", "a", 1, "Ann Lee was here")], LINES), spark.createDataFrame([("1", "ann lee")], "case_id string, name string")
+    plan = lexicon.lexicon_join(lines, names, ["case_id"], ["doc_id", "line_num"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and lexicon.TOKEN in x and "size(" in x and "lower(line" in x]
+
+
+
 def test_fused_names_take_the_longest_and_do_not_overlap(spark):
     lines = spark.createDataFrame([("c", "d", 1, "Ann Lee met ann and Lee Ann Lee")], LINES)
     names = spark.createDataFrame([("c", "Ann"), ("c", "Ann Lee"), ("c", "Lee")], "case_id string, name string")
