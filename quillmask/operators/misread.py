@@ -3,8 +3,8 @@
 A token of letters (five or more) may differ from a word by one change up to seven letters and by two beyond (close_words). Two strings that are n
 changes apart share a string that up to n deletions leave of either, so the deletions of distinct words and tokens are an equi-join.
 A long token would have too many of them: beyond LONG letters it is cut into three parts, one of which two changes leave
-whole, at its place give or take two. Both are made of the vocabulary, once for each distinct word, whatever the number of
-documents; documents join the pairs that are close by document and word.
+whole, at its place give or take two. Both are made of the vocabulary, once for each distinct word. Within documents, which hold few words
+each, those of one document are compared with each other (misread_items).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rewrite import close_words
+from .rewrite import close_words, few_changes
 
 #: Longest token whose deletions are keys: 16 letters have 137 of them.
 LONG = 16
@@ -67,9 +67,9 @@ def near_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def misread_items(words: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text, token, word): which words (doc_id, word) of a document may stand for a word of an item (doc_id, text) of that document.
-    Words are compared in lower case without punctuation; the distinct words of all documents are compared once, not those of each document."""
-    read = words.select("doc_id", F.lower(F.regexp_replace("word", r"(?U)[^\w'’]", "")).alias("word")).where("word <> ''").distinct()
+    Words are compared in lower case without punctuation, distinct words of a document with distinct words of its items: they are few beside
+    those of all documents, whose pairs would be joined back to each document that holds one of the two."""
+    read = words.select("doc_id", F.lower(F.regexp_replace("word", r"(?U)[^\w'’]", "")).alias("word")).where("length(word) >= 4").distinct()
     asked = items.select("doc_id", F.btrim("text").alias("text")).distinct()
     asked = asked.select("doc_id", "text", F.explode(F.filter(F.split(F.lower("text"), r"(?U)[^\p{L}]+"), lambda x: F.length(x) >= 5)).alias("token")).distinct()
-    near = near_words(read, asked)
-    return asked.join(near, "token").join(read, ["doc_id", "word"]).select("doc_id", "text", "token", "word").distinct()
+    return asked.join(read, "doc_id").where(few_changes(F.col("word"), F.col("token"))).select("doc_id", "text", "token", "word")

@@ -82,8 +82,13 @@ def leftovers(body: Column, items: Column, labels: Column) -> Column:
 
 def close_words(word: Column, token: Column) -> Column:
     """Whether a misread word may stand for a token: letters only, five or more, one change up to seven letters, two beyond."""
+    return token.rlike(r"^\p{L}{5,}$") & few_changes(word, token)
+
+
+def few_changes(word: Column, token: Column) -> Column:
+    """Whether a word is one change from a token of up to seven letters, or two from a longer one."""
     allowed = F.when(F.length(token) <= 7, 1).otherwise(2)
-    return token.rlike(r"^\p{L}{5,}$") & (F.abs(F.length(word) - F.length(token)) <= 2) & (F.levenshtein(word, token) <= allowed)
+    return (F.abs(F.length(word) - F.length(token)) <= 2) & (F.levenshtein(word, token) <= allowed)
 
 
 def fuzzy_leftovers(body: Column, texts: Column, labels: Column) -> Column:

@@ -8,6 +8,7 @@ from quillmask.functions import patterns as P
 from quillmask.functions.lexicons import FAMILY_KEYWORDS
 from quillmask.functions.names import clean_person, variations
 from quillmask.functions.text import spans
+from quillmask.operators import misread
 from quillmask.operators.detect import _any, _mentions
 from quillmask.plans import invented, registry
 from quillmask.plans.session import Kept
@@ -68,3 +69,12 @@ def test_family_keywords_are_met_in_any_case_and_script(spark):
     lines = ["x", "the MOTHER", "Next of  kin", "Next of kin", "foster \t PARENT", "ſister K", "step-Mother", "Lives WITH", "gé aunt", "kinship"]
     rows = spark.createDataFrame([(t,) for t in lines], "t string").select(_mentions(F.col("t"), FAMILY_KEYWORDS), F.col("t").rlike(_any(FAMILY_KEYWORDS))).collect()
     assert [r[0] for r in rows] == [r[1] for r in rows] and {r[0] for r in rows} == {True, False}
+
+
+def test_misread_words_meet_within_their_document(spark):
+    words = spark.createDataFrame([("a", "harcostle"), ("b", "plimner"), ("b", "harcastle")], "doc_id string, word string")
+    items = spark.createDataFrame([("a", "Harcastle"), ("b", "Plimmer")], "doc_id string, text string")
+    found = misread.misread_items(words, items)
+    plan = plan_of(found)
+    assert "_key" not in plan and plan.count("levenshtein") == 1 and plan.count("Join") == 1  # no pairs of all documents' words
+    assert {tuple(r) for r in found.collect()} == {("a", "Harcastle", "harcastle", "harcostle"), ("b", "Plimmer", "plimmer", "plimner")}
