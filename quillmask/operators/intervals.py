@@ -8,6 +8,8 @@ listed are bounded by levels, and a key with very many intervals is spread over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +54,25 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: tu
     return met.drop("_m", "_bucket", "_level", "_level2")
 
 
-def not_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: tuple[str, str], right_at: tuple[str, str], row: list[str]) -> DataFrame:
-    """Rows of left (told apart by row) whose interval lies within none of right. Rows without an interval stay."""
-    inside = overlap_join(left, right.select(*keys, *right_at), keys, left_at, right_at, within=True).select(*row).distinct()
-    return left.join(inside, row, "left_anti")
+def not_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: tuple[str, str], right_at: tuple[str, str], row: list[str], stretch: int = 1024) -> DataFrame:
+    """Rows of left (told apart by row) whose interval lies within none of right. Rows without an interval stay.
+
+    An interval lies within another if one of those that begin no later ends no earlier, so the furthest end so far, in the order of
+    starts, settles it, and no pairs are made. Starts of one key are cut into stretches of that many places; what earlier
+    stretches reach comes down as one row each, so a key with very many intervals is spread over its stretches."""
+    some = lambda at: F.coalesce(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]) & (F.col(at[1]) > F.col(at[0])), F.lit(False))
+    place = lambda at: (F.col(at[0]).cast("long").alias("_s"), F.col(at[1]).cast("long").alias("_e"))
+    values = [c for c in left.columns if c not in keys]
+    asked = left.where(some(left_at)).select(*keys, *place(left_at), F.struct(*values).alias("_row"))
+    rows = asked.unionByName(right.where(some(right_at)).select(*keys, *place(right_at)), allowMissingColumns=True)
+    rows = rows.withColumn("_n", F.col("_s") - F.pmod("_s", F.lit(stretch)))
+    end = F.max(F.when(F.col("_row").isNull(), F.col("_e")))
+    reached = rows.groupBy(*keys, "_n").agg(end.alias("_e")).withColumn("_e", F.max("_e").over(Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)))
+    reached = reached.where(F.col("_e").isNotNull()).withColumn("_s", F.col("_n"))
+    # of equal starts those of right come first
+    so_far = Window.partitionBy(*keys, "_n").orderBy("_s", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = rows.unionByName(reached, allowMissingColumns=True).withColumn("_reach", end.over(so_far)).where(F.col("_row").isNotNull() & F.coalesce(F.col("_reach") < F.col("_e"), F.lit(True)))
+    return free.select(*keys, "_row.*").select(*left.columns).unionByName(left.where(~some(left_at)))
 
 
 def clusters(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -8,7 +8,7 @@ from quillmask.functions import patterns as P
 from quillmask.functions.lexicons import FAMILY_KEYWORDS
 from quillmask.functions.names import clean_person, variations
 from quillmask.functions.text import spans
-from quillmask.operators import misread
+from quillmask.operators import intervals, misread
 from quillmask.operators.detect import _any, _mentions
 from quillmask.plans import invented, registry
 from quillmask.plans.session import Kept
@@ -78,3 +78,13 @@ def test_misread_words_meet_within_their_document(spark):
     plan = plan_of(found)
     assert "_key" not in plan and plan.count("levenshtein") == 1 and plan.count("Join") == 1  # no pairs of all documents' words
     assert {tuple(r) for r in found.collect()} == {("a", "Harcastle", "harcastle", "harcostle"), ("b", "Plimmer", "plimmer", "plimner")}
+
+
+def test_intervals_within_others_make_no_pairs(spark):
+    left = spark.range(-60, 60).selectExpr("if(id % 7 = 0, null, 'k') AS k", "id AS s", "id + pmod(id, 9) AS e", "id AS a")
+    right = spark.range(-60, 60, 11).selectExpr("'k' AS k", "id AS s2", "id + 8 AS e2").union(spark.sql("SELECT 'k', -50L, -20L"))
+    free = [intervals.not_within(left, right, ["k"], ("s", "e"), ("s2", "e2"), ["a"], stretch) for stretch in (1, 4, 1024)]
+    assert all("Join" not in plan_of(f) for f in free)
+    spans_ = [(r.s2, r.e2) for r in right.collect()]
+    want = [r.a for r in left.collect() if r.k is None or r.e <= r.s or not any(s <= r.s and r.e <= e for s, e in spans_)]
+    assert all(sorted(r.a for r in f.collect()) == sorted(want) and f.columns == left.columns for f in free) and 0 < len(want) < 120
