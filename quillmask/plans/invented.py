@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import tasks_of
+
 FIRST = "Torvin,Maelis,Quenna,Hadrik,Matthew,Yorvel,Brisda,Daniel,Oswick,Feyra,Lunette,Kadmar"
 LAST = "Vardane,Oskeld,Pellorin,Grathwick,Munrose,Tibbance,Ewercliff,Hollobrand,Quillane,Strathvey,Dunmarrow,Beckhollow,Yarnwood"
 MOTHERS = "Ilsabet,Gwenora,Nerida,Josmine,Velda"
@@ -79,7 +81,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the columns above, dealt by case. The size that Spark estimates is that of the numbers alone, so no
     join may broadcast what is made of them."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // A_TASK))  # the count reads no column
+    tasks = tasks_of(rows.count(), A_TASK)  # the count reads no column
     rows = rows.repartition(tasks, F.col("k").cast("string")).hint("merge")
     for name, expression in COLUMNS:
         rows = rows.withColumn(name, F.expr(expression))

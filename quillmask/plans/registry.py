@@ -33,7 +33,7 @@ from ..streaming.people import current_rosters, write_people
 from . import invented as I
 from .flows import deidentify, detect, plan_redaction, preview_labels
 from .oracles import ORACLES
-from .session import Kept
+from .session import Kept, tasks_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 CASE = "case_id string, student_name string, parent_names array<string>, family_names array<string>, organisation_names array<string>"
@@ -737,10 +737,12 @@ def a16_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_linestatus", "l_returnflag AS category", "l_orderkey AS doc_id", "concat(l_partkey, '-', l_suppkey) AS text", "l_discount AS confidence")
     runs = [Q.report(rows.where(F.col("l_linestatus") == v)) for v in ("F", "O")]
     said = Q.read(Q.merge(runs[0].unionByName(runs[1]))).withColumnRenamed("n", "n_said")
-    exact = rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.count_distinct("doc_id").alias("documents"))
+    tasks = tasks_of(rows.count())  # distinct values are dealt by rows, as each has an entry in the memory of its task
+    distinct = lambda c, n: rows.where(F.col(c).isNotNull()).select("category", c).repartition(tasks, "category", c).distinct().groupBy("category").agg(F.count("*").alias(n))
+    exact = distinct("text", "texts").join(distinct("doc_id", "documents"), "category")
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= Q.DISTINCT_ERROR * F.col(b)
     both = exact.join(said, "category")
-    middle = rows.join(both.select("category", "q50"), "category").groupBy("category").agg(F.avg((F.col("confidence") < F.col("q50")).cast("int")).alias("below"), F.avg((F.col("confidence") <= F.col("q50")).cast("int")).alias("upto"))
+    middle = rows.join(F.broadcast(said.select("category", "q50")), "category").groupBy("category").agg(F.avg((F.col("confidence") < F.col("q50")).cast("int")).alias("below"), F.avg((F.col("confidence") <= F.col("q50")).cast("int")).alias("upto"))
     fine = (F.col("below") <= 0.5 + Q.RANK_ERROR) & (F.col("upto") >= 0.5 - Q.RANK_ERROR)
     return both.join(middle, "category").select("category", F.col("n_said").alias("n"), near("n_texts", "texts").alias("texts_fine"), near("n_documents", "documents").alias("documents_fine"), fine.alias("median_fine"))
 

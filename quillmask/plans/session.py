@@ -22,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows a task where few bytes of a file make much work or memory.
+A_TASK = 250_000
+
+
+def tasks_of(rows: int, a_task: int = A_TASK) -> int:
+    """How many tasks rows are dealt to, so that what a task holds does not grow with the table; two a core at least."""
+    return max(2 * SparkSession.active().sparkContext.defaultParallelism, -(-rows // a_task))
+
+
 class Kept:
     """Tables of one run that are computed once and kept in the shared folder, so that what is built on them several times neither
     plans nor computes them again. They hold real names: close() deletes them, and so does the end of a with block, or else

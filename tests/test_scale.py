@@ -11,7 +11,7 @@ from quillmask.functions.text import spans
 from quillmask.operators import intervals, misread
 from quillmask.operators.detect import _any, _mentions
 from quillmask.plans import invented, registry
-from quillmask.plans.session import Kept
+from quillmask.plans.session import Kept, tasks_of
 from tests import oracle
 
 
@@ -88,3 +88,9 @@ def test_intervals_within_others_make_no_pairs(spark):
     spans_ = [(r.s2, r.e2) for r in right.collect()]
     want = [r.a for r in left.collect() if r.k is None or r.e <= r.s or not any(s <= r.s and r.e <= e for s, e in spans_)]
     assert all(sorted(r.a for r in f.collect()) == sorted(want) and f.columns == left.columns for f in free) and 0 < len(want) < 120
+
+
+def test_distinct_values_are_dealt_by_rows(spark):
+    plan = plan_of(registry.a16_sketches(spark, oracle.DATA))
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Expand" not in plan
+    assert tasks_of(10**9) == 4000 and tasks_of(1) == 2 * spark.sparkContext.defaultParallelism
