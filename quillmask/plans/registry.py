@@ -48,6 +48,17 @@ def _phones_and_emails(pages: DataFrame) -> DataFrame:
     return detect_lines(pages, registry=[d for d in REGISTRY if d.category in ("Phone number", "Email address")])
 
 
+def _by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose case is their language, so that documents of two languages that share an id stay apart."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("lang").alias("case_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), "text")
+
+
+def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone numbers and emails of all documents, one of each text a line."""
+    return R.dedup_matches(_phones_and_emails(_by_language(spark, sf_dir))).drop("case_id")
+
+
 def _rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
@@ -76,7 +87,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct phone numbers and emails of all documents by category and confidence label."""
-    found = R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir)))
+    found = _deduped(spark, sf_dir)
     return found.groupBy("category", X.confidence_label(F.col("confidence")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -114,7 +125,7 @@ def d01_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w01_match_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    rows = R.rank_matches(_deduped(spark, sf_dir))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "match_idx", "line_num", "text", "category")
 
 
@@ -128,27 +139,27 @@ def w01_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a02_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.category_counts(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    return R.category_counts(_deduped(spark, sf_dir))
 
 
 def a03_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.log_summary(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    return R.log_summary(_deduped(spark, sf_dir))
 
 
 def a05_doc_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.document_summary(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    rows = R.document_summary(_deduped(spark, sf_dir))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "category", "n", "uncertain")
 
 
 def j04_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the matches of documents, the first of each, which a selection table names."""
-    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    ranked = R.rank_matches(_deduped(spark, sf_dir))
     picks = ranked.select("doc_id", "match_idx", (F.col("match_idx") == 0).alias("selected"))
     return R.selected(ranked, picks).select(F.col("doc_id").cast("long").alias("doc_id"), "match_idx", "text")
 
 
 def u03_deselected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    ranked = R.rank_matches(_deduped(spark, sf_dir))
     rest = R.deselected_texts(ranked, ranked.where("match_idx = 0"))
     return rest.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -184,7 +195,7 @@ def d14_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full set of detectors over all documents, counted by category."""
-    found = R.dedup_matches(detect_lines(_pages(spark, sf_dir)))
+    found = R.dedup_matches(detect_lines(_by_language(spark, sf_dir)))
     return found.groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -392,7 +403,7 @@ def v06_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o08_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected matches of the documents by category, most first."""
-    ranked = R.rank_matches(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    ranked = R.rank_matches(_deduped(spark, sf_dir))
     return R.selected_categories(ranked.where("match_idx % 2 = 0"), "n")
 
 
@@ -527,7 +538,7 @@ def j14_effective_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.match_counts(R.dedup_matches(_phones_and_emails(_pages(spark, sf_dir))))
+    rows = R.match_counts(_deduped(spark, sf_dir))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n")
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +12,11 @@ from quillmask.operators import people as who
 from quillmask.operators import review as R
 from quillmask.operators import rewrite as W
 from quillmask.operators.detect import REGISTRY, detect_lines
+from quillmask.plans import registry
 from quillmask.plans.flows import deidentify, detect
+from quillmask.plans.oracles import ORACLES
 from quillmask.plans.registry import CASE, PAGE
+from tests import oracle
 
 NO_ADDRESS = ["Level 4 Term Two Reading", "3 Helpers Dr Munrose", "11 Point Rise in spelling", "6 On The Way Up", "She won 14 Points", "Grade 5 pupils"]
 
@@ -130,6 +134,15 @@ def test_dedup_keeps_first_of_equals_and_last_only_if_better(spark):
     assert [(r.category, r.match_idx, r.first_ord) for r in got] == [("C", 0, [0])]
 
 
+def test_matches_of_documents_without_an_id_or_with_a_shared_one(spark, tmp_path):
+    docs = [(None, "n1@b.com n2@b.com", "en"), (None, "\nn3@b.com", "en"), (7, "s1@b.com 0412345678", "en"), (7, "s1@b.com", "fr"), (7, "\ns2@b.com", "fr"), (8, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("source", F.lit("a")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for query in (registry.w01_match_dedup, registry.j04_selected, registry.u03_deselected, registry.a02_by_category, registry.d_documents):
+        oracle.check(query(spark, str(tmp_path)), ORACLES[query.__name__], con)
+
+
 def test_labels_are_not_searched_again(spark):
     pages = spark.createDataFrame([("c", "d", 1, "Person met Sidonie Harcastle.")], PAGE)
     cases = spark.createDataFrame([("c", "Person Tibbance", [], [], [])], CASE)
