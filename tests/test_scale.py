@@ -8,9 +8,9 @@ from quillmask.functions import patterns as P
 from quillmask.functions.lexicons import FAMILY_KEYWORDS
 from quillmask.functions.names import clean_person, variations
 from quillmask.functions.text import spans
-from quillmask.operators import intervals, misread
+from quillmask.operators import detect, intervals, misread
 from quillmask.operators.detect import _any, _mentions
-from quillmask.plans import invented, registry
+from quillmask.plans import flows, invented, registry
 from quillmask.plans.session import Kept, tasks_of
 from tests import oracle
 
@@ -94,3 +94,32 @@ def test_distinct_values_are_dealt_by_rows(spark):
     plan = plan_of(registry.a16_sketches(spark, oracle.DATA))
     assert plan.count("REPARTITION_BY_NUM") == 2 and "Expand" not in plan
     assert tasks_of(10**9) == 4000 and tasks_of(1) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_owners_and_forms_need_no_texts_rewritten(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("items were made")
+
+    rows = invented.people(spark, oracle.DATA).where("k < 20")
+    monkeypatch.setattr(registry, "_reports", lambda *_: (invented.reports(rows), invented.cases(rows)))
+    whole = registry._run(spark, oracle.DATA)
+    monkeypatch.setattr(flows, "replacements", never)
+    known = registry._known(spark, oracle.DATA)
+    for table in ("owners", "forms"):
+        assert sorted(map(repr, known[table].collect())) == sorted(map(repr, whole[table].collect()))
+    assert registry.e07_people(spark, oracle.DATA).count() == 2 * rows.count()
+
+
+def test_lines_are_held_against_names_of_their_page_alone(spark):
+    cases = spark.createDataFrame([("c", "Torvin Vardane", [], [], ["Telmora Primary School"])], registry.CASE)
+    pages = spark.createDataFrame([("c", "d", 1, "at TELMORA\nby torvin")], registry.PAGE)
+    rows = pages.join(detect.with_name_forms(cases), "case_id")
+    held = rows.select(*[detect._held(F.col(c), F.col("text")).alias(c) for c in ("student_forms", "organisations")]).first()
+    assert [r.v for r in held.student_forms] == ["Torvin"] and [r.v for r in held.organisations] == ["Telmora"]
+    assert sorted(r.text for r in detect.detect_lines(pages, cases).collect()) == ["TELMORA", "torvin"]
+
+
+def test_what_phone_numbers_begin_with_is_in_all_of_them():
+    for number in ("+61 412 345 678", "+61 3 1234 5678", "03 1234 5678", "03.1234.5678", "(03) 1234 5678", "0412 345 678", "0412.345.678", "0412345678"):
+        assert any(re.search(p, number) for p in P.PHONES) and re.search(P.PHONE_LEAD, number)
+    assert not re.search(P.PHONE_LEAD, "Medicare 1234 56789 1, 05 1234 5678")
