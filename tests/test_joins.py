@@ -173,3 +173,16 @@ def test_as_of_joins_of_nothing_and_of_clashes(spark):
     for bad in (b.withColumnRenamed("j", "i"), b.withColumn("t2", F.col("t2").cast("timestamp_ntz"))):
         with pytest.raises(ValueError):
             asof.asof_join(a, bad, ["k"], "t", "t2")
+
+
+def test_only_keys_that_names_ask_for_leave_a_task(spark):
+    schema = "scope string, name string"
+    names = spark.createDataFrame([("a", "Sidonie Harcastle"), ("a", "Woldt"), ("b", "Rufaro Plimmer"), (None, "Nobody")], schema)
+    lines = spark.createDataFrame([("a", 1, "by sidonie harcastle and rufaro plimmer"), ("b", 2, "rufaro plimmer met woldt"), ("a", 3, None), ("a", 4, "seen by WOLDT")], "scope string, n int, line string")
+    rows = lines.where("line is not null").withColumn("_tokens", lexicon.keys_of(F.col("line"), False))
+    asked = names.select("scope", F.explode(lexicon.keys_of(F.col("name"), True)).alias("token"))
+    left = lexicon._asked_tokens(rows, ["scope", "n"], asked, ["scope"]).collect()
+    assert sorted((r.n, r.token.replace("\u0001", " ")) for r in left) == [(1, "sidonie harcastle"), (2, "rufaro plimmer"), (4, "woldt")]
+    assert lexicon._asked_tokens(rows, ["scope", "n"], asked.limit(0), ["scope"]).count() == 0
+    got = lexicon.lexicon_join(lines, names, ["scope"], ["n"]).collect()
+    assert sorted((r.n, r.name, r.text) for r in got) == [(1, "Sidonie Harcastle", "sidonie harcastle"), (2, "Rufaro Plimmer", "rufaro plimmer"), (4, "Woldt", "WOLDT")]
